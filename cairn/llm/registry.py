@@ -1,15 +1,20 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from cairn.llm import exact_dedup, mixing, sharding, url_filter
+from cairn.llm import bpe, exact_dedup, mixing, sharding, simhash, suffix_dedup, url_filter, vector_dedup
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+    "op7_vector_dedup": vector_dedup.op7_vector_dedup,
+    "op8_simhash": simhash.op8_simhash,
     "op9_sharding": sharding.op9_sharding,
 }
 
 ORACLE = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
+    "op7_vector_dedup": vector_dedup.ORACLE,
 }
