@@ -13,13 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed and written to the shared folder of spark.checkpoint.dir; its lineage ends there.
-
-    Only where the session names no folder (tests, a single machine) one is set here."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+def ensure_folder(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir. Only where the session names none (tests, a single machine) one is set here."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    return "/tmp/checkpoints"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df`, computed and written to the shared folder; its lineage ends there."""
+    ensure_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -24,24 +24,43 @@ _BLOCK = 1 << 16
 _NO_ID = 2**63 - 1
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64 bits, each the majority of that bit over the XXH64 (seed 42) of all shingles of `width` words, in bounded memory."""
+def _majorities(words: list[bytes], width: int, n_words: int) -> np.ndarray:
+    """`n_words` words of 64 bits, each bit the majority over all shingles of `width` words; the first over their XXH64 (seed 42), further
+    ones over hashes mixed from it. Shingles are hashed in blocks, so memory is bounded but for the text itself."""
     from xxhash import xxh64_intdigest
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(n_words, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     width = min(width, len(words))
     starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((n_words, 64), np.int64)
     for at in range(0, len(starts), _BLOCK):
         s, e = starts[at : at + _BLOCK].tolist(), ends[at : at + _BLOCK].tolist()
         h = np.fromiter((xxh64_intdigest(joined[i:j], 42) for i, j in zip(s, e, strict=True)), np.uint64, len(s))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
+        for k in range(n_words):
+            if k:
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            ones[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(starts), axis=1, bitorder="little").view("<u8").ravel()
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """64 bits, each the majority of that bit over the XXH64 (seed 42) of all shingles of `width` words; zero without words."""
+    return int(_majorities(_words(text), width, 1)[0])
+
+
+def similar_bits(similarity: float, bits: int, deviations: float = 2.0) -> int:
+    """How many of `bits` may differ for shingle sets of this Jaccard similarity: the expected share, arccos(2J / (1 + J)) / pi, and some standard deviations."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * share + deviations * np.sqrt(bits * share * (1 - share)))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -131,15 +150,20 @@ def _split(mask: int, parts: int) -> list[int]:
     return [sum(bits[len(bits) * k // parts : len(bits) * (k + 1) // parts]) for k in range(parts)]
 
 
-def near_links(nodes: DataFrame, tau: int = 3, sample: int = 2048, crowd: int = 2048, levels: int = 4) -> DataFrame:
-    """(src, dst) of all nodes whose fingerprints differ in 1 to tau bits. nodes: distinct fp and their rep, both long.
+def near_links(nodes: DataFrame, tau: int = 3, sample: int = 2048, crowd: int = 2048, levels: int = 4, wide: tuple[str, ...] = (), wide_tau: int = 0) -> DataFrame:
+    """(src, dst) of all nodes whose fingerprints differ in at most tau bits. nodes: fp and a rep of its own, both long.
+
+    With `wide` columns, links also need those to differ in at most `wide_tau` bits together.
 
     `sample` fingerprints at most go to the driver, picked by hash, to plan with.
     """
     n = nodes.count()
     seen = np.array([r.fp for r in nodes.select("fp").orderBy(F.xxhash64("fp")).limit(sample).collect()], np.int64).view(np.uint64)
     plan = allot(seen, n, tau)
-    near = (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= tau) & (F.col("a.fp") < F.col("b.fp"))
+    near = (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= tau) & (F.col("a.rep") < F.col("b.rep"))
+    if wide:
+        near = near & (sum(F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in wide) <= wide_tau)
+    columns = ["fp", "rep", *wide]
     nothing = F.lit(0).cast("long")
     out = None
     # One branch a part and level; `index` holds exact keys, `probe` the keys within the threshold.
@@ -149,8 +173,8 @@ def near_links(nodes: DataFrame, tau: int = 3, sample: int = 2048, crowd: int =
         later = []
         for left, right, path, parts, left_bits in todo:
             for mask, t in parts:
-                index = left.select("fp", "rep", F.explode(_keys([(mask % 1_000_003, mask, [0])], path)).alias("key"))
-                probe = index if t == 0 and left is right else right.select("fp", "rep", F.explode(_keys([(mask % 1_000_003, mask, _flips(mask, t))], path)).alias("key"))
+                index = left.select(*columns, F.explode(_keys([(mask % 1_000_003, mask, [0])], path)).alias("key"))
+                probe = index if t == 0 and left is right else right.select(*columns, F.explode(_keys([(mask % 1_000_003, mask, _flips(mask, t))], path)).alias("key"))
                 rest = left_bits & ~mask
                 if depth + 1 < levels and rest.bit_count() > tau:
                     full = cut(index.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > crowd).select("key"))
@@ -161,7 +185,7 @@ def near_links(nodes: DataFrame, tau: int = 3, sample: int = 2048, crowd: int =
                         later.append((hot_index, hot_probe, F.col("key"), [(m, 0) for m in _split(rest, tau + 1)], rest))
                         index, probe = index.join(full, "key", "left_anti"), probe.join(full, "key", "left_anti")
                 pairs = index.alias("a").join(probe.alias("b"), "key")
-                # Each of two near fingerprints probes the other's key, so the order a < b loses none.
+                # Each of two near nodes probes the other's key, so taking one order loses none.
                 pairs = pairs.where(near).select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst"))
                 out = pairs if out is None else out.unionByName(pairs)
         todo, depth = later, depth + 1
@@ -183,5 +207,32 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif("component", F.lit(_NO_ID)).alias("component_id"))
 
 
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, probe_width: int = 2, tau: int = 10, words: int = 4) -> DataFrame:
+    """One row per row of `docs`: doc_id, component_id (the smallest id that links reach).
+
+    Documents link at an estimated Jaccard similarity of at least `similarity` on shingles of `width` words. Candidates are probed by a
+    64-bit fingerprint of short shingles, which small edits move little, within `tau` bits; a link
+    then needs `words` further fingerprint words of the long shingles to agree as such a similarity lets expect. Wordless
+    and null texts are one group. Null ids and repeated rows as in simhash_groups.
+    """
+    names = [f"w{k}" for k in range(words)]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            split = [_words(t.as_py()) for t in batch.column(1)]
+            fps = np.array([_majorities(w, probe_width, 1)[0] for w in split], np.uint64).view(np.int64)
+            more = np.array([_majorities(w, width, words) for w in split], np.uint64).reshape(-1, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *[pa.array(np.ascontiguousarray(more[:, k])) for k in range(words)]], ["doc_id", "fp", *names])
+
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = cut(source.mapInArrow(run, "doc_id long, fp long, " + ", ".join(f"{n} long" for n in names)))
+    nodes = cut(rows.groupBy("fp", *names).agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("rep")))
+    found = components(near_links(nodes, tau, wide=tuple(names), wide_tau=similar_bits(similarity, 64 * words)))
+    of = nodes.join(found, nodes.rep == found.node, "left").select("fp", *names, F.coalesce("component", "rep").alias("component"))
+    return rows.join(of, ["fp", *names]).select("doc_id", F.nullif("component", F.lit(_NO_ID)).alias("component_id"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
