@@ -83,7 +83,8 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     sources = sources.withColumn("all_blocks", F.round(F.sum("target").over(every) / F.col("block")).cast("long")).withColumn("mix", F.lit(0))
     sources = sainte_lague(sources, ["mix"], "key", "target", "all_blocks", "blocks")
     sources = sources.withColumn("n_shards", F.ceil(F.sqrt("n_docs")).cast("long")).select("key", "source_size", "target", "block", "blocks", "n_shards")
-    dealt = rows.join(sources, "key").withColumn("shard", F.pmod(F.col("h"), F.col("n_shards")))
+    # Without this the rows would stay where the join by source put them, a whole source in one task.
+    dealt = rows.join(sources, "key").withColumn("shard", F.pmod(F.col("h"), F.col("n_shards"))).repartition("key", "shard")
     shards = dealt.groupBy("key", "shard").agg(F.sum("size").alias("shard_size"), F.first("block").alias("block"), F.first("blocks").alias("blocks"))
     shards = sainte_lague(shards, ["key"], "shard", "shard_size", "blocks", "quota")
     words = F.least(F.col("quota") * F.col("block"), F.col("shard_size") * most_repeats)
