@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: Aliases of symbol kinds; other kinds stand for themselves.
@@ -136,10 +137,11 @@ def parameter_count(signature: str | None) -> int:
 def parameter_counts(signature: Column) -> Column:
     """parameter_count of a column, as an Arrow function."""
 
-    def run(s):
+    @F.pandas_udf("int")
+    def run(s: pd.Series) -> pd.Series:
         return s.map(parameter_count)
 
-    return F.pandas_udf(run, "int", F.PandasUDFType.SCALAR)(signature)
+    return run(signature)
 
 
 def match_arms(body: str | None) -> int:

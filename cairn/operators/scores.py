@@ -138,7 +138,7 @@ def test_suggest(files: DataFrame, edges: DataFrame, pairs: DataFrame, changed:
     """(test, n_sources): tests that import changed sources or change with them, and changed tests themselves."""
     tests = files.where(X.is_test_path(F.col("path"))).select(F.col("id").alias("test"))
     source = changed.select(F.col("id").alias("source"))
-    importing = edges.select(F.col("from_file").alias("test"), F.col("to_file").alias("source")).join(source, "source", "left_semi")
+    importing = edges.select(F.col("from_file").alias("test"), F.col("to_file").alias("source")).join(source, "source", "left_semi").select("test", "source")
     often = omissions(pairs, changed).select(F.col("partner").alias("test"), F.col("id").alias("source"))
     own = source.select(F.col("source").alias("test"), "source")
     return importing.union(often).union(own).join(tests, "test", "left_semi").distinct().groupBy("test").agg(F.count("*").alias("n_sources"))

@@ -9,16 +9,16 @@ from cairn.operators.tables import page
 
 
 def postings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(id, term, tf, length) of lower-case words of ASCII letters and digits."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
-    rows = docs.select("id", F.size(words).alias("length"), F.explode(words).alias("term"))
-    return rows.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf) of lower-case words of ASCII letters and digits."""
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+")
+    return docs.select("id", F.explode(words).alias("term")).where("term <> ''").groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, terms: list[str], limit: int, text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score), best first. Only the query's terms are counted; corpus size and mean length are one row."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
-    rows = docs.select("id", words.alias("words")).select("id", F.size("words").alias("length"), *[F.aggregate("words", F.lit(0), _count(term)).alias(f"t{k}") for k, term in enumerate(terms)])
+    """(id, score), best first. Only the query's terms (ASCII letters and digits) are counted; corpus size and mean length are one row."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    count = [F.regexp_count(low, F.lit(f"(?<![a-z0-9]){term}(?![a-z0-9])")).alias(f"t{k}") for k, term in enumerate(terms)]
+    rows = docs.select("id", F.regexp_count(low, F.lit("[a-z0-9]+")).alias("length"), *count)
     stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"t{k}") > 0).cast("int")).alias(f"d{k}") for k in range(len(terms))])
     rows = rows.where(" or ".join(f"t{k} > 0" for k in range(len(terms)))).join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
@@ -28,13 +28,9 @@ def bm25(docs: DataFrame, terms: list[str], limit: int, text: str = "text", k1:
     return page(rows.select("id", score.alias("score")), [F.desc(F.round("score", 9)), "id"], limit)
 
 
-def _count(term: str):
-    return lambda n, w: n + (w == F.lit(term)).cast("int")
-
-
 def phrase_search(docs: DataFrame, phrase: list[str], text: str = "text") -> DataFrame:
     """Ids of texts with the words next to one another."""
-    words = F.array_join(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != ""), " ")
+    words = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " ")
     return docs.where(F.concat(F.lit(" "), words, F.lit(" ")).contains(" " + " ".join(phrase) + " ")).select("id")
 
 

@@ -54,8 +54,9 @@ class Tables:
     @cached_property
     def refs(self) -> DataFrame:
         kind = F.element_at(F.array(*map(F.lit, ["call", "use", "type"])), F.col("pos") % 3 + 1)
-        known = self.raw("documents").select((F.col("doc_id") * 100000).alias("to_symbol_id"))
-        rows = self.symbols.select(F.col("id").alias("from_symbol_id"), ((F.col("file_id") + F.col("pos") + 1) * 100000).alias("to_symbol_id"), kind.alias("kind"))
+        known = self.symbols.select(F.col("id").alias("to_symbol_id"))
+        target = (F.col("file_id") + F.col("pos") + 1) * 100000 + F.floor(F.col("pos") / 4) % 4
+        rows = self.symbols.select(F.col("id").alias("from_symbol_id"), target.alias("to_symbol_id"), kind.alias("kind"))
         return rows.join(known, "to_symbol_id", "left_semi")
 
     @cached_property
@@ -117,7 +118,8 @@ WITH RECURSIVE docs AS (
          pos * 3 + 1 AS line_start, pos * 3 + 1 + strlen(line) // 40 AS line_end, is_exported, pos % 10 = 9 AS unused_excluded, 1.0::DOUBLE / (doc_id + pos + 1) AS pagerank,
          CASE WHEN pos % 4 < 2 THEN length(line) - length(replace(line, ',', '')) + 1 END AS complexity, CASE WHEN pos % 4 = 1 THEN source END AS owner_type, pos FROM lines
 ), refs AS (
-  SELECT id AS from_symbol_id, (file_id + pos + 1) * 100000 AS to_symbol_id, ['call', 'use', 'type'][pos % 3 + 1] AS kind FROM symbols WHERE file_id + pos + 1 IN (SELECT doc_id FROM documents)
+  SELECT id AS from_symbol_id, (file_id + pos + 1) * 100000 + pos // 4 % 4 AS to_symbol_id, ['call', 'use', 'type'][pos % 3 + 1] AS kind FROM symbols
+  WHERE (file_id + pos + 1) * 100000 + pos // 4 % 4 IN (SELECT id FROM symbols)
 ), edges AS (SELECT DISTINCT from_symbol_id // 100000 AS from_file, to_symbol_id // 100000 AS to_file FROM refs
 ), bodies AS (
   SELECT doc_id AS id, doc_id AS file_id, 1 AS line_start, length(text) - length(replace(text, chr(10), '')) + 1 AS line_end,

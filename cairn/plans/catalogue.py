@@ -165,7 +165,7 @@ def pagerank_k(t):
     return graph.pagerank(nodes, t.chain, iterations=5, epsilon=0).withColumn("rank", r("rank", 10))
 
 
-@query(_pagerank_sql(3, "2.0::DOUBLE * id / (n * (n + 1))"))
+@query(_pagerank_sql(3, "CASE WHEN id > 0 THEN 2.0::DOUBLE * id / (n * (n + 1)) ELSE 1.0::DOUBLE / n END"))
 def pagerank_warm(t):
     nodes = t.raw("part").select(F.col("p_partkey").alias("id"))
     n = nodes.count()
@@ -386,9 +386,9 @@ def _bodies(t):
 WORDS = ", w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents)"
 
 
-@query(WORDS + ", c AS (SELECT id, len(w) AS l, len(list_filter(w, lambda x: x = 'there')) AS t0, len(list_filter(w, lambda x: x = 'inter')) AS t1 FROM w), s AS (SELECT count(*) AS n, avg(l) AS m, sum((t0 > 0)::INT) AS d0, sum((t1 > 0)::INT) AS d1 FROM c) SELECT id, round(ln(1 + (n - d0 + 0.5::DOUBLE) / (d0 + 0.5::DOUBLE)) * t0 * 2.2::DOUBLE / (t0 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / m)) + ln(1 + (n - d1 + 0.5::DOUBLE) / (d1 + 0.5::DOUBLE)) * t1 * 2.2::DOUBLE / (t1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / m)), 6) AS score FROM c, s WHERE t0 > 0 OR t1 > 0 ORDER BY 2 DESC, id LIMIT 20")
+@query(WORDS + ", c AS (SELECT id, len(w) AS l, len(list_filter(w, lambda x: x = 'that')) AS t0, len(list_filter(w, lambda x: x = 'with')) AS t1 FROM w), s AS (SELECT count(*) AS n, avg(l) AS m, sum((t0 > 0)::INT) AS d0, sum((t1 > 0)::INT) AS d1 FROM c) SELECT id, round(ln(1 + (n - d0 + 0.5::DOUBLE) / (d0 + 0.5::DOUBLE)) * t0 * 2.2::DOUBLE / (t0 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / m)) + ln(1 + (n - d1 + 0.5::DOUBLE) / (d1 + 0.5::DOUBLE)) * t1 * 2.2::DOUBLE / (t1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / m)), 6) AS score FROM c, s WHERE t0 > 0 OR t1 > 0 ORDER BY 2 DESC, id LIMIT 20")
 def fts_search(t):
-    return T.page(search.bm25(_bodies(t), ["there", "inter"], 0).withColumn("score", r("score")), [F.desc("score"), "id"], 20)
+    return T.page(search.bm25(_bodies(t), ["that", "with"], 0).withColumn("score", r("score")), [F.desc("score"), "id"], 20)
 
 
 @query(WORDS + " SELECT id FROM w WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' of the ')")
