@@ -80,7 +80,7 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
     sources = sources.withColumn("block", F.coalesce(F.greatest(F.lit(1), F.least(F.lit(block), F.floor(least / 100))), F.lit(1)).cast("long"))
-    sources = sources.withColumn("all_blocks", F.round(F.sum("target").over(every) / F.col("block")).cast("long")).withColumn("mix", F.lit(0))
+    sources = sources.withColumn("all_blocks", F.floor(F.sum("target").over(every) / F.col("block") + 0.4999999).cast("long")).withColumn("mix", F.lit(0))
     sources = sainte_lague(sources, ["mix"], "key", "target", "all_blocks", "blocks")
     sources = sources.withColumn("n_shards", F.ceil(F.sqrt("n_docs")).cast("long")).select("key", "source_size", "target", "block", "blocks", "n_shards")
     # Without this the rows would stay where the join by source put them, a whole source in one task.
@@ -101,3 +101,40 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _lague_sql(rows: str, group: str, name: str, votes: str, seats: str, quota: str) -> str:
+    """sainte_lague as a query: highest quotients, ranked over all seats that a name may get."""
+    return f"""
+  SELECT r.*, coalesce(q.won, 0) AS {quota} FROM {rows} r LEFT JOIN (
+    SELECT {group} AS g, {name} AS n, count(*) AS won FROM (
+      SELECT {group}, {name}, {seats}, row_number() OVER (PARTITION BY {group} ORDER BY {votes}::DOUBLE / (2 * k - 1) DESC, {name}, k) AS rank
+      FROM (SELECT *, unnest(range(1, 3 + ceil({votes}::DOUBLE * ({seats} + count(*) OVER (PARTITION BY {group})) / sum({votes}::DOUBLE) OVER (PARTITION BY {group}))::BIGINT)) AS k FROM {rows} WHERE {votes} > 0)
+    ) WHERE rank <= {seats} GROUP BY 1, 2
+  ) q ON q.g = r.{group} AND q.n = r.{name}"""
+
+
+ORACLE = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce('s' || source, 'n') AS key, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('42|' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h, ('0x' || substr(md5('43|' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h2 FROM documents
+), s0 AS (SELECT key, source, sum(size)::BIGINT AS source_size, count(*) AS n_docs FROM d GROUP BY 1, 2
+), s1 AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS most FROM s0
+), s2 AS (
+  SELECT *, row_number() OVER o AS place, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1 WINDOW o AS (ORDER BY most / weight, source NULLS LAST)
+), s3 AS (SELECT *, least(most, coalesce((SELECT arg_min(level, place) FROM s2 WHERE level * weight <= most) * weight, most)) AS target FROM s2
+), s4 AS (SELECT key, source_size, n_docs, target, 0 AS mix, coalesce(greatest(1, least(64, floor(min(CASE WHEN target > 0 THEN target END) OVER () / 100))), 1)::BIGINT AS block FROM s3
+), s5 AS (SELECT *, floor(sum(target) OVER () / block + 0.4999999::DOUBLE)::BIGINT AS all_blocks FROM s4
+), s6 AS ({_lague_sql("s5", "mix", "key", "target", "all_blocks", "blocks")}
+), e AS (SELECT d.*, source_size, target, block, blocks, d.h % ceil(sqrt(n_docs))::BIGINT AS shard FROM d JOIN s6 USING (key)
+), h0 AS (SELECT key, shard, sum(size)::BIGINT AS shard_size, any_value(block) AS block, any_value(blocks) AS blocks FROM e GROUP BY 1, 2
+), h1 AS ({_lague_sql("h0", "key", "shard", "shard_size", "blocks", "quota")}
+), h2 AS (
+  SELECT key, shard, shard_size AS z0, greatest(shard_size, 1) AS z, least(quota * block, shard_size * 2) AS words, block,
+         ('0x' || substr(md5('42|' || key || '|' || shard), 1, 15))::BIGINT % ceil(greatest(shard_size, 1)::DOUBLE / block)::BIGINT * block AS a FROM h1
+), p AS (
+  SELECT e.*, h2.z0, words // z AS rounds, words % z AS part, a, sum(size) OVER (PARTITION BY e.key, e.shard ORDER BY e.h2, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS en FROM e JOIN h2 ON e.key = h2.key AND e.shard = h2.shard
+)
+SELECT doc_id, size, source_size, target, (rounds * size + greatest(0, least(a + part, en) - greatest(a, en - size)) + greatest(0, least(a + part - z0, en) - greatest(a - z0, en - size)))::BIGINT AS taken FROM p
+"""

@@ -17,6 +17,7 @@ QUERIES = {
 
 ORACLE = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op3_mixing": mixing.ORACLE,
     "op4_chat_format": chat.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
     "op7_vector_dedup": vector_dedup.ORACLE,
