@@ -199,3 +199,46 @@ def suggest_boundaries(edges: DataFrame, groups: DataFrame) -> DataFrame:
 def cluster_edges(edges: DataFrame, groups: DataFrame) -> DataFrame:
     a, b = groups.select(F.col("id").alias("from_file"), F.col("group").alias("from_group")), groups.select(F.col("id").alias("to_file"), F.col("group").alias("to_group"))
     return edges.join(a, "from_file").join(b, "to_file").where("from_group <> to_group").groupBy("from_group", "to_group").agg(F.count("*").alias("n"))
+
+
+def diff_impact(edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """(id, direct): unchanged files that import a changed one (id), directly or not."""
+    from cairn.operators.graph import blast_of
+
+    hit = blast_of(edges.select(F.col("from_file").alias("src"), F.col("to_file").alias("dst")), changed)
+    return hit.groupBy(F.col("node").alias("id")).agg(F.max("direct").alias("direct")).join(changed.select("id"), "id", "left_anti")
+
+
+def transitive_references(refs: DataFrame, symbols: DataFrame, edges: DataFrame, target: int, max_depth: int = 3) -> DataFrame:
+    """(file_id, depth): files that refer to a symbol at depth 0, then files that import those, level by level."""
+    from cairn.operators.graph import reach
+
+    first = refs.where((F.col("to_symbol_id") == target) & (F.col("from_symbol_id") != target)).join(symbols.select(F.col("id").alias("from_symbol_id"), "file_id"), "from_symbol_id")
+    seeds = first.select(F.lit(target).alias("seed"), F.col("file_id").alias("node")).distinct()
+    back = edges.select(F.col("to_file").alias("src"), F.col("from_file").alias("dst"))
+    return reach(back, seeds, max_depth).select(F.col("node").alias("file_id"), "depth")
+
+
+def importer_groups(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, importers, languages): how many files import a path, and in which languages, sorted."""
+    source = files.select(F.col("id").alias("from_file"), F.col("language").alias("_l"))
+    rows = edges.join(source, "from_file").groupBy("to_file").agg(F.count("*").alias("importers"), F.array_join(F.array_sort(F.collect_set("_l")), ",").alias("languages"))
+    return rows.join(files.select(F.col("id").alias("to_file"), "path"), "to_file").select("path", "importers", "languages")
+
+
+def impact(files: DataFrame, edges: DataFrame, pairs: DataFrame, target: int, top: int = 10) -> DataFrame:
+    """(kind, id): direct and transitive importers outside tests, and the most frequent partners, of one file."""
+    from cairn.operators.graph import blast_of
+
+    one = files.where(F.col("id") == target).select("id")
+    hit = blast_of(edges.select(F.col("from_file").alias("src"), F.col("to_file").alias("dst")), one).select(F.when(F.col("direct"), "direct").otherwise("transitive").alias("kind"), F.col("node").alias("id"))
+    hit = hit.join(files.where(~X.is_test_path(F.col("path"))).select("id"), "id", "left_semi").select("kind", "id")
+    often = omissions(pairs, one, top).select(F.lit("partner").alias("kind"), F.col("partner").alias("id"))
+    return hit.unionByName(often)
+
+
+def without_test_clones(members: DataFrame) -> DataFrame:
+    """Clone members outside tests, of groups that keep two places."""
+    rows = members.where(~X.is_test_path(F.col("path")))
+    size = rows.groupBy("shape_hash").agg(F.count("*").alias("left")).where(F.col("left") >= 2).select("shape_hash")
+    return rows.join(size, "shape_hash", "left_semi")

@@ -563,3 +563,64 @@ def incremental_merge(t):
     events = t.raw("events").select(F.col("user_id").cast("string").alias("root"), F.col("event_type").alias("path"), F.when(F.col("value") >= 50, "changed").otherwise("deleted").alias("op"), F.col("ts").alias("event_time"))
     empty = t.spark.createDataFrame([], "root string, path string, last_seen timestamp")
     return watch.apply_events(empty, events)
+
+
+@query(f", ch AS (SELECT src AS id FROM layers WHERE src % 10 = 3), up AS (SELECT id AS node, 0 AS d FROM ch UNION SELECT src, 1 FROM up JOIN layers ON dst = node) SELECT node AS id, node IN (SELECT src FROM layers WHERE dst IN (FROM ch)) AS direct FROM (SELECT DISTINCT node FROM up) WHERE node NOT IN (FROM ch)")
+def diff_impact(t):
+    edges = t.layers.select(F.col("src").alias("from_file"), F.col("dst").alias("to_file"))
+    return scores.diff_impact(edges, t.raw("nation").select((F.col("n_nationkey").cast("long") * 10 + 3).alias("id")))
+
+
+@query(", w AS (SELECT DISTINCT file_id AS node, 0 AS depth FROM refs JOIN symbols ON id = from_symbol_id WHERE to_symbol_id = 900000 UNION SELECT from_file, depth + 1 FROM w JOIN edges ON to_file = node WHERE depth < 3) SELECT node AS file_id, min(depth)::INT AS depth FROM w GROUP BY 1")
+def refs_transitive(t):
+    return scores.transitive_references(t.refs, t.symbols, t.edges, 900000)
+
+
+@query("SELECT b.path, count(*) AS importers, array_to_string(list_sort(list_distinct(list(a.language))), ',') AS languages FROM edges JOIN files a ON a.id = from_file JOIN files b ON b.id = to_file GROUP BY 1")
+def importer_groups(t):
+    return scores.importer_groups(t.edges, t.files)
+
+
+@query(f", up AS (SELECT from_file AS node FROM edges WHERE to_file = 40 UNION SELECT from_file FROM up JOIN edges ON to_file = node), o AS (SELECT partner FROM pairs2 WHERE id = 40 AND partner <> 40 ORDER BY count DESC, partner LIMIT 10) SELECT CASE WHEN node IN (SELECT from_file FROM edges WHERE to_file = 40) THEN 'direct' ELSE 'transitive' END AS kind, node AS id FROM up JOIN files ON id = node WHERE node <> 40 AND NOT {TEST} UNION ALL SELECT 'partner', partner FROM o")
+def impact(t):
+    return scores.impact(t.files, t.edges, t.file_pairs, 40)
+
+
+@query(", up AS (SELECT from_file AS node, 1 AS depth FROM edges WHERE to_file = 60 UNION SELECT from_file, depth + 1 FROM up JOIN edges ON to_file = node WHERE depth < 5) SELECT 60::BIGINT AS id, (SELECT count(*) FROM symbols WHERE file_id = 60) AS symbols, (SELECT count(*) FROM edges WHERE to_file = 60) AS dependents, (SELECT count(DISTINCT node) FROM up WHERE node <> 60) AS transitive")
+def focused_file(t):
+    back = t.edges.select(F.col("to_file").alias("src"), F.col("from_file").alias("dst"))
+    one = t.spark.createDataFrame([(60, 60)], "seed long, node long")
+    far = graph.reach(back, one, 5).where("node <> 60").agg(F.count("*").alias("transitive"))
+    near = t.edges.where("to_file = 60").agg(F.count("*").alias("dependents"))
+    own = t.symbols.where("file_id = 60").agg(F.lit(60).cast("long").alias("id"), F.count("*").alias("symbols"))
+    return own.join(F.broadcast(near)).join(F.broadcast(far))  # one row each
+
+
+@query("SELECT s.id, path, line_start FROM symbols s JOIN files f ON f.id = file_id WHERE s.is_exported AND NOT unused_excluded AND s.id NOT IN (SELECT to_symbol_id FROM refs) ORDER BY path, line_start, s.id LIMIT 30 OFFSET 60")
+def unused_page(t):
+    rows = T.unused_exports(t.symbols, t.files, t.edges.limit(0), t.refs)
+    return T.page(rows, ["path", "line_start", "id"], 30, 60).select("id", "path", "line_start")
+
+
+@query("SELECT 'edges.from_file' AS reference, count(*) AS n FROM edges WHERE from_file NOT IN (SELECT id FROM files) UNION ALL SELECT 'edges.to_file', count(*) FROM edges WHERE to_file NOT IN (SELECT id FROM files) UNION ALL SELECT 'refs.from_symbol_id', count(*) FROM refs WHERE from_symbol_id NOT IN (SELECT id FROM symbols) UNION ALL SELECT 'refs.to_symbol_id', count(*) FROM refs WHERE to_symbol_id NOT IN (SELECT id FROM symbols) UNION ALL SELECT 'symbols.file_id', count(*) FROM symbols WHERE file_id NOT IN (SELECT id FROM files)")
+def integrity(t):
+    return sinks.orphans({"files": t.files, "symbols": t.symbols, "edges": t.edges, "refs": t.refs})
+
+
+@query(", b AS (SELECT doc_id AS symbol_id, array_to_string(list_slice(string_split(text, chr(10)), 1, 3), chr(10)) AS body, lang FROM documents) SELECT symbol_id, body, 'doc ' || lang || chr(10) || body AS embed_text FROM b")
+def symbol_bodies(t):
+    docs = t.raw("documents")
+    symbols = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("file_id"), F.lit("doc").alias("kind"), F.col("lang").alias("name"), F.lit(1).alias("line_start"), F.lit(3).alias("line_end"))
+    return sinks.symbol_bodies(docs.select(F.col("doc_id").alias("file_id"), "text"), symbols)
+
+
+@query("SELECT vec_id AS id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) ** 0.5, 6) AS norm, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings")
+def normalised_vectors(t):
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return t.raw("embeddings").select(F.col("vec_id").alias("id"), r(norm).alias("norm"), r(F.element_at(X.l2_normalised(F.col("embedding")), 1)).alias("first"))
+
+
+@query("SELECT shape_hash, count(*) AS places FROM bodies b JOIN files f ON f.id = b.file_id WHERE NOT starts_with(path, 'tests/') AND shape_hash IN (SELECT shape_hash FROM bodies WHERE line_end >= 3 GROUP BY 1 HAVING count(*) >= 2) GROUP BY 1 HAVING count(*) >= 2")
+def clones_without_tests(t):
+    members = scores.without_test_clones(T.clone_members(t.bodies, t.files, T.clone_groups(t.bodies)))
+    return members.groupBy("shape_hash").agg(F.count("*").alias("places"))

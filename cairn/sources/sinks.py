@@ -83,3 +83,17 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def fingerprint(files: DataFrame) -> DataFrame:
     """One row that changes whenever a path, time or size does; order plays no part."""
     return files.agg(F.count("*").alias("n"), F.sum(F.xxhash64("path", "mtime_ns", "size_bytes").cast("decimal(38,0)")).alias("digest"))
+
+
+def symbol_bodies(files: DataFrame, symbols: DataFrame, most_lines: int = 500) -> DataFrame:
+    """(symbol_id, body, embed_text): the lines of each symbol, `most_lines` at most, out of files (file_id, text)."""
+    rows = symbols.join(files.select("file_id", F.split("text", "\n").alias("_lines")), "file_id").where(F.col("line_start") <= F.size("_lines"))
+    count = F.least(F.lit(most_lines), F.greatest(F.lit(1), F.col("line_end") - F.col("line_start") + 1)).cast("int")
+    body = F.array_join(F.slice("_lines", F.col("line_start").cast("int"), count), "\n")
+    return rows.select(F.col("id").alias("symbol_id"), body.alias("body"), F.concat("kind", F.lit(" "), "name", F.lit("\n"), body).alias("embed_text"))
+
+
+def mailmapped(hunks: DataFrame, mailmap: DataFrame) -> DataFrame:
+    """Blame hunks with canonical authors: mailmap (alias, name); no author counts as unknown."""
+    named = hunks.join(mailmap.select(F.col("alias").alias("author"), F.col("name").alias("_name")), "author", "left")
+    return named.withColumn("author", F.coalesce("_name", F.when(F.trim("author") != "", F.col("author")), F.lit("unknown"))).drop("_name")
