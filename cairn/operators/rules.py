@@ -24,6 +24,13 @@ BUILTIN = [
     ("SEC012", "debug-leak", "low", "info-leak", r"(dbg!\(|console\.log\(|print!\()", None),
     ("SEC013", "todo-security", "medium", "review", r"(?i)(TODO|FIXME|HACK|XXX).*(security|auth|vuln|inject)", None),
 ]
+#: Built-in patterns that pass over benign matches by looking around: values read from the environment, fixed commands that are no shells, local and
+#: schema addresses.
+NARROWED = {
+    "SEC001": r'(?i)(password|passwd|secret|api_key|token)\s*=\s*"(?!\s*\$)(?![^"]*(process\.env|os\.environ|System\.getenv|env::var|ENV\[|getenv\())[^"]{4,}"',
+    "SEC004": r'(?i)(Command::new(?!\s*\(\s*"(?!([^"]*[/\\])?(sh|bash|zsh|fish|dash|ksh|cmd(\.exe)?|powershell(\.exe)?|pwsh(\.exe)?)")[^"{]*"\s*\))|\bsubprocess[.(]|os\.system|exec\(|eval\()',
+    "SEC007": r"(?<!xmlns[=:][^\n]{0,25})http://(?!localhost|127\.|0\.0\.0\.0|www\.w3\.org)(?=[a-zA-Z][a-zA-Z0-9\-]*\.)[a-zA-Z][a-zA-Z0-9.\-]+",
+}
 #: Rules that report exported symbols only.
 EXPORTED_ONLY = ["SEC009", "SEC012"]
 
@@ -34,8 +41,8 @@ def active_rules(custom: list[tuple] = (), disable: list[str] = ()) -> list[tupl
     return [r for r in [*[r for r in BUILTIN if r[0] not in own], *custom] if r[0] not in set(disable)]
 
 
-def scan(bodies: DataFrame, rules: list[tuple], min_severity: str = "low") -> DataFrame:
-    """(id, rule, severity, category, line, snippet, risk) of the first match of each rule in each body.
+def scan(bodies: DataFrame, rules: list[tuple], min_severity: str = "low", narrowed: bool = True) -> DataFrame:
+    """(id, rule, severity, category, line, snippet, risk) of the first match of each rule in each body; with `narrowed`, of the first that is not benign.
 
     bodies: id, language, pagerank, is_exported, text. Rules are configuration, so each is an expression and the table is read once.
     """
@@ -43,6 +50,8 @@ def scan(bodies: DataFrame, rules: list[tuple], min_severity: str = "low") -> Da
     for rule, _, severity, category, pattern, languages in rules:
         if SEVERITY[severity] < SEVERITY[min_severity]:
             continue
+        if narrowed and pattern in {r[4] for r in BUILTIN}:
+            pattern = NARROWED.get(rule, pattern)
         where = F.length(F.regexp_extract("text", f"(?s)^(.*?)(?-s:{pattern})", 1))
         fits = F.col("text").rlike(pattern)
         if languages:

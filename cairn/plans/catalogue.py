@@ -447,7 +447,7 @@ def _scan_sql() -> str:
 @query(_scan_sql())
 def rule_scan(t):
     bodies = t.files.select("id", "language", "pagerank", "is_exported").join(_bodies(t), "id")
-    return rules.scan(bodies, _SCANNED).select("id", "rule", "severity", "category", r("risk").alias("risk"), F.col("line").cast("long").alias("line"))
+    return rules.scan(bodies, _SCANNED, narrowed=False).select("id", "rule", "severity", "category", r("risk").alias("risk"), F.col("line").cast("long").alias("line"))
 
 
 @query(", x AS (SELECT r_regionkey * 10 + 4 AS seed, r_regionkey * 10 + 4 AS node, 0 AS depth FROM region UNION SELECT seed, src, depth + 1 FROM x JOIN layers ON dst = node WHERE depth < 20), i AS (SELECT s_suppkey * 10 + 2 AS node FROM supplier WHERE s_acctbal < 0) SELECT seed AS id, min_by(node, (depth, node)) AS source, min(depth) AS distance FROM x WHERE node IN (FROM i) GROUP BY 1")
@@ -624,3 +624,9 @@ def normalised_vectors(t):
 def clones_without_tests(t):
     members = scores.without_test_clones(T.clone_members(t.bodies, t.files, T.clone_groups(t.bodies)))
     return members.groupBy("shape_hash").agg(F.count("*").alias("places"))
+
+
+@query()
+def rule_scan_narrowed(t):
+    bodies = t.files.select("id", "language", "pagerank", "is_exported").join(_bodies(t), "id")
+    return rules.scan(bodies, rules.active_rules(CUSTOM)).select("id", "rule", "severity", "line", "snippet")

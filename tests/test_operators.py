@@ -94,6 +94,9 @@ def test_rules_and_search(spark):
     assert got == {(1, "SEC001"): (2, 'token = "abcdef"', 8.0), (2, "SEC008"): (1, "unsafe { a.unwrap() }", pytest.approx(0.2))}
     custom, off = files.scan_rules('disable = ["SEC001"]\n[[rule]]\nid = "C1"\npattern = "noth"\nseverity = "High"')
     assert {(r.id, r.rule) for r in rules.scan(bodies, rules.active_rules(custom, off), "medium").collect()} == {(2, "SEC008"), (3, "C1")}
+    benign = ['token = "${TOKEN}"', 'secret = "os.environ[1]"', "http://localhost/x http://a/b xmlns=\"http://x.org/y\"", 'Command::new("git")', 'Command::new("/bin/sh")', "http://evil.org", 'token = "hunter22"']
+    texts = spark.createDataFrame([(k, "go", 0.1, True, t) for k, t in enumerate(benign)], bodies.schema)
+    assert sorted((r.id, r.rule) for r in rules.scan(texts, rules.active_rules()).collect()) == [(4, "SEC004"), (5, "SEC007"), (6, "SEC001")]
     docs = spark.createDataFrame([(1, "the cat sat"), (2, "The dog. the-cat ran"), (3, None)], "id long, text string")
     assert [r.id for r in search.bm25(docs, ["cat"], 5).collect()] == [1, 2] and ids(search.phrase_search(docs, ["the", "cat"])) == [1, 2]
     lists = [spark.createDataFrame(x, "id long, rank int") for x in ([(1, 1), (2, 2)], [(2, 1), (3, 2)])]
