@@ -10,9 +10,10 @@ triggers at equal distance. A phrase is all bytes of the strings of one trigger
 
 *Dictionary and parse.* Equal phrases are one dictionary entry; the parse names the entry at each place
 in corpus order. Every later place of an entry repeats all its strings, which settles repetitive
-text phrase by phrase. Only entries that share a trigger but not all bytes can share some strings:
-their suffixes are put in suffix-array order (to a depth of `length`), neighbours with a common
-prefix of `length` are one class, and the parse's corpus order says which member comes first.
+text phrase by phrase. Only entries that share a trigger but not all bytes can share some strings: they are cut in cells of
+few starts, compared the same way, and of what is still open the suffixes are put in suffix-array
+order (to a depth of `length`), neighbours with a common prefix of `length` are one class, and the
+parse's corpus order says which member comes first.
 
 *Distribution.* A map task folds equal entries (and equal suffix classes) of its documents first, so the commonest passage
 sends one row per task, and a trigger with many different phrases is known to be ambiguous at once. Triggers and
@@ -26,7 +27,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from cairn.llm.shared import table
+from cairn.llm.shared import cut, table
 
 _SEGMENT = 1 << 19
 _NO_ID = 2**63 - 1
@@ -90,80 +91,100 @@ def phrases(text: Text, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np
     return np.concatenate(firsts), np.concatenate(counts), np.concatenate(at)
 
 
+#: A run of starts as one long: first start, number of starts, whether it is still open, distance of the trigger from the first start.
+_MOST, _OPEN = 2**16 - 1, 1 << 15
+
+
+def _pack(first, count, lead=0):
+    return (first.astype(np.int64) << 32) | (count.astype(np.int64) << 16) | lead
+
+
+def _unpack(where) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, count, open, lead) of a list of runs."""
+    x = np.array(where or [], np.int64)
+    return x >> 32, (x >> 16) & _MOST, (x & _OPEN) > 0, x & (_OPEN - 1)
+
+
 def _runs(doc: np.ndarray, first: np.ndarray, count: np.ndarray):
-    """Runs of starts with those that touch in one document joined; sorted by document and start."""
+    """Runs of starts, given by document and start, with those that touch in one document joined, up to what a run can hold."""
     if not len(doc):
         return doc, first, count
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + count[:-1])])
     at = np.flatnonzero(new)
-    return doc[at], first[at], np.add.reduceat(count, at)
+    doc, first, count = doc[at], first[at], np.add.reduceat(count, at)
+    pieces = -(-count // _MOST)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return np.repeat(doc, pieces), np.repeat(first, pieces) + nth * _MOST, np.minimum(np.repeat(count, pieces) - nth * _MOST, _MOST)
 
 
-def _sorted_texts(batch) -> tuple[np.ndarray, list[Text]]:
-    """Ids in ascending order and texts of an Arrow batch of (id, text)."""
+def _in_order(batch) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and ids of an Arrow batch in ascending order of ids."""
     ids = batch.column(0).to_numpy(zero_copy_only=False)
     order = np.argsort(ids, kind="stable")
-    texts = batch.column(1)
-    return ids[order], [Text((texts[int(i)].as_py() or "").encode("utf-8", "surrogatepass")) for i in order]
+    return order, ids[order]
+
+
+def _bytes(column, i: int) -> bytes:
+    return (column[int(i)].as_py() or "").encode("utf-8", "surrogatepass")
 
 
 _KEYED, _REPEATED, _AMBIGUOUS = 0, 1, 2
+_ROWS = "kind byte, key long, entry long, id long, place long"
 
 
-def _parse(batches, length: int, k: int):
-    """Rows (kind, key, entry, id, first, count) of the phrases of (id, text) batches.
+def _fold(ids, doc, first, count, lead, key, entry, own):
+    """Rows (kind, key, entry, id, place) of phrases in corpus order; own: the first place of each distinct entry.
 
-    _KEYED rows meet by trigger; those of count 0 only say that the trigger has several entries. _REPEATED rows are runs of starts that this
-    batch alone proves to repeat, _AMBIGUOUS ones phrases of triggers that have several entries in this batch.
+    _KEYED rows meet by key; those of no starts only say that the key has several entries. _REPEATED rows are runs that this
+    batch alone proves to repeat, _AMBIGUOUS ones phrases of keys that have several entries in this batch.
     """
     import pyarrow as pa
 
+    later = np.ones(len(doc), bool)
+    later[own] = False
+    _, which, n_entries = np.unique(key[own], return_inverse=True, return_counts=True)
+    several = n_entries[which] > 1
+    order = np.argsort(which[several], kind="stable")
+    flags, group = own[several][order], which[several][order]
+    if len(group):  # two entries of each such key are enough for the others to know
+        turn = group[1:] != group[:-1]
+        flags = flags[np.concatenate([[True], turn]) | np.concatenate([turn, [True]])]
+    rd, rf, rc = _runs(doc[later], first[later], count[later])
+    one, many = own[~several], own[several]
+    kinds = np.repeat([_KEYED, _REPEATED, _AMBIGUOUS], [len(one) + len(flags), len(rd), len(many)]).astype(np.int8)
+    spread = _mix(rd.astype(np.uint64) * np.uint64(1_000_003) + rf.astype(np.uint64)), _mix(entry[many] ^ first[many].astype(np.uint64))
+    keys = np.concatenate([key[one], key[flags], *spread]).view(np.int64)
+    entries = np.concatenate([entry[one], entry[flags], np.zeros(len(rd) + len(many), np.uint64)]).view(np.int64)
+    places = [_pack(first[one], count[one], lead[one]), np.zeros(len(flags), np.int64), _pack(rf, rc), _pack(first[many], count[many], lead[many])]
+    columns = [pa.array(kinds), pa.array(keys), pa.array(entries), pa.array(ids[np.concatenate([doc[one], doc[flags], rd, doc[many]])]), pa.array(np.concatenate(places))]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "key", "entry", "id", "place"])
+
+
+def _parse(batches, length: int, k: int):
+    """_fold of the phrases of (id, text) batches."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids, texts = _sorted_texts(batch)
+        order, ids = _in_order(batch)
         parts = []
-        for d, t in enumerate(texts):
+        for d, i in enumerate(order):
+            t = Text(_bytes(batch.column(1), i))
             first, count, at = phrases(t, length, k)
             if len(first):
-                parts.append((np.full(len(first), d), first, count, t.hashes(at, at + k), t.hashes(first, first + count + (length - 1))))
-        if not parts:
-            continue
-        doc, first, count, trigger, entry = (np.concatenate(x) for x in zip(*parts, strict=True))
-        entry = _mix(entry ^ (trigger << np.uint64(1)) ^ count.astype(np.uint64))
-        _, own = np.unique(entry, return_index=True)  # the first place of each entry: places are in corpus order
-        later = np.ones(len(entry), bool)
-        later[own] = False
-        _, which, n_entries = np.unique(trigger[own], return_inverse=True, return_counts=True)
-        several = n_entries[which] > 1
-        order = np.argsort(which[several], kind="stable")
-        flags = own[several][order]
-        group = which[several][order]
-        head = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
-        tail = np.concatenate([group[1:] != group[:-1], [True]]) if len(group) else np.zeros(0, bool)
-        flags = flags[head | tail]  # two entries of each such trigger
-        rd, rf, rc = _runs(doc[later], first[later], count[later])
-        one, many = own[~several], own[several]
-        spread = _mix(entry[many] ^ first[many].astype(np.uint64))
-        kinds = [np.full(len(one), _KEYED), np.full(len(flags), _KEYED), np.full(len(rd), _REPEATED), np.full(len(many), _AMBIGUOUS)]
-        keys = [trigger[one], trigger[flags], _mix((rd * 1_000_003 + rf).astype(np.uint64)), spread]
-        entries = [entry[one], entry[flags], np.zeros(len(rd), np.uint64), np.zeros(len(many), np.uint64)]
-        columns = [
-            pa.array(np.concatenate(kinds).astype(np.int8)), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(entries).view(np.int64)),
-            pa.array(ids[np.concatenate([doc[one], doc[flags], rd, doc[many]])]), pa.array(np.concatenate([first[one], first[flags], rf, first[many]]).astype(np.int32)),
-            pa.array(np.concatenate([count[one], np.zeros(len(flags), np.int64), rc, count[many]]).astype(np.int32)),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, ["kind", "key", "entry", "id", "first", "n"])
-
-
-def suffix_classes(texts: list[Text], doc: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+                parts.append((np.full(len(first), d), first, count, at - first, t.hashes(at, at + k), t.hashes(first, first + count + (length - 1))))
+        if parts:
+            doc, first, count, lead, key, entry = (np.concatenate(x) for x in zip(*parts, strict=True))
+            entry = _mix(entry ^ (key << np.uint64(1)) ^ count.astype(np.uint64))
+            _, own = np.unique(entry, return_index=True)  # the first in corpus order
+            yield _fold(ids, doc, first, count, lead, key, entry, own)
+
+
+def suffix_classes(texts, doc: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
     """For each start, in corpus order, the number of the first one with the same `length` bytes.
 
     The suffixes are put in suffix-array order to the depth of `length`; equal neighbours are one class."""
     windows = np.empty((len(doc), length), np.uint8)
     edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else []
     for a, b in zip(edge[:-1], edge[1:], strict=True):
-        windows[a:b] = np.lib.stride_tricks.sliding_window_view(texts[doc[a]].data, length)[start[a:b]]
+        windows[a:b] = np.lib.stride_tricks.sliding_window_view(texts[doc[a]], length)[start[a:b]]
     suffixes = windows.view(f"S{length}").ravel()
     array = np.argsort(suffixes, kind="stable")
     sorted_ = windows[array]
@@ -173,43 +194,65 @@ def suffix_classes(texts: list[Text], doc: np.ndarray, start: np.ndarray, length
     return first
 
 
-def _ambiguous(batches, length: int):
-    """Rows (kind, key, key2, id, first, count) of the single starts of (id, text, marks) batches that are still open."""
-    import pyarrow as pa
+def _cells(text: Text, where, length: int, cell: int):
+    """(first, count, lead, key, entry) of the open runs of one text, cut in cells, or None."""
+    first, count, open_, lead = _unpack(where)
+    first, count, at = first[open_], count[open_], (first + lead)[open_]
+    start = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at = np.repeat(at, count)
+    fits = start + length <= len(text.data)  # clips where two rows share an id
+    start, at = start[fits], at[fits]
+    by = np.argsort(start, kind="stable")
+    start, at = start[by], at[by]
+    if not len(start):
+        return None
+    nth = (at - start) // cell
+    head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (nth[1:] != nth[:-1])]))
+    first, at, nth = start[head], at[head], nth[head]
+    count = np.diff(np.append(head, len(start)))
+    if cell == 1:
+        return first, count, at - first, text.hashes(first, first + length), text.hashes(first, first + length // 2)
+    core = at - nth * cell
+    key = _mix(text.hashes(core, core + (length - cell + 1)) ^ nth.astype(np.uint64))
+    entry = _mix(text.hashes(first, first + count + (length - 1)) ^ (key << np.uint64(1)) ^ (count * 1024 + at - first).astype(np.uint64))
+    return first, count, at - first, key, entry
+
+
+def _refine(batches, length: int, cell: int, most: int = 300_000):
+    """_fold of the open runs of (id, text, runs) batches, cut in cells of `cell` starts counted from the trigger, about `most` cells at a time.
+
+    All strings that start in a cell share a core of length - cell + 1 bytes, whichever of them a phrase has: cells with
+    different cores share nothing. Cells of one start are compared by their bytes.
+    """
+
+    def folded(ids, texts, parts):
+        doc, first, count, lead, key, entry = (np.concatenate(x) for x in zip(*parts, strict=True))
+        for a in range(0, len(doc), most):
+            d, f, c, le, k, e = (x[a : a + most] for x in (doc, first, count, lead, key, entry))
+            if cell > 1:
+                _, own = np.unique(e, return_index=True)
+            else:
+                own = np.flatnonzero(suffix_classes(texts, d, f, length) == np.arange(len(d)))
+            yield _fold(ids, d, f, c, le, k, e, own)
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids, texts = _sorted_texts(batch)
-        order = np.argsort(batch.column(0).to_numpy(zero_copy_only=False), kind="stable")
-        docs, starts = [], []
+        order, ids = _in_order(batch)
+        texts, parts, n = {}, [], 0
         for d, i in enumerate(order):
-            for m in batch.column(2)[int(i)].as_py() or ():
-                if m["open"]:
-                    s = np.arange(m["first"], m["first"] + m["n"])
-                    s = s[s + length <= len(texts[d].data)]
-                    docs.append(np.full(len(s), d))
-                    starts.append(s)
-        if not docs:
-            continue
-        doc, start = np.concatenate(docs), np.concatenate(starts)
-        at = np.lexsort((start, doc))
-        doc, start = doc[at], start[at]
-        first = suffix_classes(texts, doc, start, length)
-        own = first == np.arange(len(first))
-        h1, h2 = np.empty(len(doc), np.uint64), np.empty(len(doc), np.uint64)
-        edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            t, s = texts[doc[a]], start[a:b]
-            h1[a:b], h2[a:b] = t.hashes(s, s + length), t.hashes(s, s + length // 2)
-        rd, rf, rc = _runs(doc[~own], start[~own], np.ones((~own).sum(), np.int64))
-        kinds = np.concatenate([np.full(own.sum(), _KEYED), np.full(len(rd), _REPEATED)]).astype(np.int8)
-        keys = np.concatenate([h1[own], _mix((rd * 1_000_003 + rf).astype(np.uint64))]).view(np.int64)
-        columns = [
-            pa.array(kinds), pa.array(keys), pa.array(np.concatenate([h2[own], np.zeros(len(rd), np.uint64)]).view(np.int64)), pa.array(ids[np.concatenate([doc[own], rd])]),
-            pa.array(np.concatenate([start[own], rf]).astype(np.int32)), pa.array(np.concatenate([np.ones(own.sum(), np.int64), rc]).astype(np.int32)),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, ["kind", "key", "key2", "id", "first", "n"])
+            where = batch.column(2)[int(i)].as_py()
+            if not where:
+                continue
+            text = Text(_bytes(batch.column(1), i))
+            got = _cells(text, where, length, cell)
+            if got is not None:
+                texts[d] = text.data
+                parts.append((np.full(len(got[0]), d), *got))
+                n += len(got[0])
+            if n >= most:
+                yield from folded(ids, texts, parts)
+                texts, parts, n = {}, [], 0
+        if parts:
+            yield from folded(ids, texts, parts)
 
 
 def removed_spans(n: int, runs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -227,15 +270,17 @@ def removed_spans(n: int, runs: list[tuple[int, int]], length: int) -> list[tupl
 
 
 def _cut(batches, length: int):
-    """Rows (id, n_bytes, n_removed, n_spans, kept_sha256, spans) of (id, text, marks, more) batches."""
+    """Rows (id, n_removed, n_spans, sha) of (id, text, runs...) batches: the closed runs of all columns go."""
     import pyarrow as pa
 
     for batch in batches:
         rows = []
         for i in range(batch.num_rows):
             data = (batch.column(1)[i].as_py() or "").encode("utf-8", "surrogatepass")
-            runs = [(m["first"], m["n"]) for m in batch.column(2)[i].as_py() or () if not m["open"]]
-            runs += [(m["first"], m["n"]) for m in batch.column(3)[i].as_py() or ()]
+            runs = []
+            for c in range(2, batch.num_columns):
+                first, count, open_, _ = _unpack(batch.column(c)[i].as_py())
+                runs += zip(first[~open_].tolist(), count[~open_].tolist(), strict=True)
             spans = removed_spans(len(data), runs, length)
             h, at = hashlib.sha256(), 0
             for a, b in spans:
@@ -247,28 +292,34 @@ def _cut(batches, length: int):
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string())], ["id", "n_removed", "n_spans", "sha"])
 
 
-def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 100, k: int = 24) -> DataFrame:
+def _judge(folded: DataFrame, name: str) -> DataFrame:
+    """(id, list of runs) from folded rows: a place repeats if an equal entry stands before it; it is open if its key has other entries."""
+    keyed = F.col("kind") == _KEYED
+    order = W.partitionBy(keyed, "key").orderBy("entry", "id", "place")
+    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    seen = folded.withColumn("again", F.coalesce(F.lag("entry").over(order) == F.col("entry"), F.lit(False)))
+    seen = seen.withColumn("mixed", F.first("entry").over(whole) != F.last("entry").over(whole))
+    closed = (F.col("kind") == _REPEATED) | (keyed & F.col("again"))
+    seen = seen.where("place <> 0").where(closed | (F.col("kind") == _AMBIGUOUS) | F.col("mixed"))
+    return seen.groupBy("id").agg(F.collect_list(F.col("place").bitwiseOR(F.when(closed, F.lit(0)).otherwise(F.lit(_OPEN)).cast("long"))).alias(name))
+
+
+def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 100, k: int = 32, cell: int = 12) -> DataFrame:
     """One row per row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Null texts count as empty; texts shorter than `length` keep all. A null id comes after every other. Ids should be unique: rows that repeat an id are
     read as one document, and what is found for either is removed from both. Other columns of `docs` play no part.
     """
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text).alias("text"))
-    parse = rows.where(F.octet_length("text") >= length).mapInArrow(lambda b: _parse(b, length, k), "kind byte, key long, entry long, id long, first int, n int")
-    keyed = (F.col("kind") == _KEYED).alias("keyed")
-    order = W.partitionBy(F.col("kind") == _KEYED, "key").orderBy("entry", "id")
-    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    seen = parse.withColumn("again", F.lag("entry").over(order) == F.col("entry")).withColumn("mixed", F.first("entry").over(whole) != F.last("entry").over(whole))
-    again = (F.col("kind") == _REPEATED) | ((F.col("kind") == _KEYED) & F.coalesce("again", F.lit(False)))
-    marks = seen.where(F.col("n") > 0).where((F.col("kind") != _KEYED) | F.coalesce("again", F.lit(False)) | F.col("mixed"))
-    marks = marks.groupBy("id").agg(F.collect_list(F.struct("first", "n", (~again).alias("open"))).alias("marks"))
-    held = rows.join(marks, "id")  # in the plan twice, its shuffle runs once
-    single = held.select("id", "text", "marks").mapInArrow(lambda b: _ambiguous(b, length), "kind byte, key long, key2 long, id long, first int, n int")
-    place = F.row_number().over(W.partitionBy(F.col("kind") == _KEYED, "key", "key2").orderBy("id", "first"))
-    more = single.withColumn("place", place).where((F.col("place") > 1) | (F.col("kind") == _REPEATED))
-    more = more.groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("more"))
-    found = held.join(more, "id", "left").select("id", "text", "marks", "more").mapInArrow(lambda b: _cut(b, length), "id long, n_removed long, n_spans long, sha string")
-    found = found.groupBy("id").agg(F.first("n_removed").alias("n_removed"), F.first("n_spans").alias("n_spans"), F.first("sha").alias("sha"))
+    parsed = rows.where(F.octet_length("text") >= length).mapInArrow(lambda b: _parse(b, length, k), _ROWS)
+    # `held` stands in the plan several times; its shuffle of texts runs once.
+    held = rows.join(cut(_judge(parsed, "runs")), "id").select("id", "text", "runs")
+    cells = _judge(held.mapInArrow(lambda b: _refine(b, length, cell), _ROWS), "cells")
+    held = held.join(cells, "id", "left")
+    single = _judge(held.select("id", "text", "cells").mapInArrow(lambda b: _refine(b, length, 1), _ROWS), "single")
+    held = held.join(single, "id", "left").select("id", "text", "runs", "cells", "single")
+    found = held.mapInArrow(lambda b: _cut(b, length), "id long, n_removed long, n_spans long, sha string")
+    found = found.groupBy("id").agg(F.max("n_removed").alias("n_removed"), F.max("n_spans").alias("n_spans"), F.max("sha").alias("sha"))
     t = F.coalesce(F.col(text), F.lit(""))
     every = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(t, 256).alias("whole"))
     out = every.withColumn("id", F.coalesce("doc_id", F.lit(_NO_ID))).join(found, "id", "left")
