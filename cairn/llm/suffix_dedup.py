@@ -294,11 +294,13 @@ def _cut(batches, length: int):
 
 def _judge(folded: DataFrame, name: str) -> DataFrame:
     """(id, list of runs) from folded rows: a place repeats if an equal entry stands before it; it is open if its key has other entries."""
-    keyed = F.col("kind") == _KEYED
-    order = W.partitionBy(keyed, "key").orderBy("entry", "id", "place")
+    # The partition is a column, not an expression: so both windows share one shuffle and one sort.
+    keyed = F.col("keyed")
+    order = W.partitionBy("keyed", "key").orderBy("entry", "id", "place")
     whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    seen = folded.withColumn("again", F.coalesce(F.lag("entry").over(order) == F.col("entry"), F.lit(False)))
-    seen = seen.withColumn("mixed", F.first("entry").over(whole) != F.last("entry").over(whole))
+    folded = folded.withColumn("keyed", F.col("kind") == _KEYED)
+    again = F.coalesce(F.lag("entry").over(order) == F.col("entry"), F.lit(False))
+    seen = folded.select("*", again.alias("again"), (F.first("entry").over(whole) != F.last("entry").over(whole)).alias("mixed"))
     closed = (F.col("kind") == _REPEATED) | (keyed & F.col("again"))
     seen = seen.where("place <> 0").where(closed | (F.col("kind") == _AMBIGUOUS) | F.col("mixed"))
     return seen.groupBy("id").agg(F.collect_list(F.col("place").bitwiseOR(F.when(closed, F.lit(0)).otherwise(F.lit(_OPEN)).cast("long"))).alias(name))

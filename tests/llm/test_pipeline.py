@@ -36,7 +36,7 @@ def test_near_stage(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(400)]
     rows, near = [], set()
-    for i in range(120):
+    for i in range(50):
         text = [rng.choice(words) for _ in range(250)]
         rows.append((3 * i, " ".join(text), "s"))
         if i % 2:
@@ -63,7 +63,7 @@ def test_mix_stage(spark):
 
 
 def test_whole_pipeline(spark, tmp_path):
-    rows = make(5, 500)
+    rows = make(5, 400)
     docs = table_of(spark, [(i, t, "s" + str(i % 3)) for i, t, _ in rows] + [(1000 + i, t + " ", "s1") for i, t, y in rows[:50]])
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, y, 0) for i, _, y in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
