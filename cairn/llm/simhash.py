@@ -7,7 +7,7 @@ allotted by dynamic programming on the candidate counts estimated from a bounded
 fingerprint probes the keys within its part's threshold; every candidate is verified. The sample
 only steers cost: any grouping and any thresholds of that sum give the same links.
 
-Equal fingerprints are one node, so copies never meet in pairs. A bucket with more than `crowd` fingerprints is split
+Equal fingerprints are one node, so copies never meet in pairs. A bucket with more than `crowd` fingerprints (some seconds of comparing) is split
 by the pigeonhole of the bits that are left, again and again, which loses no pair.
 """
 
@@ -16,12 +16,13 @@ from __future__ import annotations
 from math import comb
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from cairn.llm.shared import components, cut, table
 
 _BLOCK = 1 << 16
 _NO_ID = 2**63 - 1
+_ROW_PRICE = 60.0
 
 
 def _majorities(words: list[bytes], width: int, n_words: int) -> np.ndarray:
@@ -95,7 +96,7 @@ def group_bits(sample: np.ndarray, parts: int) -> list[int]:
 
 
 def allot(sample: np.ndarray, n: int, tau: int) -> list[tuple[int, int]]:
-    """[(mask, threshold)] with the least estimated cost over 2 to tau + 1 parts: candidates verified plus, at three times their price, rows probed."""
+    """[(mask, threshold)] with the least estimated cost over 2 to tau + 1 parts: candidates verified and, at _ROW_PRICE times their price, rows shuffled."""
     best = None
     for parts in range(2, tau + 2):
         masks = group_bits(sample, parts)
@@ -108,7 +109,7 @@ def allot(sample: np.ndarray, n: int, tau: int) -> list[tuple[int, int]]:
             for t in range(min(tau, 3) + 1):
                 probes, chance = probes + comb(width, t), chance + comb(width, t) / 2.0**width
                 seen = near[: t + 1].sum() / max(1, len(own) * (len(own) - 1))
-                row.append(n * n / 2 * max(seen, chance) + 3.0 * n * (probes + 1))
+                row.append(n * n / 2 * max(seen, chance) + _ROW_PRICE * n * (probes + (t > 0)))
             costs.append(row)
         # ways[s]: cheapest thresholds whose t + 1 sum to s
         ways = {0: (0.0, [])}
@@ -150,48 +151,88 @@ def _split(mask: int, parts: int) -> list[int]:
     return [sum(bits[len(bits) * k // parts : len(bits) * (k + 1) // parts]) for k in range(parts)]
 
 
-def near_links(nodes: DataFrame, tau: int = 3, sample: int = 2048, crowd: int = 2048, levels: int = 4, wide: tuple[str, ...] = (), wide_tau: int = 0) -> DataFrame:
-    """(src, dst) of all nodes whose fingerprints differ in at most tau bits. nodes: fp and a rep of its own, both long.
+def plan(nodes: DataFrame, tau: int, sample: int = 1024) -> list[tuple[int, int]]:
+    """allot for all nodes, on at most `sample` of their fingerprints, picked by hash."""
+    seen = np.array([r.fp for r in nodes.select("fp").orderBy(F.xxhash64("fp")).limit(sample).collect()], np.int64).view(np.uint64)
+    return allot(seen, nodes.count(), tau)
+
 
-    With `wide` columns, links also need those to differ in at most `wide_tau` bits together.
+def near_links(nodes: DataFrame, tau: int = 3, parts: list[tuple[int, int]] | None = None, crowd: int = 32768, levels: int = 3) -> DataFrame:
+    """(src, dst) of all nodes whose fingerprints differ in at most tau bits. nodes: fp and a rep of its own, both long.
 
-    `sample` fingerprints at most go to the driver, picked by hash, to plan with.
+    With a column `group`, links inside a group are left out.
     """
-    n = nodes.count()
-    seen = np.array([r.fp for r in nodes.select("fp").orderBy(F.xxhash64("fp")).limit(sample).collect()], np.int64).view(np.uint64)
-    plan = allot(seen, n, tau)
+    parts = plan(nodes, tau) if parts is None else parts
     near = (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= tau) & (F.col("a.rep") < F.col("b.rep"))
-    if wide:
-        near = near & (sum(F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in wide) <= wide_tau)
-    columns = ["fp", "rep", *wide]
-    nothing = F.lit(0).cast("long")
+    columns = [c for c in ("fp", "rep", "group") if c in nodes.columns]
+    if "group" in columns:
+        near = near & (F.col("a.group") != F.col("b.group"))
     out = None
     # One branch a part and level; `index` holds exact keys, `probe` the keys within the threshold.
-    todo = [(nodes, nodes, nothing, [part], (1 << 64) - 1) for part in plan]
-    depth = 0
-    while todo:
-        later = []
-        for left, right, path, parts, left_bits in todo:
-            for mask, t in parts:
-                index = left.select(*columns, F.explode(_keys([(mask % 1_000_003, mask, [0])], path)).alias("key"))
-                probe = index if t == 0 and left is right else right.select(*columns, F.explode(_keys([(mask % 1_000_003, mask, _flips(mask, t))], path)).alias("key"))
-                rest = left_bits & ~mask
-                if depth + 1 < levels and rest.bit_count() > tau:
-                    full = cut(index.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > crowd).select("key"))
-                    if not full.isEmpty():
-                        hot_index, hot_probe = index.join(full, "key", "left_semi"), probe.join(full, "key", "left_semi")
-                        if probe is index:
-                            hot_probe = hot_index
-                        later.append((hot_index, hot_probe, F.col("key"), [(m, 0) for m in _split(rest, tau + 1)], rest))
-                        index, probe = index.join(full, "key", "left_anti"), probe.join(full, "key", "left_anti")
-                pairs = index.alias("a").join(probe.alias("b"), "key")
-                # Each of two near nodes probes the other's key, so taking one order loses none.
-                pairs = pairs.where(near).select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst"))
-                out = pairs if out is None else out.unionByName(pairs)
-        todo, depth = later, depth + 1
+    todo = [(nodes, nodes, F.lit(0).cast("long"), part, (1 << 64) - 1) for part in parts]
+    for depth in range(levels):
+        branches, keys = [], None
+        for left, right, path, (mask, t), left_bits in todo:
+            index = left.select(*columns, F.explode(_keys([(mask % 1_000_003, mask, [0])], path)).alias("key"))
+            probe = index if t == 0 and left is right else right.select(*columns, F.explode(_keys([(mask % 1_000_003, mask, _flips(mask, t))], path)).alias("key"))
+            rest = left_bits & ~mask
+            branches.append((index, probe, rest))
+            if rest.bit_count() > tau:
+                keys = index.select("key") if keys is None else keys.unionByName(index.select("key"))
+        todo, full = [], None
+        if depth + 1 < levels and keys is not None:  # one count for all parts of a level
+            full = cut(keys.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > crowd).select("key"))
+            full = None if full.isEmpty() else full
+        for index, probe, rest in branches:
+            if full is not None and rest.bit_count() > tau:
+                hot_index = index.join(full, "key", "left_semi")
+                hot_probe = hot_index if probe is index else probe.join(full, "key", "left_semi")
+                todo += [(hot_index, hot_probe, F.col("key"), (m, 0), rest) for m in _split(rest, tau + 1)]
+                index, probe = index.join(full, "key", "left_anti"), probe.join(full, "key", "left_anti")
+            pairs = index.alias("a").join(probe.alias("b"), "key")
+            # Each of two near nodes probes the other's key, so taking one order loses none.
+            pairs = pairs.where(near).select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst"))
+            out = pairs if out is None else out.unionByName(pairs)
+        if not todo:
+            break
     return out
 
 
+def _neighbours(nodes: DataFrame, tau: int, parts: list[tuple[int, int]], wide: tuple[str, ...], wide_tau: int, ahead: int = 6) -> DataFrame:
+    """(src, dst): links to some of the next few nodes of the same keys. They tie a large group of near copies together at little cost."""
+    columns = ["fp", "rep", *wide]
+    rows = nodes.select(*columns, F.explode(_keys([(mask % 1_000_003, mask, [0]) for mask, _ in parts], F.lit(0).cast("long"))).alias("key"))
+    order = W.partitionBy("key").orderBy("fp", "rep")
+    found = []
+    for k in range(1, ahead + 1):
+        other = F.lead(F.struct(*columns), k).over(order)
+        near = F.bit_count(F.col("fp").bitwiseXOR(other["fp"])) <= tau
+        if wide:
+            near = near & (sum(F.bit_count(F.col(c).bitwiseXOR(other[c])) for c in wide) <= wide_tau)
+        found.append(F.when(near, other["rep"]))
+    rows = rows.select("rep", F.filter(F.array(*found), lambda x: x.isNotNull()).alias("others")).where(F.size("others") > 0)
+    return rows.select(F.col("rep").alias("src"), F.explode("others").alias("dst"))
+
+
+def link_groups(nodes: DataFrame, tau: int, wide: tuple[str, ...] = (), wide_tau: int = 0) -> DataFrame:
+    """nodes (fp, rep, wide...) and `component`: the least rep that links reach. Links need at most tau differing bits in fp and wide_tau in `wide` together.
+
+    First neighbours in the buckets are linked, which already joins nearly all of a large group of near
+    copies; then all links between different groups are found, exactly. So no group emits all its pairs, and no link that matters is lost.
+    """
+    parts = plan(nodes, tau)
+    first = components(_neighbours(nodes, tau, parts, wide, wide_tau)).withColumnRenamed("component", "group")
+    nodes = cut(nodes.join(first, nodes.rep == first.node, "left").select(*nodes.columns, F.coalesce("group", "rep").alias("group")))
+    links = near_links(nodes, tau, parts).distinct()
+    side = lambda end: nodes.select(F.col("rep").alias(end), F.struct("group", *wide).alias(f"{end}_node"))
+    links = links.join(side("src"), "src").join(side("dst"), "dst")
+    if wide:
+        links = links.where(sum(F.bit_count(F.col(f"src_node.{c}").bitwiseXOR(F.col(f"dst_node.{c}"))) for c in wide) <= wide_tau)
+    last = components(links.select(F.col("src_node.group").alias("src"), F.col("dst_node.group").alias("dst")))
+    out = nodes.join(last, nodes.group == last.node, "left")
+    return out.select(*[c for c in nodes.columns if c != "group"], F.coalesce("component", "group").alias("component"))
+
+
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, tau: int = 3) -> DataFrame:
     """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -201,9 +242,7 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = cut(fingerprints(docs, doc_id, text, width))
     nodes = cut(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("rep")))
-    found = components(near_links(nodes, tau))
-    of = nodes.join(found, nodes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    out = rows.join(of, "fp")
+    out = rows.join(link_groups(nodes, tau).select("fp", "component"), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif("component", F.lit(_NO_ID)).alias("component_id"))
 
 
@@ -229,9 +268,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = cut(source.mapInArrow(run, "doc_id long, fp long, " + ", ".join(f"{n} long" for n in names)))
     nodes = cut(rows.groupBy("fp", *names).agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("rep")))
-    found = components(near_links(nodes, tau, wide=tuple(names), wide_tau=similar_bits(similarity, 64 * words)))
-    of = nodes.join(found, nodes.rep == found.node, "left").select("fp", *names, F.coalesce("component", "rep").alias("component"))
-    return rows.join(of, ["fp", *names]).select("doc_id", F.nullif("component", F.lit(_NO_ID)).alias("component_id"))
+    groups = link_groups(nodes, tau, tuple(names), similar_bits(similarity, 64 * words))
+    return rows.join(groups.select("fp", *names, "component"), ["fp", *names]).select("doc_id", F.nullif("component", F.lit(_NO_ID)).alias("component_id"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
