@@ -598,7 +598,7 @@ def focused_file(t):
 
 @query("SELECT s.id, path, line_start FROM symbols s JOIN files f ON f.id = file_id WHERE s.is_exported AND NOT unused_excluded AND s.id NOT IN (SELECT to_symbol_id FROM refs) ORDER BY path, line_start, s.id LIMIT 30 OFFSET 60")
 def unused_page(t):
-    rows = T.unused_exports(t.symbols, t.files, t.edges.limit(0), t.refs)
+    rows = T.unused_exports(t.symbols, t.files, t.edges, t.refs)
     return T.page(rows, ["path", "line_start", "id"], 30, 60).select("id", "path", "line_start")
 
 

@@ -1,5 +1,7 @@
 """A part of the catalogue against its SQL, and the driver's contract."""
 
+from types import SimpleNamespace
+
 import pytest
 
 import __spark_entry__
@@ -20,3 +22,12 @@ def test_query_equals_sql(spark, name):
 def test_contract(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_unused_page_leaves_out_imported_files(spark):
+    files = spark.createDataFrame([(1, "a.rs", "rust", 0.5, 0), (2, "b.rs", "rust", 0.5, 0)], "id long, path string, language string, pagerank double, change_count long")
+    symbols = spark.createDataFrame([(100 * f + i, f, i, True, False) for f in (1, 2) for i in range(80)], "id long, file_id long, line_start int, is_exported boolean, unused_excluded boolean")
+    edges = spark.createDataFrame([(2, 1)], "from_file long, to_file long")
+    refs = spark.createDataFrame([(100, 200)], "from_symbol_id long, to_symbol_id long")
+    got = catalogue.unused_page(SimpleNamespace(symbols=symbols, files=files, edges=edges, refs=refs)).collect()
+    assert [r.id for r in got] == list(range(261, 280))
