@@ -246,30 +246,142 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif("component", F.lit(_NO_ID)).alias("component_id"))
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, probe_width: int = 2, tau: int = 10, words: int = 4) -> DataFrame:
+def _shingles(text: str | None, width: int) -> np.ndarray:
+    """The sorted distinct XXH64 (seed 42) of all shingles of `width` words; a shorter text is one shingle, a wordless one none."""
+    from xxhash import xxh64_intdigest
+
+    words = _words(text)
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    width = min(width, len(words))
+    starts, ends = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
+    return np.unique(np.fromiter((xxh64_intdigest(joined[i:j], 42) for i, j in zip(starts, ends, strict=True)), np.uint64, len(starts)))
+
+
+def _prefix(own: np.ndarray, similarity: float, listed: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of n shingles, those that few documents hold first. Two sets of that Jaccard similarity share one of them."""
+    n = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 if len(own) else 0
+    if len(listed) and n < len(own):
+        spot = np.minimum(np.searchsorted(listed, own), len(listed) - 1)
+        own = own[np.argsort(np.where(listed[spot] == own, counts[spot], 0), kind="stable")]
+    return own[:n]
+
+
+def _parities(own: np.ndarray, words: int) -> np.ndarray:
+    """64 * words bits, each the parity of the shingles that fall on it: where two texts' bits differ, so do at least as many shingles."""
+    odd = (np.bincount((own >> np.uint64(32)).astype(np.int64) % (64 * words), minlength=64 * words) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8")
+
+
+def _common(source: DataFrame, width: int, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` shingles that most of about `sample` texts hold, sorted, and their counts; they only steer which shingles are probed first."""
+    every = max(1, source.count() // sample)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_shingles(t.as_py(), width).view(np.int64))], ["shingle"])
+
+    found = source.where(F.pmod("th", F.lit(every)) == 0).select("text").mapInArrow(run, "shingle long")
+    found = found.groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(most).collect()
+    listed, counts = np.array([r.shingle for r in found], np.int64).view(np.uint64), np.array([r["count"] for r in found], np.int64)
+    order = np.argsort(listed)
+    return listed[order], counts[order]
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, width: int, similarity: float, bits: int = 1 << 23) -> DataFrame:
+    """The pairs (src, dst) whose shingle sets have this Jaccard similarity. Only texts of nodes in pairs are hashed again."""
+    ends = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct()
+    need = cut(nodes.join(ends, "node", "left_semi").select("node", "th"))
+    # A bitmap of bounded size passes over nearly all other texts; the join decides.
+    marks = np.zeros(bits // 32, np.uint32)
+    for r in need.groupBy(F.expr(f"pmod(th, {bits}) div 32").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(th, 32) as int)))").alias("mark")).collect():
+        marks[r["at"]] = r["mark"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at = np.mod(batch.column(0).to_numpy(), bits)
+            hit = np.flatnonzero(marks[at // 32] >> (at % 32).astype(np.uint32) & 1)
+            for i in range(0, len(hit), 256):
+                part = hit[i : i + 256]
+                sets = [_shingles(batch.column(1)[int(k)].as_py(), width).view(np.int64) for k in part]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part)), pa.array(sets, pa.list_(pa.int64()))], ["th", "shingles"])
+
+    sets = source.select("th", "text").mapInArrow(run, "th long, shingles array<long>").join(need, "th").dropDuplicates(["node"]).select("node", "shingles")
+    side = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set"))
+    both = pairs.join(side("src"), "src").join(side("dst"), "dst")
+    shared = F.size(F.array_intersect("src_set", "dst_set"))
+    return cut(both.where(shared >= F.lit(similarity) * (F.size("src_set") + F.size("dst_set") - shared) - 1e-9).select("src", "dst"))
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, words: int = 4, sample: int = 8192, listed: int = 65536, ahead: int = 2) -> DataFrame:
     """One row per row of `docs`: doc_id, component_id (the smallest id that links reach).
 
-    Documents link at an estimated Jaccard similarity of at least `similarity` on shingles of `width` words. Candidates are probed by a
-    64-bit fingerprint of short shingles, which small edits move little, within `tau` bits; a link
-    then needs `words` further fingerprint words of the long shingles to agree as such a similarity lets expect. Wordless
-    and null texts are one group. Null ids and repeated rows as in simhash_groups.
+    Documents link where the sets of their distinct shingles of `width` words have a Jaccard similarity of at least `similarity`; all
+    such links count (shingles are compared by 64-bit hashes). Equal sets are one node. Candidates share a shingle of their prefixes, and neither
+    sizes nor parities rule them out, which loses no pair; each is then verified on the sets. First neighbours in the buckets are
+    verified, then only candidates in different groups. Wordless and null texts are one group. Null ids and
+    repeated rows as in simhash_groups.
     """
-    names = [f"w{k}" for k in range(words)]
+    names = [f"b{k}" for k in range(words)]
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
+    common = _common(source, width, sample, listed)
 
     def run(batches):
         import pyarrow as pa
+        from xxhash import xxh64_intdigest
 
         for batch in batches:
-            split = [_words(t.as_py()) for t in batch.column(1)]
-            fps = np.array([_majorities(w, probe_width, 1)[0] for w in split], np.uint64).view(np.int64)
-            more = np.array([_majorities(w, width, words) for w in split], np.uint64).reshape(-1, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *[pa.array(np.ascontiguousarray(more[:, k])) for k in range(words)]], ["doc_id", "fp", *names])
-
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = cut(source.mapInArrow(run, "doc_id long, fp long, " + ", ".join(f"{n} long" for n in names)))
-    nodes = cut(rows.groupBy("fp", *names).agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("rep")))
-    groups = link_groups(nodes, tau, tuple(names), similar_bits(similarity, 64 * words))
-    return rows.join(groups.select("fp", *names, "component"), ["fp", *names]).select("doc_id", F.nullif("component", F.lit(_NO_ID)).alias("component_id"))
+            found = []
+            for t in batch.column(1):
+                own = _shingles(t.as_py(), width)
+                found.append((xxh64_intdigest(own.tobytes(), 42), len(own), _prefix(own, similarity, *common).view(np.int64), _parities(own, words).view(np.int64)))
+            node = pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64))
+            bits = np.array([f[3] for f in found], np.int64).reshape(-1, words)
+            columns = [node, pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.list_(pa.int64())), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(words)]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "th", "node", "size", "prefix", *names])
+
+    rows = cut(source.mapInArrow(run, "doc_id long, th long, node long, size int, prefix array<long>, " + ", ".join(f"{n} long" for n in names)))
+    firsts = [F.first(c).alias(c) for c in ("size", *names)]
+    nodes = cut(rows.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("least_id"), F.min("th").alias("th"), *firsts))
+    keys = rows.groupBy("node").agg(F.first("prefix").alias("prefix")).select("node", F.explode("prefix").alias("key"))
+    keys = keys.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1").select("node", "key")
+    keys = cut(keys.join(nodes.select("node", "size", *names), "node"))
+
+    def near(a, b) -> Column:
+        apart = sum(F.bit_count(a(c).bitwiseXOR(b(c))) for c in names)
+        sizes = (F.least(a("size"), b("size")) >= F.lit(similarity) * F.greatest(a("size"), b("size")) - 1e-9)
+        return sizes & (apart <= F.lit((1 - similarity) / (1 + similarity)) * (a("size") + b("size")) + 1e-9)
+
+    pair = lambda a, b: F.struct(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
+    order = W.partitionBy("key").orderBy("size", "node")
+    others = [F.lead(F.struct("node", "size", *names), k).over(order) for k in range(1, ahead + 1)]
+    found = [F.when(near(F.col, lambda c, o=o: o[c]), pair(F.col("node"), o["node"])) for o in others]
+    first = keys.select(F.filter(F.array(*found), lambda x: x.isNotNull()).alias("pairs")).where(F.size("pairs") > 0)
+    first = cut(first.select(F.explode("pairs").alias("p")).select("p.src", "p.dst").distinct())
+    links = _verified(first, nodes, source, width, similarity)
+    groups = components(links).withColumnRenamed("component", "group")
+
+    keys = keys.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    # A bucket of one group has no open pair.
+    several = W.partitionBy("key")
+    keys = cut(keys.withColumn("low", F.min("group").over(several)).withColumn("high", F.max("group").over(several)).where("low <> high").drop("low", "high"))
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    open_ = (a("node") < b("node")) & (a("group") != b("group")) & near(a, b)
+    rest = keys.alias("a").join(keys.alias("b"), (a("key") == b("key")) & open_).select(a("node").alias("src"), b("node").alias("dst")).distinct()
+    rest = cut(rest.join(first, ["src", "dst"], "left_anti"))
+    links = links.unionByName(_verified(rest, nodes, source, width, similarity))
+    found = nodes.join(components(links), "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
+    least = found.groupBy("component").agg(F.min("least_id").alias("least_id"))
+    found = found.drop("least_id").join(least, "component").select("node", "least_id")
+    return rows.select("doc_id", "node").join(found, "node").select("doc_id", F.nullif("least_id", F.lit(_NO_ID)).alias("component_id"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,3 +77,39 @@ def test_whole_pipeline(spark, tmp_path):
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert got and all(n == len(own.encode(texts[i])) for i, n in tokens.items())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "mix", "bpe"]
+
+
+def exact_groups(rows):
+    """Least id of each row's component, over all pairs of a five-word Jaccard similarity of 0.8."""
+    sets = {i: shingles(t) for i, t in rows}
+    label = {i: i for i in sets}
+    linked = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in sets:
+        before = dict(label)
+        for a, b in linked:
+            label[a] = label[b] = min(label[a], label[b])
+        if before == label:
+            break
+    return label
+
+
+def near_groups(spark, rows):
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    return {r.doc_id: r.component_id for r in got}
+
+
+def text_of(rng, n):
+    return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+
+def test_near_copies_with_passages_added_or_cut(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(20):
+        base, block = text_of(rng, 300), text_of(rng, 70)
+        other = [base + block, base[:245], base[:100] + block[:60] + base[100:], block + base][i % 4]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    want = exact_groups(rows)
+    assert sum(want[2 * i + 1] == 2 * i for i in range(20)) == 20
+    assert near_groups(spark, rows) == want
