@@ -113,3 +113,14 @@ def test_near_copies_with_passages_added_or_cut(spark):
     want = exact_groups(rows)
     assert sum(want[2 * i + 1] == 2 * i for i in range(20)) == 20
     assert near_groups(spark, rows) == want
+
+
+def test_near_copies_with_lines_repeated(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(12):
+        base, line = text_of(rng, 300), text_of(rng, 12)
+        rows += [(2 * i, " ".join(base + line)), (2 * i + 1, " ".join(base + line * [5, 10, 20][i % 3]))]
+    want = exact_groups(rows)
+    assert all(want[2 * i + 1] == 2 * i for i in range(12))
+    assert near_groups(spark, rows) == want
