@@ -124,3 +124,17 @@ def test_near_copies_with_lines_repeated(spark):
     want = exact_groups(rows)
     assert all(want[2 * i + 1] == 2 * i for i in range(12))
     assert near_groups(spark, rows) == want
+
+
+def test_near_copies_stay_apart_under_the_similarity(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(30):
+        base = text_of(rng, 300)
+        other = list(base)
+        for at in rng.sample(range(2, 298), 6 + i % 5):
+            other[at] = "edited"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    want = exact_groups(rows)
+    assert 5 < sum(want[2 * i + 1] != 2 * i for i in range(30)) < 30
+    assert near_groups(spark, rows) == want
