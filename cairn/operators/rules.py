@@ -1,4 +1,4 @@
-"""Rule scans over names, signatures and bodies."""
+"""Rule scans over bodies."""
 
 from __future__ import annotations
 
