@@ -241,9 +241,12 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     larger than any other and shows as null. Rows that repeat an id are rows of their own. An empty table gives an empty result.
     """
     rows = cut(fingerprints(docs, doc_id, text, width))
-    nodes = cut(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("rep")))
-    out = rows.join(link_groups(nodes, tau).select("fp", "component"), "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif("component", F.lit(_NO_ID)).alias("component_id"))
+    # A node's rep is its fingerprint: ids can be null or repeated, so the least one is only carried along.
+    nodes = cut(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("least_id")))
+    groups = cut(link_groups(nodes.select("fp", F.col("fp").alias("rep")), tau).select("fp", "component").join(nodes, "fp"))
+    least = groups.groupBy("component").agg(F.min("least_id").alias("least_id"))
+    out = rows.join(groups.select("fp", "component").join(least, "component"), "fp")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif("least_id", F.lit(_NO_ID)).alias("component_id"))
 
 
 def _shingles(text: str | None, width: int) -> np.ndarray:

@@ -98,3 +98,16 @@ def test_groups_with_odd_rows(spark):
         assert r.fingerprint == f"{fp[r.doc_id]:016x}"
         assert r.component_id == want.get(r.doc_id)
     assert simhash.simhash_groups(df.limit(0)).count() == 0
+
+
+def test_null_and_repeated_ids_are_no_bridge(spark):
+    rng = random.Random(5)
+    text = lambda: [f"w{rng.randrange(5000)}" for _ in range(400)]
+    a, b, c, d = text(), text(), text(), text()
+    near = lambda t: t[:-1] + ["changed"]
+    texts = [(1, a), (2, b), (None, near(a)), (None, near(b)), (7, c), (7, near(c)), (7, d)]
+    rows = [(i, " ".join(t)) for i, t in texts]
+    assert all((brute_fingerprint(rows[i][1]) ^ brute_fingerprint(rows[j][1])).bit_count() <= 3 for i, j in ((0, 2), (1, 3), (4, 5)))
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = [1, 2, 1, 2, 7, 7, 7]
+    assert got == {(i, f"{brute_fingerprint(t):016x}"): w for (i, t), w in zip(rows, want, strict=True)}
