@@ -24,7 +24,10 @@ from cairn.llm.shared import table
 #: White space as Unicode has it; Python's own classes also hold \x1c to \x1f.
 _SPACES = "\t\n\x0b\x0c\r\x85\xa0                　"
 _WINDOW = 1 << 16
-_CACHE = 1 << 18
+_SHORT = 64
+_BITS = 24
+_MASK, _NONE = (1 << _BITS) - 1, 1 << 62
+_CACHE = 1 << 16
 
 
 def byte_letters() -> list[str]:
@@ -63,27 +66,14 @@ class Merger:
         self.rules = {}
         for rank, (u, v) in enumerate(merges):
             self.rules.setdefault((vocab[u], vocab[v]), (rank, vocab[u + v]))
+        self.codes = {pair: rank << _BITS | new for pair, (rank, new) in self.rules.items()}
         plain = [(u, v.removesuffix(suffix) + ("\0" if suffix and v.endswith(suffix) else "")) for u, v in merges]
         self.lookahead = sufficient_lookahead(plain)
 
     def merge(self, symbols: list[int]) -> tuple[list[int], list[int]]:
         """(tokens, their lengths in symbols): the pair of least rank, leftmost first, merges until none is left."""
         n, rules = len(symbols), self.rules
-        if n < 2:
-            return symbols, [1] * n
         symbols, lengths = list(symbols), [1] * n
-        if n <= 24:
-            while len(symbols) > 1:
-                best, at = None, -1
-                for i in range(len(symbols) - 1):
-                    r = rules.get((symbols[i], symbols[i + 1]))
-                    if r is not None and (best is None or r[0] < best[0]):
-                        best, at = r, i
-                if best is None:
-                    break
-                symbols[at : at + 2] = [best[1]]
-                lengths[at : at + 2] = [lengths[at] + lengths[at + 1]]
-            return symbols, lengths
         after, before, alive = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
         heap = [(r[0], i, symbols[i], symbols[i + 1], r[1]) for i in range(n - 1) if (r := rules.get((symbols[i], symbols[i + 1])))]
         heapq.heapify(heap)
@@ -103,26 +93,62 @@ class Merger:
         at = [i for i in range(n) if alive[i]]
         return [symbols[i] for i in at], [lengths[i] for i in at]
 
-    def stream(self, parts: Iterable[bytes]) -> Iterator[int]:
-        """The tokens of the word that `parts` make up, each as soon as it is stable."""
-        hold, room = b"", 4 * (self.lookahead + 1)
-        for part in parts:
-            for k in range(0, len(part), room):
-                hold += part[k : k + room]
-                if len(hold) > 2 * room:
-                    # A byte outside the vocabulary is dropped, as the library does without an unknown token.
-                    known = [b for b in hold if self.inner[b] is not None]
-                    tokens, lengths = self.merge([self.inner[b] for b in known])
-                    done = 0
-                    for token, length in zip(tokens, lengths, strict=True):
-                        if done + length > len(known) - 1 - self.lookahead:
-                            break
-                        yield token
-                        done += length
-                    hold = bytes(known[done:])
-        if hold:
-            symbols = [*(self.inner[b] for b in hold[:-1]), self.last[hold[-1]]]
-            yield from self.merge([s for s in symbols if s is not None])[0]
+    def short(self, symbols: list[int]) -> list[int]:
+        """The tokens of few symbols: merge without lengths, by a list of the pairs' ranks instead of a heap."""
+        get, none = self.codes.get, _NONE
+        codes = [get(p, none) for p in zip(symbols, symbols[1:])]
+        while codes:
+            best = min(codes)
+            if best == none:
+                break
+            at = codes.index(best)
+            new = best & _MASK
+            symbols[at : at + 2] = [new]
+            del codes[at]
+            if at:
+                codes[at - 1] = get((symbols[at - 1], new), none)
+            if at < len(codes):
+                codes[at] = get((new, symbols[at + 1]), none)
+        return symbols
+
+    def word(self, data: bytes) -> list[int]:
+        """The tokens of a whole word; one that is longer than the lookahead goes through a stream."""
+        if len(data) > _SHORT:
+            open_ = Stream(self)
+            return [*open_.feed(data), *open_.end()]
+        inner = self.inner
+        symbols = [inner[b] for b in data]
+        symbols[-1] = self.last[data[-1]]
+        return self.short(symbols if None not in symbols else [s for s in symbols if s is not None])
+
+
+class Stream:
+    """The tokens of one word that comes in parts, each as soon as it is stable; a few lookaheads of bytes are held."""
+
+    def __init__(self, merger: Merger):
+        self._merger, self._hold, self._room = merger, b"", 4 * (merger.lookahead + 1)
+
+    def feed(self, part: bytes) -> Iterator[int]:
+        m = self._merger
+        for k in range(0, len(part), self._room):
+            self._hold += part[k : k + self._room]
+            if len(self._hold) > 2 * self._room:
+                # A byte outside the vocabulary is dropped, as the library does without an unknown token.
+                known = [b for b in self._hold if m.inner[b] is not None]
+                tokens, lengths = m.merge([m.inner[b] for b in known])
+                done = 0
+                for token, length in zip(tokens, lengths, strict=True):
+                    if done + length > len(known) - 1 - m.lookahead:
+                        break
+                    yield token
+                    done += length
+                self._hold = bytes(known[done:])
+
+    def end(self) -> list[int]:
+        m, hold = self._merger, self._hold
+        self._hold = b""
+        symbols = [*(m.inner[b] for b in hold[:-1]), *(m.last[b] for b in hold[-1:])]
+        return m.merge([s for s in symbols if s is not None])[0]
 
 
 class Decoder:
@@ -149,6 +175,9 @@ class Bpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        if model["type"] != "BPE" or steps != ["NFC", "Replace", "Lowercase"] or spec.get("decoder") is not None:
+            raise ValueError("only word BPE files with NFC, one space and lower case, and without a decoder, are known here")
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.suffix = model["end_of_word_suffix"] or ""
         self.names = {i: t for t, i in model["vocab"].items()}
@@ -158,8 +187,12 @@ class Bpe:
         (split,) = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self._words = regex.compile(split)
         self._marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        letter, mark = r"[\p{L}--[\u1160-\u11ff]]{4}", r"[!-&(-/:-@\[-`{-~]{4}"
+        self._cuts = regex.compile(rf"(?<={letter})(?={letter})|(?<={mark})(?={mark})|(?<=[0-9])(?=[0-9])", regex.V1)
         self._bytes = {x: b for b, x in enumerate(byte_letters())}
+        # Two generations of at most _CACHE chunks: what is in use moves to the young one, the old one goes as a whole.
         self._cache: dict[str, tuple[str, int, str]] = {}
+        self._old: dict[str, tuple[str, int, str]] = {}
 
     def _normal(self, text: str) -> str:
         import unicodedata
@@ -171,34 +204,68 @@ class Bpe:
                 text = text.replace(c, " ")
         return text.lower()
 
-    def _windows(self, text: str) -> Iterator[str]:
-        """The text in parts of about _WINDOW letters, cut at spaces where there are any: no word and no composed letter crosses an ASCII space."""
+    def _windows(self, text: str) -> Iterator[tuple[str, bool]]:
+        """The text in parts of about _WINDOW letters, and whether a word goes on behind the part.
+
+        Cut at a space where one comes soon: no word and no composed letter crosses it. An unbroken text is cut between two digits, or
+        within a run of letters or marks that normalisation leaves single and apart.
+        """
         at = 0
         while at < len(text):
-            end = at + _WINDOW
+            end, goes_on = at + _WINDOW, False
             if end < len(text):
-                cuts = [p for c in " \n\t" if (p := text.find(c, end)) >= 0]
-                end = min(cuts) if cuts else len(text)
-            yield text[at:end]
+                cuts = [p for c in " \n\t" if (p := text.find(c, end, end + _WINDOW)) >= 0]
+                if cuts:
+                    end = min(cuts)
+                else:
+                    found = (m.start() for m in self._cuts.finditer(text, end))
+                    end = next((p for p in found if not text[p].isalpha() or all(len(x := self._normal(c)) == 1 and x.isalpha() for c in text[p - 1 : p + 1])), len(text))
+                    goes_on = end < len(text) and not text[end].isdigit()
+            yield text[at:end], goes_on
             at = end
 
     def _chunk(self, chunk: str) -> tuple[str, int, str]:
-        """(ids, their number, decoded) of what stands between two spaces."""
-        ids = [i for w in self._words.findall(chunk) for i in self.merger.stream([w.encode("utf-8", "surrogatepass")])]
-        got = (" ".join(map(str, ids)), len(ids), self.raw(ids))
+        """(ids, their number, decoded) of what stands between two spaces, unless the young cache has it."""
+        got = self._old.get(chunk)
+        if got is None:
+            ids = [i for w in self._words.findall(chunk) for i in self.merger.word(w.encode("utf-8", "surrogatepass"))]
+            got = (" ".join(map(str, ids)), len(ids), self.raw(ids))
         if len(chunk) <= 64:
             if len(self._cache) >= _CACHE:
-                self._cache.clear()
+                self._old, self._cache = self._cache, {}
             self._cache[chunk] = got
         return got
 
+    def _unbroken(self, window: str, goes_on: bool, open_: Stream | None) -> tuple[list[int], Stream | None]:
+        """The stable tokens of a part whose first word may go on from the part before, and the word that is open at its end."""
+        words = [w.encode("utf-8", "surrogatepass") for c in self._normal(window).split(" ") for w in self._words.findall(c)]
+        ids = []
+        if open_:
+            ids += open_.feed(words.pop(0))
+            if words or not goes_on:
+                ids += open_.end()
+                open_ = None
+        last = words.pop() if goes_on and words else None
+        for w in words:
+            ids += self.merger.word(w)
+        if last is not None:
+            open_ = Stream(self.merger)
+            ids += open_.feed(last)
+        return ids, open_
+
     def pieces(self, text: str | None) -> Iterator[tuple[str, int, str]]:
         """The document in parts: (ids joined by spaces, their number, what they decode to joined by spaces)."""
         text = text or ""
         at = 0
         for m in [*(self._marks.finditer(text) if self._marks and any(s in text for s in self.special) else ()), None]:
             part = text[at : m.start() if m else len(text)]
-            for window in self._windows(part):
+            open_ = None
+            for window, goes_on in self._windows(part):
+                if goes_on or open_:
+                    ids, open_ = self._unbroken(window, goes_on, open_)
+                    if ids:
+                        yield " ".join(map(str, ids)), len(ids), self.raw(ids)
+                    continue
                 cache = self._cache
                 got = [cache.get(c) or self._chunk(c) for c in self._normal(window).split(" ") if c]
                 got = [g for g in got if g[1]]
@@ -256,7 +323,7 @@ def bpe_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     """One row per row of `docs`: doc_id, n_tokens, ids_sha256, decoded_sha256. `path` is a tokenizer file that every executor has.
 
     Null and empty texts have no tokens and the digests of nothing. Texts of any length go through in
-    windows. Rows are independent, so repeated rows and null ids need no care; other columns play no part.
+    windows, unbroken ones too. Rows are independent, so repeated rows and null ids need no care; other columns play no part.
     """
 
     def run(batches):

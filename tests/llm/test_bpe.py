@@ -39,6 +39,19 @@ def test_windows_change_nothing(pair, monkeypatch):
     assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_unbroken_texts_go_in_windows(pair, monkeypatch):
+    own, library = pair
+    rng = random.Random(6)
+    monkeypatch.setattr(bpe, "_WINDOW", 60)
+    texts = ["x" * 5000, "=" * 4000, "7" * 3000, "漢字" * 1500, "don't" * 600, "İ" * 900, "한" * 700, "é́" * 800, "a'll" * 500 + " b " + "q" * 300]
+    texts += ["".join(rng.choice("theinganou") for _ in range(3000)), "".join(rng.choice("aбéİ漢7=!'") * rng.randint(1, 30) for _ in range(300)), "".join(rng.choice("abİσΣ") for _ in range(4000)) + "!" * 500 + " end"]
+    for t in texts:
+        windows = list(own._windows(t))
+        assert "".join(w for w, _ in windows) == t
+        assert own.encode(t) == library.encode(t, add_special_tokens=False).ids, t[:20]
+    assert max(len(w) for w, _ in own._windows("x" * 300_000)) < 200 and max(len(w) for w, _ in own._windows("漢字" * 9000)) < 200
+
+
 def test_lookahead_is_sufficient(pair):
     merger, rng = pair[0].merger, random.Random(1)
     assert 0 < merger.lookahead < 1000
@@ -47,7 +60,8 @@ def test_lookahead_is_sufficient(pair):
         cuts = sorted(rng.sample(range(20_000), 12))
         parts = [word[a:b] for a, b in zip([0, *cuts], [*cuts, 20_000], strict=True)]
         whole = merger.merge([*(merger.inner[b] for b in word[:-1]), merger.last[word[-1]]])[0]
-        assert list(merger.stream(parts)) == whole
+        stream = bpe.Stream(merger)
+        assert [t for part in parts for t in stream.feed(part)] + stream.end() == whole
     # And by brute force for small merge lists: the bound holds for every continuation.
     for _ in range(200):
         merges, known = [], ["a", "b", "c"]
@@ -59,7 +73,8 @@ def test_lookahead_is_sufficient(pair):
         vocab = {t: i for i, t in enumerate([*bpe.byte_letters(), *(x for x in known if len(x) > 1)])}
         small = bpe.Merger(vocab, merges, "")
         word = bytes(rng.choice(b"abc") for _ in range(3000))
-        assert list(small.stream([word])) == small.merge([small.inner[b] for b in word])[0]
+        stream = bpe.Stream(small)
+        assert [*stream.feed(word), *stream.end()] == small.merge([small.inner[b] for b in word])[0]
 
 
 def test_readable_round_trip(pair):
