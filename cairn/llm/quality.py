@@ -12,7 +12,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cairn.llm.shared import table
+from cairn.llm.shared import cut, table
 
 PASSAGE = 96
 _MARKS = b".,;:!?#$%&*|/\\<>@_-'\"()[]{}=+~^`"
@@ -130,13 +130,13 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = 6000, most_passages: int = 48) -> Model | None:
-    """Fits on at most `most` labelled, not held-out documents, picked by hash of the id; of longer documents on `most_passages` evenly spaced passages.
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = 6000, most_passages: int = 200_000) -> Model | None:
+    """Fits on at most `most` labelled, not held-out documents, picked by hash of the id; on whole texts, and on no more documents than have `most_passages` passages together.
 
-    Rows without label or id are left out; an id with several labels counts by their mean, half as good. None without any such document.
+    Rows without label or id are left out; an id with several labels counts by their mean, half as good. Rows that repeat an id are bags of their own. None without any such document.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
-    known = known.groupBy(F.col(doc_id).alias("id")).agg((F.avg(label) >= 0.5).cast("double").alias("y"))
+    known = known.groupBy(F.col(doc_id).cast("long").alias("id")).agg((F.avg(label) >= 0.5).cast("double").alias("y"))
     # `most` rows at most, so safe to broadcast
     chosen = known.orderBy(F.xxhash64("id", F.lit(10)), "id").limit(most)
 
@@ -144,16 +144,19 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         import pyarrow as pa
 
         for batch in batches:
-            rows = []
             for i in range(batch.num_rows):
-                x = passages(batch.column(2)[i].as_py())
-                rows.append(x[np.unique(np.linspace(0, len(x) - 1, most_passages).astype(int))] if len(x) > most_passages else x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.astype(np.float32).tobytes() for x in rows], pa.binary())], ["id", "y", "x"])
-
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
-    rows = sorted(((r.id, r.y, bytes(r.x)) for r in texts.mapInArrow(encode, "id long, y double, x binary").collect()))
-    if not rows:
+                x = passages(batch.column(2)[i].as_py()).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 1], batch.column(1)[i : i + 1], pa.array([len(x)], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["id", "y", "n", "x"])
+
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
+    bags = cut(texts.mapInArrow(encode, "id long, y double, n long, x binary"))
+    # The sample is bounded before its features come to the driver: whole documents in hash order, as far as the passages go.
+    sizes = bags.groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.xxhash64("id", F.lit(10)), "id").collect()
+    ids = [r.id for r, upto in zip(sizes, np.cumsum([r.n for r in sizes]), strict=True) if upto <= most_passages]
+    if not ids:
         return None
+    picked = docs.sparkSession.createDataFrame([(i,) for i in ids], "id long")
+    rows = sorted((r.id, r.y, bytes(r.x)) for r in bags.join(F.broadcast(picked), "id").collect())
     return Model().fit([np.frombuffer(r[2], np.float32).reshape(-1, N_FEATURES).astype(float) for r in rows], np.array([r[1] for r in rows]))
 
 

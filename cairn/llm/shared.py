@@ -14,12 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir. Only where the session names none (tests, a single machine) one is set here."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder: spark.checkpoint.dir of the session, else the context's checkpoint folder. Only a local master gets a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all machines share")
+    spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
     return "/tmp/checkpoints"
 
 
@@ -29,6 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", most: int = 1 << 20) -> DataFrame:
+    """The rows of `docs` whose id is not among the distinct `ids` (one column of longs, null matches null). Up to `most` ids are broadcast, so that
+    no text moves; more of them meet the documents by a shuffle."""
+    ids = cut(ids.toDF("gone"))
+    rows = ids.count()
+    if not rows:
+        return docs
+    return docs.join(F.broadcast(ids) if rows <= most else ids, docs[doc_id].eqNullSafe(ids["gone"]), "left_anti")
+
+
 def seeded(seed: int, *cols: Column) -> Column:
     """A pseudo-random long of 60 bits made of `cols`, the same in any engine that has MD5."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("null")) for c in cols])

@@ -25,28 +25,33 @@ _NO_ID = 2**63 - 1
 _ROW_PRICE = 60.0
 
 
-def _majorities(words: list[bytes], width: int, n_words: int) -> np.ndarray:
-    """`n_words` words of 64 bits, each bit the majority over all shingles of `width` words; the first over their XXH64 (seed 42), further
-    ones over hashes mixed from it. Shingles are hashed in blocks, so memory is bounded but for the text itself."""
+def _shingle_hashes(words: list[bytes], width: int):
+    """XXH64 (seed 42) of all shingles of `width` words, in blocks; a shorter text is one shingle."""
     from xxhash import xxh64_intdigest
 
     if not words:
-        return np.zeros(n_words, np.uint64)
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     width = min(width, len(words))
     starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
-    ones = np.zeros((n_words, 64), np.int64)
     for at in range(0, len(starts), _BLOCK):
         s, e = starts[at : at + _BLOCK].tolist(), ends[at : at + _BLOCK].tolist()
-        h = np.fromiter((xxh64_intdigest(joined[i:j], 42) for i, j in zip(s, e, strict=True)), np.uint64, len(s))
+        yield np.fromiter((xxh64_intdigest(joined[i:j], 42) for i, j in zip(s, e, strict=True)), np.uint64, len(s))
+
+
+def _majorities(blocks, n_words: int) -> np.ndarray:
+    """`n_words` words of 64 bits, each bit the majority over all hashes; the first over the hashes themselves, further ones over hashes mixed from them."""
+    ones, n = np.zeros((n_words, 64), np.int64), 0
+    for h in blocks:
+        n += len(h)
         for k in range(n_words):
             if k:
                 h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
             ones[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(starts), axis=1, bitorder="little").view("<u8").ravel()
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").ravel()
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -55,7 +60,7 @@ def _words(text: str | None) -> list[bytes]:
 
 def fingerprint(text: str | None, width: int = 3) -> int:
     """64 bits, each the majority of that bit over the XXH64 (seed 42) of all shingles of `width` words; zero without words."""
-    return int(_majorities(_words(text), width, 1)[0])
+    return int(_majorities(_shingle_hashes(_words(text), width), 1)[0])
 
 
 def similar_bits(similarity: float, bits: int, deviations: float = 2.0) -> int:
@@ -250,18 +255,8 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def _shingles(text: str | None, width: int) -> np.ndarray:
-    """The sorted distinct XXH64 (seed 42) of all shingles of `width` words; a shorter text is one shingle, a wordless one none."""
-    from xxhash import xxh64_intdigest
-
-    words = _words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    width = min(width, len(words))
-    starts, ends = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
-    return np.unique(np.fromiter((xxh64_intdigest(joined[i:j], 42) for i, j in zip(starts, ends, strict=True)), np.uint64, len(starts)))
+    """The sorted distinct hashes of all shingles of `width` words; a wordless text has none."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingle_hashes(_words(text), width)]))
 
 
 def _prefix(own: np.ndarray, similarity: float, listed: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -324,16 +319,59 @@ def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, width: int,
     return cut(both.where(shared >= F.lit(similarity) * (F.size("src_set") + F.size("dst_set") - shared) - 1e-9).select("src", "dst"))
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, words: int = 4, sample: int = 8192, listed: int = 65536, ahead: int = 2) -> DataFrame:
+def _buckets(batches):
+    """From rows (key, size, node) in that order: (key, node, p1, p2) of all nodes that share a key with another, and the nodes just before
+    them in the bucket. Only the last rows of a batch are held; a partition's first and last row always leave, as their bucket may go on elsewhere."""
+    import pyarrow as pa
+
+    def out(key, size, node, done, end, last):
+        pad = lambda x, k: np.concatenate([np.zeros(k, x.dtype), x[:-k]]) if len(x) > k else np.zeros(len(x), x.dtype)
+        n = len(key)
+        same = np.zeros(n + 1, bool)
+        same[1:n] = key[1:] == key[:-1]
+        keep = same[:n] | same[1:]
+        if done == 0:
+            keep[0] = True
+        if last:
+            keep[n - 1] = True
+        keep[:done], keep[end:] = False, False
+        at = np.flatnonzero(keep)
+        before = [pa.array(pad(node, k)[at], mask=~((np.arange(n) >= k) & (pad(key, k) == key))[at]) for k in (1, 2)]
+        return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(node[at]), *before], ["key", "node", "p1", "p2"])
+
+    held, done = None, 0
+    for batch in batches:
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        if not len(rows[0]):
+            continue
+        new = np.ones(len(rows[0]), bool)  # equal sets of several texts give equal rows
+        new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[2][1:] != rows[2][:-1])
+        rows = [x[new] for x in rows]
+        n = len(rows[0])
+        if n - 1 > done:
+            yield out(*rows, done, n - 1, False)
+        held, done = [x[-3:] for x in rows], min(2, n - 1) if n > 1 else 0
+    if held is not None:
+        yield out(*held, done, len(held[0]), True)
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, words: int = 4, sample: int = 8192, listed: int = 65536) -> DataFrame:
     """One row per row of `docs`: doc_id, component_id (the smallest id that links reach).
 
-    Documents link where the sets of their distinct shingles of `width` words have a Jaccard similarity of at least `similarity`; all
-    such links count (shingles are compared by 64-bit hashes). Equal sets are one node. Candidates share a shingle of their prefixes, and neither
-    sizes nor parities rule them out, which loses no pair; each is then verified on the sets. First neighbours in the buckets are
-    verified, then only candidates in different groups. Wordless and null texts are one group. Null ids and
-    repeated rows as in simhash_groups.
+    Documents link where the sets of their distinct shingles of `width` words have a Jaccard similarity of at least `similarity`. Seen as bits, one a
+    shingle, two such sets differ in so few bits that among the prefixes (a fifth of the shingles, those that few documents hold first) one is
+    common: the pigeonhole with a threshold of zero on those parts and none on the rest. Candidates go whose sizes, parities or wide fingerprints (256
+    majority bits over the distinct shingles, six standard deviations) are too far apart; every other one is verified on the sets. So no pair
+    below the similarity links, and one above it is lost only by such a deviation (one in 10^9) or a clash of 64-bit hashes.
+
+    Neighbours in the buckets are verified first, which ties nearly all of a large group; then only candidates in different groups.
+    A bucket's main group never meets itself, so its size enters once, not squared. Equal sets are one node. Wordless and null texts are
+    one group. Null ids and repeated rows as in simhash_groups. An empty table gives an empty result; other columns play no part.
     """
-    names = [f"b{k}" for k in range(words)]
+    names, odd = [f"b{k}" for k in range(words)], [f"p{k}" for k in range(words)]
+    far = similar_bits(similarity, 64 * words, 6.0)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
     common = _common(source, width, sample, listed)
 
@@ -345,40 +383,50 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
             found = []
             for t in batch.column(1):
                 own = _shingles(t.as_py(), width)
-                found.append((xxh64_intdigest(own.tobytes(), 42), len(own), _prefix(own, similarity, *common).view(np.int64), _parities(own, words).view(np.int64)))
+                found.append((xxh64_intdigest(own.tobytes(), 42), len(own), _prefix(own, similarity, *common).view(np.int64), np.concatenate([_majorities([own], words), _parities(own, words)]).view(np.int64)))
             node = pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64))
-            bits = np.array([f[3] for f in found], np.int64).reshape(-1, words)
-            columns = [node, pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.list_(pa.int64())), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(words)]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "th", "node", "size", "prefix", *names])
+            bits = np.array([f[3] for f in found], np.int64).reshape(-1, 2 * words)
+            columns = [node, pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.list_(pa.int64())), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(2 * words)]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "th", "node", "size", "prefix", *names, *odd])
 
-    rows = cut(source.mapInArrow(run, "doc_id long, th long, node long, size int, prefix array<long>, " + ", ".join(f"{n} long" for n in names)))
-    firsts = [F.first(c).alias(c) for c in ("size", *names)]
+    rows = cut(source.mapInArrow(run, "doc_id long, th long, node long, size int, prefix array<long>, " + ", ".join(f"{n} long" for n in [*names, *odd])))
+    firsts = [F.first(c).alias(c) for c in ("size", *names, *odd)]
     nodes = cut(rows.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("least_id"), F.min("th").alias("th"), *firsts))
-    keys = rows.groupBy("node").agg(F.first("prefix").alias("prefix")).select("node", F.explode("prefix").alias("key"))
-    keys = keys.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1").select("node", "key")
-    keys = cut(keys.join(nodes.select("node", "size", *names), "node"))
+    facts = nodes.select("node", "size", *names, *odd)
 
     def near(a, b) -> Column:
-        apart = sum(F.bit_count(a(c).bitwiseXOR(b(c))) for c in names)
-        sizes = (F.least(a("size"), b("size")) >= F.lit(similarity) * F.greatest(a("size"), b("size")) - 1e-9)
-        return sizes & (apart <= F.lit((1 - similarity) / (1 + similarity)) * (a("size") + b("size")) + 1e-9)
-
-    pair = lambda a, b: F.struct(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
-    order = W.partitionBy("key").orderBy("size", "node")
-    others = [F.lead(F.struct("node", "size", *names), k).over(order) for k in range(1, ahead + 1)]
-    found = [F.when(near(F.col, lambda c, o=o: o[c]), pair(F.col("node"), o["node"])) for o in others]
-    first = keys.select(F.filter(F.array(*found), lambda x: x.isNotNull()).alias("pairs")).where(F.size("pairs") > 0)
-    first = cut(first.select(F.explode("pairs").alias("p")).select("p.src", "p.dst").distinct())
+        apart = lambda some: sum(F.bit_count(a(c).bitwiseXOR(b(c))) for c in some)
+        sizes = F.least(a("size"), b("size")) >= F.lit(similarity) * F.greatest(a("size"), b("size")) - 1e-9
+        wide = (apart(names) <= far) | (F.greatest(a("size"), b("size")) < 32)
+        return sizes & wide & (apart(odd) <= F.lit((1 - similarity) / (1 + similarity)) * (a("size") + b("size")) + 1e-9)
+
+    order = ["key", "size", "node"]
+    keys = rows.select(F.explode("prefix").alias("key"), "size", "node").repartitionByRange(*order).sortWithinPartitions(*order)
+    keys = cut(keys.mapInArrow(_buckets, "key long, node long, p1 long, p2 long"))
+    first = keys.select("node", F.explode(F.array("p1", "p2")).alias("other")).where("other is not null")
+    first = first.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct()
+    end = lambda name: facts.select(F.col("node").alias(name), F.struct("size", *names, *odd).alias(f"{name}_of"))
+    first = first.join(end("src"), "src").join(end("dst"), "dst").where(near(lambda c: F.col(f"src_of.{c}"), lambda c: F.col(f"dst_of.{c}"))).select("src", "dst")
+    first = cut(first)
     links = _verified(first, nodes, source, width, similarity)
     groups = components(links).withColumnRenamed("component", "group")
 
-    keys = keys.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    keys = cut(keys.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("group", "node").alias("group")))
     # A bucket of one group has no open pair.
-    several = W.partitionBy("key")
-    keys = cut(keys.withColumn("low", F.min("group").over(several)).withColumn("high", F.max("group").over(several)).where("low <> high").drop("low", "high"))
+    mains = keys.groupBy("key", "group").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "group"))["group"].alias("main"), F.count("*").alias("groups"))
+    keys = keys.join(mains.where("groups > 1").select("key", "main"), "key")
+    more = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", *names, *odd, "prefix")])
+    at = F.array_position("prefix", F.col("key")).cast("int") - 1
+    keys = keys.join(more, "node").select("key", "node", "group", "main", "size", *names, *odd, at.alias("at"), *[F.when(at >= k, F.get("prefix", at - k)).alias(f"prev{k}") for k in (1, 2)])
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    open_ = (a("node") < b("node")) & (a("group") != b("group")) & near(a, b)
-    rest = keys.alias("a").join(keys.alias("b"), (a("key") == b("key")) & open_).select(a("node").alias("src"), b("node").alias("dst")).distinct()
+    once = (b("group") == b("main")) | (a("node") < b("node"))
+    # A pair leaves at its first common key: not where a key shortly before is common, too, nor where too few shingles are left.
+    again = [a(f"prev{i}") == b(f"prev{j}") for i in (1, 2) for j in (1, 2)]
+    need = F.lit(similarity / (1 + similarity)) * (a("size") + b("size")) - 1e-9
+    early = (a("size") - a("at") >= need) & (b("size") - b("at") >= need) & ~F.coalesce(F.greatest(*again), F.lit(False))
+    open_ = (a("group") != b("group")) & once & early & near(a, b)
+    rest = keys.where("group <> main").alias("a").join(keys.alias("b"), (a("key") == b("key")) & open_)
+    rest = rest.select(F.least(a("node"), b("node")).alias("src"), F.greatest(a("node"), b("node")).alias("dst")).distinct()
     rest = cut(rest.join(first, ["src", "dst"], "left_anti"))
     links = links.unionByName(_verified(rest, nodes, source, width, similarity))
     found = nodes.join(components(links), "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
