@@ -30,6 +30,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def parts_of(rows: int, each: int = 1 << 16) -> int:
+    """Partitions in proportion to `rows`, so that small steps of an iteration do not write a file for each of many empty partitions."""
+    return max(1, -(-rows // each))
+
+
+def cut_small(df: DataFrame) -> DataFrame:
+    """cut, and then read in partitions in proportion to the rows."""
+    df = cut(df)
+    return df.coalesce(parts_of(df.count()))
+
+
 def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", most: int = 1 << 20) -> DataFrame:
     """The rows of `docs` whose id is not among the distinct `ids` (one column of longs, null matches null). Up to `most` ids are broadcast, so that
     no text moves; more of them meet the documents by a shuffle."""
@@ -55,19 +66,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     in about log(n) rounds, with no node's neighbour list ever in one place (aggregates combine before
     the shuffle, hot nodes are split by the skew join).
     """
-    now = cut(edges.where("src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    now = cut_small(edges.where("src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     before = None
     for _ in range(rounds):
         mark = tuple(now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
         if mark == before or mark[0] == 0:
             break
-        before = mark
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        before, parts = mark, parts_of(mark[0])
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").coalesce(parts)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        now = cut(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u != v").distinct())
+        now = cut(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u != v").coalesce(parts).distinct().coalesce(parts))
     else:
         raise RuntimeError(f"components have not settled in {rounds} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

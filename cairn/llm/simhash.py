@@ -18,7 +18,7 @@ from math import comb
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from cairn.llm.shared import components, cut, table
+from cairn.llm.shared import components, cut, cut_small, table
 
 _BLOCK = 1 << 16
 _NO_ID = 2**63 - 1
@@ -295,7 +295,7 @@ def _common(source: DataFrame, width: int, sample: int, most: int) -> tuple[np.n
 def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, width: int, similarity: float, bits: int = 1 << 23) -> DataFrame:
     """The pairs (src, dst) whose shingle sets have this Jaccard similarity. Only texts of nodes in pairs are hashed again."""
     ends = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct()
-    need = cut(nodes.join(ends, "node", "left_semi").select("node", "th"))
+    need = cut_small(nodes.join(ends, "node", "left_semi").select("node", "th"))
     # A bitmap of bounded size passes over nearly all other texts; the join decides.
     marks = np.zeros(bits // 32, np.uint32)
     for r in need.groupBy(F.expr(f"pmod(th, {bits}) div 32").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(th, 32) as int)))").alias("mark")).collect():
@@ -316,7 +316,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, width: int,
     side = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set"))
     both = pairs.join(side("src"), "src").join(side("dst"), "dst")
     shared = F.size(F.array_intersect("src_set", "dst_set"))
-    return cut(both.where(shared >= F.lit(similarity) * (F.size("src_set") + F.size("dst_set") - shared) - 1e-9).select("src", "dst"))
+    return cut_small(both.where(shared >= F.lit(similarity) * (F.size("src_set") + F.size("dst_set") - shared) - 1e-9).select("src", "dst"))
 
 
 def _buckets(batches):
@@ -391,7 +391,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
 
     rows = cut(source.mapInArrow(run, "doc_id long, th long, node long, size int, prefix array<long>, " + ", ".join(f"{n} long" for n in [*names, *odd])))
     firsts = [F.first(c).alias(c) for c in ("size", *names, *odd)]
-    nodes = cut(rows.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("least_id"), F.min("th").alias("th"), *firsts))
+    nodes = cut_small(rows.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("least_id"), F.min("th").alias("th"), *firsts))
     facts = nodes.select("node", "size", *names, *odd)
 
     def near(a, b) -> Column:
@@ -402,16 +402,16 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
 
     order = ["key", "size", "node"]
     keys = rows.select(F.explode("prefix").alias("key"), "size", "node").repartitionByRange(*order).sortWithinPartitions(*order)
-    keys = cut(keys.mapInArrow(_buckets, "key long, node long, p1 long, p2 long"))
+    keys = cut_small(keys.mapInArrow(_buckets, "key long, node long, p1 long, p2 long"))
     first = keys.select("node", F.explode(F.array("p1", "p2")).alias("other")).where("other is not null")
     first = first.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct()
     end = lambda name: facts.select(F.col("node").alias(name), F.struct("size", *names, *odd).alias(f"{name}_of"))
     first = first.join(end("src"), "src").join(end("dst"), "dst").where(near(lambda c: F.col(f"src_of.{c}"), lambda c: F.col(f"dst_of.{c}"))).select("src", "dst")
-    first = cut(first)
+    first = cut_small(first)
     links = _verified(first, nodes, source, width, similarity)
     groups = components(links).withColumnRenamed("component", "group")
 
-    keys = cut(keys.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("group", "node").alias("group")))
+    keys = cut_small(keys.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("group", "node").alias("group")))
     # A bucket of one group has no open pair.
     mains = keys.groupBy("key", "group").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "group"))["group"].alias("main"), F.count("*").alias("groups"))
     keys = keys.join(mains.where("groups > 1").select("key", "main"), "key")
@@ -427,7 +427,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     open_ = (a("group") != b("group")) & once & early & near(a, b)
     rest = keys.where("group <> main").alias("a").join(keys.alias("b"), (a("key") == b("key")) & open_)
     rest = rest.select(F.least(a("node"), b("node")).alias("src"), F.greatest(a("node"), b("node")).alias("dst")).distinct()
-    rest = cut(rest.join(first, ["src", "dst"], "left_anti"))
+    rest = cut_small(rest.join(first, ["src", "dst"], "left_anti"))
     links = links.unionByName(_verified(rest, nodes, source, width, similarity))
     found = nodes.join(components(links), "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
     least = found.groupBy("component").agg(F.min("least_id").alias("least_id"))
