@@ -76,14 +76,17 @@ def tokens(chars: Column) -> Column:
 
 
 def shape(text: Column) -> Column:
-    """Text with comments gone and every string, number and name as one placeholder; null if too short to compare."""
-    s = F.regexp_replace(text, r"(?s)/\*.*?\*/", "")
+    """Hash of the text with comments gone and every string, number and name as one placeholder; null if too short to compare.
+
+    Explode it (one element) where a filter or group uses it: an explode keeps the optimizer from working it out once for each use.
+    """
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    s = F.regexp_replace(F.when(lines >= 3, text), r"(?s)/\*.*?\*/", "")
     s = F.regexp_replace(s, r"//[^\n]*", "")
     s = F.regexp_replace(s, r'"[^"\n]*"', "_")
     s = F.regexp_replace(s, r"[\p{N}][\p{N}_.]*[a-zA-Z]*|[\p{L}_][\p{L}\p{N}_]*", "_")
     s = F.trim(F.regexp_replace(s, r"[ \t\n\r]+", " "))
-    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    return F.when((lines >= 3) & (F.octet_length(s) >= 10), F.md5(s))
+    return F.get(F.transform(F.array(s), lambda x: F.when(F.octet_length(x) >= 10, F.md5(x))), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -26,22 +26,26 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping:
     edges = clean_edges(edges, nodes)
     out = edges.groupBy("src").agg(F.count("*").alias("degree"))
     edges = settle(edges.join(out, "src"))
+    ranks = nodes.join(out.withColumnRenamed("src", "id"), "id", "left").withColumn("dangles", F.col("degree").isNull()).drop("degree")
     even = F.lit(1.0 / n)
     if prior is not None and (prior.agg(F.sum("rank")).first()[0] or 0) > 0.5:
-        ranks = nodes.join(prior, "id", "left").select("id", F.when(F.col("rank") > 0, F.col("rank")).otherwise(even).alias("rank"))
+        ranks = ranks.join(prior, "id", "left").select("id", "dangles", F.when(F.col("rank") > 0, F.col("rank")).otherwise(even).alias("rank"))
     else:
-        ranks = nodes.withColumn("rank", even)
+        ranks = ranks.withColumn("rank", even)
+    ranks = settle(ranks)
+    loose = F.coalesce(F.sum(F.when(F.col("dangles"), F.col("rank"))), F.lit(0.0))
+    dangling = ranks.agg(loose).first()[0]
     for _ in range(iterations):
-        given = edges.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
-        dangling = ranks.join(out.withColumnRenamed("src", "id"), "id", "left_anti").agg(F.sum("rank")).first()[0] or 0.0
+        given = edges.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
         base = (1 - damping) / n + damping * dangling / n
-        new = ranks.join(given, "id", "left").select("id", F.col("rank").alias("old"), (F.lit(base) + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
+        new = ranks.join(given, "id", "left").select("id", "dangles", F.col("rank").alias("old"), (F.lit(base) + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
         new = settle(new)
-        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        ranks = new.select("id", "rank")
+        # One look at the new ranks gives both what moved and what the next step shares out.
+        moved, dangling = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), loose).first()
+        ranks = new.select("id", "dangles", "rank")
         if moved < epsilon:
             break
-    return ranks
+    return ranks.select("id", "rank")
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -122,29 +126,36 @@ def modularity(edges: DataFrame, clusters: DataFrame, gamma: float = 1.0) -> Dat
     return inner.agg(F.coalesce(F.sum((F.col("w") - gamma * F.col("ka") * F.col("kb") / F.col("two_m")) / F.col("two_m")), F.lit(0.0)).alias("modularity"))
 
 
-def _louvain(nodes: list[int], adjacent: dict[int, dict[int, float]], gamma: float, passes: int, epsilon: float) -> dict[int, int]:
-    """Single-level local moving in node order; ties go to the smallest community. Split communities come apart; ids run from 1 in node order."""
+def _louvain(nodes: list[int], adjacent: dict[int, dict[int, float]], two_m: float, gamma: float, passes: int) -> tuple[dict[int, int], list[float]]:
+    """Single-level local moving in node order, by the whole graph's weight `two_m`: a node moves to the neighbouring community of the greatest gain,
+    if that is positive and more than staying gives; ties go to the smallest community. Split communities come apart; ids run from 1 in node order.
+    Also the modularity that each pass gained."""
     degree = {v: sum(adjacent[v].values()) for v in nodes}
-    two_m = sum(degree.values())
     of = {v: k for k, v in enumerate(nodes)}
     weight = {k: degree[v] for k, v in enumerate(nodes)}
+    gained: list[float] = []
     for _ in range(passes if two_m else 0):
-        moved, gained = False, 0.0
+        moved, sum_ = False, 0.0
         for v in nodes:
             near: dict[int, float] = {}
             for u, w in adjacent[v].items():
                 near[of[u]] = near.get(of[u], 0.0) + w
             own = of[v]
             weight[own] -= degree[v]
-            gain = {c: near.get(c, 0.0) - gamma * degree[v] * weight[c] / two_m for c in {own, *near}}
-            best = min(gain, key=lambda c: (-gain[c], c))
-            if gain[best] <= gain[own] + 1e-12:
+            stay = near.get(own, 0.0) - gamma * degree[v] * weight[own] / two_m
+            best, most = own, 0.0
+            for c in sorted(near):
+                gain = near[c] - gamma * degree[v] * weight[c] / two_m
+                if c != own and gain > most:
+                    best, most = c, gain
+            if most <= stay:
                 best = own
             weight[best] += degree[v]
             if best != own:
-                of[v], moved, gained = best, True, gained + 2 * (gain[best] - gain[own]) / two_m
-        if not moved or gained < epsilon:
+                of[v], moved, sum_ = best, True, sum_ + 2 * (most - stay) / two_m
+        if not moved:
             break
+        gained.append(sum_)
     out: dict[int, int] = {}
     for v in nodes:
         if v not in out:
@@ -155,7 +166,7 @@ def _louvain(nodes: list[int], adjacent: dict[int, dict[int, float]], gamma: flo
                     if u not in out and of[u] == of[v]:
                         out[u] = number
                         todo.append(u)
-    return out
+    return out, gained
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -174,23 +185,33 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def communities(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0, passes: int = 50, epsilon: float = 1e-6, least: int = 3) -> DataFrame:
-    """(id, cluster): Louvain moves inside each connected component, which they never leave; clusters below `least` nodes are 0, the others
-    are numbered from 1 by their least node."""
+    """(id, cluster): local moving over the whole graph until a pass gains less than `epsilon` of modularity; clusters below `least` nodes are 0, the others
+    are numbered from 1 by their least node. Moves never leave a connected component, so components are worked on side by side; the order of moves
+    inside one is part of the result, so a component is one task."""
     component = connected(nodes, edges)
-    w = undirected(edges)
-    rows = component.join(w.withColumnRenamed("a", "id"), "id", "left")
-
-    def move(pdf):
-        import pandas as pd
-
-        own = sorted({*pdf["id"].tolist(), *(int(x) for x in pdf["b"].dropna())})
-        adjacent: dict[int, dict[int, float]] = {v: {} for v in own}
-        for a, b, x in pdf[["id", "b", "w"]].dropna().itertuples(index=False):
-            adjacent[int(a)][int(b)] = adjacent[int(b)][int(a)] = x
-        got = _louvain(own, adjacent, gamma, passes, epsilon)
-        return pd.DataFrame({"component": pdf["component"].iloc[0], "id": own, "part": [got[v] for v in own]})
-
-    parts = settle(rows.groupBy("component").applyInPandas(move, "component long, id long, part int"))
+    w = settle(undirected(edges))
+    two_m = 2 * (w.agg(F.sum("w")).first()[0] or 0.0)
+    rows = settle(component.join(w.withColumnRenamed("a", "id"), "id", "left"))
+
+    def moves(most: int):
+        def move(pdf):
+            import pandas as pd
+
+            own = sorted({*pdf["id"].tolist(), *(int(x) for x in pdf["b"].dropna())})
+            adjacent: dict[int, dict[int, float]] = {v: {} for v in own}
+            for a, b, x in pdf[["id", "b", "w"]].dropna().itertuples(index=False):
+                adjacent[int(a)][int(b)] = adjacent[int(b)][int(a)] = x
+            got, gained = _louvain(own, adjacent, two_m, gamma, most)
+            return pd.DataFrame({"component": pdf["component"].iloc[0], "id": own, "part": [got[v] for v in own], "gained": [gained if v == own[0] else None for v in own]})
+
+        return settle(rows.groupBy("component").applyInPandas(move, "component long, id long, part int, gained array<double>"))
+
+    parts = moves(passes)
+    # A component does not see that all together gain too little to go on; then the passes up to there count.
+    steps = parts.select(F.posexplode("gained").alias("step", "gain")).groupBy("step").agg(F.sum("gain").alias("gain")).where(F.col("gain") < epsilon)
+    last = steps.agg(F.min("step")).first()[0]
+    if last is not None and parts.where(F.size("gained") > last + 1).limit(1).count():
+        parts = moves(last + 1)
     groups = parts.groupBy("component", "part").agg(F.count("*").alias("size"), F.min("id").alias("first"))
     big = groups.where(F.col("size") >= least).withColumn("cluster", F.row_number().over(W.orderBy("first")).cast("long"))
     return parts.join(big.select("component", "part", "cluster"), ["component", "part"], "left").select("id", F.coalesce("cluster", F.lit(0).cast("long")).alias("cluster"))

@@ -10,17 +10,27 @@ def resolve_references(names: DataFrame, symbols: DataFrame, edges: DataFrame) -
 
     1 same owner in the same file, 2 same file, 3 imported file, 4 the only symbol of that name. The first tier with exactly one candidate wins;
     a tier with several makes the name ambiguous there and the next is tried. Calls only mean callables, types only types.
+
+    Symbols are folded to a count and one id by what each tier compares, so a reference meets one row a tier, however many symbols share its name.
     """
-    target = symbols.select(F.col("id").alias("to_symbol_id"), F.col("file_id").alias("to_file"), "name", F.col("kind").alias("to_kind"), F.col("owner_type").alias("to_owner"))
-    fits = F.when(F.col("kind") == "call", F.col("to_kind").isin("function", "method", "class", "struct")).when(F.col("kind") == "type", ~F.col("to_kind").isin("function", "method", "variable")).otherwise(True)
-    rows = names.join(target, "name").where(fits)
-    imported = edges.select(F.col("from_file").alias("file_id"), "to_file", F.lit(True).alias("imported")).distinct()
-    rows = rows.join(imported, ["file_id", "to_file"], "left")
-    same = F.col("file_id") == F.col("to_file")
-    tiers = F.filter(F.array(F.when(same & (F.col("owner") == F.col("to_owner")), 1), F.when(same, 2), F.when(F.col("imported"), 3), F.lit(4)), lambda t: t.isNotNull())
-    rows = rows.withColumn("tier", F.explode(tiers))
-    only = rows.groupBy("ref_id", "tier").agg(F.count("*").alias("n"), F.min("to_symbol_id").alias("to_symbol_id")).where("n = 1")
-    return only.groupBy("ref_id").agg(F.min_by("to_symbol_id", "tier").alias("to_symbol_id"), F.min("tier").alias("tier"))
+    callable_, data = F.col("kind").isin("function", "method", "class", "struct"), ~F.col("kind").isin("function", "method", "variable")
+    sorts = F.filter(F.array(F.when(callable_, "call"), F.when(data, "type"), F.lit("any")), lambda x: x.isNotNull())
+    target = symbols.select("id", F.col("file_id").alias("to_file"), "name", F.col("owner_type").alias("owner"), F.explode(sorts).alias("sort"))
+    folded = [F.count("*").alias("n"), F.min("id").alias("id")]
+    by_owner = target.where("owner is not null").groupBy("name", "sort", "to_file", "owner").agg(*folded)
+    by_file = target.groupBy("name", "sort", "to_file").agg(*folded)
+    by_name = by_file.groupBy("name", "sort").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
+    uses = names.withColumn("sort", F.when(F.col("kind").isin("call", "type"), F.col("kind")).otherwise("any"))
+    wanted = uses.select("file_id", "name", "sort").distinct()
+    imported = wanted.join(edges.select(F.col("from_file").alias("file_id"), "to_file").distinct(), "file_id").join(by_file, ["to_file", "name", "sort"])
+    imported = imported.groupBy("file_id", "name", "sort").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
+    tiers = [
+        (by_owner.withColumnRenamed("to_file", "file_id"), ["name", "sort", "file_id", "owner"]), (by_file.withColumnRenamed("to_file", "file_id"), ["name", "sort", "file_id"]),
+        (imported, ["name", "sort", "file_id"]), (by_name, ["name", "sort"]),
+    ]
+    for k, (fold, keys) in enumerate(tiers, 1):
+        uses = uses.join(fold.where("n = 1").select(*keys, F.struct(F.col("id").alias("to_symbol_id"), F.lit(k).alias("tier")).alias(f"t{k}")), keys, "left")
+    return uses.withColumn("hit", F.coalesce("t1", "t2", "t3", "t4")).where("hit is not null").select("ref_id", "hit.to_symbol_id", "hit.tier")
 
 
 def snapshot_references(refs: DataFrame, symbols: DataFrame, files: DataFrame, changed: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ BUILTIN = [
     ("SEC012", "debug-leak", "low", "info-leak", r"(dbg!\(|console\.log\(|print!\()", None),
     ("SEC013", "todo-security", "medium", "review", r"(?i)(TODO|FIXME|HACK|XXX).*(security|auth|vuln|inject)", None),
 ]
-#: Built-in patterns that pass over benign matches by looking around: values read from the environment, fixed commands that are no shells, local and
+#: Fixed values (names of environment readers, shells, hosts): built-in patterns that pass over benign matches by looking around: values read from the environment, fixed commands that are no shells, local and
 #: schema addresses.
 NARROWED = {
     "SEC001": r'(?i)(password|passwd|secret|api_key|token)\s*=\s*"(?!\s*\$)(?![^"]*(process\.env|os\.environ|System\.getenv|env::var|ENV\[|getenv\())[^"]{4,}"',
@@ -41,6 +41,10 @@ def active_rules(custom: list[tuple] = (), disable: list[str] = ()) -> list[tupl
     return [r for r in [*[r for r in BUILTIN if r[0] not in own], *custom] if r[0] not in set(disable)]
 
 
+def _found(facts: list):
+    return lambda at: F.when(at > 0, F.struct(*facts, (at - 1).alias("at")))
+
+
 def scan(bodies: DataFrame, rules: list[tuple], min_severity: str = "low", narrowed: bool = True) -> DataFrame:
     """(id, rule, severity, category, line, snippet, risk) of the first match of each rule in each body; with `narrowed`, of the first that is not benign.
 
@@ -52,13 +56,14 @@ def scan(bodies: DataFrame, rules: list[tuple], min_severity: str = "low", narro
             continue
         if narrowed and pattern in {r[4] for r in BUILTIN}:
             pattern = NARROWED.get(rule, pattern)
-        where = F.length(F.regexp_extract("text", f"(?s)^(.*?)(?-s:{pattern})", 1))
-        fits = F.col("text").rlike(pattern)
+        fits = F.lit(True)
         if languages:
             fits = fits & F.col("language").isin(languages)
         if rule in EXPORTED_ONLY:
             fits = fits & F.col("is_exported")
-        hits.append(F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(SEVERITY[severity]).alias("weight"), where.alias("at"))))
+        at = F.when(fits, F.regexp_instr("text", F.lit(f"(?-s:{pattern})")))
+        facts = [F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(SEVERITY[severity]).alias("weight")]
+        hits.append(F.get(F.transform(F.array(at), _found(facts)), F.lit(0)))
     rows = bodies.withColumn("hit", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())))
     head = F.expr("substring(text, 1, hit.at)")
     line = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1

@@ -30,7 +30,7 @@ def symbol_hotspots(files: DataFrame, symbols: DataFrame) -> DataFrame:
 def hot_score(files: DataFrame, symbols: DataFrame) -> DataFrame:
     rows = files.join(file_complexity(symbols), files.id == F.col("file_id"), "left")
     raw = F.col("pagerank") * (1 + F.log1p(F.coalesce("max_cc", F.lit(0)))) * (1 + F.log1p("change_count"))
-    return rows.withColumn("raw", raw).withColumn("hot_score", min_max(F.col("raw")))
+    return min_max(rows.withColumn("raw", raw), "raw", "hot_score")
 
 
 def god_functions(symbols: DataFrame, min_cc: int = 15, min_lines: int = 50) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cairn.functions import scalar as X
+from cairn.functions.session import settle
 from cairn.operators.tables import page
 
 
@@ -16,9 +17,13 @@ def postings(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def bm25(docs: DataFrame, terms: list[str], limit: int, text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score), best first. Only the query's terms (ASCII letters and digits) are counted; corpus size and mean length are one row."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    count = [F.regexp_count(low, F.lit(f"(?<![a-z0-9]){term}(?![a-z0-9])")).alias(f"t{k}") for k, term in enumerate(terms)]
-    rows = docs.select("id", F.regexp_count(low, F.lit("[a-z0-9]+")).alias("length"), *count)
+    # Each word with a blank of its own on either side, so that plain replacing counts words; texts are read once.
+    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "  "), F.lit(" "))
+    rows = docs.select("id", F.explode(F.array(words)).alias("w"))
+    gaps = F.length("w") - F.length(F.replace("w", F.lit("  "), F.lit(" "))) + 1 - F.col("w").startswith("   ").cast("int") - F.col("w").endswith("   ").cast("int")
+    length = F.when(F.trim("w") == "", 0).otherwise(gaps)
+    count = [((F.length("w") - F.length(F.replace("w", F.lit(f" {term} "), F.lit("")))) / (len(term) + 2)).cast("int").alias(f"t{k}") for k, term in enumerate(terms)]
+    rows = settle(rows.select("id", length.alias("length"), *count))
     stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"t{k}") > 0).cast("int")).alias(f"d{k}") for k in range(len(terms))])
     rows = rows.where(" or ".join(f"t{k} > 0" for k in range(len(terms)))).join(F.broadcast(stats))  # one row
     score = F.lit(0.0)

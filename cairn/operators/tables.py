@@ -103,11 +103,11 @@ def partners(co_changes: DataFrame, target: int, limit: int) -> DataFrame:
     return page(both.where(F.col("file") == target).select("partner", "count"), [F.desc("count"), "partner"], limit)
 
 
-def min_max(value: Column) -> Column:
-    """The value's place between the least and the greatest of all rows."""
-    every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    low, high = F.min(value).over(every), F.max(value).over(every)
-    return F.when(high > low, (value - low) / (high - low)).otherwise(0.0)
+def min_max(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """`rows` with the value's place between the least and the greatest of all rows: two numbers that every task gets."""
+    ends = rows.agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    at = F.when(F.col("_high") > F.col("_low"), (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(0.0)
+    return rows.join(F.broadcast(ends)).withColumn(name, at).drop("_low", "_high")  # one row
 
 
 def round_robin(rows: DataFrame, bucket: str, order: list, limit: int) -> DataFrame:

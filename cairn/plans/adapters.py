@@ -66,7 +66,7 @@ class Tables:
     @cached_property
     def bodies(self) -> DataFrame:
         lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
-        return self.raw("documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("file_id"), F.lit(1).cast("long").alias("line_start"), lines.alias("line_end"), X.shape(F.col("text")).alias("shape_hash"))
+        return self.raw("documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("file_id"), F.lit(1).cast("long").alias("line_start"), lines.alias("line_end"), F.explode(F.array(X.shape(F.col("text")))).alias("shape_hash"))
 
     @cached_property
     def commits(self) -> DataFrame:

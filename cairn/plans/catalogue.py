@@ -596,10 +596,10 @@ def focused_file(t):
     return own.join(F.broadcast(near)).join(F.broadcast(far))  # one row each
 
 
-@query("SELECT s.id, path, line_start FROM symbols s JOIN files f ON f.id = file_id WHERE s.is_exported AND NOT unused_excluded AND s.id NOT IN (SELECT to_symbol_id FROM refs) ORDER BY path, line_start, s.id LIMIT 30 OFFSET 60")
+@query("SELECT s.id, path, line_start FROM symbols s JOIN files f ON f.id = file_id WHERE s.is_exported AND NOT unused_excluded AND file_id NOT IN (SELECT to_file FROM edges) AND s.id NOT IN (SELECT to_symbol_id FROM refs) ORDER BY path, line_start, s.id LIMIT 30 OFFSET 4")
 def unused_page(t):
     rows = T.unused_exports(t.symbols, t.files, t.edges, t.refs)
-    return T.page(rows, ["path", "line_start", "id"], 30, 60).select("id", "path", "line_start")
+    return T.page(rows, ["path", "line_start", "id"], 30, 4).select("id", "path", "line_start")
 
 
 @query("SELECT 'edges.from_file' AS reference, count(*) AS n FROM edges WHERE from_file NOT IN (SELECT id FROM files) UNION ALL SELECT 'edges.to_file', count(*) FROM edges WHERE to_file NOT IN (SELECT id FROM files) UNION ALL SELECT 'refs.from_symbol_id', count(*) FROM refs WHERE from_symbol_id NOT IN (SELECT id FROM symbols) UNION ALL SELECT 'refs.to_symbol_id', count(*) FROM refs WHERE to_symbol_id NOT IN (SELECT id FROM symbols) UNION ALL SELECT 'symbols.file_id', count(*) FROM symbols WHERE file_id NOT IN (SELECT id FROM files)")

@@ -52,6 +52,75 @@ def test_communities_and_modularity(spark):
     assert q == pytest.approx(0.5 + 2 * 4 * 9 / 24**2, abs=0.2) and q > 0.4
 
 
+def local_moving(ids, pairs, gamma=1.0, passes=50, epsilon=1e-6):
+    """The whole graph at once, in node order: community of each node, split where it is not connected, numbered by least node from size 3 on."""
+    ids = sorted(ids)
+    w = {}
+    for a, b in pairs:
+        if a != b:
+            for x, y in ((a, b), (b, a)):
+                w.setdefault(x, {})[y] = w.setdefault(x, {}).get(y, 0) + 1
+    k = {v: sum(w.get(v, {}).values()) for v in ids}
+    two_m, of = sum(k.values()), {v: v for v in ids}
+
+    def quality():
+        return sum((x - gamma * k[a] * k[b] / two_m) / two_m for a in w for b, x in w[a].items() if of[a] == of[b]) - sum(gamma * k[a] * k[b] / two_m**2 for a in ids for b in ids if of[a] == of[b] and b not in w.get(a, {}))
+
+    before = quality() if two_m else 0
+    for _ in range(passes if two_m else 0):
+        moved = False
+        for v in ids:
+            near = {}
+            for u, x in w.get(v, {}).items():
+                near[of[u]] = near.get(of[u], 0) + x
+            gain = lambda c: near.get(c, 0) - gamma * k[v] * sum(k[u] for u in ids if u != v and of[u] == c) / two_m  # noqa: B023, E731
+            best, most = of[v], 0.0
+            for c in sorted(near):
+                if c != of[v] and gain(c) > most + 1e-12:
+                    best, most = c, gain(c)
+            if best != of[v] and most > gain(of[v]) + 1e-12:
+                of[v], moved = best, True
+        now = quality()
+        if not moved or abs(now - before) < epsilon:
+            break
+        before = now
+    out, number, left = {}, 0, list(ids)
+    while left:
+        part, todo = {left[0]}, [left[0]]
+        while todo:
+            v = todo.pop()
+            for u in w.get(v, {}):
+                if u not in part and of[u] == of[v]:
+                    part.add(u)
+                    todo.append(u)
+        number += len(part) >= 3
+        out |= {v: number if len(part) >= 3 else 0 for v in part}
+        left = [v for v in left if v not in part]
+    return out
+
+
+def test_communities_match_moves_over_the_whole_graph(spark):
+    rng = random.Random(5)
+    for _ in range(6):
+        pairs = [(base + rng.randrange(9), base + rng.randrange(9)) for base, n in ((0, 18), (20, 5), (40, 12)) for _ in range(n)]
+        ids = sorted({x for p in pairs for x in p} | {90})
+        got = {r.id: r.cluster for r in graph.communities(nodes(spark, ids), edges(spark, pairs)).collect()}
+        assert got == local_moving(ids, pairs)
+
+
+def test_pagerank_matches_a_loop(spark):
+    rng = random.Random(6)
+    for _ in range(3):
+        pairs = [(rng.randrange(12), rng.randrange(12)) for _ in range(25)]
+        ids = list(range(14))
+        out = {i: {b for a, b in pairs if a == i and b != i} for i in ids}
+        rank = {i: 1 / 14 for i in ids}
+        for _ in range(5):
+            loose = sum(rank[i] for i in ids if not out[i])
+            rank = {i: (0.15 + 0.85 * loose) / 14 + 0.85 * sum(rank[j] / len(out[j]) for j in ids if i in out[j]) for i in ids}
+        assert ranks(spark, ids, pairs, iterations=5, epsilon=0) == pytest.approx(rank)
+
+
 def test_connected_matches_union_find(spark):
     rng = random.Random(0)
     pairs = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(k, k + 1) for k in range(100, 140)]
