@@ -13,12 +13,14 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_sharding": sharding.op9_sharding,
     "op10_quality": quality.op10_quality,
+    "chat_tool_calls": chat.chat_tool_calls,
 }
 
 ORACLE = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_mixing": mixing.ORACLE,
     "op4_chat_format": chat.ORACLE,
+    "chat_tool_calls": chat.TOOL_ORACLE,
     "op5_url_filter": url_filter.ORACLE,
     "op7_vector_dedup": vector_dedup.ORACLE,
 }

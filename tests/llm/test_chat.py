@@ -34,6 +34,40 @@ def test_links_order_and_validation(spark):
     assert chat.chat_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_chains_and_cycles(spark):
+    both = lambda answers, *calls: json.dumps({"tool_call_id": answers, "tool_calls": [{"id": i, "name": "search", "arguments": {"query": "q"}} for i in calls]})
+    rows = [
+        (1, 0, "tool", result("x")), (1, 1, "assistant", both("y", "x")), (1, 5, "assistant", call(("y", "search", {"query": "q"}))), (1, 3, "user", "hi"),
+        (2, 4, "assistant", both("b", "a")), (2, 2, "assistant", both("a", "b")), (2, 1, "tool", result("a")), (2, 3, "assistant", both("s", "s")),
+        *((3, 40 - k, "assistant", both(f"k{k - 1}", f"k{k}")) for k in range(1, 40)), (3, 41, "assistant", call(("k0", "search", {"query": "q"}), ("open", "search", {"query": "q"}))),
+        (4, None, "assistant", both("late", "early")), (4, 7, "assistant", call(("late", "search", {"query": "q"}))), (4, 9, "tool", result("early")),
+    ]
+    got = chat.chat_lines(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()
+    order = lambda c: [r.turn for r in sorted((r for r in got if r.conv_id == c), key=lambda r: (r.order_turn, r.order_step, -1 if r.turn is None else r.turn))]
+    of = {(r.conv_id, r.turn): r for r in got}
+    assert order(1) == [3, 5, 1, 0] and of[1, 1].n_unanswered == 0
+    assert of[2, 4].link == of[2, 2].link == of[2, 3].link == "cycle" and of[2, 1].link == "linked"
+    assert order(2) == [2, 3, 4, 1]
+    assert order(3) == list(range(41, 0, -1))[:1] + list(range(39, 0, -1)) and of[3, 41].n_unanswered == 1 and of[3, 1].n_unanswered == 1
+    assert order(4) == [7, None, 9]
+
+
+def test_odd_json_does_not_fail(spark):
+    texts = [
+        '{"tool_calls": [{"id": "a", "name": "search", "arguments": {"query": "q", "limit": 1e999}}]}', '{"tool_calls": [{"id": "a", "name": "search", "arguments": {"query": "q", "limit": NaN}}]}',
+        '{"tool_calls": [{"id": "a", "name": "search", "arguments": "{\\"limit\\": Infinity}"}]}', '{"content": "\\ud800", "tool_call_id": "\\ud800x"}', '{"tool_calls": [{"id": 3, "name": ["a"], "arguments": []}]}',
+        '{"tool_calls": [{"id": "\\udc00", "name": "\\udc00", "arguments": {"\\ud800": "\\ud83d\\ude00"}}]}', '{"tool_calls": ' + "[" * 100_000, '{"tool_calls": [7, null, {"function": []}], "content": {"a": 1}}', "{" * 50_000,
+        '{"tool_calls": [{"arguments": ' + "9" * 5000 + "}]}", None, "",
+    ]
+    got = chat.chat_lines(spark.createDataFrame([(1, k, "assistant", t, "x") for k, t in enumerate(texts)], SCHEMA)).collect()
+    of = {r.turn: r for r in got}
+    assert len(got) == len(texts) and of[0].n_calls == of[1].n_calls == 0 and of[0].link is None
+    assert of[2].n_bad_calls == 1 and json.loads(of[3].line)["content"] == "\ufffd" and of[3].link == "orphan"
+    assert of[4].n_calls == of[4].n_bad_calls == 1 and of[5].n_bad_calls == 1 and of[7].n_calls == 3
+    for r in got:
+        json.loads(r.line)
+
+
 def test_schema_violations():
     schema = {"type": "object", "properties": {"n": {"type": "integer"}, "s": {"enum": ["a"]}, "l": {"type": "array", "items": {"type": "number"}}}, "required": ["n"], "additionalProperties": False}
     assert chat.violations({"n": 1, "s": "a", "l": [1, 2.5]}, schema) == []
