@@ -1,11 +1,11 @@
 """Operator 9, sharding: best-fit-decreasing bin packing of indivisible groups.
 
 Groups (equal texts) go largest first into the bin with the tightest remaining room, found in a
-balanced tree of bins. Packing is sequential, so what is packed must be bounded at any input size:
-groups of at least 1/`fine` of all bytes are items of their own (at most `fine` exist), all smaller
-groups first gather, whole, in `parcels` hash parcels, which are items too. The driver thus packs at
-most fine + parcels numbers whatever the corpus holds, and every row finds its shard by a broadcast
-of that bounded table.
+balanced tree of bins. Packing is sequential, so what the driver holds is bounded at any input size, though every group is
+packed as an item: of groups of at least 1/`fine` of all bytes there are `fine` at most, each with its exact size, and smaller ones
+come as classes of equal size (to eleven significant binary digits, some 30,000 classes at most) with their count. Items of one
+class follow each other in the order of sizes, so a class fills the tightest bin, then the next tightest, at one look-up a
+bin. A group's number in its class says which of these bins is its own.
 """
 
 from __future__ import annotations
@@ -63,45 +63,55 @@ class _Tree:
         return best
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int, most_bins: int | None = None) -> list[int] | None:
-    """The bin of each item, bins numbered as they open; None if more than `most_bins` are needed.
+def best_fit_decreasing(sizes: list[int], capacity: int, most_bins: int | None = None, counts: list[int] | None = None) -> list[list[tuple[int, int]]] | None:
+    """For each entry, which stands for `counts` items of its size (one each by default), [(bin, items there)]; bins are numbered as they open. None
+    if more than `most_bins` are needed.
 
     Ties in size go by position. An item above the capacity is an error: groups are indivisible.
     """
     if sizes and max(sizes) > capacity:
         raise ValueError("an item is larger than a bin")
-    tree, bins, out = _Tree(), 0, [0] * len(sizes)
+    tree, bins, out = _Tree(), 0, [[] for _ in sizes]
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        found = tree.take(sizes[i])
-        if found is None:
-            if most_bins is not None and bins >= most_bins:
-                return None
-            found, bins = (capacity, bins), bins + 1
-        out[i] = found[1]
-        tree.add(found[0] - sizes[i], found[1])
+        left = counts[i] if counts else 1
+        while left:
+            found = tree.take(sizes[i])
+            if found is None:
+                if most_bins is not None and bins >= most_bins:
+                    return None
+                found, bins = (capacity, bins), bins + 1
+            # The tightest bin stays the tightest until no further item of this size fits.
+            n = min(left, found[0] // sizes[i])
+            out[i].append((found[1], n))
+            tree.add(found[0] - n * sizes[i], found[1])
+            left -= n
     return out
 
 
-def pack_evenly(sizes: list[int], n_bins: int) -> list[int]:
+def pack_evenly(sizes: list[int], n_bins: int, counts: list[int] | None = None) -> list[list[tuple[int, int]]]:
     """Best-fit-decreasing at the least capacity (to a few parts in a million) that needs no more than
     n_bins bins. An item larger than its even share gets a bin of its own, the rest share the others."""
-    out, left, bins = [-1] * len(sizes), sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), n_bins
-    rest, alone = sum(sizes), 0
-    while bins > 1 and alone < len(left) and sizes[left[alone]] * bins >= rest:
-        out[left[alone]], rest, bins = n_bins - bins, rest - sizes[left[alone]], bins - 1
-        alone += 1
-    left = left[alone:]
+    counts = counts or [1] * len(sizes)
+    out, left, bins = [[] for _ in sizes], sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), n_bins
+    rest, open_ = sum(s * n for s, n in zip(sizes, counts, strict=True)), list(counts)
+    for i in left:
+        while bins > 1 and open_[i] and sizes[i] * bins >= rest:
+            out[i].append((n_bins - bins, 1))
+            rest, bins, open_[i] = rest - sizes[i], bins - 1, open_[i] - 1
+        if open_[i]:
+            break
+    left = [i for i in left if open_[i]]
     if left:
         least = max(-(-rest // bins), sizes[left[0]])
         slack = 0
-        while (got := best_fit_decreasing([sizes[i] for i in left], least + slack, bins)) is None:
+        while (got := best_fit_decreasing([sizes[i] for i in left], least + slack, bins, [open_[i] for i in left])) is None:
             slack = max(1, least // 1_000_000, slack + slack // 2 + 1)
-        for i, b in zip(left, got, strict=True):
-            out[i] = n_bins - bins + b
+        for i, found in zip(left, got, strict=True):
+            out[i] += [(n_bins - bins + b, n) for b, n in found]
     return out
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 16, doc_id: str = "doc_id", text: str = "text", fine: int = 65536, parcels: int = 16384) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 16, doc_id: str = "doc_id", text: str = "text", fine: int = 65536, digits: int = 11) -> DataFrame:
     """One row per row of `docs`: doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
     size is the UTF-8 length of the text plus 1; a null text counts as an empty one. Equal texts stay in one
@@ -113,20 +123,35 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, doc_id: str = "doc_id",
     t = F.coalesce(F.col(text), F.lit(""))
     rows = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.unhex(F.sha2(t, 256)).alias("digest")))
     total, n = rows.agg(F.sum("size"), F.count("*")).first()
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
     heavy = F.col("bytes").cast("decimal(38,0)") * fine >= F.lit(total or 0).cast("decimal(38,0)")
-    parcel = F.pmod(F.xxhash64("digest"), F.lit(parcels)).cast("int")
-    items = groups.groupBy(F.when(heavy, F.col("digest")).alias("digest"), F.when(~heavy, parcel).alias("parcel")).agg(F.sum("bytes").alias("bytes"))
-    items = sorted((int(r.bytes), bytes(r.digest or b""), -1 if r.parcel is None else r.parcel) for r in items.collect())  # at most fine + parcels
-    bins = pack_evenly([x[0] for x in items], n_shards)
+    cut_off = f"greatest(length(bin(bytes)) - {digits}, 0)"
+    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes")).withColumn("class", F.when(~heavy, F.expr(f"shiftleft(shiftright(bytes, {cut_off}), {cut_off})")))
+    groups = cut(groups)
+    alone = sorted((int(r.bytes), bytes(r.digest)) for r in groups.where("class is null").select("digest", "bytes").collect())  # at most `fine`
+    classes = sorted((r["class"], r.n, int(r.bytes)) for r in groups.where("class is not null").groupBy("class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect())
+    found = pack_evenly([b for b, _ in alone] + [-(-b // k) for _, k, b in classes], n_shards, [1] * len(alone) + [k for _, k, _ in classes])
     spark = docs.sparkSession
-    big = spark.createDataFrame([(d, b) for (_, d, p), b in zip(items, bins, strict=True) if p < 0], "digest binary, big_shard int")
-    small = spark.createDataFrame([(p, b) for (_, _, p), b in zip(items, bins, strict=True) if p >= 0], "parcel int, small_shard int")
-    dealt = rows.join(F.broadcast(big), "digest", "left").withColumn("parcel", parcel).join(F.broadcast(small), "parcel", "left")
-    dealt = dealt.select("doc_id", "size", "text_crc32", "digest", F.coalesce("big_shard", "small_shard").alias("shard"))
+    big = spark.createDataFrame([(d, f[0][0]) for (_, d), f in zip(alone, found, strict=False)], "digest binary, big_shard int")
+    # For each class: in how many parts its groups are numbered, and the shard of each stretch of numbers.
+    stretches = []
+    for (c, k, _), f in zip(classes, found[len(alone) :], strict=True):
+        upto, own = 0, []
+        for b, m in f:
+            upto += m
+            own.append((upto, b))
+        stretches.append((c, max(1, int(k**0.5)), own))
+    small = F.broadcast(spark.createDataFrame(stretches, "class long, parts int, stretches array<struct<upto:long,shard:int>>"))
+    placed = groups.where("class is not null").select("digest", "class").join(small, "class").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")))
+    counts = placed.groupBy("class", "part").agg(F.count("*").alias("n"))
+    counts = counts.select("class", "part", (F.sum("n").over(W.partitionBy("class").orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    place = F.row_number().over(W.partitionBy("class", "part").orderBy("digest")).cast("long")
+    placed = placed.withColumn("place", place).join(counts, ["class", "part"]).withColumn("place", F.col("place") + F.col("before"))
+    placed = placed.select("digest", F.get(F.filter("stretches", lambda x: x["upto"] >= F.col("place")), F.lit(0))["shard"].alias("shard"))
+    placed = placed.unionByName(groups.where("class is null").select("digest").join(F.broadcast(big), "digest").select("digest", F.col("big_shard").alias("shard")))
+    dealt = rows.join(placed, "digest").select("doc_id", "size", "text_crc32", "digest", "shard")
     # Slots: a shard's rows are counted in about sqrt(n) parts, numbered within a part, then shifted.
     parts = max(1, int((n / n_shards) ** 0.5))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(parts)))
+    dealt = cut(dealt.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(parts))))
     counts = dealt.groupBy("shard", "part").agg(F.count("*").alias("rows"))
     before = F.coalesce(F.sum("rows").over(W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("shard", "part", before.alias("before"))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import defaultdict
 
 from cairn.llm import exact_dedup, mixing, sharding, url_filter
@@ -126,15 +127,23 @@ def test_best_fit_decreasing_matches_a_scan(spark):
                 bins.append(100)
             bins[fit] -= sizes[i]
             want[i] = fit
-        assert sharding.best_fit_decreasing(sizes, 100) == want
+        assert [f[0][0] for f in sharding.best_fit_decreasing(sizes, 100)] == want
+        # Classes of equal size with a count are packed as their items one by one.
+        kinds = sorted(set(sizes))
+        got = sharding.best_fit_decreasing(kinds, 100, None, [sizes.count(k) for k in kinds])
+        one_by_one = defaultdict(list)
+        for s, b in zip(sizes, want, strict=True):
+            one_by_one[s].append(b)
+        assert {k: sorted(b for b, n in f for _ in range(n)) for k, f in zip(kinds, got, strict=True)} == {k: sorted(v) for k, v in one_by_one.items()}
 
 
 def test_sharding(spark):
     rng = random.Random(2)
     rows = ODD + [(100 + i, rng.choice("abcdefgh") * rng.choice([1, 5, 50, rng.randint(1, 400)]), "s") for i in range(900)]
-    for fine, parcels in ((65536, 16384), (40, 64)):
-        got = sharding.shard_documents(docs(spark, rows), fine=fine, parcels=parcels).collect()
+    for fine, digits in ((65536, 11), (40, 11), (40, 3)):
+        got = sharding.shard_documents(docs(spark, rows), fine=fine, digits=digits).collect()
         assert len(got) == len(rows)
+        assert sorted(((r.doc_id, r["size"], r.text_crc32, r.law, r.grown_shard) for r in got), key=repr) == sorted(((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "bytes", None) for i, t, _ in rows), key=repr)
         slots, size = defaultdict(list), defaultdict(int)
         for r in got:
             slots[r.shard].append(r.slot)
@@ -148,3 +157,5 @@ def test_sharding(spark):
             where[texts[r.doc_id]].add(r.shard)
         assert all(len(v) == 1 for v in where.values())
     assert sharding.shard_documents(docs(spark, [])).count() == 0
+    got = sharding.shard_documents(docs(spark, [(None, None, None)] * 3 + [(None, "", "s")])).collect()
+    assert len({r.shard for r in got}) == 1 and sorted(r.slot for r in got) == [0, 1, 2, 3] and {r["size"] for r in got} == {1}
