@@ -6,8 +6,9 @@ after the other. The order is cut into blocks at sampled places. Intervals of th
 joined recursively, an interval pair whose boxes lie further apart than eps is skipped, and inside a
 block pair the same recursion runs down to tiles that are multiplied out in double precision.
 
-About sqrt(n / 48) blocks of sqrt(48 n) vectors are formed: the driver holds one box a block and a
-task two blocks. Block pairs give link counts and a spanning forest, never all pairs.
+About sqrt(n / 48) blocks of sqrt(48 n) vectors are formed: the driver holds one box a block. Blocks travel in stretches of
+the order, eight or as many as 32 MB each make: every stretch goes once to each stretch that it may link with, so what is shipped
+grows with the number of stretches, and a task holds two of them. Stretch pairs give link counts and a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from cairn.llm.shared import components, cut, table
 
 _TILE = 256
 _LEAD = 8
+_STRETCHES = 8
+_STRETCH_BYTES = 32_000_000
 
 
 def apart(lo1, hi1, lo2, hi2) -> float:
@@ -161,28 +164,34 @@ def _join_dimension(vectors: DataFrame, n: int, cosine: float, sample: int) -> D
     blocks = vectors.mapInArrow(deal, "block int, vec_id long, unit array<double>").groupBy("block").applyInArrow(gather, "block int, ids binary, units binary, lo array<double>, hi array<double>")
     blocks = cut(blocks)
     boxes = blocks.select("block", "lo", "hi").orderBy("block").collect()
-    lo, hi = np.array([r.lo for r in boxes]), np.array([r.hi for r in boxes])
-    # Alternating orientation spreads the pairs of a block over both sides of the join.
-    pairs = [(boxes[i].block, boxes[j].block) if (i + j) % 2 == 0 else (boxes[j].block, boxes[i].block) for i, j in near_intervals(lo, hi, eps)]
-    tasks = max(1, min(len(pairs), 4 * spark.sparkContext.defaultParallelism, 2000))
-    pairs = spark.createDataFrame(spark.sparkContext.parallelize(pairs, tasks) if len(pairs) > 10**6 else pairs, "one int, two int")
-    both = pairs.join(blocks.select(F.col("block").alias("one"), F.col("ids").alias("ids1"), F.col("units").alias("units1")), "one")
-    both = both.join(blocks.select(F.col("block").alias("two"), F.col("ids").alias("ids2"), F.col("units").alias("units2")), "two")
-    both = both.select("one", "two", "ids1", "units1", "ids2", "units2").repartition(tasks)
-
-    def links(batches):
+    stretches = min(len(boxes), max(_STRETCHES, -(-n * units.shape[1] * 8 // _STRETCH_BYTES)))
+    number = np.arange(len(boxes)) * stretches // len(boxes)
+    starts = np.searchsorted(number, np.arange(stretches))
+    lo, hi = np.minimum.reduceat(np.array([r.lo for r in boxes]), starts), np.maximum.reduceat(np.array([r.hi for r in boxes]), starts)
+    pairs = [(k, end) for k, pair in enumerate(near_intervals(lo, hi, eps)) for end in {*pair}]
+    pairs = spark.createDataFrame(pairs, "pair int, stretch int")
+    of = spark.createDataFrame([(r.block, int(k)) for r, k in zip(boxes, number, strict=True)], "block int, stretch int")
+    both = blocks.join(of, "block").join(pairs, "stretch")
+
+    def links(rows):
         import pyarrow as pa
 
-        for batch in batches:
-            for k in range(batch.num_rows):
-                one, two, *blobs = (c[k].as_py() for c in batch.columns)
-                ids1, ids2 = np.frombuffer(blobs[0], np.int64), np.frombuffer(blobs[2], np.int64)
-                unit1, unit2 = np.frombuffer(blobs[1]).reshape(len(ids1), -1), np.frombuffer(blobs[3]).reshape(len(ids2), -1)
-                ids, n_links, roots = block_links(ids1, unit1, (unit1 - mean) @ axes.T, ids2, unit2, (unit2 - mean) @ axes.T, one == two, cosine, eps)
-                if len(ids):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n_links), pa.array(roots)], ["vec_id", "links", "root"])
-
-    return both.mapInArrow(links, "vec_id long, links long, root long")
+        stretch = np.array(rows.column("stretch").to_pylist())
+        order = np.lexsort([rows.column("block").to_pylist(), stretch]).tolist()
+        ids = [np.frombuffer(rows.column("ids")[k].as_py(), np.int64) for k in order]
+        unit = [np.frombuffer(rows.column("units")[k].as_py()).reshape(len(i), -1) for k, i in zip(order, ids, strict=True)]
+        lead = [(u - mean) @ axes.T for u in unit]
+        lo, hi = np.array([x.min(0) for x in lead]), np.array([x.max(0) for x in lead])
+        cut_at = int((stretch == stretch.min()).sum())
+        if cut_at == len(order):
+            near = near_intervals(lo, hi, eps)
+        else:
+            near = [(i, cut_at + j) for i, j in near_intervals(lo[:cut_at], hi[:cut_at], eps, lo[cut_at:], hi[cut_at:])]
+        found = [block_links(ids[i], unit[i], lead[i], ids[j], unit[j], lead[j], i == j, cosine, eps) for i, j in near]
+        out = [np.concatenate([np.zeros(0, np.int64), *(f[c] for f in found)]) for c in range(3)]
+        return pa.table({"vec_id": out[0], "links": out[1], "root": out[2]})
+
+    return both.groupBy("pair").applyInArrow(links, "vec_id long, links long, root long")
 
 
 def vector_groups(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = 0.9, sample: int = 4096) -> DataFrame:
