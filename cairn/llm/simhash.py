@@ -13,6 +13,7 @@ by the pigeonhole of the bits that are left, again and again, which loses no pai
 
 from __future__ import annotations
 
+from itertools import count
 from math import comb
 
 import numpy as np
@@ -162,10 +163,11 @@ def plan(nodes: DataFrame, tau: int, sample: int = 1024) -> list[tuple[int, int]
     return allot(seen, nodes.count(), tau)
 
 
-def near_links(nodes: DataFrame, tau: int = 3, parts: list[tuple[int, int]] | None = None, crowd: int = 32768, levels: int = 3) -> DataFrame:
+def near_links(nodes: DataFrame, tau: int = 3, parts: list[tuple[int, int]] | None = None, crowd: int = 32768, levels: int | None = None) -> DataFrame:
     """(src, dst) of all nodes whose fingerprints differ in at most tau bits. nodes: fp and a rep of its own, both long.
 
-    With a column `group`, links inside a group are left out.
+    With a column `group`, links inside a group are left out. Buckets of more than `crowd` nodes are split by the bits that are left, for as many levels
+    as there are such buckets (`levels` at most, for tests); where tau bits are left, a bucket has 2^tau nodes at most.
     """
     parts = plan(nodes, tau) if parts is None else parts
     near = (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= tau) & (F.col("a.rep") < F.col("b.rep"))
@@ -175,7 +177,7 @@ def near_links(nodes: DataFrame, tau: int = 3, parts: list[tuple[int, int]] | No
     out = None
     # One branch a part and level; `index` holds exact keys, `probe` the keys within the threshold.
     todo = [(nodes, nodes, F.lit(0).cast("long"), part, (1 << 64) - 1) for part in parts]
-    for depth in range(levels):
+    for depth in count():
         branches, keys = [], None
         for left, right, path, (mask, t), left_bits in todo:
             index = left.select(*columns, F.explode(_keys([(mask % 1_000_003, mask, [0])], path)).alias("key"))
@@ -185,7 +187,7 @@ def near_links(nodes: DataFrame, tau: int = 3, parts: list[tuple[int, int]] | No
             if rest.bit_count() > tau:
                 keys = index.select("key") if keys is None else keys.unionByName(index.select("key"))
         todo, full = [], None
-        if depth + 1 < levels and keys is not None:  # one count for all parts of a level
+        if keys is not None and (levels is None or depth + 1 < levels):  # one count for all parts of a level
             full = cut(keys.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > crowd).select("key"))
             full = None if full.isEmpty() else full
         for index, probe, rest in branches:
