@@ -96,6 +96,36 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_depth: int = 25) ->
     return seen
 
 
+def path_to(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int = 25, kinds: list[str] | None = None) -> DataFrame:
+    """One row, or none: the nearest target (id) that sources (id) reach: target, dist, path and alternatives, the number of other shortest paths to
+    targets at that distance. Ties go to the least target, the path takes least predecessors. `kinds` keeps edges of some kinds only.
+
+    Levels end at the first that holds a target; the path is found by one join a level, backwards.
+    """
+    if kinds is not None:
+        edges = edges.where(F.col("kind").isin(kinds))
+    edges = settle(clean_edges(edges))
+    level = settle(sources.select(F.col("id").alias("node")).distinct().select("node", F.lit(1).cast("long").alias("paths"), F.lit(None).cast("long").alias("pred")))
+    goal, levels, seen = targets.select(F.col("id").alias("node")).distinct(), [level], level.select("node")
+    hit = level.join(goal, "node", "left_semi")
+    for _ in range(min(max(max_depth, 1), 50)):
+        if not hit.isEmpty():
+            break
+        found = levels[-1].join(edges, F.col("node") == edges.src).groupBy("dst").agg(F.sum("paths").alias("paths"), F.min("node").alias("pred"))
+        level = settle(found.select(F.col("dst").alias("node"), "paths", "pred").join(seen, "node", "left_anti"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+        seen = seen.unionByName(level.select("node"))
+        hit = level.join(goal, "node", "left_semi")
+    best = hit.agg(F.min("node").alias("target"), (F.sum("paths") - 1).alias("alternatives")).where("target is not null")
+    walk = best.select("target", "alternatives", F.lit(len(levels) - 1).alias("dist"), F.col("target").alias("at"), F.array("target").alias("path"))
+    for level in reversed(levels[1:]):
+        step = level.select(F.col("node").alias("at"), "pred")
+        walk = walk.join(step, "at").select("target", "alternatives", "dist", F.col("pred").alias("at"), F.concat(F.array("pred"), "path").alias("path"))
+    return walk.select("target", "dist", "path", "alternatives")
+
+
 def neighbours(edges: DataFrame, pairs: DataFrame, target: int, least: int = 2) -> DataFrame:
     """Nodes next to the target by an edge either way or by a pair seen at least `least` times."""
     near = edges.where(F.col("src") == target).select(F.col("dst").alias("id")).union(edges.where(F.col("dst") == target).select("src"))

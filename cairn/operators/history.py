@@ -23,6 +23,24 @@ def churn(commits: DataFrame) -> DataFrame:
     return commits.select("commit_id", "file").distinct().groupBy("file").agg(F.count("*").alias("change_count"))
 
 
+def mined_commits(commits: DataFrame, limit: int = 300) -> DataFrame:
+    """(commit_id, file) of the `limit` latest commits (commit_id, file, time, parent_count) that are no merges. The limit bounds what is broadcast."""
+    plain = commits.where("parent_count <= 1")
+    latest = plain.groupBy("commit_id").agg(F.max("time").alias("time")).orderBy(F.desc("time"), F.desc("commit_id")).limit(limit)
+    return plain.join(F.broadcast(latest.select("commit_id")), "commit_id", "left_semi").select("commit_id", "file")
+
+
+def plain_churn(commits: DataFrame) -> DataFrame:
+    """(file, change_count) over all commits that are no merges, whatever their size."""
+    return churn(commits.where("parent_count <= 1"))
+
+
+def by_change(trends: DataFrame, limit: int = 0, name: str = "series") -> DataFrame:
+    """Trends with the greatest change first, up or down, then by name."""
+    rows = trends.orderBy(F.desc(F.abs(F.col("delta"))), name)
+    return rows.limit(limit) if limit else rows
+
+
 def co_changes_of(commits: DataFrame, target: int, most: int = 30) -> DataFrame:
     """(partner, count) of one file, over its commits of 2 to `most` files."""
     rows = commits.select("commit_id", "file").distinct()

@@ -55,3 +55,33 @@ def callers_and_callees(refs: DataFrame, symbols: DataFrame, target: int, top: i
     near = near.union(calls.where(F.col("from_symbol_id") == target).select(F.lit("callee"), "to_symbol_id")).distinct()
     rows = near.join(symbols.select("id", "name", "pagerank"), "id")
     return rows.withColumn("n", F.row_number().over(W.partitionBy("side").orderBy(F.desc("pagerank"), "id"))).where(F.col("n") <= top).select("side", "id", "name")
+
+
+def call_levels(refs: DataFrame, symbols: DataFrame, name: str, direction: str = "both", depth: int = 1, limit: int = 50) -> DataFrame:
+    """(direction, depth, name): names that calls lead to from a name, or from which they lead to it, at their least depth; the name itself is none of them.
+
+    The walk goes from name to name over calls between symbols (`depth` is clamped to 1..10): only the names of the last level meet the calls.
+    """
+    from cairn.functions.session import settle
+
+    if direction not in ("callers", "callees", "both"):
+        raise ValueError("direction must be callers, callees or both")
+    known = symbols.select("id", "name")
+    calls = refs.where("kind = 'call'").select("from_symbol_id", "to_symbol_id").join(known.select(F.col("id").alias("from_symbol_id"), F.col("name").alias("a")), "from_symbol_id")
+    calls = settle(calls.join(known.select(F.col("id").alias("to_symbol_id"), F.col("name").alias("b")), "to_symbol_id").where("a <> '' and b <> '' and a <> b").select("a", "b").distinct())
+    start = known.where(F.col("name") == name).select("name").distinct()
+    out = None
+    for way, near, far in (("callees", "a", "b"), ("callers", "b", "a")):
+        if direction not in (way, "both"):
+            continue
+        seen, level = start, start
+        for k in range(1, min(max(depth, 1), 10) + 1):
+            level = calls.join(level.select(F.col("name").alias(near)), near, "left_semi").select(F.col(far).alias("name")).distinct().join(seen, "name", "left_anti")
+            level = settle(level)
+            seen = seen.unionByName(level)
+            rows = level.select(F.lit(way).alias("direction"), F.lit(k).alias("depth"), "name")
+            out = rows if out is None else out.unionByName(rows)
+            if level.isEmpty():
+                break
+    first = F.row_number().over(W.partitionBy("direction", "depth").orderBy("name"))
+    return out.withColumn("n", first).where(F.col("n") <= limit).drop("n") if limit else out

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from cairn.functions import scalar as X
 from cairn.operators.graph import reach, reverse
+from cairn.operators.tables import page
 
 #: Weights of severities.
 SEVERITY = {"low": 1, "medium": 2, "high": 4, "critical": 8}
@@ -72,6 +74,33 @@ def scan(bodies: DataFrame, rules: list[tuple], min_severity: str = "low", narro
     return rows.select("id", "hit.rule", "hit.severity", "hit.category", line.alias("line"), snippet.alias("snippet"), risk.alias("risk"))
 
 
+def scan_kinds(symbols: DataFrame, rules: list[tuple], category: str | None = None, path: str | None = None, include_tests: bool = False, min_severity: str = "low", narrowed: bool = True, limit: int = 0) -> DataFrame:
+    """(id, rule, severity, category, line, snippet, risk), greatest risk first: rules over bodies, names and signatures.
+
+    symbols: id, path, language, pagerank, is_exported, text, name, signature, line_start. A rule is (id, name, severity, category, pattern, languages) over
+    bodies, or has a seventh value, `name` or `signature`; those find the symbol's own first line. Filters: category, part of the path, tests or not.
+    """
+    rows = symbols if include_tests else symbols.where(~X.is_test_path(F.col("path")))
+    if path is not None:
+        rows = rows.where(F.col("path").contains(path))
+    chosen = [r for r in rules if category in (None, r[3]) and SEVERITY[r[2]] >= SEVERITY[min_severity]]
+    found = scan(rows, [r[:6] for r in chosen if len(r) < 7 or r[6] == "body"], min_severity, narrowed) if any(len(r) < 7 or r[6] == "body" for r in chosen) else None
+    others = []
+    for rule, _, severity, kind, pattern, languages, where in [r for r in chosen if len(r) > 6 and r[6] != "body"]:
+        fits = F.col(where).rlike(pattern)
+        if languages:
+            fits = fits & F.col("language").isin(languages)
+        others.append(F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(kind).alias("category"), F.lit(SEVERITY[severity]).alias("weight"))))
+    if others:
+        own = rows.withColumn("hit", F.explode(F.filter(F.array(*others), lambda h: h.isNotNull())))
+        risk = F.col("hit.weight") * F.col("pagerank") * (1 + F.col("is_exported").cast("int"))
+        own = own.select("id", "hit.rule", "hit.severity", "hit.category", F.col("line_start").alias("line"), F.substring(F.trim(F.coalesce("signature", "name")), 1, 120).alias("snippet"), risk.alias("risk"))
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        raise ValueError("no rule passes the filters")
+    return page(found, [F.desc("risk"), "id", "rule"], limit)
+
+
 def taint(edges: DataFrame, findings: DataFrame, inputs: DataFrame, max_depth: int = 20) -> DataFrame:
     """(id, source, distance): the nearest input (id) from which calls lead to a finding (id), ties to the least."""
     seen = reach(reverse(edges), findings.select(F.col("id").alias("seed"), F.col("id").alias("node")).distinct(), max_depth)

@@ -27,6 +27,18 @@ def symbol_hotspots(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.col("complexity") * F.col("pagerank") * (1 + F.col("change_count"))).where("score > 0")
 
 
+#: Axes by which hotspots can be sorted: column, greatest first.
+AXES = {"score": ("score", True), "health": ("health", False), "complexity": ("max_cc", True), "coupling": ("pagerank", True), "churn": ("change_count", True)}
+
+
+def by_axis(rows: DataFrame, axis: str, limit: int) -> DataFrame:
+    """The first hotspots by one of the axes, ties by id."""
+    if axis not in AXES:
+        raise ValueError(f"axis must be one of {', '.join(AXES)}")
+    column, down = AXES[axis]
+    return page(rows, [F.desc(column) if down else F.asc(column), "id"], limit)
+
+
 def hot_score(files: DataFrame, symbols: DataFrame) -> DataFrame:
     rows = files.join(file_complexity(symbols), files.id == F.col("file_id"), "left")
     raw = F.col("pagerank") * (1 + F.log1p(F.coalesce("max_cc", F.lit(0)))) * (1 + F.log1p("change_count"))
@@ -82,6 +94,15 @@ def project_health(files: DataFrame, symbols: DataFrame, smells: DataFrame, top:
     return rows.withColumn("level", F.when(F.col("hot") & F.col("smell"), "critical").when(F.col("smell"), "medium").when(F.col("hot"), "low").otherwise("ok"))
 
 
+def health_summary(files: DataFrame, symbols: DataFrame, smells: DataFrame, top: int = 30) -> DataFrame:
+    """One row over all flagged files, whatever a page shows of them: file_count, critical, medium, low, avg_health. Of files that only smell, the health is 0."""
+    health = hotspots(files, symbols).select("id", "health")
+    rows = project_health(files, symbols, smells, top).where("level <> 'ok'").join(health, "id", "left")
+    of = lambda level: F.count(F.when(F.col("level") == level, 1)).alias(level)
+    mean = F.avg(F.when(F.col("level") == "medium", 0.0).otherwise(F.col("health")))
+    return rows.agg(F.count("*").alias("file_count"), of("critical"), of("medium"), of("low"), F.coalesce(mean, F.lit(0.0)).alias("avg_health"))
+
+
 def quotas(rows: DataFrame, kind: str, order: list, limit: int) -> DataFrame:
     """At most `limit` rows, each kind by its share of all, one at least."""
     total = rows.groupBy(kind).agg(F.count("*").alias("of_kind"))

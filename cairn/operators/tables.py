@@ -92,6 +92,20 @@ def clone_members(symbols: DataFrame, files: DataFrame, groups: DataFrame) -> Da
     return rows.withColumn("_n", first).where("_n = 1").select("shape_hash", "places", "id", "path", "line_start")
 
 
+def clone_counts(symbols: DataFrame, min_lines: int = 3, limit: int = 0) -> DataFrame:
+    """(shape_hash, members, avg_lines) by number of members, equal places counted each, then by length. No limit at 0."""
+    span = F.col("line_end") - F.col("line_start") + 1
+    rows = symbols.where("shape_hash is not null and shape_hash <> ''").where(span >= positive("min_lines", min_lines))
+    return page(rows.groupBy("shape_hash").agg(F.count("*").alias("members"), F.avg(span).alias("avg_lines")).where("members >= 2"), [F.desc("members"), F.desc("avg_lines"), "shape_hash"], limit)
+
+
+def common_traits(members: DataFrame, traits: DataFrame, group: str = "shape_hash") -> DataFrame:
+    """(group, trait) of the traits (id, trait) that all members (group, id) of a group have."""
+    size = members.select(group, "id").distinct().groupBy(group).agg(F.count("*").alias("_size"))
+    own = members.select(group, "id").distinct().join(traits.select("id", "trait").distinct(), "id").groupBy(group, "trait").agg(F.count("*").alias("_n"))
+    return own.join(size, group).where("_n = _size").select(group, "trait")
+
+
 def innermost(points: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """Each point (key, at) with the span (key, id, start, end) of the greatest start that holds it."""
     hit = points.join(spans, key).where("start <= at and at <= end")

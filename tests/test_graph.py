@@ -44,6 +44,17 @@ def test_shortest_paths_count_all(spark):
     assert got == {1: (0, 1, None), 2: (1, 1, 1), 3: (1, 1, 1), 4: (2, 2, 2), 5: (3, 2, 4)}
 
 
+def test_path_to_targets(spark):
+    e = edges(spark, [(1, 2), (1, 3), (2, 4), (3, 4), (3, 5), (4, 6), (5, 6), (6, 1)])
+    row = graph.path_to(e, nodes(spark, [1]), nodes(spark, [4, 5])).first()
+    assert (row.target, row.dist, row.path, row.alternatives) == (4, 2, [1, 2, 4], 2)
+    assert tuple(graph.path_to(e, nodes(spark, [1]), nodes(spark, [1, 2])).first()) == (1, 0, [1], 0)
+    assert graph.path_to(e, nodes(spark, [1]), nodes(spark, [99])).count() == 0
+    assert graph.path_to(e, nodes(spark, [1]), nodes(spark, [6]), max_depth=2).count() == 0
+    kinds = spark.createDataFrame([(1, 2, "call"), (2, 3, "type"), (1, 4, "type"), (4, 3, "type")], "src long, dst long, kind string")
+    assert graph.path_to(kinds, nodes(spark, [1]), nodes(spark, [3]), kinds=["type"]).first().path == [1, 4, 3]
+
+
 def test_communities_and_modularity(spark):
     cliques = [(a, b) for base in (0, 10) for a in range(base, base + 4) for b in range(a + 1, base + 4)]
     got = {r.id: r.cluster for r in graph.communities(nodes(spark, [*range(4), *range(10, 14), 99]), edges(spark, cliques)).collect()}
