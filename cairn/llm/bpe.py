@@ -28,6 +28,7 @@ _SHORT = 64
 _BITS = 24
 _MASK, _NONE = (1 << _BITS) - 1, 1 << 62
 _CACHE = 1 << 16
+_WORDS = 1 << 17
 
 
 def byte_letters() -> list[str]:
@@ -190,9 +191,11 @@ class Bpe:
         letter, mark = r"[\p{L}--[\u1160-\u11ff]]{4}", r"[!-&(-/:-@\[-`{-~]{4}"
         self._cuts = regex.compile(rf"(?<={letter})(?={letter})|(?<={mark})(?={mark})|(?<=[0-9])(?=[0-9])", regex.V1)
         self._bytes = {x: b for b, x in enumerate(byte_letters())}
-        # Two generations of at most _CACHE chunks: what is in use moves to the young one, the old one goes as a whole.
+        # Two generations of at most _CACHE chunks and of at most _WORDS words: what is in use moves to the young one, the old one goes as a whole.
         self._cache: dict[str, tuple[str, int, str]] = {}
         self._old: dict[str, tuple[str, int, str]] = {}
+        self._known: dict[str, tuple[str, int, str]] = {}
+        self._known_old: dict[str, tuple[str, int, str]] = {}
 
     def _normal(self, text: str) -> str:
         import unicodedata
@@ -224,12 +227,26 @@ class Bpe:
             yield text[at:end], goes_on
             at = end
 
+    def _word(self, word: str) -> tuple[str, int, str]:
+        """(ids, their number, decoded) of a word."""
+        got = self._known.get(word)
+        if got is None:
+            got = self._known_old.get(word)
+            if got is None:
+                ids = self.merger.word(word.encode("utf-8", "surrogatepass"))
+                got = (" ".join(map(str, ids)), len(ids), self.raw(ids))
+            if len(word) <= 64:
+                if len(self._known) >= _WORDS:
+                    self._known_old, self._known = self._known, {}
+                self._known[word] = got
+        return got
+
     def _chunk(self, chunk: str) -> tuple[str, int, str]:
         """(ids, their number, decoded) of what stands between two spaces, unless the young cache has it."""
         got = self._old.get(chunk)
         if got is None:
-            ids = [i for w in self._words.findall(chunk) for i in self.merger.word(w.encode("utf-8", "surrogatepass"))]
-            got = (" ".join(map(str, ids)), len(ids), self.raw(ids))
+            words = [w for w in map(self._word, self._words.findall(chunk)) if w[1]]
+            got = words[0] if len(words) == 1 else (" ".join([w[0] for w in words]), sum([w[1] for w in words]), " ".join([w[2] for w in words]))
         if len(chunk) <= 64:
             if len(self._cache) >= _CACHE:
                 self._old, self._cache = self._cache, {}

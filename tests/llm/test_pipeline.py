@@ -138,3 +138,47 @@ def test_near_copies_stay_apart_under_the_similarity(spark):
     want = exact_groups(rows)
     assert 5 < sum(want[2 * i + 1] != 2 * i for i in range(30)) < 30
     assert near_groups(spark, rows) == want
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark, tmp_path):
+    names = ["score", "sha", "n", "times", "turn", "kept_id", "gone", "mixed", "size", "group", "node", "text_sha256", "count"]
+    schema = COLUMNS + "".join(f", {n} string" for n in names)
+    texts = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words here"), (2, None), (None, ""), (None, "x y z"), (3, "long " * 30_000), (4, "a b c d e f "), (5, "a b c d e f"), (6, " ")]
+    docs = spark.createDataFrame([(i, t, None, None if i == 3 else "s", 1, *names) for i, t in texts], schema)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for stage, left in ((corpus_pipeline.keep_quality, 10), (corpus_pipeline.drop_exact_copies, 5), (corpus_pipeline.drop_near_copies, 7), (corpus_pipeline.mix, None)):
+        got = stage(spark, docs, str(tmp_path))
+        rows = got.collect()
+        assert got.columns == docs.columns and all(tuple(r)[5:] == tuple(names) for r in rows)
+        assert left is None or len(rows) == left, (stage.__name__, rows and [(r.doc_id, (r.text or "")[:9]) for r in rows])
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    exact = {(r.doc_id, r.text) for r in corpus_pipeline.drop_exact_copies(spark, docs, str(tmp_path)).collect()}
+    assert exact == {(4, "a b c d e f "), (1, "other words here"), (6, " "), (None, "x y z"), (3, "long " * 30_000)}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()} == {1, 2, 3, None}
+    assert corpus_pipeline.tokenise(spark, docs, str(tmp_path)).count() == 10
+
+
+def test_many_ids_leave_by_a_shuffle_as_by_a_broadcast(spark):
+    from cairn.llm.shared import without
+
+    docs = spark.createDataFrame([(i, "t") for i in [1, 2, 2, 3, None]], "doc_id long, text string")
+    for ids, left in (([2, None], [1, 3]), ([], [None, 1, 2, 2, 3]), ([7], [None, 1, 2, 2, 3])):
+        gone = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+        for most in (0, 100):
+            assert sorted((r.doc_id for r in without(docs, gone, most=most).collect()), key=lambda x: (x is not None, x)) == left
+
+
+def test_large_family_of_near_copies(spark):
+    """A text and many edits of it, some too far from all others: the same groups as over all pairs."""
+    rng = random.Random(11)
+    base, rows = text_of(rng, 150), []
+    for i in range(160):
+        other = list(base)
+        for at in rng.sample(range(150), min(9, int(rng.expovariate(0.4)))):
+            other[at] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(other)))
+    rows += [(200 + i, " ".join(text_of(rng, rng.randint(1, 12)))) for i in range(30)] + [(300, "one two"), (301, "one two three"), (302, "ONE two")]
+    want = exact_groups(rows)
+    assert 3 < len({want[i] for i in range(160)}) < 160
+    assert near_groups(spark, rows) == want
