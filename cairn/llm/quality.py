@@ -12,7 +12,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cairn.llm.shared import cut, table
+from cairn.llm.shared import cut, small_batches, table
 
 PASSAGE = 96
 _MARKS = b".,;:!?#$%&*|/\\<>@_-'\"()[]{}=+~^`"
@@ -149,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 1], batch.column(1)[i : i + 1], pa.array([len(x)], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["id", "y", "n", "x"])
 
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
-    bags = cut(texts.mapInArrow(encode, "id long, y double, n long, x binary"))
+    with small_batches(docs.sparkSession):
+        bags = cut(texts.mapInArrow(encode, "id long, y double, n long, x binary"))
     # The sample is bounded before its features come to the driver: whole documents in hash order, as far as the passages go.
     sizes = bags.groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.xxhash64("id", F.lit(10)), "id").collect()
     ids = [r.id for r, upto in zip(sizes, np.cumsum([r.n for r in sizes]), strict=True) if upto <= most_passages]

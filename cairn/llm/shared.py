@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: ASCII white space, as the contracts of the operators name it.
@@ -24,6 +26,18 @@ def ensure_folder(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024):
+    """Inside, texts go to Python in batches of few rows, so that a task holds little of them at once. For steps that run inside, such as `cut`."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df`, computed and written to the shared folder; its lineage ends there."""
     ensure_folder(df.sparkSession)

@@ -19,7 +19,7 @@ from math import comb
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from cairn.llm.shared import components, cut, cut_small, table
+from cairn.llm.shared import components, cut, cut_small, small_batches, table
 
 _BLOCK = 1 << 16
 _NO_ID = 2**63 - 1
@@ -247,7 +247,8 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     and wordless texts have the fingerprint zero and link like any other; texts of fewer words than `width` are one shingle. A null id counts as
     larger than any other and shows as null. Rows that repeat an id are rows of their own. An empty table gives an empty result.
     """
-    rows = cut(fingerprints(docs, doc_id, text, width))
+    with small_batches(docs.sparkSession):
+        rows = cut(fingerprints(docs, doc_id, text, width))
     # A node's rep is its fingerprint: ids can be null or repeated, so the least one is only carried along.
     nodes = cut(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("least_id")))
     groups = cut(link_groups(nodes.select("fp", F.col("fp").alias("rep")), tau).select("fp", "component").join(nodes, "fp"))
@@ -318,7 +319,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, width: int,
     side = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set"))
     both = pairs.join(side("src"), "src").join(side("dst"), "dst")
     shared = F.size(F.array_intersect("src_set", "dst_set"))
-    return cut_small(both.where(shared >= F.lit(similarity) * (F.size("src_set") + F.size("dst_set") - shared) - 1e-9).select("src", "dst"))
+    with small_batches(pairs.sparkSession):
+        return cut_small(both.where(shared >= F.lit(similarity) * (F.size("src_set") + F.size("dst_set") - shared) - 1e-9).select("src", "dst"))
 
 
 def _buckets(batches):
@@ -375,7 +377,9 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     names, odd = [f"b{k}" for k in range(words)], [f"p{k}" for k in range(words)]
     far = similar_bits(similarity, 64 * words, 6.0)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
-    common = _common(source, width, sample, listed)
+    spark = docs.sparkSession
+    with small_batches(spark):
+        common = _common(source, width, sample, listed)
 
     def run(batches):
         import pyarrow as pa
@@ -391,7 +395,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
             columns = [node, pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.list_(pa.int64())), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(2 * words)]]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "th", "node", "size", "prefix", *names, *odd])
 
-    rows = cut(source.mapInArrow(run, "doc_id long, th long, node long, size int, prefix array<long>, " + ", ".join(f"{n} long" for n in [*names, *odd])))
+    with small_batches(spark):
+        rows = cut(source.mapInArrow(run, "doc_id long, th long, node long, size int, prefix array<long>, " + ", ".join(f"{n} long" for n in [*names, *odd])))
     firsts = [F.first(c).alias(c) for c in ("size", *names, *odd)]
     nodes = cut_small(rows.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("least_id"), F.min("th").alias("th"), *firsts))
     facts = nodes.select("node", "size", *names, *odd)
