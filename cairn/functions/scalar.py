@@ -34,8 +34,45 @@ def is_test_path(path: Column) -> Column:
     return path.rlike("(^|/)(" + "|".join(TEST_DIRECTORIES) + ")/") | base.isin(TEST_FILES) | base.rlike(suffix) | (base.startswith("test_") & base.endswith(".py"))
 
 
+#: Directories and file names that a framework or a plugin host loads by name.
+ENTRY_DIRECTORIES = ["scripts/", "plugins/", "extensions/"]
+ENTRY_FILES = [
+    r"^plugin\.[^.]+$", r"^extension\.[^.]+$", r"^.+-plugin\.[^.]+$", r"^.+-extension\.[^.]+$",
+    r"^\+page\.[^.]+$", r"^\+page\.(server|client)\.[^.]+$", r"^\+layout\.[^.]+$", r"^\+layout\.(server|client)\.[^.]+$", r"^\+server\.[^.]+$", r"^\+error\.[^.]+$",
+    r"^hooks\.(server|client)\.[^.]+$", r"^svelte\.config\.[^.]+$", r"^vite\.config\.[^.]+$", r"^playwright\.config\.[^.]+$",
+]
+#: Parts of names and signatures that show user input: whole words of a name, parts of a name, parts of a signature.
+INPUT_WORDS = ["request", "req", "params", "param", "argv", "args", "env", "environ", "query", "stdin", "handler", "handle", "route", "router", "webhook", "body", "payload", "form", "input", "cgi"]
+INPUT_PARTS = ["request", "params", "argv", "webhook", "query", "payload", "stdin"]
+INPUT_SIGNATURES = ["request", "httprequest", "params", "argv", "query", "webhook", "payload"]
+#: Suffixes of C and C++ files.
+C_FILE = r"(?i)\.(c|h|cc|cpp|cxx|hh|hpp|hxx)$"
+
+
 def is_framework_entry(path: Column) -> Column:
-    return path.rlike(r"^(scripts|plugins|extensions)/") | basename(path).rlike(r"^(.+-)?(plugin|extension)\.[^.]+$")
+    return path.rlike("^(" + "|".join(ENTRY_DIRECTORIES) + ")") | basename(path).rlike("|".join(ENTRY_FILES))
+
+
+def is_test_symbol(name: Column, kind: Column, path: Column) -> Column:
+    """Whether a test runner finds the symbol by itself: by its directory, its file's name, or, for callables, its own name."""
+    base = basename(path)
+    place = path.startswith("tests/") | path.contains("/tests/") | base.contains(".test.") | base.contains(".spec.") | F.substring_index(base, ".", 1).endswith("_test")
+    return place | (kind.isin("function", "method") & (name.startswith("test_") | (name.startswith("Test") & (F.length(name) > 4))))
+
+
+def is_input_source(name: Column, signature: Column) -> Column:
+    """Whether a symbol plausibly takes user input, by words of its name or by its signature."""
+    low = F.lower(name)
+    word = low.rlike("(^|[^a-z0-9])(" + "|".join(INPUT_WORDS) + ")($|[^a-z0-9])")
+    return word | low.rlike("|".join(INPUT_PARTS)) | F.coalesce(F.lower(signature).rlike("|".join(INPUT_SIGNATURES)), F.lit(False))
+
+
+def mean_pool(tokens: Column, mask: Column) -> Column:
+    """Mean of the vectors whose mask is not zero; zeros where none is."""
+    kept = F.filter(F.arrays_zip(tokens.alias("v"), mask.alias("m")), lambda x: x["m"] != 0)
+    zero = F.transform(F.element_at(tokens, 1), lambda x: F.lit(0.0))
+    total = F.aggregate(kept, zero, lambda acc, x: F.zip_with(acc, x["v"], lambda a, b: a + b))
+    return F.transform(total, lambda x: F.when(F.size(kept) > 0, x / F.size(kept)).otherwise(0.0))
 
 
 def in_scope(path: Column, scope: str) -> Column:

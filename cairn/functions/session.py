@@ -4,8 +4,10 @@ from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the folder of spark.checkpoint.dir (set here only where the session names none)."""
+    """`df`, computed once and kept in the folder of spark.checkpoint.dir. Where the session names none, only a local master gets a folder of its own."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all machines share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
     return df.checkpoint(eager=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from cairn.functions import scalar as X
 from cairn.functions.session import settle
 
 
@@ -245,3 +246,12 @@ def communities(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0, passes:
     groups = parts.groupBy("component", "part").agg(F.count("*").alias("size"), F.min("id").alias("first"))
     big = groups.where(F.col("size") >= least).withColumn("cluster", F.row_number().over(W.orderBy("first")).cast("long"))
     return parts.join(big.select("component", "part", "cluster"), ["component", "part"], "left").select("id", F.coalesce("cluster", F.lit(0).cast("long")).alias("cluster"))
+
+
+def unreachable_symbols(symbols: DataFrame, files: DataFrame, refs: DataFrame) -> DataFrame:
+    """Functions and methods that references lead to from no root: `main`, exported symbols, files that a framework loads, tests. Symbols with their path."""
+    rows = symbols.join(files.select(F.col("id").alias("file_id"), "path"), "file_id")
+    is_root = (F.col("name") == "main") | F.col("is_exported") | X.is_framework_entry(F.col("path")) | X.is_test_symbol(F.col("name"), F.col("kind"), F.col("path"))
+    roots = rows.where(F.coalesce(is_root, F.lit(False))).select(F.lit(0).alias("seed"), F.col("id").alias("node"))
+    live = reach(refs.select(F.col("from_symbol_id").alias("src"), F.col("to_symbol_id").alias("dst")), roots)
+    return rows.where(F.col("kind").isin("function", "method")).join(live.select(F.col("node").alias("id")), "id", "left_anti")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from cairn.operators.graph import reach
+
 
 def co_change_pairs(commits: DataFrame, files: DataFrame | None = None, least: int = 2, most: int = 20) -> DataFrame:
     """(file_a, file_b, count) over (commit_id, file): pairs of one commit of `least` to `most` files. The size bound keeps the pairs of a commit few.
@@ -83,3 +85,26 @@ def markers(points: DataFrame) -> DataFrame:
     """Each point with (+), (-) or nothing against the one before."""
     before = F.lag("value").over(W.partitionBy("series").orderBy("seq"))
     return points.withColumn("marker", F.when(F.col("value") > before, "(+)").when(F.col("value") < before, "(-)").otherwise(""))
+
+
+def parse_range(spec: str) -> tuple[str, str]:
+    """(from, to) of `from..to`; one name alone reaches up to HEAD."""
+    start, dots, end = spec.partition("..")
+    if not start:
+        raise ValueError(f"range '{spec}' has no start")
+    return start, end.lstrip(".") if dots and end.lstrip(".") else "HEAD"
+
+
+def check_range(parents: DataFrame, start: str, end: str) -> None:
+    """ValueError where `end` is an ancestor of `start`, by (commit, parent)."""
+    line = parents.select(F.col("commit").alias("src"), F.col("parent").alias("dst"))
+    seeds = parents.sparkSession.createDataFrame([(0, start)], "seed int, node string")
+    if start != end and not reach(line, seeds).where(F.col("node") == end).isEmpty():
+        raise ValueError(f"range reversed: did you mean {end}..{start}?")
+
+
+def changed_in_range(trees: DataFrame, start: str, end: str) -> DataFrame:
+    """Sorted paths that were added, changed or removed between two revisions, by their trees (rev, path, blob)."""
+    side = lambda rev, name: trees.where(F.col("rev") == rev).select("path", F.col("blob").alias(name))
+    both = side(start, "old").join(side(end, "new"), "path", "full")
+    return both.where(~F.col("old").eqNullSafe(F.col("new"))).select("path").distinct().orderBy("path")

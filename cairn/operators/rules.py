@@ -106,3 +106,18 @@ def taint(edges: DataFrame, findings: DataFrame, inputs: DataFrame, max_depth: i
     seen = reach(reverse(edges), findings.select(F.col("id").alias("seed"), F.col("id").alias("node")).distinct(), max_depth)
     hit = seen.join(inputs.select(F.col("id").alias("node")), "node", "left_semi")
     return hit.groupBy(F.col("seed").alias("id")).agg(F.min_by("node", F.struct("depth", "node")).alias("source"), F.min("depth").alias("distance"))
+
+
+#: Rules whose findings are sinks; findings of the category deserialization are, too.
+SINKS = ["SEC003", "SEC004", "SEC010"]
+
+
+def annotated(findings: DataFrame, symbols: DataFrame, refs: DataFrame, max_depth: int = 20) -> DataFrame:
+    """All findings (id, rule, category) with source, source_name and distance: the nearest symbol that takes user input and from which references lead to a
+    sink's symbol, itself included; null for findings that are no sinks or that no input reaches. Ties go to the least id."""
+    is_sink = F.coalesce(F.col("rule").isin(SINKS) | (F.lower("category") == "deserialization"), F.lit(False))
+    inputs = symbols.where(F.coalesce(X.is_input_source(F.col("name"), F.col("signature")), F.lit(False))).select("id")
+    calls = refs.select(F.col("from_symbol_id").alias("src"), F.col("to_symbol_id").alias("dst"))
+    near = taint(calls, findings.where(is_sink).select("id").distinct(), inputs, max_depth)
+    near = near.join(symbols.select(F.col("id").alias("source"), F.col("name").alias("source_name")), "source").withColumn("sink", F.lit(True))
+    return findings.withColumn("sink", is_sink).join(near, ["id", "sink"], "left").drop("sink")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.operators import graph, history, resolve, rules, scores, tables as T
+from cairn.operators import graph, history, imports, names, resolve, rules, scores, tables as T
 from cairn.plans.catalogue import HEALTH, SMELLS, TEST, _smells, query, r
 
 HOT = f"SELECT id, path, max_cc, pagerank, change_count, max_cc * pagerank * (1 + change_count) AS score, {HEALTH.format(cc='max_cc')} AS health FROM files JOIN cc ON id = file_id WHERE max_cc * pagerank * (1 + change_count) > 0"
@@ -88,3 +88,49 @@ def rule_kinds(t):
     files = t.files.select(F.col("id").alias("file_id"), "path", "language")
     rows = t.symbols.select("id", "file_id", "name", "signature", "line_start", "pagerank", "is_exported").join(files, "file_id").withColumn("text", F.lit(""))
     return rules.scan_kinds(rows, KINDS, category="style", path="source/f1", limit=200).select("id", "rule", "severity", "line", r("risk").alias("risk"))
+
+
+@query(", x AS (SELECT s.id, name, kind, path, is_exported FROM symbols s JOIN (SELECT id AS file_id, path FROM files) USING (file_id)), live AS (SELECT id AS node FROM x WHERE name = 'main' OR is_exported OR starts_with(path, 'tests/') OR kind IN ('function', 'method') AND (starts_with(name, 'test_') OR starts_with(name, 'Test') AND length(name) > 4) UNION SELECT to_symbol_id FROM live JOIN refs ON from_symbol_id = node) SELECT id, path FROM x WHERE kind IN ('function', 'method') AND id NOT IN (SELECT node FROM live)")
+def dead_symbols(t):
+    return graph.unreachable_symbols(t.symbols, t.files, t.refs).select("id", "path")
+
+
+NAMED = r", x AS (SELECT s.id, name, kind, path, len(list_filter(string_split_regex(lower(name || ' ' || kind || ' ' || path), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')) AS d FROM symbols s JOIN (SELECT id AS file_id, path FROM files) USING (file_id)), h AS (SELECT id, d FROM x WHERE {hit}), s AS (SELECT count(*) AS n, avg(d) AS mean, (SELECT count(*) FROM h) AS df FROM x), k AS (SELECT id, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * d / mean)) AS score FROM h, s) SELECT id, round(score, 6) AS score FROM k ORDER BY round(score, 9) DESC, id LIMIT 200"
+
+
+def _named(t):
+    return t.symbols.select("id", "file_id", "name", "kind").join(t.files.select(F.col("id").alias("file_id"), "path"), "file_id")
+
+
+@query(NAMED.format(hit="lower(name) IN ('the', 'thes')"))
+def name_search(t):
+    return names.name_search(_named(t), "The").select("id", r("score").alias("score"))
+
+
+@query(NAMED.format(hit="kind = 'variable'"))
+def name_search_kind(t):
+    return names.name_search(_named(t), "kind:variables").select("id", r("score").alias("score"))
+
+
+@query(", b AS (SELECT l_partkey AS path, year(l_shipdate) AS rev, max(l_quantity) AS blob FROM lineitem GROUP BY 1, 2) SELECT coalesce(x.path, y.path) AS path FROM (FROM b WHERE rev = 1995) x FULL JOIN (FROM b WHERE rev = 1996) y ON x.path = y.path WHERE x.blob IS DISTINCT FROM y.blob")
+def changed_in_range(t):
+    trees = t.raw("lineitem").groupBy(F.col("l_partkey").alias("path"), F.year("l_shipdate").alias("rev")).agg(F.max("l_quantity").alias("blob"))
+    return history.changed_in_range(trees, 1995, 1996)
+
+
+@query(", f AS (SELECT r_regionkey * 10 + 4 AS id, CASE WHEN r_regionkey % 2 = 0 THEN 'SEC003' ELSE 'SEC006' END AS rule FROM region), w AS (SELECT id AS seed, id AS node, 0 AS depth FROM f WHERE rule = 'SEC003' UNION SELECT seed, src, depth + 1 FROM w JOIN layers ON dst = node WHERE depth < 20), i AS (SELECT s_suppkey * 10 + 2 AS node FROM supplier WHERE s_acctbal < 0), h AS (SELECT seed AS id, min_by(node, (depth, node)) AS source, min(depth) AS distance FROM w WHERE node IN (FROM i) GROUP BY 1) SELECT id, rule, source, distance FROM f LEFT JOIN h USING (id)")
+def findings_annotated(t):
+    findings = t.raw("region").select((F.col("r_regionkey").cast("long") * 10 + 4).alias("id"), F.when(F.col("r_regionkey") % 2 == 0, "SEC003").otherwise("SEC006").alias("rule"), F.lit("injection").alias("category"))
+    symbols = t.raw("supplier").select((F.col("s_suppkey") * 10 + 2).alias("id"), F.when(F.col("s_acctbal") < 0, "read_input").otherwise(F.lit("store")).alias("name"), F.lit(None).cast("string").alias("signature"))
+    refs = t.layers.select(F.col("src").alias("from_symbol_id"), F.col("dst").alias("to_symbol_id"))
+    return rules.annotated(findings, symbols, refs).select("id", "rule", "source", "distance")
+
+
+IMPORTED = ", p AS (SELECT id, path, '../../' || path AS specifier FROM files)"
+
+
+@query(IMPORTED + " SELECT a.path AS path, b.specifier, b.path AS to_path FROM edges JOIN files a ON a.id = from_file JOIN p b ON b.id = to_file WHERE NOT starts_with(a.path, 'tests/')")
+def resolve_imports(t):
+    target = t.files.select(F.col("id").alias("to_file"), F.concat(F.lit("../../"), "path").alias("specifier"))
+    own = t.files.where(~F.col("path").startswith("tests/")).select(F.col("id").alias("from_file"), "path", F.lit("typescript").alias("language"))
+    return imports.resolve_imports(t.edges.join(target, "to_file").join(own, "from_file"), t.files)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tomllib
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cairn.sources.ignore import kept
+
 #: Languages by file suffix, the ones with a line-based extractor here.
 SUFFIXES = {"py": "python", "rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "javascript", "go": "go", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "rb": "ruby", "sh": "bash", "md": "markdown", "toml": "toml", "yaml": "yaml", "yml": "yaml", "json": "json", "sql": "sql"}
 
@@ -27,15 +31,52 @@ IMPORTS["javascript"] = IMPORTS["typescript"]
 _BRANCH = re.compile(r"\b(if|elif|for|while|case|catch|except|match|when)\b|&&|\|\||\?\s|\band\b|\bor\b")
 
 
-def walk(spark: SparkSession, root: str, max_bytes: int = 1_000_000) -> DataFrame:
-    """(path, mtime_ns, size_bytes, text, language) of the readable source files under root, by any file system Spark reads; .git is left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
-    files = files.where(~path.rlike("/\\.git/") & (F.col("length") <= max_bytes))
-    suffix = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    language = F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv])[suffix]
-    out = files.select(path.alias("path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("text"), language.alias("language"))
-    return out.where("language is not null")
+#: File names that hold a language without a suffix.
+FILENAMES = {"Dockerfile": "dockerfile", "Containerfile": "dockerfile", "Makefile": "makefile", "makefile": "makefile", "GNUmakefile": "makefile"}
+
+
+def language_of(name: str) -> str | None:
+    """By the whole file name, else by its suffix."""
+    return FILENAMES.get(name) or (SUFFIXES.get(name.rpartition(".")[2].lower()) if "." in name else None)
+
+
+def walk(spark: SparkSession, root: str, max_bytes: int = 1_000_000, ignore: tuple[str, ...] = (".gitignore",)) -> DataFrame:
+    """(path, mtime_ns, size_bytes, text, language) of the source files under root, a path or an address that Arrow's file systems know.
+
+    Hidden and empty files count, too (Spark's own readers pass over names that begin with a dot or an underscore). Left out: .git, what ignore files of these
+    names or .git/info/exclude name, unknown languages, files over `max_bytes` and those that are not UTF-8. The driver lists names, as Spark's file index
+    does; the texts are read by the executors, which must see the same root.
+    """
+    fs, top = pafs.FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
+    listed = [f for f in fs.get_file_info(pafs.FileSelector(top, recursive=True)) if f.type == pafs.FileType.File]
+    below = {f.path[len(top) :].lstrip("/"): f for f in listed}
+    texts: dict[str, str] = {}
+    for path in sorted(below, key=lambda x: (x != ".git/info/exclude", x)):
+        if path == ".git/info/exclude" or path.rpartition("/")[2] in ignore and not path.startswith(".git/"):
+            with fs.open_input_stream(below[path].path) as f:
+                folder = "" if path == ".git/info/exclude" else path.rpartition("/")[0]
+                texts[folder] = texts.get(folder, "") + f.read().decode("utf-8", "replace") + "\n"
+    found = [below[p] for p in kept([p for p in below if not re.search(r"(^|/)\.git/", p)], texts)]
+    rows = [("/" + f.path.lstrip("/"), f.mtime_ns, f.size, f.path, language_of(f.base_name)) for f in found if f.size <= max_bytes and language_of(f.base_name)]
+    parts = max(1, sum(32_768 + r[2] for r in rows) // 33_554_432)
+    files = spark.createDataFrame(rows, "path string, mtime_ns long, size_bytes long, _at string, language string").repartition(parts)
+
+    def read(batches):
+        own, _ = pafs.FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
+        for pdf in batches:
+            for start in range(0, len(pdf), 64):
+                part, texts = pdf.iloc[start : start + 64].copy(), []
+                for at in part.pop("_at"):
+                    with own.open_input_stream(at) as f:
+                        content = f.read()
+                    try:
+                        texts.append(content.decode("utf-8"))
+                    except UnicodeDecodeError:
+                        texts.append(None)
+                part.insert(3, "text", texts)
+                yield part[part["text"].notna()]
+
+    return files.mapInPandas(read, "path string, mtime_ns long, size_bytes long, text string, language string")
 
 
 def changed_files(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -64,8 +105,32 @@ def extract_symbols(text: str | None, language: str | None) -> tuple[list[dict],
     return found, imports
 
 
+#: Words before a bracket that are no calls.
+NO_CALLS = {"if", "elif", "for", "while", "switch", "match", "catch", "except", "return", "fn", "def", "func", "function", "class", "and", "or", "not", "in", "with", "when", "yield", "await", "assert", "lambda"}
+_CALL = re.compile(r"\b([A-Za-z_]\w*)\s*\(")
+
+
+def extract_calls(text: str | None, symbols: list[dict]) -> list[tuple[int, str]]:
+    """Distinct (number of the innermost symbol, called name) by line patterns; what opens a symbol is no call of itself."""
+    found, starts, lines = {}, {s["line_start"]: s["name"] for s in symbols}, (text or "").split("\n")
+    holder = [-1] * (len(lines) + 1)
+    for k, s in enumerate(symbols):  # inner symbols come later
+        holder[s["line_start"] : s["line_end"] + 1] = [k] * (min(s["line_end"], len(lines)) - s["line_start"] + 1)
+    for n, line in enumerate(lines, 1):
+        for name in _CALL.findall(line) if holder[n] >= 0 else ():
+            if name not in NO_CALLS and starts.get(n) != name:
+                found[holder[n], name] = None
+    return list(found)
+
+
+def tree_listing(lines: DataFrame) -> DataFrame:
+    """(rev, path, blob) of the files in `mode type id<tab>path` lines (rev, line), as a recursive listing of a revision's tree has them."""
+    head = F.split(F.substring_index("line", "\t", 1), " +")
+    return lines.where(F.get(head, F.lit(1)) == "blob").select("rev", F.regexp_extract("line", r"^[^\t]*\t(.*)$", 1).alias("path"), F.get(head, F.lit(2)).alias("blob"))
+
+
 def parse(files: DataFrame) -> DataFrame:
-    """(path, language, line_count, symbols, imports) of walked files: one Arrow pass, one row a file."""
+    """(path, language, line_count, symbols, imports, calls) of walked files: one Arrow pass, one row a file."""
     symbol = "struct<name:string,kind:string,line_start:int,line_end:int,signature:string,is_exported:boolean,owner_type:string,complexity:int>"
 
     def run(batches):
@@ -75,9 +140,10 @@ def parse(files: DataFrame) -> DataFrame:
             pdf["line_count"] = [t.count("\n") + (0 if t.endswith("\n") else 1) for t in pdf["text"]]
             pdf["symbols"] = [[{"name": s["name"], "kind": s["kind"], "line_start": s["line_start"], "line_end": s["line_end"], "signature": s["signature"], "is_exported": bool(s["exported"]), "owner_type": s["owner_type"], "complexity": s["complexity"]} for s in b[0]] for b in both]
             pdf["imports"] = [b[1] for b in both]
+            pdf["calls"] = [[{"idx": k, "name": name} for k, name in extract_calls(t, b[0])] for t, b in zip(pdf["text"], both, strict=True)]
             yield pdf.drop(columns=["text"])
 
-    return files.select("path", "language", "text").mapInPandas(run, f"path string, language string, line_count long, symbols array<{symbol}>, imports array<string>")
+    return files.select("path", "language", "text").mapInPandas(run, f"path string, language string, line_count long, symbols array<{symbol}>, imports array<string>, calls array<struct<idx:int,name:string>>")
 
 
 def boundary_rules(toml: str) -> list[dict]:

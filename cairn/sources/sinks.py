@@ -4,6 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from cairn.functions.session import settle
+
+
+def sequential(rows: DataFrame, order: list[str], name: str, first: int = 1) -> DataFrame:
+    """`rows` with gapless numbers in an order without ties: sorted by ranges, then each partition goes on behind the counts of those before it.
+
+    Only one count a partition is ever in one place.
+    """
+    placed = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_before"))
+    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + at + first).drop("_at", "_part", "_before")
+
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
     """New rows replace old ones of the same key; of several new ones the greatest by `order` stays."""
@@ -16,8 +31,8 @@ def upsert_files(old: DataFrame, new: DataFrame) -> DataFrame:
     """Files keep their id over an upsert by path; new paths go on behind the greatest id."""
     top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     rows = new.drop("id").join(old.select("path", "id"), "path", "left").join(F.broadcast(top))  # one row
-    known, fresh = rows.where("id is not null").drop("top"), rows.where("id is null")
-    fresh = fresh.withColumn("id", F.col("top") + F.row_number().over(W.orderBy("path"))).drop("top")
+    known, fresh = rows.where("id is not null").drop("top"), rows.where("id is null").drop("id")
+    fresh = sequential(fresh, ["path"], "id").withColumn("id", F.col("top") + F.col("id")).drop("top")
     return old.join(new.select("path"), "path", "left_anti").unionByName(known.unionByName(fresh), allowMissingColumns=True)
 
 
@@ -30,12 +45,8 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFram
 
 
 def number_symbols(rows: DataFrame, first_id: int = 1) -> DataFrame:
-    """Ids by (file_id, idx), and parent_id from parent_idx where that names an earlier symbol of the file.
-
-    Ids come from counts of each file, so only the small table of files is ever in one order."""
-    counts = rows.groupBy("file_id").agg(F.count("*").alias("n"))
-    start = counts.select("file_id", (F.coalesce(F.sum("n").over(W.orderBy("file_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + first_id).alias("start"))
-    out = rows.join(start, "file_id").withColumn("id", F.col("start") + F.row_number().over(W.partitionBy("file_id").orderBy("idx")) - 1).drop("start")
+    """Ids by (file_id, idx), and parent_id from parent_idx where that names an earlier symbol of the file."""
+    out = sequential(rows, ["file_id", "idx"], "id", first_id)
     parent = out.select("file_id", F.col("idx").alias("parent_idx"), F.col("id").alias("_parent"))
     return out.join(parent, ["file_id", "parent_idx"], "left").withColumn("parent_id", F.when(F.col("parent_idx") < F.col("idx"), F.col("_parent"))).drop("_parent")
 

@@ -12,6 +12,7 @@ NAMES = [
     "hotspots_file", "unused_exports", "clone_members", "references_of", "enclosing_interval", "cochange_pairs", "bus_factor_module", "trend_direction", "blast_counts", "shortest_path_counts", "dead_code",
     "round_robin_limit", "change_risk", "context_rank", "boundaries_check", "fts_search", "rrf_hybrid", "rule_scan", "resolve_references", "cascading_delete", "sequential_ids", "incremental_merge",
     "clone_groups", "pagerank_k", "unused_page", "hotspots_symbol", "health_report", "dashboard_clones", "clone_traits", "hotspots_by_axis", "health_summary", "trend_by_change", "cochange_mined", "churn_without_merges", "path_to_targets", "call_levels", "rule_kinds",
+    "dead_symbols", "name_search", "name_search_kind", "changed_in_range", "findings_annotated", "resolve_imports",
 ]
 
 
