@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from tempfile import TemporaryFile
+
+import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cairn.functions import scalar as X
@@ -157,47 +162,150 @@ def modularity(edges: DataFrame, clusters: DataFrame, gamma: float = 1.0) -> Dat
     return inner.agg(F.coalesce(F.sum((F.col("w") - gamma * F.col("ka") * F.col("kb") / F.col("two_m")) / F.col("two_m")), F.lit(0.0)).alias("modularity"))
 
 
-def _louvain(nodes: list[int], adjacent: dict[int, dict[int, float]], two_m: float, gamma: float, passes: int) -> tuple[dict[int, int], list[float]]:
+class _Numbers:
+    """Whole numbers of one type, appended in chunks; more than `most` of them go to a file without a name, so that they need no memory of the task's."""
+
+    def __init__(self, kind: type, most: int = 1 << 20):
+        self.kind, self.most, self.held, self.n, self.file = kind, most, [], 0, None
+
+    def add(self, x: np.ndarray) -> None:
+        self.held.append(x.astype(self.kind))
+        self.n += len(x)
+        if sum(map(len, self.held)) > self.most:
+            self.file = self.file or TemporaryFile()
+            self._write()
+
+    def _write(self) -> None:
+        for x in self.held:
+            x.tofile(self.file)
+        self.file.flush()
+        self.held = []
+
+    def array(self) -> np.ndarray:
+        if self.file is None:
+            return np.concatenate([np.zeros(0, self.kind), *self.held])
+        self._write()
+        return np.memmap(self.file, self.kind, "r", shape=(self.n,)).view(np.ndarray)
+
+
+def _stretches(starts: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[int, int]]:
+    """Nodes from and to, with `most` neighbours together or one node."""
+    lo, n = 0, len(starts) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + most, "right")) - 1)
+        yield lo, min(hi, n)
+        lo = hi
+
+
+def _louvain(starts: np.ndarray, others: np.ndarray, weights: np.ndarray, two_m: float, gamma: float, passes: int, epsilon: float, hub: int = 4096) -> tuple[np.ndarray, list[float]]:
     """Single-level local moving in node order, by the whole graph's weight `two_m`: a node moves to the neighbouring community of the greatest gain,
-    if that is positive and more than staying gives; ties go to the smallest community. Split communities come apart; ids run from 1 in node order.
-    Also the modularity that each pass gained."""
-    degree = {v: sum(adjacent[v].values()) for v in nodes}
-    of = {v: k for k, v in enumerate(nodes)}
-    weight = {k: degree[v] for k, v in enumerate(nodes)}
+    if that is positive and more than staying gives; ties go to the smallest community. Ends behind a pass that gains less than `epsilon`. Split communities
+    come apart; ids run from 1 in node order. Also the modularity that each pass gained.
+
+    Node v's neighbours are others[starts[v] : starts[v + 1]]; they are read in order, a stretch at a time, and only the nodes' own state is held."""
+    n = len(starts) - 1
+    degrees = np.zeros(n, np.int64)
+    for lo, hi in _stretches(starts):
+        upto = np.concatenate([[0], np.cumsum(weights[starts[lo] : starts[hi]], dtype=np.int64)])[starts[lo : hi + 1] - starts[lo]]
+        degrees[lo:hi] = np.diff(upto)
+    at = np.arange(n, dtype=np.int32)
+    of, weight, degree = list(range(n)), degrees.tolist(), degrees.tolist()
     gained: list[float] = []
     for _ in range(passes if two_m else 0):
         moved, sum_ = False, 0.0
-        for v in nodes:
-            near: dict[int, float] = {}
-            for u, w in adjacent[v].items():
-                near[of[u]] = near.get(of[u], 0.0) + w
-            own = of[v]
-            weight[own] -= degree[v]
-            stay = near.get(own, 0.0) - gamma * degree[v] * weight[own] / two_m
-            best, most = own, 0.0
-            for c in sorted(near):
-                gain = near[c] - gamma * degree[v] * weight[c] / two_m
-                if c != own and gain > most:
-                    best, most = c, gain
-            if most <= stay:
-                best = own
-            weight[best] += degree[v]
-            if best != own:
-                of[v], moved, sum_ = best, True, sum_ + 2 * (most - stay) / two_m
+        for lo, hi in _stretches(starts):
+            first, ends = int(starts[lo]), (starts[lo : hi + 1] - starts[lo]).tolist()
+            large = ends[-1] > max(hub, 1 << 17)
+            u, w = others[first : first + ends[-1]], weights[first : first + ends[-1]]
+            ones = bool((w == 1).all())
+            if not large:
+                nodes, heavy = u.tolist(), None if ones else w.tolist()
+            for v in range(lo, hi):
+                i, j = ends[v - lo], ends[v - lo + 1]
+                if i == j:
+                    continue
+                if large or j - i > hub:
+                    near = {}
+                    for k in range(i, j, 1 << 17):
+                        m = min(j, k + (1 << 17))
+                        some, where = np.unique(at[u[k:m]], return_inverse=True)
+                        for c, x in zip(some.tolist(), np.bincount(where, w[k:m]).tolist(), strict=True):
+                            near[c] = near.get(c, 0) + x
+                elif ones:
+                    near = Counter(map(of.__getitem__, nodes[i:j]))
+                else:
+                    near = {}
+                    for c, x in zip(map(of.__getitem__, nodes[i:j]), heavy[i:j], strict=True):
+                        near[c] = near.get(c, 0) + x
+                own, share = of[v], gamma * degree[v]
+                weight[own] -= degree[v]
+                stay = near.get(own, 0) - share * weight[own] / two_m
+                best, most = own, 0.0
+                for c, x in near.items():
+                    gain = x - share * weight[c] / two_m
+                    if gain >= most and c != own and (gain > most or best != own and c < best):
+                        best, most = c, gain
+                if most <= stay:
+                    best = own
+                weight[best] += degree[v]
+                if best != own:
+                    of[v] = at[v] = best
+                    moved, sum_ = True, sum_ + 2 * (most - stay) / two_m
         if not moved:
             break
         gained.append(sum_)
-    out: dict[int, int] = {}
-    for v in nodes:
-        if v not in out:
-            number, todo = max(out.values(), default=0) + 1, [v]
-            out[v] = number
-            while todo:
-                for u in adjacent[todo.pop()]:
-                    if u not in out and of[u] == of[v]:
-                        out[u] = number
-                        todo.append(u)
-    return out, gained
+        if sum_ < epsilon:
+            break
+    part, number = np.zeros(n, np.int32), 0
+    for v in range(n):
+        if part[v]:
+            continue
+        number += 1
+        part[v], todo = number, [v]
+        while todo:
+            u = others[starts[k := todo.pop()] : starts[k + 1]]
+            u = u[(at[u] == at[v]) & (part[u] == 0)]
+            part[u] = number
+            todo.extend(u.tolist())
+    return part, gained
+
+
+def _moves(batches, two_m: float, gamma: float, passes: int, epsilon: float):
+    """From rows (component, id, b, w), ordered by component and id, with each edge at both ends and b null at a node without any: batches of
+    (component, id, part, gained), with `gained` in a component's first row."""
+    import pyarrow as pa
+
+    def worked(component: int, ids: np.ndarray, starts: np.ndarray, b: np.ndarray, w: np.ndarray):
+        others = _Numbers(np.int32)
+        for k in range(0, len(b), 1 << 18):
+            others.add(np.searchsorted(ids, b[k : k + (1 << 18)]))
+        part, gained = _louvain(np.append(starts, len(b)), others.array(), w, two_m, gamma, passes, epsilon)
+        for k in range(0, len(ids), 1 << 16):
+            own = ids[k : k + (1 << 16)]
+            first = [gained if k == 0 else None, *[None] * (len(own) - 1)]
+            columns = [pa.array(np.full(len(own), component)), pa.array(own), pa.array(part[k : k + (1 << 16)]), pa.array(first, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["component", "id", "part", "gained"])
+
+    now, last = None, None
+    for batch in batches:
+        component, id_ = (batch.column(k).to_numpy() for k in (0, 1))
+        known = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+        b, w = (batch.column(k).fill_null(0).to_numpy() for k in (2, 3))
+        cuts = [0, *(np.flatnonzero(component[1:] != component[:-1]) + 1).tolist(), len(component)] if len(component) else []
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if component[i] != now:
+                if now is not None:
+                    yield from worked(now, *(x.array() for x in columns))
+                now, last, columns = int(component[i]), None, [_Numbers(np.int64), _Numbers(np.int64), _Numbers(np.int64), _Numbers(np.uint32)]
+            own, real = id_[i:j], known[i:j]
+            new = np.concatenate([[last is None or own[0] != last], own[1:] != own[:-1]])
+            columns[0].add(own[new])
+            columns[1].add((columns[2].n + np.cumsum(real) - real)[new])
+            columns[2].add(b[i:j][real])
+            columns[3].add(w[i:j][real])
+            last = own[-1]
+    if now is not None:
+        yield from worked(now, *(x.array() for x in columns))
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -218,24 +326,19 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def communities(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0, passes: int = 50, epsilon: float = 1e-6, least: int = 3) -> DataFrame:
     """(id, cluster): local moving over the whole graph until a pass gains less than `epsilon` of modularity; clusters below `least` nodes are 0, the others
     are numbered from 1 by their least node. Moves never leave a connected component, so components are worked on side by side; the order of moves
-    inside one is part of the result, so a component is one task."""
-    component = connected(nodes, edges)
-    w = settle(undirected(edges))
+    inside one is part of the result, so a component is one task. Edges count between nodes of `nodes` only. That task holds some numbers a node; the edges lie in a file beside it."""
+    nodes = settle(nodes.select("id").distinct())
+    w = settle(undirected(induced(edges, nodes)))
+    component = connected(nodes, w.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     two_m = 2 * (w.agg(F.sum("w")).first()[0] or 0.0)
-    rows = settle(component.join(w.withColumnRenamed("a", "id"), "id", "left"))
+    both = w.select(F.col("a").alias("id"), "b", "w").union(w.select("b", "a", "w"))
+    rows = component.join(both, "id", "left").select("component", "id", "b", F.col("w").cast("long").alias("w"))
+    rows = rows.repartition("component").sortWithinPartitions("component", "id")
+    # The only component with edges sees by itself when a pass gains too little.
+    alone = component.groupBy("component").count().where("count > 1").limit(2).count() < 2
 
     def moves(most: int):
-        def move(pdf):
-            import pandas as pd
-
-            own = sorted({*pdf["id"].tolist(), *(int(x) for x in pdf["b"].dropna())})
-            adjacent: dict[int, dict[int, float]] = {v: {} for v in own}
-            for a, b, x in pdf[["id", "b", "w"]].dropna().itertuples(index=False):
-                adjacent[int(a)][int(b)] = adjacent[int(b)][int(a)] = x
-            got, gained = _louvain(own, adjacent, two_m, gamma, most)
-            return pd.DataFrame({"component": pdf["component"].iloc[0], "id": own, "part": [got[v] for v in own], "gained": [gained if v == own[0] else None for v in own]})
-
-        return settle(rows.groupBy("component").applyInPandas(move, "component long, id long, part int, gained array<double>"))
+        return settle(rows.mapInArrow(lambda batches: _moves(batches, two_m, gamma, most, epsilon if alone else 0.0), "component long, id long, part int, gained array<double>"))
 
     parts = moves(passes)
     # A component does not see that all together gain too little to go on; then the passes up to there count.

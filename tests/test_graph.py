@@ -1,7 +1,10 @@
 """Graph operators on literal graphs."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from cairn.operators import graph
@@ -119,6 +122,51 @@ def test_communities_match_moves_over_the_whole_graph(spark):
         assert got == local_moving(ids, pairs)
 
 
+def test_communities_of_repeated_nodes_and_edges_to_nowhere(spark):
+    pairs = [(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (5, 6), (4, 6), (1, 70), (70, 71), (80, 2)]
+    ids = [1, 1, 2, 3, 4, 5, 6, 6, 90]
+    got = sorted(tuple(r) for r in graph.communities(nodes(spark, ids), edges(spark, pairs)).collect())
+    assert got == sorted(local_moving(set(ids), [p for p in pairs if {*p} <= {*ids}]).items())
+
+
+def test_moves_hold_nodes_but_no_edges():
+    rng = np.random.default_rng(3)
+    n, m = 2000, 1_500_000
+    pairs = np.unique(rng.integers(0, n, (m, 2)), axis=0)
+    pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+    both = np.concatenate([pairs, pairs[:, ::-1]])
+    both = both[np.lexsort((both[:, 1], both[:, 0]))]
+
+    def batches():
+        for k in range(0, len(both), 10_000):
+            a, b = both[k : k + 10_000].T
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int64)), pa.array(a), pa.array(b), pa.array(np.ones(len(a), np.int64))], ["component", "id", "b", "w"])
+
+    tracemalloc.start()
+    rows = sum(x.num_rows for x in graph._moves(batches(), 2.0 * len(pairs), 1.0, 1, 0.0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n and len(both) > 1_900_000
+    assert peak < 35 * len(both)  # some bounded chunks; dicts took over 100 bytes an edge's end
+
+
+def test_large_hubs_move_as_others_do():
+    rng = random.Random(9)
+    n = 60
+    w = {}
+    for _ in range(400):
+        a, b = rng.randrange(n), rng.randrange(n)
+        if a != b:
+            w.setdefault(a, {}).setdefault(b, 0)
+            w[a][b] = w.setdefault(b, {})[a] = w[a][b] + 1
+    starts = np.cumsum([0, *[len(w.get(v, {})) for v in range(n)]])
+    others = np.array([u for v in range(n) for u in w.get(v, {})], np.int32)
+    weights = np.array([x for v in range(n) for x in w.get(v, {}).values()], np.uint32)
+    got = [graph._louvain(starts, others, weights, float(weights.sum()), 1.0, 50, 0.0, hub) for hub in (4096, 10, 0)]
+    assert all(g[0].tolist() == got[0][0].tolist() and g[1] == got[0][1] for g in got)
+    assert len(set(got[0][0].tolist())) < n / 2
+
+
 def test_pagerank_matches_a_loop(spark):
     rng = random.Random(6)
     for _ in range(3):
