@@ -361,16 +361,18 @@ def _buckets(batches):
         yield out(*held, done, len(held[0]), True)
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, words: int = 4, sample: int = 8192, listed: int = 65536) -> DataFrame:
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, words: int = 4, tau: int = 3, sample: int = 8192, listed: int = 65536) -> DataFrame:
     """One row per row of `docs`: doc_id, component_id (the smallest id that links reach).
 
-    Documents link where the sets of their distinct shingles of `width` words have a Jaccard similarity of at least `similarity`. Seen as bits, one a
-    shingle, two such sets differ in so few bits that among the prefixes (a fifth of the shingles, those that few documents hold first) one is
-    common: the pigeonhole with a threshold of zero on those parts and none on the rest. Candidates go whose sizes, parities or wide fingerprints (256
-    majority bits over the distinct shingles, six standard deviations) are too far apart; every other one is verified on the sets. So no pair
-    below the similarity links, and one above it is lost only by such a deviation (one in 10^9) or a clash of 64-bit hashes.
+    Documents link where the sets of their distinct shingles of `width` words have a Jaccard similarity of at least `similarity`. Their SimHash
+    fingerprints (64 majority bits over the distinct shingles) are probed as in simhash_groups: correlated bits together, thresholds by dynamic
+    programming, all pairs within `tau` bits. Pairs of that similarity whose fingerprints are further apart (the farther, the nearer to it) come from a
+    second probe: among the sets' prefixes (a fifth of the shingles, those that few documents hold first) one shingle is common.
+    Candidates of both go whose sizes, parities or wide fingerprints (256 majority bits, the 64 among them, six standard deviations) are too far apart;
+    every other one is verified on the sets. So no pair below the similarity links, and one above it is lost only by such a deviation (one in 10^9) or
+    a clash of 64-bit hashes.
 
-    Neighbours in the buckets are verified first, which ties nearly all of a large group; then only candidates in different groups.
+    Neighbours in the buckets of both are verified first, which ties nearly all of a large group; then only candidates in different groups.
     A bucket's main group never meets itself, so its size enters once, not squared. Equal sets are one node. Wordless and null texts are
     one group. Null ids and repeated rows as in simhash_groups. An empty table gives an empty result; other columns play no part.
     """
@@ -411,13 +413,20 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     keys = rows.select(F.explode("prefix").alias("key"), "size", "node").repartitionByRange(*order).sortWithinPartitions(*order)
     keys = cut_small(keys.mapInArrow(_buckets, "key long, node long, p1 long, p2 long"))
     first = keys.select("node", F.explode(F.array("p1", "p2")).alias("other")).where("other is not null")
-    first = first.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct()
+    first = first.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst"))
+    prints = nodes.select(F.col(names[0]).alias("fp"), F.col("node").alias("rep"))
+    parts = plan(prints, tau)
+    beside = _neighbours(prints, tau, parts, (), 0).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    first = first.unionByName(beside).distinct()
     end = lambda name: facts.select(F.col("node").alias(name), F.struct("size", *names, *odd).alias(f"{name}_of"))
-    first = first.join(end("src"), "src").join(end("dst"), "dst").where(near(lambda c: F.col(f"src_of.{c}"), lambda c: F.col(f"dst_of.{c}"))).select("src", "dst")
-    first = cut_small(first)
+    could = lambda pairs: pairs.join(end("src"), "src").join(end("dst"), "dst").where(near(lambda c: F.col(f"src_of.{c}"), lambda c: F.col(f"dst_of.{c}"))).select("src", "dst")
+    first = cut_small(could(first))
     links = _verified(first, nodes, source, width, similarity)
-    groups = components(links).withColumnRenamed("component", "group")
+    groups = cut_small(components(links).withColumnRenamed("component", "group"))
 
+    tied = cut_small(prints.join(groups, prints["rep"] == groups["node"], "left").select("fp", "rep", F.coalesce("group", "rep").alias("group")))
+    probed = near_links(tied, tau, parts).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    probed = cut_small(could(probed.join(first, ["src", "dst"], "left_anti")))
     keys = cut_small(keys.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("group", "node").alias("group")))
     # A bucket of one group has no open pair.
     mains = keys.groupBy("key", "group").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "group"))["group"].alias("main"), F.count("*").alias("groups"))
@@ -434,7 +443,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     open_ = (a("group") != b("group")) & once & early & near(a, b)
     rest = keys.where("group <> main").alias("a").join(keys.alias("b"), (a("key") == b("key")) & open_)
     rest = rest.select(F.least(a("node"), b("node")).alias("src"), F.greatest(a("node"), b("node")).alias("dst")).distinct()
-    rest = cut_small(rest.join(first, ["src", "dst"], "left_anti"))
+    rest = cut_small(rest.join(first, ["src", "dst"], "left_anti").unionByName(probed).distinct())
     links = links.unionByName(_verified(rest, nodes, source, width, similarity))
     found = nodes.join(components(links), "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
     least = found.groupBy("component").agg(F.min("least_id").alias("least_id"))

@@ -182,3 +182,17 @@ def test_large_family_of_near_copies(spark):
     want = exact_groups(rows)
     assert 3 < len({want[i] for i in range(160)}) < 160
     assert near_groups(spark, rows) == want
+
+
+def test_near_stage_probes_fingerprints_by_the_pigeonhole(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for i in range(12):
+        text = [f"w{rng.randrange(4000)}" for _ in range(400)]
+        rows += [(2 * i, " ".join(text), "s"), (2 * i + 1, " ".join([*text, "more"]), "s")]
+    bits = [int(simhash._majorities([simhash._shingles(t, 5)], 1)[0]) for _, t, _ in rows]
+    near = {rows[k][0] for k in range(1, len(rows), 2) if (bits[k] ^ bits[k - 1]).bit_count() <= 3}
+    assert len(near) > 8
+    monkeypatch.setattr(simhash, "_buckets", lambda batches: iter(()))  # nothing comes from the shingles' prefixes
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table_of(spark, rows), "").collect()}
+    assert got == {r[0] for r in rows} - near
