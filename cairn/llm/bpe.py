@@ -192,6 +192,10 @@ class Bpe:
         self._cuts = regex.compile(rf"(?<={letter})(?={letter})|(?<={mark})(?={mark})|(?<=[0-9])(?=[0-9])", regex.V1)
         self._bytes = {x: b for b, x in enumerate(byte_letters())}
         # Two generations of at most _CACHE chunks and of at most _WORDS words: what is in use moves to the young one, the old one goes as a whole.
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the caches, as behind a task: its Python process lives on and goes to other work."""
         self._cache: dict[str, tuple[str, int, str]] = {}
         self._old: dict[str, tuple[str, int, str]] = {}
         self._known: dict[str, tuple[str, int, str]] = {}
@@ -347,10 +351,13 @@ def bpe_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         import pyarrow as pa
 
         bpe = load(path)
-        for batch in batches:
-            rows = [digests(bpe, t.as_py()) for t in batch.column(1)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for batch in batches:
+                rows = [digests(bpe, t.as_py()) for t in batch.column(1)]
+                columns = list(zip(*rows, strict=True)) or [[]] * 3
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            bpe.forget()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -363,9 +370,12 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
         import pyarrow as pa
 
         bpe = load(path)
-        for batch in batches:
-            ids = pa.array([bpe.encode(t.as_py()) for t in batch.column(1)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+        try:
+            for batch in batches:
+                ids = pa.array([bpe.encode(t.as_py()) for t in batch.column(1)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+        finally:
+            bpe.forget()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 

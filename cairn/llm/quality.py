@@ -161,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return Model().fit([np.frombuffer(r[2], np.float32).reshape(-1, N_FEATURES).astype(float) for r in rows], np.array([r[1] for r in rows]))
 
 
-def with_score(docs: DataFrame, model: Model | None, text: str = "text", score: str = "score") -> DataFrame:
+def with_score(docs: DataFrame, model: Model | None, text: str = "text", score: str = "score", rows: int = 512) -> DataFrame:
     """All columns of `docs`, and the score of the whole text: near 1 where label 1 is likelier, 1/2 without a model."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -170,10 +170,12 @@ def with_score(docs: DataFrame, model: Model | None, text: str = "text", score:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            bags = [passages(t.as_py()) for t in batch.column(at)] if model else []
-            p = model.scores(bags) if model else np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, score])
+        for whole in batches:
+            for k in range(0, whole.num_rows, rows):  # the features of few texts at once, and small batches back
+                batch = whole.slice(k, rows)
+                bags = [passages(t.as_py()) for t in batch.column(at)] if model else []
+                p = model.scores(bags) if model else np.full(batch.num_rows, 0.5)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, score])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score, DoubleType())]))
 

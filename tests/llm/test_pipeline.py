@@ -5,7 +5,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from cairn.llm import bpe, simhash
+from cairn.llm import bpe, quality, simhash
 from tests.llm.test_quality import make
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -196,3 +196,36 @@ def test_near_stage_probes_fingerprints_by_the_pigeonhole(spark, monkeypatch):
     monkeypatch.setattr(simhash, "_buckets", lambda batches: iter(()))  # nothing comes from the shingles' prefixes
     got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table_of(spark, rows), "").collect()}
     assert got == {r[0] for r in rows} - near
+
+
+class Plan:
+    """Stands for a table; mapInArrow gives the function itself."""
+
+    def __init__(self, schema):
+        self.schema, self.columns = schema, schema.names
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_tokenizer_keeps_no_words_behind_a_task(spark):
+    docs = spark.createDataFrame([(1, "some words here"), (2, None)], "doc_id long, text string")
+    batch = docs.toArrow().to_batches()
+    rows = list(bpe.bpe_digests(Plan(docs.schema), bpe.default_path())(batch))
+    assert sum(r.num_rows for r in rows) == 2 and rows[0].column(1)[0].as_py() >= 3
+    own = bpe.load(bpe.default_path())
+    assert not (own._cache or own._old or own._known or own._known_old)
+
+
+def test_scores_leave_in_small_batches(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 7)) for i in range(1300)], "doc_id long, text string")
+    model = quality.Model()
+    batches = docs.toArrow().combine_chunks().to_batches()
+    got = list(quality.with_score(Plan(docs.schema), model)(batches))
+    assert max(b.num_rows for b in got) <= 512
+    assert [i for b in got for i in b.column(0).to_pylist()] == list(range(1300))
+    want = model.scores([quality.passages(t) for b in batches for t in b.column(1).to_pylist()])
+    assert max(abs(x - y) for x, y in zip(want, [p for b in got for p in b.column(2).to_pylist()], strict=True)) < 1e-12
