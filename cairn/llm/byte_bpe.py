@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cairn.llm.bpe import byte_letters
 from cairn.llm.shared import table
 
+_WINDOW = 1 << 15
 _BLOCK = 1 << 12
-_CACHE = 1 << 16
+_CHUNKS = 1 << 16
+_WORDS = 1 << 17
 _LONGEST = 64
 
 
@@ -50,10 +52,24 @@ def serialised_model(ranks: dict[bytes, int]) -> tuple[bytes, list[int]]:
     return model.SerializeToString(), [ranks[t] for t in order]
 
 
+def _keep(cache: tuple[dict, dict], new: dict, most: int) -> tuple[dict, dict]:
+    """A cache of two generations, (young, old), with the short ones of `new`: a full young one becomes the old one."""
+    young, old = cache
+    if len(young) >= most:
+        young, old = {}, young
+    young |= new if all(len(k) <= _LONGEST for k in new) else {k: v for k, v in new.items() if len(k) <= _LONGEST}
+    return young, old
+
+
+def _joined(parts: list[tuple[str, int, bytes]]) -> tuple[str, int, bytes]:
+    return " ".join([p[0] for p in parts]), sum([p[1] for p in parts]), b"".join([p[2] for p in parts])
+
+
 class ByteBpe:
-    """Ids of texts and bytes of ids; pre-tokens of up to 64 letters are kept in two generations of bounded size."""
+    """Ids of texts and bytes of ids. `spaced` says that a match of the pattern always ends between white space and another letter before it,
+    whatever comes further on, as holds for patterns that take white space by itself or at the head of a word."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, spaced: bool = True):
         import regex
         import sentencepiece
 
@@ -67,46 +83,110 @@ class ByteBpe:
         # The inverse mapping: the pieces that the model holds, back to bytes.
         self._bytes = {rank: bytes([to_byte[x] for x in self._model.id_to_piece(k)]) for k, rank in enumerate(self._rank)}
         # A pre-token that is a token is that token, even where merges do not lead to it.
+        self._plain, self._spaced = self._rank == list(range(len(self._rank))), spaced
         whole = list(ranks)
-        merged = self._merged(whole)
+        merged = self._merged([t.decode("latin-1").translate(self._to_letters) for t in whole])
         self._whole = {t: ranks[t] for t, ids in zip(whole, merged, strict=True) if ids != [ranks[t]]}
         self.forget()
 
     def forget(self) -> None:
-        """Empties the cache, as behind a task."""
-        self._young: dict[str, tuple[str, int, bytes]] = {}
-        self._old: dict[str, tuple[str, int, bytes]] = {}
-
-    def _merged(self, parts: list[bytes]) -> list[list[int]]:
-        """Ids of byte strings by merges alone."""
-        rank, letters = self._rank, self._to_letters
-        # latin-1 gives each byte a code point, which the table turns into its letter.
-        written = [p.decode("latin-1").translate(letters) for p in parts]
-        return [[rank[k] for k in ids] for ids in self._model.encode(written, out_type=int, num_threads=1)]
-
-    def _learn(self, words: list[str]) -> dict[str, tuple[str, int, bytes]]:
-        """Ids joined by spaces, their number and what they decode to, of pre-tokens that the young cache does not have."""
-        out = {w: got for w in words if (got := self._old.get(w)) is not None}
+        """Empties the caches, as behind a task."""
+        self._chunks: tuple[dict, dict] = {}, {}
+        self._words: tuple[dict, dict] = {}, {}
+
+    def _written(self, word: str) -> str:
+        """The bytes of a pre-token as letters. Printable ASCII but the space stands for itself."""
+        if word.isascii() and word.isprintable():
+            return word.replace(" ", self._letters[32])
+        return word.encode("utf-8").decode("latin-1").translate(self._to_letters)
+
+    def _merged(self, written: list[str]) -> list[list[int]]:
+        """Ids of strings of letters by merges alone."""
+        found = self._model.encode(written, out_type=int, num_threads=1)
+        if self._plain:
+            return found
+        rank = self._rank
+        return [[rank[k] for k in ids] for ids in found]
+
+    def _of_words(self, words: set[str]) -> dict[str, tuple[str, int, bytes]]:
+        """(ids joined by spaces, their number, what they decode to) of pre-tokens."""
+        young, old = self._words
+        out = {w: got for w in words if (got := young.get(w) or old.get(w))}
         fresh = [w for w in words if w not in out]
-        parts = [w.encode("utf-8") for w in fresh]
-        for w, part, ids in zip(fresh, parts, self._merged(parts), strict=True):
-            ids = [self._whole[part]] if part in self._whole else ids
+        for w, ids in zip(fresh, self._merged([self._written(w) for w in fresh]) if fresh else (), strict=True):
+            if self._whole and (part := w.encode("utf-8")) in self._whole:
+                ids = [self._whole[part]]
             out[w] = (" ".join(map(str, ids)), len(ids), self.decode(ids))
-        for w, got in out.items():
-            if len(w) <= _LONGEST:
-                if len(self._young) >= _CACHE:
-                    self._old, self._young = self._young, {}
-                self._young[w] = got
+        self._words = _keep(self._words, out, _WORDS)
         return out
 
-    def pieces(self, text: str | None) -> Iterator[tuple[str, int, bytes]]:
-        """(ids joined by spaces, their number, what they decode to) of each pre-token, in order; a bounded number of pre-tokens is held."""
-        found = self._split.finditer(text or "")
+    def _of_chunks(self, chunks: set[str]) -> dict[str, tuple[str, int, bytes]]:
+        """The same of chunks, each behind a space, that are cut at the pattern."""
+        split = self._split.findall
+        cut = {c: split(" " + c) for c in chunks}
+        words = self._of_words({w for ws in cut.values() for w in ws})
+        out = {c: words[ws[0]] if len(ws) == 1 else _joined([words[w] for w in ws]) for c, ws in cut.items()}
+        self._chunks = _keep(self._chunks, out, _CHUNKS)
+        return out
+
+    def _matches(self, text: str) -> Iterator[tuple[str, int, bytes]]:
+        """The same of the matches of the pattern in any text, a bounded number of matches at a time."""
+        found = self._split.finditer(text)
         while words := [m[0] for m in islice(found, _BLOCK)]:
-            young = self._young
-            new = [w for w in set(words) if w not in young]
-            known = self._learn(new) if new else {}
-            yield from [known.get(w) or young[w] for w in words]
+            known = self._of_words(set(words))
+            yield _joined([known[w] for w in words])
+
+    def _between(self, chunks: list[str]) -> Iterator[tuple[str, int, bytes]]:
+        """The same of chunks that each stand behind a space; the text before them ends in no white space."""
+        young, old = self._chunks
+        got = list(map(young.get, chunks))
+        if None in got:
+            # An empty chunk, or one that ends in white space, takes what follows with it; so does a long one for memory's sake.
+            new = {c for c, g in zip(chunks, got, strict=True) if g is None and c and len(c) <= _LONGEST and not c[-1].isspace()}
+            known = {c: g for c in new if (g := old.get(c))}
+            if known:
+                self._chunks = _keep(self._chunks, known, _CHUNKS)
+            known |= self._of_chunks(new.difference(known))
+            got = [g or known.get(c) for c, g in zip(chunks, got, strict=True)]
+        at = 0
+        while None in got[at:]:
+            start = got.index(None, at)
+            if start > at:
+                yield _joined(got[at:start])
+            at = start + 1
+            while at < len(chunks) and (not chunks[at - 1] or chunks[at - 1][-1].isspace()):
+                at += 1
+            yield from self._matches(" " + " ".join(chunks[start:at]))
+        if at < len(chunks):
+            yield _joined(got[at:])
+
+    def pieces(self, text: str | None) -> Iterator[tuple[str, int, bytes]]:
+        """The document in order and in parts: (ids joined by spaces, their number, what they decode to).
+
+        Where the pattern keeps to `spaced`, windows end before a space that follows another letter than white space, and what stands between
+        such spaces is looked up as a whole.
+        """
+        text = text or ""
+        if not self._spaced:
+            yield from self._matches(text)
+            return
+        at, size = 0, len(text)
+        while at < size:
+            end = text.find(" ", at + _WINDOW)
+            while end > 0 and text[end - 1].isspace():
+                end = text.find(" ", end + 1)
+            end = size if end < 0 else end
+            window, at = text[at:end], end
+            chunks = window.split(" ")
+            first = chunks.pop(0)
+            if first:
+                k = 0
+                if first[-1].isspace():
+                    k = next((i + 1 for i, c in enumerate(chunks) if c and not c[-1].isspace()), len(chunks))
+                yield from self._matches(" ".join([first, *chunks[:k]]))
+                chunks = chunks[k:]
+            if chunks:
+                yield from self._between(chunks)
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for p in self.pieces(text) for i in p[0].split(" ")]
@@ -127,13 +207,14 @@ def load(path: str, pattern: str) -> ByteBpe:
 
 
 def digests(bpe: ByteBpe, text: str | None) -> tuple[int, str, str]:
-    """(number of tokens, SHA-256 of the ids, SHA-256 of the decoded bytes), block by block."""
+    """(number of tokens, SHA-256 of the ids, SHA-256 of the decoded bytes), part by part."""
     ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
-    parts = bpe.pieces(text)
-    while block := list(islice(parts, _BLOCK)):
-        ids.update(((" " if n else "") + " ".join([p[0] for p in block])).encode())
-        decoded.update(b"".join([p[2] for p in block]))
-        n += sum([p[1] for p in block])
+    for a, k, b in bpe.pieces(text):
+        if n:
+            ids.update(b" ")
+        ids.update(a.encode())
+        decoded.update(b)
+        n += k
     return n, ids.hexdigest(), decoded.hexdigest()
 
 
