@@ -53,11 +53,11 @@ def serialised_model(ranks: dict[bytes, int]) -> tuple[bytes, list[int]]:
 
 
 def _keep(cache: tuple[dict, dict], new: dict, most: int) -> tuple[dict, dict]:
-    """A cache of two generations, (young, old), with the short ones of `new`: a full young one becomes the old one."""
+    """A cache of two generations, (young, old), with `new`: a full young one becomes the old one."""
     young, old = cache
     if len(young) >= most:
         young, old = {}, young
-    young |= new if all(len(k) <= _LONGEST for k in new) else {k: v for k, v in new.items() if len(k) <= _LONGEST}
+    young |= new
     return young, old
 
 
@@ -113,11 +113,12 @@ class ByteBpe:
         young, old = self._words
         out = {w: got for w in words if (got := young.get(w) or old.get(w))}
         fresh = [w for w in words if w not in out]
-        for w, ids in zip(fresh, self._merged([self._written(w) for w in fresh]) if fresh else (), strict=True):
-            if self._whole and (part := w.encode("utf-8")) in self._whole:
-                ids = [self._whole[part]]
-            out[w] = (" ".join(map(str, ids)), len(ids), self.decode(ids))
-        self._words = _keep(self._words, out, _WORDS)
+        decode, whole = self.decode, self._whole
+        for w, ids in zip(fresh, self._merged(list(map(self._written, fresh))) if fresh else (), strict=True):
+            if whole and (part := w.encode("utf-8")) in whole:
+                ids = [whole[part]]
+            out[w] = (" ".join(map(str, ids)), len(ids), decode(ids))
+        self._words = _keep(self._words, out if max(map(len, out), default=0) <= _LONGEST else {w: got for w, got in out.items() if len(w) <= _LONGEST}, _WORDS)
         return out
 
     def _of_chunks(self, chunks: set[str]) -> dict[str, tuple[str, int, bytes]]:
@@ -142,12 +143,14 @@ class ByteBpe:
         got = list(map(young.get, chunks))
         if None in got:
             # An empty chunk, or one that ends in white space, takes what follows with it; so does a long one for memory's sake.
-            new = {c for c, g in zip(chunks, got, strict=True) if g is None and c and len(c) <= _LONGEST and not c[-1].isspace()}
-            known = {c: g for c in new if (g := old.get(c))}
+            gaps = [k for k, g in enumerate(got) if g is None and (c := chunks[k]) and len(c) <= _LONGEST and not c[-1].isspace()]
+            new = {chunks[k] for k in gaps}
+            known = {c: old[c] for c in new if c in old}
             if known:
                 self._chunks = _keep(self._chunks, known, _CHUNKS)
             known |= self._of_chunks(new.difference(known))
-            got = [g or known.get(c) for c, g in zip(chunks, got, strict=True)]
+            for k in gaps:
+                got[k] = known[chunks[k]]
         at = 0
         while None in got[at:]:
             start = got.index(None, at)
