@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from cairn.llm import bpe, byte_bpe, chat, exact_dedup, mixing, quality, sharding, simhash, suffix_dedup, url_filter, vector_codes, vector_dedup
+from cairn.llm import bpe, byte_bpe, chat, exact_dedup, hard_negatives, mixing, quality, sharding, simhash, suffix_dedup, url_filter, vector_codes, vector_dedup
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_quality": quality.op10_quality,
     "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_byte_bpe": byte_bpe.op13_byte_bpe,
     "chat_tool_calls": chat.chat_tool_calls,
 }
@@ -26,4 +27,5 @@ ORACLE = {
     "op5_url_filter": url_filter.ORACLE,
     "op7_vector_dedup": vector_dedup.ORACLE,
     "op11_vector_codes": vector_codes.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
