@@ -10,25 +10,16 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cairn.sources.ignore import kept
+from cairn.sources.outline import Outline, lines_of_code
 
-#: Languages by file suffix, the ones with a line-based extractor here.
+#: Languages by file suffix.
 SUFFIXES = {"py": "python", "rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "javascript", "go": "go", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "rb": "ruby", "sh": "bash", "md": "markdown", "toml": "toml", "yaml": "yaml", "yml": "yaml", "json": "json", "sql": "sql"}
 
-#: What opens a symbol, by language: kind and a pattern with its name.
-OPENERS = {
-    "python": [("class", r"^\s*class\s+(\w+)"), ("function", r"^(?:async\s+)?def\s+(\w+)"), ("method", r"^\s+(?:async\s+)?def\s+(\w+)")],
-    "rust": [("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)"), ("struct", r"^\s*(?:pub\s+)?struct\s+(\w+)"), ("trait", r"^\s*(?:pub\s+)?trait\s+(\w+)"), ("enum", r"^\s*(?:pub\s+)?enum\s+(\w+)")],
-    "go": [("method", r"^func\s+\([^)]*\)\s*(\w+)"), ("function", r"^func\s+(\w+)"), ("struct", r"^type\s+(\w+)\s+struct"), ("interface", r"^type\s+(\w+)\s+interface")],
-    "typescript": [("class", r"^\s*(?:export\s+)?(?:abstract\s+)?class\s+(\w+)"), ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)"), ("const", r"^(?:export\s+)?const\s+(\w+)")],
-    "java": [("class", r"^\s*(?:public\s+|abstract\s+|final\s+)*class\s+(\w+)"), ("interface", r"^\s*(?:public\s+)?interface\s+(\w+)")],
-}
-OPENERS["javascript"] = OPENERS["typescript"]
 IMPORTS = {
     "python": r"^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))", "rust": r"^\s*(?:pub\s+)?use\s+([\w:]+)", "go": r'^\s*(?:import\s+)?"([^"]+)"\s*$',
     "typescript": r"""^\s*(?:import|export)\b.*?['"]([^'"]+)['"]""", "java": r"^\s*import\s+(?:static\s+)?([\w.]+)",
 }
 IMPORTS["javascript"] = IMPORTS["typescript"]
-_BRANCH = re.compile(r"\b(if|elif|for|while|case|catch|except|match|when)\b|&&|\|\||\?\s|\band\b|\bor\b")
 
 
 #: File names that hold a language without a suffix.
@@ -84,66 +75,46 @@ def changed_files(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.join(known.select("path", "mtime_ns"), ["path", "mtime_ns"], "left_anti")
 
 
-def extract_symbols(text: str | None, language: str | None) -> tuple[list[dict], list[str]]:
-    """(symbols, imports) of a source text by line patterns: name, kind, lines, signature, export, owner, complexity."""
-    lines = (text or "").split("\n")
-    found: list[dict] = []
-    for n, line in enumerate(lines, 1):
-        for kind, pattern in OPENERS.get(language or "", []):
-            if m := re.match(pattern, line):
-                found.append({"name": m[1], "kind": kind, "line_start": n, "indent": len(line) - len(line.lstrip()), "signature": line.strip()[:200], "exported": bool(re.match(r"\s*(pub|export|public)\b", line)) or language == "python" and not m[1].startswith("_") or language == "go" and m[1][0].isupper()})
-                break
-    for k, s in enumerate(found):
-        later = [x["line_start"] for x in found[k + 1 :] if x["indent"] <= s["indent"]]
-        s["line_end"] = (later[0] - 1) if later else len(lines)
-        body = "\n".join(lines[s["line_start"] - 1 : s["line_end"]])
-        s["complexity"] = 1 + len(_BRANCH.findall(body)) if s["kind"] in ("function", "method") else None
-        holders = [x for x in found[:k] if x["kind"] in ("class", "struct", "trait") and x["line_start"] < s["line_start"] <= x["line_end"] and x["indent"] < s["indent"]]
-        s["owner_type"] = holders[-1]["name"] if holders else None
-    pattern = IMPORTS.get(language or "")
-    imports = [next(g for g in m.groups() if g) for line in lines if pattern and (m := re.match(pattern, line)) and any(m.groups())]
-    return found, imports
-
-
-#: Words before a bracket that are no calls.
-NO_CALLS = {"if", "elif", "for", "while", "switch", "match", "catch", "except", "return", "fn", "def", "func", "function", "class", "and", "or", "not", "in", "with", "when", "yield", "await", "assert", "lambda"}
-_CALL = re.compile(r"\b([A-Za-z_]\w*)\s*\(")
-
-
-def extract_calls(text: str | None, symbols: list[dict]) -> list[tuple[int, str]]:
-    """Distinct (number of the innermost symbol, called name) by line patterns; what opens a symbol is no call of itself."""
-    found, starts, lines = {}, {s["line_start"]: s["name"] for s in symbols}, (text or "").split("\n")
-    holder = [-1] * (len(lines) + 1)
-    for k, s in enumerate(symbols):  # inner symbols come later
-        holder[s["line_start"] : s["line_end"] + 1] = [k] * (min(s["line_end"], len(lines)) - s["line_start"] + 1)
-    for n, line in enumerate(lines, 1):
-        for name in _CALL.findall(line) if holder[n] >= 0 else ():
-            if name not in NO_CALLS and starts.get(n) != name:
-                found[holder[n], name] = None
-    return list(found)
-
-
 def tree_listing(lines: DataFrame) -> DataFrame:
     """(rev, path, blob) of the files in `mode type id<tab>path` lines (rev, line), as a recursive listing of a revision's tree has them."""
     head = F.split(F.substring_index("line", "\t", 1), " +")
     return lines.where(F.get(head, F.lit(1)) == "blob").select("rev", F.regexp_extract("line", r"^[^\t]*\t(.*)$", 1).alias("path"), F.get(head, F.lit(2)).alias("blob"))
 
 
+SYMBOL = "struct<name:string,kind:string,line_start:int,line_end:int,signature:string,is_exported:boolean,owner_type:string,complexity:int,arms:int,shape_hash:string>"
+PARSED = (
+    f"path string, language string, line_count long, symbols array<{SYMBOL}>, imports array<string>, calls array<struct<idx:int,name:string,receiver:string,line:int,depth:int>>, "
+    "relations array<struct<sub_name:string,super_name:string,kind:string,line:int>>"
+)
+
+
+def imports_of(outline: Outline) -> list[str]:
+    """Written specifiers, by line patterns over the lines that begin in code."""
+    pattern = re.compile(IMPORTS.get(outline.language) or "(?!)")
+    found = (pattern.match(line) for _, line in lines_of_code(outline))
+    return [next(g for g in m.groups() if g) for m in found if m and any(m.groups())]
+
+
 def parse(files: DataFrame) -> DataFrame:
-    """(path, language, line_count, symbols, imports, calls) of walked files: one Arrow pass, one row a file."""
-    symbol = "struct<name:string,kind:string,line_start:int,line_end:int,signature:string,is_exported:boolean,owner_type:string,complexity:int>"
+    """(path, language, line_count, symbols, imports, calls, relations) of walked files: one Arrow pass, one row a file.
+
+    All but the specifiers of imports come from the tokens, so what strings and comments hold counts for nothing. Other languages than those of
+    the outline give files without symbols.
+    """
+    fields = re.findall(r"(\w+):", SYMBOL)
 
     def run(batches):
         for pdf in batches:
-            both = [extract_symbols(t, lang) for t, lang in zip(pdf["text"], pdf["language"], strict=True)]
+            both = [Outline(t, lang) for t, lang in zip(pdf["text"], pdf["language"], strict=True)]
             pdf = pdf[["path", "language", "text"]].copy()
             pdf["line_count"] = [t.count("\n") + (0 if t.endswith("\n") else 1) for t in pdf["text"]]
-            pdf["symbols"] = [[{"name": s["name"], "kind": s["kind"], "line_start": s["line_start"], "line_end": s["line_end"], "signature": s["signature"], "is_exported": bool(s["exported"]), "owner_type": s["owner_type"], "complexity": s["complexity"]} for s in b[0]] for b in both]
-            pdf["imports"] = [b[1] for b in both]
-            pdf["calls"] = [[{"idx": k, "name": name} for k, name in extract_calls(t, b[0])] for t, b in zip(pdf["text"], both, strict=True)]
+            pdf["symbols"] = [[{f: s[f] for f in fields} for s in o.symbols] for o in both]
+            pdf["imports"] = [imports_of(o) for o in both]
+            pdf["calls"] = [o.calls if o.symbols else [] for o in both]
+            pdf["relations"] = [[dict(zip(("sub_name", "super_name", "kind", "line"), r, strict=True)) for r in o.relations] for o in both]
             yield pdf.drop(columns=["text"])
 
-    return files.select("path", "language", "text").mapInPandas(run, f"path string, language string, line_count long, symbols array<{symbol}>, imports array<string>, calls array<struct<idx:int,name:string>>")
+    return files.select("path", "language", "text").mapInPandas(run, PARSED)
 
 
 def boundary_rules(toml: str) -> list[dict]:

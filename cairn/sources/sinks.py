@@ -68,6 +68,20 @@ def delete_files(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, Dat
     return out
 
 
+def clear_content(tables: dict[str, DataFrame], files: DataFrame) -> dict[str, DataFrame]:
+    """All tables without what the files (id) hold: symbols, call sites, relations, their import edges, and references from or to their symbols. The files stay."""
+    file_id = files.select(F.col("id").alias("_gone")).distinct()
+    out = dict(tables)
+    for name, column in (("symbols", "file_id"), ("sites", "file_id"), ("relations", "file_id"), ("edges", "from_file")):
+        if name in out:
+            out[name] = out[name].join(file_id, F.col(column) == F.col("_gone"), "left_anti")
+    if "refs" in out:
+        gone = tables["symbols"].join(file_id, F.col("file_id") == F.col("_gone"), "left_semi").select(F.col("id").alias("_symbol"))
+        for c in ("from_symbol_id", "to_symbol_id"):
+            out["refs"] = out["refs"].join(gone, F.col(c) == F.col("_symbol"), "left_anti")
+    return out
+
+
 def under_prefix(files: DataFrame, prefix: str) -> DataFrame:
     """Files below a root alias, whatever wild cards its name holds."""
     return files.where(F.col("path").startswith(prefix.rstrip("/") + "/"))

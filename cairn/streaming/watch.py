@@ -1,12 +1,14 @@
 """Incremental maintenance by Structured Streaming: file events in, tables kept up to date.
 
 Events (root, path, op, event_time) are coalesced per batch and root: a path both changed and deleted counts as
-changed. Each batch rewrites a versioned snapshot, named by its batch number, so a batch that runs twice
-writes the same version twice.
+changed. Each batch writes a new version behind the last one. A version counts once its mark is there, which names the
+stream and its batch: a batch that runs twice is written once, and a stream over a new checkpoint goes on where the last one ended.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 EVENTS = "root string, path string, op string, event_time timestamp"
@@ -25,38 +27,78 @@ def apply_events(snapshot: DataFrame, events: DataFrame) -> DataFrame:
     return kept.unionByName(now.where("op = 'changed'").select("root", "path", "last_seen"))
 
 
-def versions(spark: SparkSession, folder: str) -> list[int]:
-    """Batch numbers of the snapshots in the folder, by Spark's own file system."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
+def _folder(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def committed(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """(version, mark) of the versions that count, by Spark's own file system."""
+    fs, path = _folder(spark, folder)
+    if not fs.exists(path):
         return []
-    names = [s.getPath().getName() for s in fs.listStatus(fs_path)]
-    return sorted(int(n[8:]) for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
+    out = []
+    for status in fs.listStatus(path):
+        name = status.getPath().getName()
+        marks = [f.getPath().getName() for f in fs.listStatus(status.getPath())] if name.startswith("version=") else []
+        out += [(int(name[8:]), m[8:]) for m in marks if m.startswith("_marked.")]
+    return sorted(out)
+
+
+def commit(spark: SparkSession, folder: str, version: int, mark: str) -> None:
+    """Makes a written version count; the mark appears as a whole or not at all."""
+    fs, path = _folder(spark, f"{folder}/version={version}/_marked.{mark}")
+    fs.create(path, True).close()
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    return [v for v, _ in committed(spark, folder)]
 
 
-def load_snapshot(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
-    """The last snapshot, or the last before a batch number; empty at first."""
-    known = [v for v in versions(spark, folder) if before is None or v < before]
+def load_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The last snapshot; empty at first."""
+    known = versions(spark, folder)
     if not known:
         return spark.createDataFrame([], "root string, path string, last_seen timestamp")
     return spark.read.parquet(f"{folder}/version={known[-1]}")
 
 
-def maintain(events: DataFrame, folder: str, checkpoint: str, on_batch=None, trigger: dict | None = None):
-    """Starts the stream: each batch becomes the snapshot `version=<batch>`; on_batch(snapshot, changed, batch) then runs, for example to refresh ranks."""
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark has given the stream of this checkpoint; a new checkpoint has a new one."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def in_versions(events: DataFrame, folder: str, checkpoint: str, write, after=None, trigger: dict | None = None):
+    """Starts a stream that makes a version of each batch: write(batch, path of the version) unless it is there already, then after(batch, number)."""
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        mark = f"{stream_id(spark, checkpoint)}-{number}"
+        done = committed(spark, folder)
         batch = batch.persist()
-        apply_events(load_snapshot(spark, folder, number), batch).write.mode("overwrite").parquet(f"{folder}/version={number}")
-        if on_batch is not None:
-            on_batch(load_snapshot(spark, folder), coalesce_events(batch), number)
+        if mark not in {m for _, m in done}:
+            version = done[-1][0] + 1 if done else 0
+            write(batch, f"{folder}/version={version}")
+            commit(spark, folder, version, mark)
+        if after is not None:
+            after(batch, number)
         batch.unpersist()
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def maintain(events: DataFrame, folder: str, checkpoint: str, on_batch=None, trigger: dict | None = None):
+    """Starts the stream of snapshots; on_batch(snapshot, changed, batch) runs behind each, for example to refresh ranks."""
+
+    def write(batch: DataFrame, path: str) -> None:
+        apply_events(load_snapshot(batch.sparkSession, folder), batch).write.mode("overwrite").parquet(path)
+
+    def after(batch: DataFrame, number: int) -> None:
+        on_batch(load_snapshot(batch.sparkSession, folder), coalesce_events(batch), number)
+
+    return in_versions(events, folder, checkpoint, write, after if on_batch is not None else None, trigger)
+
+
 def bursts(events: DataFrame, quiet: str = "500 milliseconds", late: str = "10 minutes") -> DataFrame:
     """Bursts of events of a root, ended by a quiet time: (root, start, end, n)."""
     return events.withWatermark("event_time", late).groupBy("root", F.session_window("event_time", quiet).alias("w")).agg(F.count("*").alias("n")).select("root", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")

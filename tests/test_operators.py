@@ -120,7 +120,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [r.language for r in found.collect()] == ["python"]
     row = files.parse(found).first()
     assert row.imports == ["os"] and row.line_count == 8
-    assert [(s.name, s.kind, s.line_start, s.line_end, s.owner_type, s.complexity) for s in row.symbols] == [("A", "class", 2, 6, None, None), ("f", "method", 3, 6, "A", 2), ("_g", "function", 7, 9, None, 1)]
+    assert [(s.name, s.kind, s.line_start, s.line_end, s.owner_type, s.complexity) for s in row.symbols] == [("A", "class", 2, 5, None, None), ("f", "method", 3, 5, "A", 2), ("_g", "function", 7, 8, None, 1)]
     assert files.changed_files(found, found).count() == 0
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id long, path string, mtime_ns long")
     new = spark.createDataFrame([(0, "b", 2), (0, "c", 2)], "id long, path string, mtime_ns long")
@@ -143,6 +143,8 @@ def test_streaming_matches_a_batch(spark, tmp_path):
         if k == 0:
             first = watch.load_snapshot(spark, f"{tmp_path}/out")
             assert sorted((r.root, r.path) for r in first.collect()) == [("r", "a"), ("r", "b")]
+    second = watch.load_snapshot(spark, f"{tmp_path}/out")
+    assert sorted((r.root, r.path) for r in second.collect()) == [("q", "c"), ("r", "b")] and watch.versions(spark, f"{tmp_path}/out") == [0, 1]
     batch = watch.apply_events(watch.apply_events(first.limit(0), spark.createDataFrame(rows, watch.EVENTS)), spark.createDataFrame(later, watch.EVENTS))
     assert sorted((r.root, r.path) for r in batch.collect()) == [("q", "c"), ("r", "b")] and seen == [3, 2]
     due = watch.Cadence()
