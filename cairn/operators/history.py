@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cairn.operators.graph import reach
+from cairn.operators.tables import containing
 
 
 def co_change_pairs(commits: DataFrame, files: DataFrame | None = None, least: int = 2, most: int = 20) -> DataFrame:
@@ -67,11 +68,20 @@ def author_rollup(hunks: DataFrame) -> DataFrame:
 
 
 def blame_of_span(hunks: DataFrame, spans: DataFrame) -> DataFrame:
-    """(id, author, lines, share): lines of each span (path, id, start, end) by author, over hunks (path, author, line_start, line_count)."""
-    hit = hunks.join(spans, "path").where("line_start <= end and line_start + line_count > start")
-    lines = F.least(F.col("line_start") + F.col("line_count") - 1, "end") - F.greatest("line_start", "start") + 1
-    own = hit.groupBy("id", "author").agg(F.sum(lines).alias("lines"))
-    return own.withColumn("share", F.col("lines") * 100.0 / F.sum("lines").over(W.partitionBy("id")))
+    """(id, author, lines, share): lines of each span (path, id, start, end) by author, over hunks (path, author, line_start, line_count).
+
+    Two stretches share lines if the first line of one lies in the other, so hunks and spans meet where they overlap and nowhere else.
+    """
+    own = hunks.where("line_count > 0").select("path", "author", F.col("line_start").cast("long").alias("start"), (F.col("line_start") + F.col("line_count") - 1).cast("long").alias("end"))
+    own = own.groupBy("path", "author", "start", "end").agg(F.count("*").alias("times"))
+    spans = spans.select("path", "id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    begun = own.select("path", F.col("start").alias("at"), "author", F.col("end").alias("hunk_end"), "times")
+    inside = containing(begun, spans, "path").join(begun, ["path", "at"]).select("id", "author", (F.least("end", "hunk_end") - F.col("at") + 1).alias("n"), "times")
+    first = spans.select("path", F.col("start").alias("at"), "id", F.col("end").alias("span_end"))
+    around = containing(first, own.select("path", F.struct("author", "times").alias("id"), "start", "end"), "path").where("start < at").withColumnRenamed("id", "hunk")
+    around = around.join(first, ["path", "at"]).where("span_end >= at").select("id", "hunk.author", (F.least("end", "span_end") - F.col("at") + 1).alias("n"), "hunk.times")
+    lines = inside.unionByName(around).groupBy("id", "author").agg(F.sum(F.col("n") * F.col("times")).alias("lines"))
+    return lines.withColumn("share", F.col("lines") * 100.0 / F.sum("lines").over(W.partitionBy("id")))
 
 
 def trend(points: DataFrame) -> DataFrame:

@@ -106,10 +106,42 @@ def common_traits(members: DataFrame, traits: DataFrame, group: str = "shape_has
     return own.join(size, group).where("_n = _size").select(group, "trait")
 
 
+def _cells(spans: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """(spans with level and cell, the highest level): each span (start..end) is cut into the largest aligned cells of 2^level places, two a level at most."""
+    longest = spans.agg(F.max(F.col("end") - F.col("start") + 1)).first()[0] or 1  # one number
+    top = max(0, int(longest).bit_length() - 1)
+    start, end, level = F.col("start").cast("long"), F.col("end").cast("long") + 1, F.col("level")
+    rows = spans.where(f"`{key}` is not null and start <= end").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    rows = rows.withColumn("_size", F.expr("shiftleft(1L, level)")).withColumn("_lo", -F.floor(-start / F.col("_size"))).withColumn("_hi", F.floor(end / F.col("_size")))
+    odd, even = F.when(F.col("_lo") % 2 != 0, F.col("_lo")), F.when((F.col("_hi") - 1) % 2 == 0, F.col("_hi") - 1)
+    cells = F.array_distinct(F.filter(F.array(odd, even), lambda c: c.isNotNull()))
+    return rows.where("_lo < _hi").withColumn("cell", F.explode(cells)).drop("_size", "_lo", "_hi"), top
+
+
+def _looked_up(points: DataFrame, key: str, top: int) -> DataFrame:
+    """Distinct points (key, at) with the cell of each level that holds them."""
+    rows = points.select(key, "at").where(f"`{key}` is not null and at is not null").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    return rows.withColumn("cell", F.floor(F.col("at") / F.expr("shiftleft(1L, level)")))
+
+
+def containing(points: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """(key, at, id, start, end): each place (key, at) with every span (key, id, start, end) that holds it, both ends included; places count once.
+
+    Spans and points meet by equal cells, and the cells of a span lie apart, so each pair that meets is one of the result.
+    """
+    cells, top = _cells(spans.select(key, "id", "start", "end"), key)
+    return _looked_up(points, key, top).join(cells, [key, "level", "cell"]).select(key, "at", "id", "start", "end")
+
+
 def innermost(points: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """Each point (key, at) with the span (key, id, start, end) of the greatest start that holds it."""
-    hit = points.join(spans, key).where("start <= at and at <= end")
-    return hit.groupBy(*points.columns).agg(F.max_by("id", F.struct("start", F.col("id"))).alias("span_id"))
+    """Each point (key, at) with the span (key, id, start, end) of the greatest start that holds it, of several the one of the greatest id.
+
+    A cell keeps only its best span, so a point meets one row a level, however many spans are nested around it.
+    """
+    cells, top = _cells(spans.select(key, "id", "start", "end"), key)
+    best = cells.groupBy(key, "level", "cell").agg(F.max(F.struct("start", "id")).alias("best"))
+    found = _looked_up(points, key, top).join(best, [key, "level", "cell"]).groupBy(key, "at").agg(F.max("best").alias("best"))
+    return points.join(found, [key, "at"]).select(*points.columns, F.col("best.id").alias("span_id")).distinct()
 
 
 def partners(co_changes: DataFrame, target: int, limit: int) -> DataFrame:
