@@ -1,13 +1,20 @@
-"""Cutting lineage in the folder that all executors share."""
+"""The folder that all executors share, and cutting lineage in it."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session, else the context's checkpoint folder. Where neither is set, only a local master gets a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all machines share")
+    spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    return "/tmp/checkpoints"
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the folder of spark.checkpoint.dir. Where the session names none, only a local master gets a folder of its own."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all machines share")
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    """`df`, computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

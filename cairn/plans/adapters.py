@@ -6,12 +6,17 @@ blame; parts, suppliers, nations and regions for a layered import graph; events
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from cairn.functions import scalar as X
-from cairn.operators import history
+from cairn.functions.session import shared_folder
+from cairn.operators import history, text_index
+
+
+_indexes: dict[tuple[str, str], str] = {}
 
 
 class Tables:
@@ -68,6 +73,16 @@ class Tables:
         lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
         return self.raw("documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("file_id"), F.lit(1).cast("long").alias("line_start"), lines.alias("line_end"), F.explode(F.array(X.shape(F.col("text")))).alias("shape_hash"))
 
+    @property
+    def text_index(self) -> str:
+        """The folder of the stored index of all documents, built once for a running application."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _indexes:
+            folder = f"{shared_folder(self.spark)}/text-index-{uuid.uuid4().hex}"
+            text_index.build(self.raw("documents").select(F.col("doc_id").alias("id"), "text"), folder)
+            _indexes[key] = folder
+        return _indexes[key]
+
     @cached_property
     def commits(self) -> DataFrame:
         return self.raw("lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("file"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from cairn.functions import scalar as X
-from cairn.operators import graph, history, resolve, rules, scores, search, tables as T
+from cairn.operators import graph, history, resolve, rules, scores, search, tables as T, text_index
 from cairn.plans.adapters import SQL, Tables
 from cairn.sources import sinks
 from cairn.streaming import watch
@@ -388,12 +388,22 @@ WORDS = ", w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(te
 
 @query(WORDS + ", c AS (SELECT id, len(w) AS l, len(list_filter(w, lambda x: x = 'that')) AS t0, len(list_filter(w, lambda x: x = 'with')) AS t1 FROM w), s AS (SELECT count(*) AS n, avg(l) AS m, sum((t0 > 0)::INT) AS d0, sum((t1 > 0)::INT) AS d1 FROM c) SELECT id, round(ln(1 + (n - d0 + 0.5::DOUBLE) / (d0 + 0.5::DOUBLE)) * t0 * 2.2::DOUBLE / (t0 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / m)) + ln(1 + (n - d1 + 0.5::DOUBLE) / (d1 + 0.5::DOUBLE)) * t1 * 2.2::DOUBLE / (t1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / m)), 6) AS score FROM c, s WHERE t0 > 0 OR t1 > 0 ORDER BY 2 DESC, id LIMIT 20")
 def fts_search(t):
-    return T.page(search.bm25(_bodies(t), ["that", "with"], 0).withColumn("score", r("score")), [F.desc("score"), "id"], 20)
+    return text_index.top(t.spark, t.text_index, ["that", "with"], 20, 6)
 
 
 @query(WORDS + " SELECT id FROM w WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' of the ')")
 def phrase_search(t):
-    return search.phrase_search(_bodies(t), ["of", "the"])
+    return text_index.phrase(t.spark, t.text_index, ["of", "the"]).select("id")
+
+
+@query(WORDS + ", p AS (SELECT id, list_filter(range(1, len(w)), lambda i: w[i] = 'that' AND w[i + 1] = 'the' AND w[i + 2] = 'the') AS s FROM w) SELECT id, len(s) AS n FROM p WHERE len(s) > 0")
+def phrase_counts(t):
+    return text_index.phrase(t.spark, t.text_index, ["that", "the", "the"]).withColumn("n", F.col("n").cast("long"))
+
+
+@query(WORDS + ", u AS (SELECT DISTINCT id, unnest(w) AS term FROM w) SELECT term, count(*) AS df FROM u WHERE starts_with(term, 'wi') GROUP BY 1")
+def index_terms(t):
+    return text_index.terms_with(t.spark, t.text_index, "wi")
 
 
 @query(WORDS + ", u AS (SELECT id, unnest(w) AS term FROM w) SELECT term, count(*) AS n, count(DISTINCT id) AS df FROM u GROUP BY 1")
@@ -424,11 +434,11 @@ def vector_topk(t):
     return search.vector_top(*_vectors(t), 20).withColumn("cosine", r("cosine"))
 
 
-@query(VEC + ", a AS (SELECT id, row_number() OVER (ORDER BY round(cosine, 9) DESC, id) AS rank FROM k ORDER BY 2 LIMIT 60), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE contains(text, 'there') ORDER BY 2 LIMIT 60) SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (FROM a UNION ALL FROM b) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+@query(VEC + ", a AS (SELECT id, row_number() OVER (ORDER BY round(cosine, 9) DESC, id) AS rank FROM k ORDER BY 2 LIMIT 60), c AS (SELECT doc_id AS id, len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS l, len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x = 'there')) AS tf FROM documents), s AS (SELECT count(*) AS n, avg(l) AS m, sum((tf > 0)::INT) AS df FROM c), h AS (SELECT id, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / m)), 6) AS score FROM c, s WHERE tf > 0), b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM h ORDER BY 2 LIMIT 60) SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (FROM a UNION ALL FROM b) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 def rrf_hybrid(t):
     a = search.ranked(search.vector_top(*_vectors(t), 60), [F.desc(F.round("cosine", 9)), "id"])
-    b = T.page(t.raw("documents").where(F.col("text").contains("there")).select(F.col("doc_id").alias("id"), "n_chars"), [F.desc("n_chars"), "id"], 60)
-    return search.rrf([a, search.ranked(b, [F.desc("n_chars"), "id"])], 20).withColumn("score", r("score", 9))
+    b = text_index.top(t.spark, t.text_index, ["there"], 60, 6)
+    return search.rrf([a, search.ranked(b, [F.desc("score"), "id"])], 20).withColumn("score", r("score", 9))
 
 
 CUSTOM = [("LIC001", "licence", "low", "licence", r"(?i)licensed under [A-Za-z0-9. -]+", None), ("PII001", "mail", "high", "pii", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+", None)]
