@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.functions import scalar as X
 from cairn.operators.graph import reach, reverse
 from cairn.operators.tables import page
+from cairn.sources.lexer import tokens
 
 #: Weights of severities.
 SEVERITY = {"low": 1, "medium": 2, "high": 4, "critical": 8}
@@ -33,6 +37,13 @@ NARROWED = {
     "SEC004": r'(?i)(Command::new(?!\s*\(\s*"(?!([^"]*[/\\])?(sh|bash|zsh|fish|dash|ksh|cmd(\.exe)?|powershell(\.exe)?|pwsh(\.exe)?)")[^"{]*"\s*\))|\bsubprocess[.(]|os\.system|exec\(|eval\()',
     "SEC007": r"(?<!xmlns[=:][^\n]{0,25})http://(?!localhost|127\.|0\.0\.0\.0|www\.w3\.org)(?=[a-zA-Z][a-zA-Z0-9\-]*\.)[a-zA-Z][a-zA-Z0-9.\-]+",
 }
+#: Macros that take a path in when the program is built, and methods that only look at the shape of one.
+EMBEDS = ["include_str", "include_bytes", "concat"]
+SHAPE_CHECKS = ["starts_with", "ends_with", "contains", "split", "split_terminator"]
+#: Attributes of test functions, up to this many lines above them; what a line says that expects an error, up to so many lines around a finding.
+TEST_ATTRIBUTE = r"^\s*#!?\[(?:[^\]]*,\s*)?(?:\w+::)*(?:test|rstest|proptest|test_case)\s*[\](,]|^\s*#!?\[cfg(?:_attr)?\(.*\btest\b"
+ERROR_EXPECTED = r"^(?!\s*(?://|/\*|\*)).*(?:\.is_err\(\)|\.unwrap_err\(\)|\.expect_err\(|assert_err!\()|^(?!\s*(?://|/\*|\*))(?=.*assert_matches!)(?=.*Err\()|^(?!\s*(?://|/\*|\*))(?=.*assert!\()(?=.*matches!)(?=.*Err\()"
+ATTRIBUTE_LINES, EXPECTED_LINES = 5, 10
 #: Rules that report exported symbols only.
 EXPORTED_ONLY = ["SEC009", "SEC012"]
 
@@ -43,6 +54,50 @@ def active_rules(custom: list[tuple] = (), disable: list[str] = ()) -> list[tupl
     return [r for r in [*[r for r in BUILTIN if r[0] not in own], *custom] if r[0] not in set(disable)]
 
 
+def unsafe_at(text: str, language: str | None) -> int:
+    """Where the word `unsafe` first stands in code, from 1; 0 if only strings and comments hold it."""
+    return next((t.at + 1 for t in tokens(text, language) if t.kind == "name" and t.text == "unsafe"), 0)
+
+
+def traversal_at(text: str, language: str | None) -> int:
+    """Where `../` first stands, from 1, unless in a string that a built-in embed or a check of a path's shape takes; 0 if nowhere."""
+    calls, last, benign = [], ("", ""), []
+    for t in tokens(text, language):
+        if t.kind == "open":
+            calls.append(last[0] == "!" and last[1] in EMBEDS or last[1] == "." and last[0] in SHAPE_CHECKS)
+        elif t.kind == "close" and calls:
+            calls.pop()
+        elif t.kind == "string" and calls and calls[-1]:
+            benign.append((t.at, t.at + len(t.text)))
+        if t.kind != "comment":
+            last = (t.text, last[0])
+    found = (m.start() for m in re.finditer(r"\.\./", text))
+    return next((at + 1 for at in found if not any(a <= at < z for a, z in benign)), 0)
+
+
+#: Built-in rules whose first match is looked for among tokens, where the pattern matches at all.
+CONTEXTS = {"SEC005": traversal_at, "SEC008": unsafe_at}
+
+
+def _in_context(rule: str, text: Column, language: Column) -> Column:
+    find = CONTEXTS[rule]
+
+    @F.pandas_udf("int")
+    def run(texts: pd.Series, languages: pd.Series) -> pd.Series:
+        return pd.Series([find(t, lang) if t is not None else 0 for t, lang in zip(texts, languages, strict=True)], dtype="int32")
+
+    return run(text, language)
+
+
+def _expects_error(line: Column) -> Column:
+    """Whether the body (text) of a test function (after the lines `above`) expects an error near the line; Rust only."""
+    near = F.slice(F.split("text", "\n"), F.greatest(F.lit(1), line - EXPECTED_LINES), F.least(line, F.lit(EXPECTED_LINES + 1)) + EXPECTED_LINES)
+    before = F.split(F.rtrim(F.col("above")), "\n")
+    before = F.slice(before, F.greatest(F.lit(1), F.size(before) - ATTRIBUTE_LINES + 1), F.lit(ATTRIBUTE_LINES))
+    marked = F.exists(before, lambda x: x.rlike(TEST_ATTRIBUTE))
+    return (F.col("language") == "rust") & F.coalesce(marked, F.lit(False)) & F.exists(near, lambda x: x.rlike(ERROR_EXPECTED))
+
+
 def _found(facts: list):
     return lambda at: F.when(at > 0, F.struct(*facts, (at - 1).alias("at")))
 
@@ -50,9 +105,11 @@ def _found(facts: list):
 def scan(bodies: DataFrame, rules: list[tuple], min_severity: str = "low", narrowed: bool = True) -> DataFrame:
     """(id, rule, severity, category, line, snippet, risk) of the first match of each rule in each body; with `narrowed`, of the first that is not benign.
 
-    bodies: id, language, pagerank, is_exported, text. Rules are configuration, so each is an expression and the table is read once.
+    bodies: id, language, pagerank, is_exported, text. Rules are configuration, so each is an expression and the table is read once. With a column `above`, the
+    lines before the body, `narrowed` also leaves out what stands beside an expected error in a test function.
     """
     hits = []
+    builtin = {r[0]: r[4] for r in BUILTIN}
     for rule, _, severity, category, pattern, languages in rules:
         if SEVERITY[severity] < SEVERITY[min_severity]:
             continue
@@ -64,12 +121,18 @@ def scan(bodies: DataFrame, rules: list[tuple], min_severity: str = "low", narro
         if rule in EXPORTED_ONLY:
             fits = fits & F.col("is_exported")
         at = F.when(fits, F.regexp_instr("text", F.lit(f"(?-s:{pattern})")))
+        if narrowed and rule in CONTEXTS and builtin.get(rule) == pattern:
+            # Only bodies with a match travel to Python.
+            bodies = bodies.withColumn(f"_{rule}", _in_context(rule, F.when(at > 0, F.col("text")), F.col("language")))
+            at = F.col(f"_{rule}")
         facts = [F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(SEVERITY[severity]).alias("weight")]
         hits.append(F.get(F.transform(F.array(at), _found(facts)), F.lit(0)))
     rows = bodies.withColumn("hit", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())))
     head = F.expr("substring(text, 1, hit.at)")
     line = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
     snippet = F.substring(F.trim(F.element_at(F.split("text", "\n"), line)), 1, 120)
+    if narrowed and "above" in bodies.columns:
+        rows = rows.where(~_expects_error(line))
     risk = F.col("hit.weight") * F.col("pagerank") * (1 + F.col("is_exported").cast("int"))
     return rows.select("id", "hit.rule", "hit.severity", "hit.category", line.alias("line"), snippet.alias("snippet"), risk.alias("risk"))
 

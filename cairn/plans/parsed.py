@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.operators import graph, scores
+from cairn.operators import graph, rules, scores
 from cairn.plans.catalogue import query
 from cairn.sources import files as sources, lexer
 from cairn.sources.ingest import call_sites, symbol_rows, type_relations
@@ -100,6 +100,30 @@ def god_functions_by_arms(t):
     return scores.god_functions(rows, 2, 9).select("path", "name", "complexity", "label")
 
 
+#: (lines above, body): real and benign matches of two rules.
+BODIES = [
+    ("", "fn a() {\n  /* unsafe */ unsafe { go(); }\n}"), ("", 'fn a() {\n  // unsafe\n  let s = "unsafe {\nunsafe"; }'), ("", 'fn a() { let p = include_str!("../x.sql"); }'),
+    ("", 'fn a() {\n  if p.starts_with("../") { }\n  open("../y");\n}'), ("", 'fn a() { concat!("x"); open(p, "a../b"); }'), ("#[tokio::test]\n", 'fn t() {\n  open("../z");\n  assert!(run().is_err());\n}'),
+    ("#[inline]\n", 'fn t() {\n  open("../z");\n  assert!(run().is_err());\n}'),
+]
+
+
+@query(", x(v, rule, line) AS (VALUES (0, 'SEC008', 2), (3, 'SEC005', 3), (4, 'SEC005', 1), (6, 'SEC005', 2)) SELECT p_partkey AS id, rule, line FROM part JOIN x ON p_partkey % 7 = v")
+def rule_contexts(t):
+    """Matches that stand in code, not in strings, comments, embeds, checks or beside expected errors."""
+    kind = (F.col("p_partkey") % len(BODIES) + 1).cast("int")
+    above, text = (F.element_at(F.array(*[F.lit(b[k]) for b in BODIES]), kind) for k in range(2))
+    rows = t.raw("part").select(F.col("p_partkey").alias("id"), F.lit("rust").alias("language"), F.lit(0.1).alias("pagerank"), F.lit(True).alias("is_exported"), text.alias("text"), above.alias("above"))
+    return rules.scan(rows, [x for x in rules.BUILTIN if x[0] in rules.CONTEXTS]).select("id", "rule", "line")
+
+
+@query(GEN + ", s AS (SELECT k, l, a, 'run' AS kind FROM g UNION ALL SELECT k, l, a, 'type' FROM g WHERE l > 0) SELECT language, count(*) AS places FROM (SELECT *, ['rust', 'typescript', 'python', 'go', 'java'][l + 1] AS language FROM s) GROUP BY language, kind, CASE WHEN kind = 'type' AND l = 3 THEN 0 ELSE a END HAVING count(*) >= 2")
+def clone_groups_by_tokens(t):
+    """Groups of symbols of three lines or more with one skeleton, whatever their names, literals and comments."""
+    rows = parsed_files(t).select("language", F.explode("symbols").alias("s")).where("s.shape_hash is not null")
+    return rows.groupBy("language", "s.shape_hash").agg(F.count("*").alias("places")).where("places >= 2").select("language", "places")
+
+
 #: The lexer's pattern of plain text for an engine whose classes are ASCII only.
 PLAIN = r"""//[^\n]*|/\*(?:[\s\S]*?\*/|[\s\S]*)|"(?:[^"\\\n]|\\[\s\S])*"|''(?:[^''\\\n]|\\[\s\S])*''|`[^`]*`|[\p{L}\p{Nl}\p{No}_][\p{L}\p{N}_]*|\p{Nd}[\p{L}\p{N}_]*(?:\.\p{Nd}[\p{L}\p{N}_]*)*|=>|->|::|:=|==|!=|<=|>=|&&|\|\||\?\?|\?\.|[^\p{L}\p{N}_\p{Z}\x{85}\t-\r\x1c-\x1f]"""
 
