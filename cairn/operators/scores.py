@@ -61,19 +61,29 @@ def long_parameters(symbols: DataFrame, least: int = 5) -> DataFrame:
     return rows.withColumn("parameters", X.parameter_counts(F.col("signature"))).where(F.col("parameters") >= least)
 
 
-def feature_envy(symbols: DataFrame, refs: DataFrame, ratio: float = 2.0, least: int = 2) -> DataFrame:
-    """Methods that call methods of another owner `ratio` times as often as their own: (id, envied, external, own, ratio)."""
+def feature_envy(symbols: DataFrame, refs: DataFrame, ratio: float = 2.0, least: int = 2, dispatch: bool = True, shared: int = 3, fan_out: int = 5, share: float = 0.8) -> DataFrame:
+    """Methods that call methods of another owner `ratio` times as often as their own: (id, envied, external, own, ratio), one row an envied owner.
+
+    With `dispatch`, a call to a method name that `shared` owners or more have may go to any of them: an owner goes whose calls but one at most are such, and so
+    does a caller with `fan_out` owners or more of whose calls this share is such.
+    """
     if not 0 < ratio < float("inf"):
         raise ValueError("ratio must be positive and finite")
     source = symbols.where("kind = 'method' and owner_type is not null").where(~X.is_service_like(F.col("owner_type"))).select(F.col("id").alias("from_symbol_id"), F.col("owner_type").alias("owner"))
-    target = symbols.where("owner_type is not null").where(X.has_self_receiver(F.col("signature"))).select(F.col("id").alias("to_symbol_id"), F.col("owner_type").alias("other"))
-    calls = refs.where("kind = 'call'").join(source, "from_symbol_id").join(target, "to_symbol_id").groupBy("from_symbol_id", "owner", "other").agg(F.count("*").alias("n"))
-    of = W.partitionBy("from_symbol_id")
-    calls = calls.withColumn("own", F.coalesce(F.sum(F.when(F.col("owner") == F.col("other"), F.col("n"))).over(of), F.lit(0)))
-    out = calls.where("owner <> other").withColumn("ratio", F.when(F.col("own") == 0, F.col("n").cast("double")).otherwise(F.col("n") / F.col("own")))
+    target = symbols.where("owner_type is not null").where(X.has_self_receiver(F.col("signature"))).select(F.col("id").alias("to_symbol_id"), F.col("owner_type").alias("other"), F.col("name").alias("method"))
+    owners = symbols.where("owner_type is not null").select("name", "owner_type").distinct().groupBy(F.col("name").alias("method")).agg(F.count("*").alias("owners")).where(F.col("owners") >= shared)
+    target = target.join(owners, "method", "left")
+    calls = refs.where("kind = 'call'").join(source, "from_symbol_id").join(target, "to_symbol_id").groupBy("from_symbol_id", "owner", "other")
+    calls = calls.agg(F.count("*").alias("n"), F.count("owners").alias("any_of"))
+    of, foreign = W.partitionBy("from_symbol_id"), F.col("owner") != F.col("other")
+    total = lambda c: F.coalesce(F.sum(F.when(foreign, c)).over(of), F.lit(0))
+    calls = calls.withColumn("own", F.coalesce(F.sum(F.when(~foreign, F.col("n"))).over(of), F.lit(0)))
+    calls = calls.withColumn("spread", (total(F.lit(1)) >= fan_out) & (total(F.col("any_of")) >= share * total(F.col("n"))))
+    out = calls.where(foreign).withColumn("ratio", F.when(F.col("own") == 0, F.col("n").cast("double")).otherwise(F.col("n") / F.col("own")))
+    if dispatch:
+        out = out.where(~F.col("spread") & (F.col("any_of") + 1 < F.col("n")))
     out = out.where((F.col("ratio") >= ratio) & (F.col("n") >= least))
-    first = F.row_number().over(of.orderBy(F.desc("n"), "other"))
-    return out.withColumn("_n", first).where("_n = 1").select(F.col("from_symbol_id").alias("id"), F.col("other").alias("envied"), F.col("n").alias("external"), "own", "ratio")
+    return out.select(F.col("from_symbol_id").alias("id"), F.col("other").alias("envied"), F.col("n").alias("external"), "own", "ratio")
 
 
 def health_report(files: DataFrame, symbols: DataFrame, smells: DataFrame, min_cc: int = 15, max_health: float = 5.0) -> DataFrame:

@@ -265,7 +265,24 @@ def long_parameters(t):
 
 @query(", c AS (SELECT from_symbol_id AS id, s.owner_type AS owner, x.owner_type AS other, count(*) AS n FROM refs r JOIN symbols s ON s.id = from_symbol_id JOIN symbols x ON x.id = to_symbol_id WHERE r.kind = 'call' AND s.kind = 'method' AND x.kind = 'method' GROUP BY 1, 2, 3) SELECT id, other AS envied, n AS external, 0::BIGINT AS own, n::DOUBLE AS ratio FROM c WHERE owner <> other AND n >= 1")
 def feature_envy(t):
-    return scores.feature_envy(t.symbols, t.refs, ratio=0.5, least=1)
+    return scores.feature_envy(t.symbols, t.refs, ratio=0.5, least=1, dispatch=False)
+
+
+@query(
+    """, m AS (SELECT p_partkey AS id, 'm' || p_partkey % 700 AS name, 'T' || p_partkey % 6 AS owner FROM part), w AS (SELECT name, count(DISTINCT owner) AS owners FROM m GROUP BY 1),
+    c AS (SELECT l_orderkey % 1000 AS id, 'T' || l_orderkey % 5 AS own_type, owner AS other, count(*) AS n, sum((owners >= 3)::INT) AS s FROM lineitem JOIN m ON m.id = l_partkey JOIN w USING (name) GROUP BY ALL),
+    f AS (SELECT *, coalesce(sum(CASE WHEN own_type = other THEN n END) OVER z, 0)::BIGINT AS own, coalesce(sum((own_type <> other)::INT) OVER z >= 5 AND sum(CASE WHEN own_type <> other THEN s END) OVER z >= 0.8 * sum(CASE WHEN own_type <> other THEN n END) OVER z, false) AS spread FROM c WINDOW z AS (PARTITION BY id))
+    SELECT id, other AS envied, n AS external, own, round(n / CASE WHEN own = 0 THEN 1 ELSE own END, 6) AS ratio FROM f WHERE own_type <> other AND NOT spread AND s + 1 < n AND n >= 2 AND n >= 1.2 * CASE WHEN own = 0 THEN 1 ELSE own END"""
+)
+def envy_without_dispatch(t):
+    """Orders call parts; names that several owners have may be dispatched to any."""
+    key = F.col("p_partkey")
+    methods = t.raw("part").select(key.alias("id"), F.concat(F.lit("m"), key % 700).alias("name"), F.concat(F.lit("T"), key % 6).alias("owner_type"), F.lit("(&self)").alias("signature"))
+    line = t.raw("lineitem").select((F.col("l_orderkey") % 1000).alias("n"), "l_partkey")
+    callers = line.select("n").distinct().select((-1 - F.col("n")).alias("id"), F.lit("caller").alias("name"), F.concat(F.lit("T"), F.col("n") % 5).alias("owner_type"), F.lit("()").alias("signature"))
+    refs = line.select((-1 - F.col("n")).alias("from_symbol_id"), F.col("l_partkey").alias("to_symbol_id"), F.lit("call").alias("kind"))
+    out = scores.feature_envy(methods.unionByName(callers).withColumn("kind", F.lit("method")), refs, ratio=1.2)
+    return out.select((-1 - F.col("id")).alias("id"), "envied", "external", "own", r("ratio").alias("ratio"))
 
 
 REPORT = SMELLS + f", rep AS (SELECT id, path, round({HEALTH.format(cc='max_cc')}, 6) AS health, max_cc >= 8 AND change_count > 0 AS hot, id IN (SELECT file_id FROM smells) AS smell FROM files JOIN cc ON id = file_id WHERE NOT {TEST}), sev AS (SELECT id, health, CASE WHEN hot AND smell THEN '1 Critical' WHEN hot THEN '2 High' ELSE '3 Medium' END AS severity FROM rep WHERE (hot OR smell) AND health <= 8)"
