@@ -90,7 +90,7 @@ class ByteBpe:
         self.forget()
 
     def forget(self) -> None:
-        """Empties the caches, as behind a task."""
+        """Empties the caches."""
         self._chunks: tuple[dict, dict] = {}, {}
         self._words: tuple[dict, dict] = {}, {}
 
@@ -231,14 +231,12 @@ def byte_bpe_digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "do
     def run(batches):
         import pyarrow as pa
 
+        # The caches stay for the next task of this process; both are bounded.
         bpe = load(path, pattern)
-        try:
-            for batch in batches:
-                rows = [digests(bpe, t.as_py()) for t in batch.column(1)]
-                columns = list(zip(*rows, strict=True)) or [[]] * 3
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        finally:
-            bpe.forget()
+        for batch in batches:
+            rows = [digests(bpe, t.as_py()) for t in batch.column(1)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -251,12 +249,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, doc_id: str = "do
         import pyarrow as pa
 
         bpe = load(path, pattern)
-        try:
-            for batch in batches:
-                ids = pa.array([bpe.encode(t.as_py()) for t in batch.column(1)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
-        finally:
-            bpe.forget()
+        for batch in batches:
+            ids = pa.array([bpe.encode(t.as_py()) for t in batch.column(1)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
