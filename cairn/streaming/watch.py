@@ -99,11 +99,6 @@ def maintain(events: DataFrame, folder: str, checkpoint: str, on_batch=None, tri
     return in_versions(events, folder, checkpoint, write, after if on_batch is not None else None, trigger)
 
 
-def bursts(events: DataFrame, quiet: str = "500 milliseconds", late: str = "10 minutes") -> DataFrame:
-    """Bursts of events of a root, ended by a quiet time: (root, start, end, n)."""
-    return events.withWatermark("event_time", late).groupBy("root", F.session_window("event_time", quiet).alias("w")).agg(F.count("*").alias("n")).select("root", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-
-
 class Cadence:
     """When a costly refresh is due: at the first batch, after `seconds`, or after `batches`, whichever comes first."""
 
