@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.operators import graph, rules, scores
+from cairn.operators import directories, graph, rules, scores
 from cairn.plans.catalogue import query
 from cairn.sources import files as sources, lexer
 from cairn.sources.ingest import call_sites, symbol_rows, type_relations
@@ -140,3 +140,38 @@ def lexed_documents(t):
     """Tokens of each document by kind: how many, how long, how deep in brackets at most."""
     rows = lexer.token_table(t.raw("documents").select(F.col("doc_id").alias("id"), "text", F.lit(None).cast("string").alias("language")))
     return rows.groupBy("id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("letters"), F.max("depth").alias("deepest"), F.min("text").alias("least"))
+
+
+#: Files of forty groups: some share a directory, some mostly, some none.
+PLACED = """, pf AS (SELECT k AS id, c AS "group", CASE WHEN c < 15 THEN 'src/mod' || c % 6 || '/s' || k % 3 || '/f' || k || '.rs' WHEN c < 25 AND k % 7 < 3 THEN 'src/big' || c % 3 || '/f' || k || '.rs' WHEN c < 25 THEN 'x' || k % 17 || '/y' || k % 13 || '/f' || k || '.rs'
+  ELSE 'z' || k % 19 || '/f' || k || '.rs' END AS path, 1.0::DOUBLE / (k + 1) AS pagerank FROM (SELECT p_partkey AS k, p_partkey % 40 AS c FROM part)),
+  cd AS (SELECT "group", min(d) AS lo, max(d) AS hi FROM (SELECT "group", string_split(path, '/')[1:-2] AS d FROM pf) GROUP BY 1),
+  co AS (SELECT "group", array_to_string(lo[1:coalesce(list_min(list_filter(range(1, len(lo) + 1), lambda i: lo[i] IS DISTINCT FROM hi[i])) - 1, len(lo))], '/') AS directory FROM cd)"""
+
+
+def _placed(t):
+    k = F.col("p_partkey")
+    c = k % 40
+    text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    path = F.when(c < 15, text("src/mod", c % 6, "/s", k % 3, "/f", k, ".rs")).when((c < 25) & (k % 7 < 3), text("src/big", c % 3, "/f", k, ".rs")).when(c < 25, text("x", k % 17, "/y", k % 13, "/f", k, ".rs"))
+    return t.raw("part").select(k.alias("id"), c.alias("group"), path.when(c >= 25, text("z", k % 19, "/f", k, ".rs")).alias("path"), (F.lit(1.0) / (k + 1)).alias("pagerank"))
+
+
+@query(
+    PLACED + """, mo AS (SELECT "group", min_by(d, (-n, d)) AS modal, max(n) AS n FROM (SELECT "group", string_split(path, '/')[1] || '/' || string_split(path, '/')[2] AS d, count(*) AS n FROM pf WHERE len(string_split(path, '/')) >= 3 GROUP BY 1, 2) GROUP BY 1),
+    al AS (SELECT "group", count(*) AS n, sum(pagerank) AS rank, min_by(path, (-pagerank, path)) AS top FROM pf GROUP BY 1),
+    ba AS (SELECT al."group", rank, CASE WHEN contains(directory, '/') THEN directory WHEN mo.n * 10 >= al.n * 3 THEN modal ELSE regexp_extract(top, '([^/]*)\\.rs$', 1) END AS base FROM al JOIN co USING ("group") LEFT JOIN mo USING ("group")),
+    nu AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY rank DESC, "group") AS n FROM ba)
+    SELECT "group", round(rank, 9) AS rank, CASE WHEN n = 1 THEN base ELSE base || '-' || (SELECT min_by(regexp_extract(path, '([^/]*)\\.rs$', 1), (-pagerank, path)) FROM pf WHERE pf."group" = nu."group") END AS label FROM nu"""
+)
+def wiki_labels(t):
+    return directories.group_labels(_placed(t)).withColumn("rank", F.round("rank", 9))
+
+
+@query(
+    PLACED + """, ed AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_linenumber = 1), cr AS (SELECT DISTINCT x."group" AS f, y."group" AS t FROM ed JOIN pf x ON x.id = a JOIN pf y ON y.id = b WHERE x."group" % 3 = y."group" % 3),
+    ok AS (FROM co WHERE contains(directory, '/')) SELECT x.directory || '/**' AS "from", array_to_string(list_sort(list(DISTINCT y.directory || '/**')), ' ') AS deny FROM ok x JOIN ok y ON x.directory <> y.directory WHERE (x."group", y."group") NOT IN (SELECT (f, t) FROM cr) GROUP BY 1"""
+)
+def boundaries_by_directory(t):
+    edges = t.raw("lineitem").where("l_linenumber = 1 and l_partkey % 40 % 3 = l_suppkey % 40 % 3").select(F.col("l_partkey").alias("from_file"), F.col("l_suppkey").alias("to_file")).distinct()
+    return directories.suggested_rules(_placed(t), edges).withColumn("deny", F.array_join("deny", " "))
