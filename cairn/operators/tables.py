@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cairn.functions import scalar as X
+from cairn.functions.session import settle
 
 
 def positive(name: str, value: int, least: int = 1, most: int | None = None) -> int:
@@ -162,10 +163,22 @@ def round_robin(rows: DataFrame, bucket: str, order: list, limit: int) -> DataFr
     return page(rows.withColumn("turn", n), ["turn", bucket], limit)
 
 
+def running_total(rows: DataFrame, order: list, amount: Column, name: str) -> DataFrame:
+    """`rows` with the sum of `amount` over all rows up to each, in an order without ties: sorted by ranges, then each partition goes on behind the totals of those before it.
+
+    Only one total a partition is ever in one place.
+    """
+    placed = settle(rows.withColumn("_amount", amount).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = placed.groupBy("_part").agg(F.sum("_amount").alias("_n")).select("_part", before.alias("_before"))
+    own = F.sum("_amount").over(W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, 0))
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + own).drop("_part", "_at", "_amount", "_before")
+
+
 def token_budget(rows: DataFrame, text: str, order: list, budget: int) -> DataFrame:
-    """Rows in order for as long as their tokens stay in the budget: a report for one reader, so in one place."""
-    spent = F.sum(X.tokens(F.length(text))).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("spent", spent).where(F.col("spent") <= budget)
+    """Rows in order for as long as their tokens stay in the budget; null texts have none."""
+    return running_total(rows, order, X.tokens(F.coalesce(F.length(text), F.lit(0))), "spent").where(F.col("spent") <= budget)
 
 
 def path_diff(indexed: DataFrame, other: DataFrame) -> DataFrame:

@@ -258,7 +258,12 @@ def god_functions(t):
     return _smells(t).select("id", "complexity", "lines")
 
 
-@query()
+@query(
+    """, sg AS (SELECT doc_id * 100000 + pos AS id, pos % 4 AS method, string_split('(' || CASE WHEN pos % 4 = 1 THEN 'self, ' ELSE '' END || line || ')', '') AS ch FROM lines WHERE pos % 4 < 2 AND length(line) - length(replace(line, ',', '')) + (pos % 4) >= 4),
+    c1 AS (SELECT id, method, unnest(ch) AS ch, unnest(range(len(ch))) AS i FROM sg), c2 AS (SELECT *, sum(CASE WHEN ch IN ('(', '[', '{', '<') THEN 1 WHEN ch IN (')', ']', '}', '>') THEN -1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS d FROM c1),
+    c3 AS (SELECT *, min(CASE WHEN d = 0 THEN i END) OVER (PARTITION BY id) AS stop FROM c2), c4 AS (SELECT *, ch = ',' AND d = 1 AS cut, sum((ch = ',' AND d = 1)::INT) OVER (PARTITION BY id ORDER BY i) AS part FROM c3 WHERE stop IS NULL OR i < stop),
+    c5 AS (SELECT id, method, part FROM c4 WHERE i > 0 AND NOT cut AND trim(ch) <> '' GROUP BY ALL) SELECT id, (count(*) - any_value(method))::INT AS parameters FROM c5 GROUP BY id HAVING count(*) - any_value(method) >= 5"""
+)
 def long_parameters(t):
     return scores.long_parameters(t.symbols).select("id", "parameters")
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.operators import history, tables as T
 
@@ -54,3 +55,14 @@ def test_blame_of_overlaps(spark):
     for (i, _), lines in want.items():
         total[i] = total.get(i, 0) + lines
     assert got == {k: (v, round(v * 100 / total[k[0]], 6)) for k, v in want.items()}
+
+
+def test_running_total(spark):
+    rng = random.Random(1)
+    rows = [(k, rng.randrange(10)) for k in rng.sample(range(10_000), 1500)]
+    got = {r.k: r.total for r in T.running_total(spark.createDataFrame(rows, "k long, n long").repartition(7), ["k"], F.col("n"), "total").collect()}
+    want, total = {}, 0
+    for k, n in sorted(rows):
+        total += n
+        want[k] = total
+    assert got == want
