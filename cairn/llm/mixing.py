@@ -59,6 +59,9 @@ def sainte_lague(rows: DataFrame, group: list[str], name: str, votes: str, seats
     return out.withColumn(quota, F.col("_base") + F.coalesce("_won", F.lit(0))).drop("_base", "_most", "_won")
 
 
+_SALTS = 64
+
+
 def _overlap(a: Column, b: Column, start: Column, end: Column) -> Column:
     return F.greatest(F.lit(0), F.least(b, end) - F.greatest(a, start))
 
@@ -83,8 +86,10 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     sources = sources.withColumn("all_blocks", F.floor(F.sum("target").over(every) / F.col("block") + 0.4999999).cast("long")).withColumn("mix", F.lit(0))
     sources = sainte_lague(sources, ["mix"], "key", "target", "all_blocks", "blocks")
     sources = sources.withColumn("n_shards", F.ceil(F.sqrt("n_docs")).cast("long")).select("key", "source_size", "target", "block", "blocks", "n_shards")
-    # Without this the rows would stay where the join by source put them, a whole source in one task.
-    dealt = rows.join(sources, "key").withColumn("shard", F.pmod(F.col("h"), F.col("n_shards"))).repartition("key", "shard")
+    # Sources are blown up by a salt, so that the rows of a large one meet it in many tasks; then its shards are dealt out.
+    salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.col("h"), F.lit(_SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+    dealt = dealt.withColumn("shard", F.pmod(F.col("h"), F.col("n_shards"))).repartition("key", "shard")
     shards = dealt.groupBy("key", "shard").agg(F.sum("size").alias("shard_size"), F.first("block").alias("block"), F.first("blocks").alias("blocks"))
     shards = sainte_lague(shards, ["key"], "shard", "shard_size", "blocks", "quota")
     words = F.least(F.col("quota") * F.col("block"), F.col("shard_size") * most_repeats)
