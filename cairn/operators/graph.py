@@ -73,14 +73,6 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def blast_counts(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(id, importers): how many other nodes reach each node that occurs in an edge."""
-    edges = clean_edges(edges)
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    seen = reach(reverse(edges), nodes.select(F.col("node").alias("seed"), "node"), max_depth)
-    return seen.groupBy(F.col("seed").alias("id")).agg((F.count("*") - 1).alias("importers"))
-
-
 def blast_of(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, node, direct) of the nodes that reach each target (id)."""
     seen = reach(reverse(edges), targets.select(F.col("id").alias("seed"), F.col("id").alias("node")))

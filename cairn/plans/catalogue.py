@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from cairn.functions import scalar as X
-from cairn.operators import graph, history, resolve, rules, scores, search, tables as T, text_index
+from cairn.operators import components, graph, history, resolve, rules, scores, search, tables as T, text_index
 from cairn.plans.adapters import SQL, Tables
 from cairn.sources import sinks
 from cairn.streaming import watch
@@ -178,7 +178,26 @@ CLOSURE = ", up AS (SELECT dst AS seed, src AS node FROM layers UNION SELECT up.
 
 @query(CLOSURE + " SELECT n.id, count(node) AS importers FROM (SELECT src AS id FROM layers UNION SELECT dst FROM layers) n LEFT JOIN up ON up.seed = n.id GROUP BY 1")
 def blast_counts(t):
-    return graph.blast_counts(t.layers)
+    return components.blast_counts(t.layers)
+
+
+NEXT = ", nx AS (SELECT src, min(dst) AS dst FROM chain GROUP BY 1 UNION SELECT src, max(dst) FROM chain GROUP BY 1), rc AS (SELECT src AS a, dst AS b FROM nx UNION SELECT rc.a, nx.dst FROM rc JOIN nx ON nx.src = rc.b), nd AS (SELECT a AS id FROM rc UNION SELECT b FROM rc)"
+
+
+def _next(t):
+    """(src, dst): each part's least and greatest next part; one large component and what hangs on it."""
+    ends = t.chain.groupBy("src").agg(F.min("dst").alias("lo"), F.max("dst").alias("hi"))
+    return ends.select("src", F.explode(F.array("lo", "hi")).alias("dst"))
+
+
+@query(NEXT + " SELECT id, coalesce(least(id, c), id) AS component FROM nd LEFT JOIN (SELECT x.a AS id, min(x.b) AS c FROM rc x JOIN rc y ON x.a = y.b AND x.b = y.a GROUP BY 1) USING (id)")
+def strong_components(t):
+    return components.strong_components(_next(t))
+
+
+@query(NEXT + " SELECT id, coalesce(n, 0) AS importers FROM nd LEFT JOIN (SELECT b AS id, count(*) AS n FROM rc WHERE a <> b GROUP BY 1) USING (id)")
+def blast_of_cycles(t):
+    return components.blast_counts(_next(t))
 
 
 @query(CLOSURE + " SELECT seed AS target, node, EXISTS (SELECT 1 FROM layers WHERE src = node AND dst = seed) AS direct FROM up WHERE seed % 10 = 4")

@@ -7,7 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cairn.operators import graph
+from cairn.functions.session import settle
+from cairn.operators import components, graph
 
 
 def nodes(spark, ids):
@@ -34,7 +35,7 @@ def test_pagerank_small_graphs(spark):
 
 
 def test_blast_and_reach(spark):
-    cycle = {r.id: r.importers for r in graph.blast_counts(edges(spark, [(1, 2), (2, 3), (3, 1)])).collect()}
+    cycle = {r.id: r.importers for r in components.blast_counts(edges(spark, [(1, 2), (2, 3), (3, 1)])).collect()}
     assert cycle == {1: 2, 2: 2, 3: 2}
     own = graph.blast_of(edges(spark, [(1, 1), (2, 1), (3, 2)]), nodes(spark, [1])).collect()
     assert {(r.node, r.direct) for r in own} == {(2, True), (3, False)}
@@ -189,3 +190,39 @@ def test_connected_matches_union_find(spark):
         for a, b in pairs:
             label[a] = label[b] = min(label[a], label[b])
     assert {r.id: r.component for r in graph.connected(nodes(spark, ids), edges(spark, pairs)).collect()} == label
+
+
+def reached(pairs):
+    """By node: the nodes that it reaches, itself included."""
+    out, near = {}, {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set())
+    for v in near:
+        out[v], todo = {v}, [v]
+        while todo:
+            new = near[todo.pop()] - out[v]
+            out[v] |= new
+            todo += new
+    return out
+
+
+def test_components_and_blast_against_all_pairs(spark):
+    rng = random.Random(1)
+    ring = [(100 + k, 100 + (k + 1) % 16) for k in range(16)]
+    chain = [(200 + k, 201 + k) for k in range(5)]
+    pairs = [(rng.randrange(30), rng.randrange(30)) for _ in range(38)] + ring + chain + [(3, 107), (110, 200), (205, 4)]
+    ends = reached([(a, b) for a, b in pairs if a != b])
+    e = edges(spark, [*pairs, pairs[0]])
+    parts = settle(components.strong_components(e))
+    got = {r.id: r.component for r in parts.collect()}
+    assert got == {v: min(u for u in ends[v] if v in ends[u]) for v in ends} and len(set(got.values())) < len(got) - 15
+    got = {r.id: r.importers for r in components.blast_counts(e, parts=parts).collect()}
+    assert got == {v: sum(v in ends[u] for u in ends) - 1 for v in ends}
+
+
+def test_components_of_nulls_loops_and_nothing(spark):
+    assert components.strong_components(edges(spark, [])).collect() == []
+    got = components.strong_components(edges(spark, [(1, 1), (None, 2), (3, None), (4, 5), (5, 4), (4, 5)])).collect()
+    assert sorted(map(tuple, got)) == [(4, 4), (5, 4)]
+    assert sorted(map(tuple, components.blast_counts(edges(spark, [(1, 2), (2, 3), (3, 4)]), 2).collect())) == [(1, 0), (2, 1), (3, 2), (4, 2)]
