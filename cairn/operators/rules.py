@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.functions import scalar as X
-from cairn.operators.graph import reach, reverse
+from cairn.functions.session import settle
+from cairn.operators.graph import clean_edges
 from cairn.operators.tables import page
 from cairn.sources.lexer import tokens
 
@@ -165,10 +167,33 @@ def scan_kinds(symbols: DataFrame, rules: list[tuple], category: str | None = No
 
 
 def taint(edges: DataFrame, findings: DataFrame, inputs: DataFrame, max_depth: int = 20) -> DataFrame:
-    """(id, source, distance): the nearest input (id) from which calls lead to a finding (id), ties to the least."""
-    seen = reach(reverse(edges), findings.select(F.col("id").alias("seed"), F.col("id").alias("node")).distinct(), max_depth)
-    hit = seen.join(inputs.select(F.col("id").alias("node")), "node", "left_semi")
-    return hit.groupBy(F.col("seed").alias("id")).agg(F.min_by("node", F.struct("depth", "node")).alias("source"), F.min("depth").alias("distance"))
+    """(id, source, distance, path): the nearest input (id) from which calls (src, dst) lead to a finding (id), and the nodes from it to the finding, both ends included.
+
+    Ties go to the least input, and each node of the path is followed by the least that is one step nearer. All findings walk backwards together, a level at a time, and
+    keep each level's (finding, node, next node); a finding whose level holds an input walks no further. The paths are rebuilt by one join a level. Findings that no
+    input reaches within `max_depth` calls give no row; loops, repeated calls and repeated findings do not count.
+    """
+    edges, inputs = settle(clean_edges(edges)), settle(inputs.select(F.col("id").alias("node")).distinct())
+    level = settle(findings.where("id is not null").select(F.col("id").alias("seed"), F.col("id").alias("node")).distinct().withColumn("next", F.expr("cast(null as long)")))
+    levels, hits, seen = [level], [], level.select("seed", "node")
+    for depth in range(max_depth + 1):
+        hit = settle(level.join(inputs, "node", "left_semi").groupBy("seed").agg(F.min("node").alias("source")).withColumn("distance", F.lit(depth)))
+        hits.append(hit)
+        if depth == max_depth:
+            break
+        found = level.join(hit, "seed", "left_anti").join(edges, F.col("node") == F.col("dst")).groupBy("seed", "src").agg(F.min("node").alias("next"))
+        level = settle(found.select("seed", F.col("src").alias("node"), "next").join(seen, ["seed", "node"], "left_anti"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+        seen = settle(seen.unionByName(level.select("seed", "node"))) if len(levels) % 4 == 0 else seen.unionByName(level.select("seed", "node"))
+    walk = reduce(DataFrame.unionByName, hits).withColumn("at", F.col("source")).withColumn("path", F.array("source"))
+    for level in reversed(levels[1:]):
+        # A node stands in one level of a finding only, so the rows of nearer inputs wait for theirs.
+        walk = walk.join(level.withColumnRenamed("node", "at"), ["seed", "at"], "left")
+        path = F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array("next")))
+        walk = walk.select("seed", "source", "distance", F.coalesce("next", "at").alias("at"), path.alias("path"))
+    return walk.select(F.col("seed").alias("id"), "source", "distance", "path")
 
 
 #: Rules whose findings are sinks; findings of the category deserialization are, too.
@@ -176,11 +201,16 @@ SINKS = ["SEC003", "SEC004", "SEC010"]
 
 
 def annotated(findings: DataFrame, symbols: DataFrame, refs: DataFrame, max_depth: int = 20) -> DataFrame:
-    """All findings (id, rule, category) with source, source_name and distance: the nearest symbol that takes user input and from which references lead to a
-    sink's symbol, itself included; null for findings that are no sinks or that no input reaches. Ties go to the least id."""
+    """All findings (id, rule, category) with source, source_name, distance and path: the nearest symbol that takes user input and from which references lead to a
+    sink's symbol, itself included, and the names from it to the sink (#id for a symbol that is not there); null for findings that are no sinks or that no input
+    reaches. Ties go to the least id."""
     is_sink = F.coalesce(F.col("rule").isin(SINKS) | (F.lower("category") == "deserialization"), F.lit(False))
     inputs = symbols.where(F.coalesce(X.is_input_source(F.col("name"), F.col("signature")), F.lit(False))).select("id")
     calls = refs.select(F.col("from_symbol_id").alias("src"), F.col("to_symbol_id").alias("dst"))
-    near = taint(calls, findings.where(is_sink).select("id").distinct(), inputs, max_depth)
-    near = near.join(symbols.select(F.col("id").alias("source"), F.col("name").alias("source_name")), "source").withColumn("sink", F.lit(True))
+    near = settle(taint(calls, findings.where(is_sink).select("id"), inputs, max_depth))
+    steps = near.select("id", F.posexplode("path").alias("n", "at")).join(symbols.select(F.col("id").alias("at"), "name"), "at", "left")
+    # A path has at most max_depth + 1 steps, so no group of it grows with the data.
+    named = steps.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", F.coalesce("name", F.concat(F.lit("#"), "at")).alias("name")))).alias("steps"))
+    named = named.select("id", F.col("steps.name").alias("path")).withColumn("source_name", F.get("path", F.lit(0)))
+    near = near.select("id", "source", "distance").join(named, "id").withColumn("sink", F.lit(True))
     return findings.withColumn("sink", is_sink).join(near, ["id", "sink"], "left").drop("sink")

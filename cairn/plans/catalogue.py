@@ -504,7 +504,7 @@ def rule_scan(t):
 @query(", x AS (SELECT r_regionkey * 10 + 4 AS seed, r_regionkey * 10 + 4 AS node, 0 AS depth FROM region UNION SELECT seed, src, depth + 1 FROM x JOIN layers ON dst = node WHERE depth < 20), i AS (SELECT s_suppkey * 10 + 2 AS node FROM supplier WHERE s_acctbal < 0) SELECT seed AS id, min_by(node, (depth, node)) AS source, min(depth) AS distance FROM x WHERE node IN (FROM i) GROUP BY 1")
 def taint_path(t):
     findings = t.raw("region").select((F.col("r_regionkey").cast("long") * 10 + 4).alias("id"))
-    return rules.taint(t.layers, findings, t.raw("supplier").where("s_acctbal < 0").select((F.col("s_suppkey") * 10 + 2).alias("id")))
+    return rules.taint(t.layers, findings, t.raw("supplier").where("s_acctbal < 0").select((F.col("s_suppkey") * 10 + 2).alias("id"))).drop("path")
 
 
 @query()

@@ -118,12 +118,14 @@ def changed_in_range(t):
     return history.changed_in_range(trees, 1995, 1996)
 
 
-@query(", f AS (SELECT r_regionkey * 10 + 4 AS id, CASE WHEN r_regionkey % 2 = 0 THEN 'SEC003' ELSE 'SEC006' END AS rule FROM region), w AS (SELECT id AS seed, id AS node, 0 AS depth FROM f WHERE rule = 'SEC003' UNION SELECT seed, src, depth + 1 FROM w JOIN layers ON dst = node WHERE depth < 20), i AS (SELECT s_suppkey * 10 + 2 AS node FROM supplier WHERE s_acctbal < 0), h AS (SELECT seed AS id, min_by(node, (depth, node)) AS source, min(depth) AS distance FROM w WHERE node IN (FROM i) GROUP BY 1) SELECT id, rule, source, distance FROM f LEFT JOIN h USING (id)")
+@query(", f AS (SELECT r_regionkey * 10 + 4 AS id, CASE WHEN r_regionkey % 2 = 0 THEN 'SEC003' ELSE 'SEC006' END AS rule FROM region), w AS (SELECT id AS seed, id AS node, 0 AS depth FROM f WHERE rule = 'SEC003' UNION SELECT seed, src, depth + 1 FROM w JOIN layers ON dst = node WHERE depth < 20), i AS (SELECT s_suppkey * 10 + 2 AS node FROM supplier WHERE s_acctbal < 0), h AS (SELECT seed AS id, min_by(node, (depth, node)) AS source, min(depth) AS distance FROM w WHERE node IN (FROM i) GROUP BY 1) SELECT id, rule, source, distance, 'read_input > nation' || s_nationkey || ' > region' || n_regionkey AS path FROM f LEFT JOIN h USING (id) LEFT JOIN supplier ON s_suppkey * 10 + 2 = source LEFT JOIN nation ON n_nationkey = s_nationkey")
 def findings_annotated(t):
     findings = t.raw("region").select((F.col("r_regionkey").cast("long") * 10 + 4).alias("id"), F.when(F.col("r_regionkey") % 2 == 0, "SEC003").otherwise("SEC006").alias("rule"), F.lit("injection").alias("category"))
     symbols = t.raw("supplier").select((F.col("s_suppkey") * 10 + 2).alias("id"), F.when(F.col("s_acctbal") < 0, "read_input").otherwise(F.lit("store")).alias("name"), F.lit(None).cast("string").alias("signature"))
+    others = t.raw("nation").select((F.col("n_nationkey").cast("long") * 10 + 3).alias("id"), F.concat(F.lit("nation"), "n_nationkey").alias("name"))
+    others = others.union(t.raw("region").select(F.col("r_regionkey").cast("long") * 10 + 4, F.concat(F.lit("region"), "r_regionkey"))).withColumn("signature", F.lit(None).cast("string"))
     refs = t.layers.select(F.col("src").alias("from_symbol_id"), F.col("dst").alias("to_symbol_id"))
-    return rules.annotated(findings, symbols, refs).select("id", "rule", "source", "distance")
+    return rules.annotated(findings, symbols.union(others), refs).select("id", "rule", "source", "distance", F.array_join("path", " > ").alias("path"))
 
 
 IMPORTED = ", p AS (SELECT id, path, '../../' || path AS specifier FROM files)"
