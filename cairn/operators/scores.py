@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cairn.functions import scalar as X
 from cairn.operators.tables import min_max, page, positive, symbols_with_file
@@ -188,8 +188,13 @@ def context_rank(files: DataFrame, edges: DataFrame, pairs: DataFrame, target: i
     return page(rows.groupBy("id").agg(F.sum("score").alias("score")), [F.desc(F.round("score", 9)), "id"], limit)
 
 
-def guard(files: DataFrame, blast: DataFrame, acknowledged: DataFrame, min_rank: float = 0.05, min_blast: int = 10) -> DataFrame:
-    """(id, denied): important or widely imported files are not edited without a fresh acknowledgement (id)."""
+def guard(files: DataFrame, blast: DataFrame, acknowledged: DataFrame, min_rank: float = 0.05, min_blast: int = 10, now: Column | None = None, ttl: int = 600) -> DataFrame:
+    """(id, denied): files of a great rank or blast radius (id, importers) are not edited without a fresh acknowledgement (id).
+
+    With `now`, acknowledgements have a time `at` and are fresh for less than `ttl` seconds; none from after `now` or without a time is, and with a ttl of 0 none at all.
+    """
+    if now is not None:
+        acknowledged = acknowledged.where((F.col("at") <= now) & (F.unix_micros(now) - F.unix_micros("at") < ttl * 1_000_000))
     rows = files.join(blast, "id", "left").join(acknowledged.select("id").distinct().withColumn("ack", F.lit(True)), "id", "left")
     heavy = (F.col("pagerank") >= min_rank) | (F.coalesce("importers", F.lit(0)) >= min_blast)
     return rows.select("id", (heavy & F.col("ack").isNull()).alias("denied"))

@@ -415,6 +415,15 @@ def guard_decision(t):
     return scores.guard(t.files, blast, t.files.where("is_exported"))
 
 
+@query(CLOSURE + """, bl AS (SELECT seed AS id, count(*) AS importers FROM up GROUP BY 1), ak AS (SELECT DISTINCT l_suppkey * 10 + 2 AS id FROM lineitem WHERE l_shipdate <= TIMESTAMP '1995-06-17 12:00:00' AND epoch(TIMESTAMP '1995-06-17 12:00:00' - l_shipdate::TIMESTAMP) < 432000)
+    SELECT s_suppkey * 10 + 2 AS id, (1.0::DOUBLE / (s_suppkey + 1) >= 0.05 OR coalesce(importers, 0) >= 10) AND ak.id IS NULL AS denied FROM supplier LEFT JOIN bl ON bl.id = s_suppkey * 10 + 2 LEFT JOIN ak ON ak.id = s_suppkey * 10 + 2""")
+def guard_by_blast(t):
+    """Suppliers as files: rank, whole blast radius, and acknowledgements that end after five days."""
+    files = t.raw("supplier").select((F.col("s_suppkey") * 10 + 2).alias("id"), (F.lit(1.0) / (F.col("s_suppkey") + 1)).alias("pagerank"))
+    acks = t.raw("lineitem").select((F.col("l_suppkey") * 10 + 2).alias("id"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    return scores.guard(files, components.blast_counts(t.layers), acks, now=F.lit("1995-06-17 12:00:00").cast("timestamp"), ttl=432_000)
+
+
 @query(", ca AS (SELECT to_symbol_id AS id, count(DISTINCT from_symbol_id) AS n FROM refs GROUP BY 1), x AS (SELECT s.id, complexity, 2 * CAST(s.id IN (SELECT to_symbol_id FROM refs JOIN symbols z ON z.id = from_symbol_id JOIN files f ON f.id = z.file_id WHERE starts_with(f.path, 'tests/')) AS INT) + CAST(NOT s.is_exported AS INT) + CAST(coalesce(n, 0) <= 3 AS INT) AS safety FROM symbols s LEFT JOIN ca ON ca.id = s.id WHERE kind IN ('function', 'method') AND complexity >= 5) SELECT id, CASE WHEN complexity >= 30 THEN 'HIGH' WHEN complexity >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS impact, CASE WHEN safety <= 1 THEN 'RISKY' WHEN safety <= 3 THEN 'OK' ELSE 'SAFE' END AS safety FROM x")
 def refactor_plan(t):
     return scores.refactor_plan(t.symbols, t.refs, T.referenced_by_tests(t.symbols, t.refs, t.files), 5)

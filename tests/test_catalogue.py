@@ -14,7 +14,7 @@ NAMES = [
     "clone_groups", "pagerank_k", "unused_page", "hotspots_symbol", "health_report", "dashboard_clones", "clone_traits", "hotspots_by_axis", "health_summary", "trend_by_change", "cochange_mined", "churn_without_merges", "path_to_targets", "call_levels", "rule_kinds",
     "dead_symbols", "name_search", "name_search_kind", "changed_in_range", "findings_annotated", "resolve_imports",
     "parsed_symbols", "parsed_call_sites", "parsed_relations", "hierarchy_of_relations", "god_functions_by_arms", "lexed_documents", "long_parameters", "token_budget_prefix", "rule_contexts", "wiki_labels", "boundaries_by_directory", "envy_without_dispatch", "clone_groups_by_tokens", "phrase_counts", "index_terms",
-    "blast_of_cycles", "module_mentions", "gaps_by_mentions", "coverage_both_ways", "suggest_with_untested",
+    "blast_of_cycles", "module_mentions", "gaps_by_mentions", "coverage_both_ways", "suggest_with_untested", "guard_by_blast",
 ]
 
 

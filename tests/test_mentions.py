@@ -2,7 +2,9 @@
 
 import pytest
 
-from cairn.operators import mentions
+from pyspark.sql import functions as F
+
+from cairn.operators import mentions, scores
 
 FILES = [
     (1, "src/io/cli_runner.rs", "rust"), (2, "src/cli.rs", "rust"), (3, "src/io/mod.rs", "rust"), (4, "src/find.rs", "rust"), (5, "src/own.rs", "rust"), (6, "src/alone.rs", "rust"),
@@ -48,3 +50,12 @@ def test_map_gaps_and_suggestions(spark, files, texts):
     partners = spark.createDataFrame([(7, 9, 4)], "file_a long, file_b long, count long")
     got = sorted(map(tuple, mentions.suggest(files, edges, partners, texts, changed, ["rust"]).collect()))
     assert got == [("run", 7, 2), ("run", 12, 1), ("untested", 6, 0)]
+
+
+def test_guard_forgets_acknowledgements(spark):
+    files = spark.createDataFrame([(i, 0.5 if i < 6 else 0.001) for i in range(1, 9)], "id long, pagerank double")
+    blast = spark.createDataFrame([(7, 10), (8, 9)], "id long, importers long")
+    times = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:09:59"), (2, "2024-01-01 00:00:01"), (3, "2024-01-01 00:00:00"), (4, "2024-01-01 00:10:01"), (5, None)]
+    acks = spark.createDataFrame(times, "id long, at string").withColumn("at", F.col("at").cast("timestamp"))
+    denied = lambda **more: {r.id for r in scores.guard(files, blast, acks, now=F.lit("2024-01-01 00:10:00").cast("timestamp"), **more).collect() if r.denied}
+    assert denied() == {3, 4, 5, 7} and denied(ttl=0) == {1, 2, 3, 4, 5, 7} and denied(ttl=601) == {4, 5, 7}
