@@ -149,3 +149,17 @@ def test_token_table(spark):
     df = spark.createDataFrame([(1, "a(b)", "rust"), (2, None, "go"), (3, "", None)], "id long, text string, language string")
     got = [tuple(r) for r in token_table(df).orderBy("id", "n").collect()]
     assert got == [(1, 0, "name", "a", 1, 0, 0), (1, 1, "open", "(", 1, 1, 0), (1, 2, "name", "b", 1, 2, 1), (1, 3, "close", ")", 1, 3, 0)]
+
+
+def test_tokens_leave_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from cairn.sources import lexer
+
+    taken = []
+    monkeypatch.setattr(lexer, "tokens", lambda text, language: (taken.append(t) or t for t in tokens(text, language)))
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3], "text": ["a " * 100_000, None, "b c"], "language": pa.array([None] * 3, pa.string())})
+    got = lexer.pieces(iter([batch]), "id")
+    assert next(got).num_rows == lexer.PIECE == len(taken)
+    rest = [p.num_rows for p in got]
+    assert max(rest) <= lexer.PIECE and sum(rest) + lexer.PIECE == 100_002
