@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cairn.operators import directories, graph, rules, scores
 from cairn.plans.catalogue import query
 from cairn.sources import files as sources, lexer
-from cairn.sources.ingest import call_sites, symbol_rows, type_relations
+from cairn.sources.ingest import call_rows, type_relations
 
 #: Source text by language: head, a line or two that is repeated `arms` times, tail. K is the part's number, B the number of its super type.
 TEMPLATES = {
@@ -49,8 +49,8 @@ def source_files(t):
     return t.raw("part").select(key.alias("id"), F.concat(F.lit("gen/f"), key).alias("path"), F.element_at(F.array(*map(F.lit, names)), (key % 5 + 1).cast("int")).alias("language"), text.alias("text"))
 
 
-def parsed_files(t):
-    return sources.parse(source_files(t)).withColumn("file_id", F.regexp_extract("path", r"(\d+)$", 1).cast("long"))
+def parsed_files(t, *parts):
+    return sources.parse(source_files(t), parts).withColumn("file_id", F.regexp_extract("path", r"(\d+)$", 1).cast("long"))
 
 
 #: What the generator says of each file: its number, language by number and repetitions.
@@ -63,7 +63,7 @@ GEN = ", g AS (SELECT p_partkey AS k, p_partkey % 5 AS l, (p_size % 9 + 3)::INT
     SELECT 'gen/f' || k, 'run', 'method', 'T' || k, [5, 4, 4, 10, 3][l + 1], [9 + a, 7 + a, 6 + 2 * a, 13 + a, 7 + a][l + 1], [2, 1 + 2 * a, 1 + 2 * a, 1 + 2 * a, 1 + a][l + 1], CASE WHEN l = 0 THEN a ELSE 0 END, l <> 3 FROM g"""
 )
 def parsed_symbols(t):
-    return parsed_files(t).select("path", F.explode("symbols").alias("s")).select("path", "s.name", "s.kind", "s.owner_type", "s.line_start", "s.line_end", "s.complexity", "s.arms", "s.is_exported")
+    return parsed_files(t, "symbols").select("path", F.explode("symbols").alias("s")).select("path", "s.name", "s.kind", "s.owner_type", "s.line_start", "s.line_end", "s.complexity", "s.arms", "s.is_exported")
 
 
 @query(
@@ -71,9 +71,7 @@ def parsed_symbols(t):
     [['help', NULL, a::VARCHAR], ['G', NULL, '1'], ['help', '', '1']]][l + 1]) AS c FROM g) SELECT 'gen/f' || k AS path, 'T' || k AS owner, c[1] AS name, c[2] AS receiver, c[3]::BIGINT AS n FROM c"""
 )
 def parsed_call_sites(t):
-    own = parsed_files(t)
-    symbols = symbol_rows(own).withColumn("id", F.col("file_id") * 1000 + F.col("idx"))
-    sites = call_sites(own, symbols).groupBy("file_id", "owner", "name", "receiver").agg(F.count("*").alias("n"))
+    sites = call_rows(parsed_files(t, "symbols", "calls")).groupBy("file_id", "owner", "name", "receiver").agg(F.count("*").alias("n"))
     return sites.select(F.concat(F.lit("gen/f"), "file_id").alias("path"), "owner", "name", "receiver", "n")
 
 
@@ -82,13 +80,13 @@ RELATIONS = GEN + ", r AS (SELECT k AS file_id, 'T' || k AS sub_name, 'B' || k %
 
 @query(RELATIONS + " SELECT * FROM r")
 def parsed_relations(t):
-    return type_relations(parsed_files(t))
+    return type_relations(parsed_files(t, "relations"))
 
 
 @query(RELATIONS + ", p AS (SELECT 'T' || p_partkey AS sub_name, 'B' || p_partkey % 7 AS super_name FROM part) SELECT 'B3' AS seed, 'B3' AS name, 0 AS depth UNION ALL SELECT 'B3', sub_name, 1 FROM p WHERE super_name = 'B3'")
 def hierarchy_of_relations(t):
     """What extends or implements a type, over the relations that the lexer found."""
-    edges = type_relations(parsed_files(t)).select(F.col("super_name").alias("src"), F.col("sub_name").alias("dst")).distinct()
+    edges = type_relations(parsed_files(t, "relations")).select(F.col("super_name").alias("src"), F.col("sub_name").alias("dst")).distinct()
     seed = t.spark.createDataFrame([("B3", "B3")], "seed string, node string")
     return graph.reach(edges, seed, 20).select("seed", F.col("node").alias("name"), "depth")
 
@@ -96,7 +94,7 @@ def hierarchy_of_relations(t):
 @query(GEN + " SELECT 'gen/f' || k AS path, 'run' AS name, [2, 1 + 2 * a, 1 + 2 * a, 1 + 2 * a, 1 + a][l + 1] AS complexity, CASE WHEN l = 0 AND a >= 6 THEN 'flat_dispatcher' ELSE 'god_function' END AS label FROM g WHERE [2, 1 + 2 * a, 1 + 2 * a, 1 + 2 * a, 1 + a][l + 1] >= 2 AND [5 + a, 4 + a, 3 + 2 * a, 4 + a, 5 + a][l + 1] >= 9")
 def god_functions_by_arms(t):
     """Great callables of parsed files, flat dispatchers told by the arms that the lexer counts."""
-    rows = parsed_files(t).select("path", F.explode("symbols").alias("s")).select("path", "s.*")
+    rows = parsed_files(t, "symbols").select("path", F.explode("symbols").alias("s")).select("path", "s.*")
     return scores.god_functions(rows, 2, 9).select("path", "name", "complexity", "label")
 
 
@@ -120,7 +118,7 @@ def rule_contexts(t):
 @query(GEN + ", s AS (SELECT k, l, a, 'run' AS kind FROM g UNION ALL SELECT k, l, a, 'type' FROM g WHERE l > 0) SELECT language, count(*) AS places FROM (SELECT *, ['rust', 'typescript', 'python', 'go', 'java'][l + 1] AS language FROM s) GROUP BY language, kind, CASE WHEN kind = 'type' AND l = 3 THEN 0 ELSE a END HAVING count(*) >= 2")
 def clone_groups_by_tokens(t):
     """Groups of symbols of three lines or more with one skeleton, whatever their names, literals and comments."""
-    rows = parsed_files(t).select("language", F.explode("symbols").alias("s")).where("s.shape_hash is not null")
+    rows = parsed_files(t, "symbols").select("language", F.explode("symbols").alias("s")).where("s.shape_hash is not null")
     return rows.groupBy("language", "s.shape_hash").agg(F.count("*").alias("places")).where("places >= 2").select("language", "places")
 
 

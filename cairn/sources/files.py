@@ -6,8 +6,11 @@ import os
 import re
 import tomllib
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from cairn.sources.ignore import kept
 from cairn.sources.outline import Outline, lines_of_code
@@ -82,10 +85,12 @@ def tree_listing(lines: DataFrame) -> DataFrame:
 
 
 SYMBOL = "struct<name:string,kind:string,line_start:int,line_end:int,signature:string,is_exported:boolean,owner_type:string,complexity:int,arms:int,shape_hash:string>"
-PARSED = (
-    f"path string, language string, line_count long, symbols array<{SYMBOL}>, imports array<string>, calls array<struct<idx:int,name:string,receiver:string,line:int,depth:int>>, "
-    "relations array<struct<sub_name:string,super_name:string,kind:string,line:int>>"
-)
+PARTS = {
+    "symbols": f"array<{SYMBOL}>", "imports": "array<string>", "calls": "array<struct<idx:int,name:string,receiver:string,line:int,depth:int>>",
+    "relations": "array<struct<sub_name:string,super_name:string,kind:string,line:int>>",
+}
+#: Files that leave a task at once.
+PIECE = 256
 
 
 def imports_of(outline: Outline) -> list[str]:
@@ -95,26 +100,39 @@ def imports_of(outline: Outline) -> list[str]:
     return [next(g for g in m.groups() if g) for m in found if m and any(m.groups())]
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """(path, language, line_count, symbols, imports, calls, relations) of walked files: one Arrow pass, one row a file.
+def parse(files: DataFrame, parts: tuple[str, ...] = tuple(PARTS)) -> DataFrame:
+    """(path, language, line_count, symbols, imports, calls, relations) of walked files: one Arrow pass, one row a file. Of the last four, those named in `parts`.
 
     All but the specifiers of imports come from the tokens, so what strings and comments hold counts for nothing. Other languages than those of
-    the outline give files without symbols.
+    the outline give files without symbols. Files are dealt out by path first: a table that is small on disk may hold many, and lexing costs more than moving
+    them. A task holds the outline of one file and the rows of PIECE.
     """
     fields = re.findall(r"(\w+):", SYMBOL)
 
+    def row(text: str, language: str | None) -> dict:
+        o, out = Outline(text, language, "symbols" in parts, "calls" in parts), {"line_count": text.count("\n") + (0 if text.endswith("\n") else 1)}
+        if "symbols" in parts:
+            out["symbols"] = [{f: s[f] for f in fields} for s in o.symbols]
+        if "imports" in parts:
+            out["imports"] = imports_of(o)
+        if "calls" in parts:
+            out["calls"] = o.calls if o.symbols else []
+        if "relations" in parts:
+            out["relations"] = [dict(zip(("sub_name", "super_name", "kind", "line"), r, strict=True)) for r in o.relations]
+        return out
+
     def run(batches):
-        for pdf in batches:
-            both = [Outline(t, lang) for t, lang in zip(pdf["text"], pdf["language"], strict=True)]
-            pdf = pdf[["path", "language", "text"]].copy()
-            pdf["line_count"] = [t.count("\n") + (0 if t.endswith("\n") else 1) for t in pdf["text"]]
-            pdf["symbols"] = [[{f: s[f] for f in fields} for s in o.symbols] for o in both]
-            pdf["imports"] = [imports_of(o) for o in both]
-            pdf["calls"] = [o.calls if o.symbols else [] for o in both]
-            pdf["relations"] = [[dict(zip(("sub_name", "super_name", "kind", "line"), r, strict=True)) for r in o.relations] for o in both]
-            yield pdf.drop(columns=["text"])
-
-    return files.select("path", "language", "text").mapInPandas(run, PARSED)
+        for batch in batches:
+            for start in range(0, batch.num_rows, PIECE):
+                part = batch.slice(start, PIECE).to_pylist()
+                yield pa.RecordBatch.from_pylist([{"path": r["path"], "language": r["language"]} | row(r["text"], r["language"]) for r in part], schema)
+
+    names = [p for p in PARTS if p in parts]
+    columns = "path string, language string, line_count long" + "".join(f", {p} {PARTS[p]}" for p in names)
+    schema = to_arrow_schema(StructType.fromDDL(columns))
+    spark = files.sparkSession
+    dealt = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return files.select("path", "language", "text").repartition(dealt, "path").mapInArrow(run, columns)
 
 
 def boundary_rules(toml: str) -> list[dict]:

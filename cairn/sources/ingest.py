@@ -33,11 +33,17 @@ def symbol_rows(own: DataFrame) -> DataFrame:
     return own.select("file_id", F.posexplode("symbols").alias("idx", "s")).select("file_id", "idx", "s.*", F.lit(None).cast("int").alias("parent_idx"))
 
 
+def call_rows(own: DataFrame) -> DataFrame:
+    """(file_id, idx, owner, name, receiver, line, depth), one row a call of parsed files; idx and owner are those of the symbol that holds it. No rows are moved."""
+    calls = own.select("file_id", "symbols", F.explode("calls").alias("c"))
+    owner = F.when(F.col("c.idx") >= 0, F.get("symbols", F.col("c.idx"))["owner_type"])
+    return calls.select("file_id", "c.idx", owner.alias("owner"), "c.name", "c.receiver", "c.line", "c.depth")
+
+
 def call_sites(own: DataFrame, symbols: DataFrame) -> DataFrame:
     """(file_id, from_symbol_id, owner, name, receiver, line, depth), one row a call; calls outside any symbol have no from_symbol_id."""
-    calls = own.select("file_id", F.explode("calls").alias("c")).select("file_id", "c.*")
-    holder = symbols.select("file_id", "idx", F.col("id").alias("from_symbol_id"), F.col("owner_type").alias("owner"))
-    return calls.join(holder, ["file_id", "idx"], "left").select("file_id", "from_symbol_id", "owner", "name", "receiver", "line", "depth")
+    holder = symbols.select("file_id", "idx", F.col("id").alias("from_symbol_id"))
+    return call_rows(own).join(holder, ["file_id", "idx"], "left").select("file_id", "from_symbol_id", "owner", "name", "receiver", "line", "depth")
 
 
 def references(sites: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:

@@ -176,3 +176,16 @@ def test_walk_reads_hidden_empty_and_not_ignored_files(spark, tmp_path):
     assert sorted(rows) == sorted(["a/__init__.py", "a/_b.py", ".hidden/c.rs", "v/a.js", "v/keep.js", "v/top.py", "v/za.py", "Makefile"])
     assert rows["a/__init__.py"].text == "" and rows["v/a.js"].text == "back" and rows["Makefile"].language == "makefile" and rows["a/_b.py"].size_bytes == 6
     assert rows["a/_b.py"].mtime_ns == (tmp_path / "a/_b.py").stat().st_mtime_ns
+
+
+def test_parse_deals_files_out(spark):
+    from cairn.sources.ingest import call_rows
+
+    rows = [(f"f{k}.py", "python", f"class A:\n    def m(self):\n        g({k})\n\ng({k})\n") for k in range(600)]
+    files = spark.createDataFrame(rows, "path string, language string, text string").coalesce(1)
+    parsed = sources.parse(files)
+    assert parsed.count() == 600 and parsed.groupBy(F.spark_partition_id()).count().count() >= 4
+    assert sources.parse(files, ("relations",)).columns == ["path", "language", "line_count", "relations"]
+    calls = call_rows(sources.parse(files, ("symbols", "calls")).withColumn("file_id", F.lit(1)))
+    assert sorted((r.owner or "", r["count"]) for r in calls.groupBy("owner").count().collect()) == [("", 600), ("A", 600)]
+    assert "Exchange" not in calls._jdf.queryExecution().optimizedPlan().toString() and calls.where("line > 5").count() == 0
