@@ -28,7 +28,8 @@ def module_stem(path: Column) -> Column:
 
 
 def _sides(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    test = F.coalesce(X.is_test_path(F.col("path")), F.lit(False))
+    """(tests, sources), by the column is_test where files have one, else by path."""
+    test = F.coalesce(scores.test_file(files), F.lit(False))
     return files.where(test), files.where(~test)
 
 
@@ -111,8 +112,8 @@ def gaps(files: DataFrame, symbols: DataFrame, edges: DataFrame, texts: DataFram
 def suggest(files: DataFrame, edges: DataFrame, pairs: DataFrame, texts: DataFrame, changed: DataFrame, languages: list[str]) -> DataFrame:
     """(kind, id, n_sources): kind `run` for the tests to run after a change (ids), `untested` for changed sources that have no test to run, no test inside and no mention."""
     run = scores.test_suggest(files, edges, pairs, changed).select(F.lit("run").alias("kind"), F.col("test").alias("id"), "n_sources")
-    tests = files.where(X.is_test_path(F.col("path"))).select(F.col("id").alias("partner"))
+    tests = files.where(scores.test_file(files)).select(F.col("id").alias("partner"))
     with_partner = scores.omissions(pairs, changed).join(tests, "partner", "left_semi").select("id")
-    rest = untested(files.join(changed.select("id"), "id", "left_semi").unionByName(files.where(X.is_test_path(F.col("path")))).dropDuplicates(["id"]), edges, texts, languages)
+    rest = untested(files.join(changed.select("id"), "id", "left_semi").unionByName(files.where(scores.test_file(files))).dropDuplicates(["id"]), edges, texts, languages)
     rest = rest.join(with_partner, "id", "left_anti").select(F.lit("untested").alias("kind"), "id", F.lit(0).cast("long").alias("n_sources"))
     return run.unionByName(rest)

@@ -147,18 +147,23 @@ def omissions(pairs: DataFrame, changed: DataFrame, top: int = 10) -> DataFrame:
     return both.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy(F.desc("count"), "partner"))).where(F.col("n") <= top).select("id", "partner", "count")
 
 
+def test_file(files: DataFrame) -> Column:
+    """Whether a file is a test: its column is_test where files have one, else its path says so."""
+    return F.col("is_test") if "is_test" in files.columns else X.is_test_path(F.col("path"))
+
+
 def test_map(files: DataFrame, edges: DataFrame) -> DataFrame:
     """(source, n_tests, tests): non-test files with the test files that import them."""
-    tests = files.where(X.is_test_path(F.col("path"))).select(F.col("id").alias("from_file"), F.col("path").alias("test"))
-    sources = files.where(~X.is_test_path(F.col("path"))).select(F.col("id").alias("to_file"), F.col("path").alias("source"))
+    tests = files.where(test_file(files)).select(F.col("id").alias("from_file"), F.col("path").alias("test"))
+    sources = files.where(~test_file(files)).select(F.col("id").alias("to_file"), F.col("path").alias("source"))
     return edges.join(tests, "from_file").join(sources, "to_file").groupBy("source").agg(F.countDistinct("test").alias("n_tests"), F.min("test").alias("first_test"))
 
 
 def test_gaps(files: DataFrame, symbols: DataFrame, edges: DataFrame, languages: list[str]) -> DataFrame:
     """(path, score): untested files of testable languages, worst first by (10 - health)(1 + importers / 10)."""
-    tests = files.where(X.is_test_path(F.col("path"))).select(F.col("id").alias("from_file"))
+    tests = files.where(test_file(files)).select(F.col("id").alias("from_file"))
     tested = edges.join(tests, "from_file", "left_semi").select(F.col("to_file").alias("id")).distinct()
-    rows = files.where(~X.is_test_path(F.col("path")) & F.col("language").isin(languages)).join(tested, "id", "left_anti")
+    rows = files.where(~test_file(files) & F.col("language").isin(languages)).join(tested, "id", "left_anti")
     importers = edges.groupBy(F.col("to_file").alias("id")).agg(F.countDistinct("from_file").alias("importers"))
     rows = rows.join(file_complexity(symbols).withColumnRenamed("file_id", "id"), "id", "left").join(importers, "id", "left")
     h = X.health(F.coalesce("max_cc", F.lit(0)), F.col("pagerank"), F.col("change_count"))
@@ -167,7 +172,7 @@ def test_gaps(files: DataFrame, symbols: DataFrame, edges: DataFrame, languages:
 
 def test_suggest(files: DataFrame, edges: DataFrame, pairs: DataFrame, changed: DataFrame) -> DataFrame:
     """(test, n_sources): tests that import changed sources or change with them, and changed tests themselves."""
-    tests = files.where(X.is_test_path(F.col("path"))).select(F.col("id").alias("test"))
+    tests = files.where(test_file(files)).select(F.col("id").alias("test"))
     source = changed.select(F.col("id").alias("source"))
     importing = edges.select(F.col("from_file").alias("test"), F.col("to_file").alias("source")).join(source, "source", "left_semi").select("test", "source")
     often = omissions(pairs, changed).select(F.col("partner").alias("test"), F.col("id").alias("source"))

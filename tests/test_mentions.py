@@ -1,10 +1,15 @@
 """What tests cover without importing it, on literal files."""
 
+import os
+
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from cairn.operators import mentions, scores
+from tests import compare
 
 FILES = [
     (1, "src/io/cli_runner.rs", "rust"), (2, "src/cli.rs", "rust"), (3, "src/io/mod.rs", "rust"), (4, "src/find.rs", "rust"), (5, "src/own.rs", "rust"), (6, "src/alone.rs", "rust"),
@@ -59,3 +64,17 @@ def test_guard_forgets_acknowledgements(spark):
     acks = spark.createDataFrame(times, "id long, at string").withColumn("at", F.col("at").cast("timestamp"))
     denied = lambda **more: {r.id for r in scores.guard(files, blast, acks, now=F.lit("2024-01-01 00:10:00").cast("timestamp"), **more).collect() if r.denied}
     assert denied() == {3, 4, 5, 7} and denied(ttl=0) == {1, 2, 3, 4, 5, 7} and denied(ttl=601) == {4, 5, 7}
+
+
+def test_named_files_follow_their_own_side(spark, tmp_path, monkeypatch):
+    """A source whose words look like a test's name stays a source, and a number is no key of a dispatcher, as in the SQL."""
+    for name in os.listdir(compare.FOLDER):
+        if name.split(".")[0] not in ("documents", "labels"):
+            os.symlink(f"{compare.FOLDER}/{name}", tmp_path / name)
+    texts = [(0, "tests here", "en"), (1, "some test of it", "en"), (2, "1 and", "fr"), (3, "1", "en"), (4, "some test", "fr"), (6, "test it", "en"), (7, "a tests.", "en"), (8, "test it", "fr"), (9, "and", "en")]
+    rows = [(i, x, lang, "src3", len(x)) for i, x, lang in texts]
+    pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"]).to_parquet(tmp_path / "documents.parquet", index=False)
+    pd.DataFrame([(0, 1, 0)], columns=["doc_id", "quality", "toxic"]).to_parquet(tmp_path / "labels.parquet", index=False)
+    monkeypatch.setattr(compare, "FOLDER", str(tmp_path))
+    for name in ("module_mentions", "coverage_both_ways", "gaps_by_mentions", "suggest_with_untested"):
+        compare.assert_same(spark, __spark_entry__.queries()[name], __spark_entry__.oracle_sql()[name])
