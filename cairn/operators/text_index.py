@@ -7,14 +7,19 @@ documents can be among the best; then the postings of the most promising cells,
 
 from __future__ import annotations
 
+import itertools
 import math
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cairn.operators.tables import page
-from cairn.sources.sinks import sequential
 
 CELL = 1024
+#: Words whose postings leave a task at once.
+PIECE = 131_072
 K1, B = 1.2, 0.75
 
 
@@ -26,16 +31,46 @@ def _weight(tf: Column, length: Column, mean: Column | float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of the documents (id, cell, lower-case text) of a task, about PIECE words at a time."""
+    names = ["term", "cell", "id", "tf", "length", "positions"]
+    for batch in batches:
+        ids, cells = batch.column(0), batch.column(1)
+        terms, doc, length, places, ends = [], [], [], [], [0]
+
+        def piece():
+            at = pa.array(doc, pa.int32())
+            tf = pa.array([y - x for x, y in itertools.pairwise(ends)], pa.int32())
+            positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), cells.take(at), ids.take(at), tf, pa.array(length, pa.int32()), positions], names=names)
+
+        for k, text in enumerate(batch.column(2)):
+            words, own = re.findall("[a-z0-9]+", text.as_py() or ""), {}
+            for n, word in enumerate(words):
+                own.setdefault(word, []).append(n)
+            for word, at in own.items():
+                terms.append(word)
+                places += at
+                ends.append(len(places))
+            doc += [k] * len(own)
+            length += [len(words)] * len(own)
+            if len(places) >= PIECE:
+                yield piece()
+                terms, doc, length, places, ends = [], [], [], [], [0]
+        if terms:
+            yield piece()
+
+
 def build(docs: DataFrame, folder: str) -> None:
-    """Writes the index of docs (id, text), words being lower-case ASCII letters and digits; ids are unique. Documents without a word count in the totals only."""
+    """Writes the index of docs (id, text), words being lower-case ASCII letters and digits; ids are unique. Documents without a word count in the totals only.
+
+    A document's postings are made where its text is read, so the sort by terms is the only time that they move. A cell holds CELL neighbours of one input split.
+    """
     spark = docs.sparkSession
-    rows = docs.select("id", _words(F.col("text")).alias("words"))
-    sequential(rows.select("id", F.size("words").alias("length")), ["id"], "ord", 0).write.mode("overwrite").parquet(f"{folder}/docs")
-    placed = spark.read.parquet(f"{folder}/docs")
-    placed.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{folder}/totals")
+    docs.select(F.size(_words(F.col("text"))).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{folder}/totals")
     mean = _totals(spark, folder)[1] or 1.0
-    found = rows.select("id", F.posexplode("words").alias("at", "term")).groupBy("id", "term").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-    found = found.join(placed, "id").select("term", F.floor(F.col("ord") / CELL).alias("cell"), "id", F.size("positions").alias("tf"), "length", "positions")
+    rows = docs.select("id", F.floor(F.monotonically_increasing_id() / CELL).alias("cell"), F.lower("text").alias("text"))
+    found = rows.mapInArrow(_found, f"term string, cell long, id {docs.schema['id'].dataType.simpleString()}, tf int, length int, positions array<int>")
     found.repartitionByRange("term", "cell").sortWithinPartitions("term", "cell", "id").write.mode("overwrite").parquet(f"{folder}/postings")
     own = spark.read.parquet(f"{folder}/postings").select("term", "cell", _weight(F.col("tf"), F.col("length"), mean).alias("weight"))
     own = own.groupBy("term", "cell").agg(F.count("*").alias("n"), F.max("weight").alias("impact"))

@@ -60,3 +60,20 @@ def test_terms_and_pruning(spark, stored, capsys):
     # Far from all cells are read for a rare term: its bounds rule the others out.
     cells = spark.read.parquet(f"{folder}/cells")
     assert cells.where("term = 'rare7'").count() < cells.select("cell").distinct().count()
+
+
+def test_postings_move_once(spark, tmp_path, monkeypatch):
+    """Between the texts and the stored postings lies one exchange, that of the sort by terms."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, write = {}, DataFrameWriter.parquet
+
+    def parquet(self, path, *more, **named):
+        plans[path.rpartition("/")[2]] = self._df._jdf.queryExecution().optimizedPlan().toString()
+        return write(self, path, *more, **named)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    I.build(spark.createDataFrame([(1, "a b a"), (2, None)], "id long, text string"), str(tmp_path / "index"))
+    plan = plans["postings"]
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("Repartition") == 1
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/index/postings").select("term", "tf", "length", "positions").orderBy("term").collect()] == [("a", 2, 3, [0, 2]), ("b", 1, 3, [1])]
