@@ -149,3 +149,13 @@ def test_streaming_matches_a_batch(spark, tmp_path):
     assert sorted((r.root, r.path) for r in batch.collect()) == [("q", "c"), ("r", "b")] and seen == [3, 2]
     due = watch.Cadence()
     assert [due.due(t) for t in (0, 1, 29, 31)] == [True, False, False, True]
+
+
+def test_texts_without_what_a_rule_holds_go_through_no_pattern(spark):
+    texts = ['key = "abc"\napi_key = "abcdef"', 'x format!("SELECT * FROM t', 'f"delete from t', "Api print!(x) console.log(y)", "a ../b", 'xmlns="http://a.example.org/x"\nsee http://b.example.org/y',
+             'xmlns:y="http://a.example.org/x"', "-----BEGIN RSA PRIVATE KEY-----", "dbg!(1)", "plain words", None, "http://localhost/x http://c.example.org"]
+    bodies = spark.createDataFrame([(i, "rust", 0.5, True, t) for i, t in enumerate(texts)], "id long, language string, pagerank double, is_exported boolean, text string")
+    found = rules.scan(bodies, rules.active_rules())
+    assert sorted((r.id, r.rule, r.line) for r in found.collect()) == [(0, "SEC001", 2), (1, "SEC003", 1), (2, "SEC003", 1), (3, "SEC012", 1), (4, "SEC005", 1), (5, "SEC007", 2), (7, "SEC002", 1), (8, "SEC012", 1), (11, "SEC007", 1)]
+    # A pattern that begins by looking behind does so at each character.
+    assert set(rules.HOLDS) == {"SEC001", "SEC002", "SEC003", "SEC005", "SEC007", "SEC012"} and not any(p.startswith("(?<") for p in rules.NARROWED.values())
