@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from cairn.functions.session import dealt
 from cairn.operators.graph import reach
 from cairn.operators.tables import containing
 
 
-def co_change_pairs(commits: DataFrame, files: DataFrame | None = None, least: int = 2, most: int = 20) -> DataFrame:
+def co_change_pairs(commits: DataFrame, files: DataFrame | None = None, least: int = 2, most: int = 20, n_rows: int | None = None) -> DataFrame:
     """(file_a, file_b, count) over (commit_id, file): pairs of one commit of `least` to `most` files. The size bound keeps the pairs of a commit few.
 
-    With `files` (file), both ends must be known."""
-    rows = commits.select("commit_id", "file").distinct()
+    With `files` (file), both ends must be known. If the number of rows is known (`n_rows`), a task holds so many however many there are; the rows of a commit meet once, and all
+    that is asked of a commit is asked there."""
+    rows = dealt(commits.select("commit_id", "file"), n_rows, "commit_id").distinct()
     size = rows.groupBy("commit_id").agg(F.count("*").alias("n")).where(F.col("n").between(least, most))
     rows = rows.join(size.select("commit_id"), "commit_id", "left_semi")
     if files is not None:
@@ -67,20 +69,21 @@ def author_rollup(hunks: DataFrame) -> DataFrame:
     return hunks.groupBy("author").agg(F.sum("lines").alias("lines"), F.max_by("commit", F.struct("time", "commit")).alias("last_commit"))
 
 
-def blame_of_span(hunks: DataFrame, spans: DataFrame) -> DataFrame:
+def blame_of_span(hunks: DataFrame, spans: DataFrame, rows: int | None = None) -> DataFrame:
     """(id, author, lines, share): lines of each span (path, id, start, end) by author, over hunks (path, author, line_start, line_count).
 
-    Two stretches share lines if the first line of one lies in the other, so hunks and spans meet where they overlap and nowhere else.
+    Two stretches share lines if the first line of one lies in the other, so hunks and spans meet where they overlap and nowhere else. Of hunks and of spans there are
+    `rows` at most; if it is known, a task holds so many of them however many there are.
     """
     own = hunks.where("line_count > 0").select("path", "author", F.col("line_start").cast("long").alias("start"), (F.col("line_start") + F.col("line_count") - 1).cast("long").alias("end"))
-    own = own.groupBy("path", "author", "start", "end").agg(F.count("*").alias("times"))
+    own = dealt(own, rows, "path", "author", "start", "end").groupBy("path", "author", "start", "end").agg(F.count("*").alias("times"))
     spans = spans.select("path", "id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
     begun = own.select("path", F.col("start").alias("at"), "author", F.col("end").alias("hunk_end"), "times")
-    inside = containing(begun, spans, "path").join(begun, ["path", "at"]).select("id", "author", (F.least("end", "hunk_end") - F.col("at") + 1).alias("n"), "times")
+    inside = dealt(containing(begun, spans, "path", rows), rows, "path", "at").join(dealt(begun, rows, "path", "at").hint("merge"), ["path", "at"]).select("id", "author", (F.least("end", "hunk_end") - F.col("at") + 1).alias("n"), "times")
     first = spans.select("path", F.col("start").alias("at"), "id", F.col("end").alias("span_end"))
-    around = containing(first, own.select("path", F.struct("author", "times").alias("id"), "start", "end"), "path").where("start < at").withColumnRenamed("id", "hunk")
-    around = around.join(first, ["path", "at"]).where("span_end >= at").select("id", "hunk.author", (F.least("end", "span_end") - F.col("at") + 1).alias("n"), "hunk.times")
-    lines = inside.unionByName(around).groupBy("id", "author").agg(F.sum(F.col("n") * F.col("times")).alias("lines"))
+    around = containing(first, own.select("path", F.struct("author", "times").alias("id"), "start", "end"), "path", rows).where("start < at").withColumnRenamed("id", "hunk")
+    around = dealt(around, rows, "path", "at").join(dealt(first, rows, "path", "at").hint("merge"), ["path", "at"]).where("span_end >= at").select("id", "hunk.author", (F.least("end", "span_end") - F.col("at") + 1).alias("n"), "hunk.times")
+    lines = dealt(inside.unionByName(around), rows, "id").groupBy("id", "author").agg(F.sum(F.col("n") * F.col("times")).alias("lines"))
     return lines.withColumn("share", F.col("lines") * 100.0 / F.sum("lines").over(W.partitionBy("id")))
 
 

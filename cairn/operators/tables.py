@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cairn.functions import scalar as X
-from cairn.functions.session import settle
+from cairn.functions.session import dealt, settle
 
 
 def positive(name: str, value: int, least: int = 1, most: int | None = None) -> int:
@@ -125,13 +125,16 @@ def _looked_up(points: DataFrame, key: str, top: int) -> DataFrame:
     return rows.withColumn("cell", F.floor(F.col("at") / F.expr("shiftleft(1L, level)")))
 
 
-def containing(points: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+def containing(points: DataFrame, spans: DataFrame, key: str, rows: int | None = None) -> DataFrame:
     """(key, at, id, start, end): each place (key, at) with every span (key, id, start, end) that holds it, both ends included; places count once.
 
-    Spans and points meet by equal cells, and the cells of a span lie apart, so each pair that meets is one of the result.
+    Spans and points meet by equal cells, and the cells of a span lie apart, so each pair that meets is one of the result. Of more than `rows` points or spans
+    there are none; if it is known, tasks hold so many rows however large the tables are. Cells are many more than the spans, so they are not broadcast.
     """
     cells, top = _cells(spans.select(key, "id", "start", "end"), key)
-    return _looked_up(points, key, top).join(cells, [key, "level", "cell"]).select(key, "at", "id", "start", "end")
+    by, many = [key, "level", "cell"], rows and rows * (top + 1)
+    looked = _looked_up(dealt(points.select(key, "at"), rows, key, "at"), key, top)
+    return dealt(looked, many, *by).join(dealt(cells, many, *by).hint("merge"), by).select(key, "at", "id", "start", "end")
 
 
 def innermost(points: DataFrame, spans: DataFrame, key: str) -> DataFrame:

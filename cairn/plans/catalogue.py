@@ -103,7 +103,7 @@ def enclosing_interval(t):
 
 @query(", n AS (SELECT commit_id FROM commits GROUP BY 1 HAVING count(*) BETWEEN 2 AND 20) SELECT a.file AS file_a, b.file AS file_b, count(*) AS count FROM commits a JOIN commits b ON a.commit_id = b.commit_id AND a.file < b.file WHERE a.commit_id IN (SELECT commit_id FROM n) GROUP BY 1, 2")
 def cochange_pairs(t):
-    return history.co_change_pairs(t.commits)
+    return history.co_change_pairs(t.commits, n_rows=t.commits.count())
 
 
 @query("SELECT file, count(*) AS change_count FROM commits GROUP BY 1")
@@ -139,7 +139,7 @@ def author_rollup(t):
 def symbol_blame(t):
     hunks = t.raw("lineitem").select(F.col("l_partkey").alias("path"), F.col("l_suppkey").alias("author"), (F.col("l_linenumber") * 10).alias("line_start"), F.col("l_quantity").cast("long").alias("line_count"))
     spans = t.raw("part").select(F.col("p_partkey").alias("path"), F.col("p_partkey").alias("id"), F.lit(20).alias("start"), F.lit(60).alias("end"))
-    return history.blame_of_span(hunks, spans).withColumn("share", r("share"))
+    return history.blame_of_span(hunks, spans, max(hunks.count(), spans.count())).withColumn("share", r("share"))
 
 
 @query(", s AS (SELECT user_id AS series, count(*) AS n, min_by(value, (ts, event_id)) AS first, max_by(value, (ts, event_id)) AS last FROM events GROUP BY 1 HAVING count(*) >= 2), d AS (SELECT *, CASE WHEN first = 0 THEN 0 ELSE (last - first) / first * 100 END AS delta FROM s) SELECT series, n, first, last, round(delta, 4) AS delta, CASE WHEN delta > 10 THEN 'GROWING' WHEN delta < -10 THEN 'SHRINKING' ELSE 'STABLE' END AS direction FROM d")

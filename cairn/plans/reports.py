@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairn.functions.session import dealt
 from cairn.operators import graph, history, imports, names, resolve, rules, scores, tables as T
 from cairn.plans.catalogue import HEALTH, SMELLS, TEST, _smells, query, r
 
@@ -48,7 +49,9 @@ MINED = ", c AS (SELECT DISTINCT l_orderkey AS commit_id, l_partkey AS file, o_o
 
 def _commits(t):
     orders = t.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("time"))
-    rows = t.raw("lineitem").select("l_orderkey", "l_partkey").join(orders, "l_orderkey")
+    lines = t.raw("lineitem").select("l_orderkey", "l_partkey")
+    n = lines.count()  # from the files' footers; a task sorts so many rows of an order's lines however many there are
+    rows = dealt(lines, n, "l_orderkey").join(dealt(orders, n, "l_orderkey"), "l_orderkey")
     return rows.select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("file"), "time", F.when(F.col("l_orderkey") % 7 == 0, 2).otherwise(1).alias("parent_count"))
 
 

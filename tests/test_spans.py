@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.functions.session import TASK_ROWS, dealt
 from cairn.operators import history, tables as T
 
 
@@ -66,3 +67,16 @@ def test_running_total(spark):
         total += n
         want[k] = total
     assert got == want
+
+
+def test_rows_that_are_dealt_give_the_same(spark):
+    """As many tasks as the rows ask for, however few bytes a shuffle makes of them."""
+    assert dealt(spark.range(10), 10 * TASK_ROWS, "id").rdd.getNumPartitions() == 10 and dealt(spark.range(10), 3 * TASK_ROWS + 1, "id").rdd.getNumPartitions() == 4
+    rng = random.Random(5)
+    hunks = spark.createDataFrame([(rng.randrange(4), rng.choice("abc"), rng.randrange(60), rng.randrange(30)) for _ in range(200)], "path long, author string, line_start int, line_count int")
+    spans = spark.createDataFrame([(k % 4, k, 5 * k, 5 * k + 12) for k in range(12)], "path long, id long, start int, end int")
+    plain, many = (sorted(map(tuple, history.blame_of_span(hunks, spans, rows).collect())) for rows in (None, 3 * TASK_ROWS))
+    assert plain == many and plain
+    commits = spark.createDataFrame([(rng.randrange(30), rng.randrange(12)) for _ in range(300)], "commit_id long, file long")
+    plain, many = (sorted(map(tuple, history.co_change_pairs(commits, n_rows=rows).collect())) for rows in (None, 3 * TASK_ROWS))
+    assert plain == many and plain
