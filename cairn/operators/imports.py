@@ -28,10 +28,8 @@ def _ends(base: Column, endings: list[str]) -> list[Column]:
     return [F.concat(base, F.lit(e)) for e in endings]
 
 
-def _script(spec: Column, folder: Column) -> Column:
-    """Relative specifiers; a compiled suffix means its source first."""
-    base = F.when(spec.startswith("."), normal_path(_under(folder, spec)))
-    bare = F.regexp_replace(base, r"\.[^./]+$", "")
+def _script(base: Column, bare: Column) -> Column:
+    """Relative specifiers, as a normal path and without its last suffix; a compiled suffix means its source first."""
     plain, view = base.rlike(r"\.(js|mjs|cjs)$"), base.rlike(r"\.jsx$")
     first = [F.when(plain, c) for c in _ends(bare, [".ts", ".tsx", ".d.ts"])] + [F.when(view, c) for c in _ends(bare, [".tsx", ".ts", ".jsx"])]
     return F.array(*first, *_ends(base, SCRIPT_ENDINGS))
@@ -102,13 +100,15 @@ def resolve_imports(imports: DataFrame, files: DataFrame, go_module: str | None
     known = files.select("path").distinct()
     rows = imports.where("specifier is not null").select("path", "language", "specifier").distinct()
     folder, spec, path, language = X.dirname(F.col("path")), F.col("specifier"), F.col("path"), F.col("language")
-    c_like = language.isin("c", "cpp")
+    c_like, script = language.isin("c", "cpp"), language.isin("javascript", "typescript")
+    # Columns of their own: each of a script's candidates would work the path out again.
+    based = rows.withColumn("base", F.when(script & spec.startswith("."), normal_path(_under(folder, spec)))).withColumn("bare", F.regexp_replace("base", r"\.[^./]+$", ""))
     options = (
-        F.when(language.isin("javascript", "typescript"), _script(spec, folder)).when(language == "rust", _rust(spec, path, folder))
+        F.when(script, _script(F.col("base"), F.col("bare"))).when(language == "rust", _rust(spec, path, folder))
         .when(language == "python", _python(spec, folder)).when(c_like, _header(spec, folder))
     )
     target = known.withColumnRenamed("path", "to_path")
-    tried = rows.select("path", "specifier", F.posexplode(options).alias("n", "to_path")).where("to_path is not null").join(target, "to_path")
+    tried = based.select("path", "specifier", F.posexplode(options).alias("n", "to_path")).where("to_path is not null").join(target, "to_path")
     found = tried.groupBy("path", "specifier").agg(F.min_by("to_path", "n").alias("to_path"))
     absolute = rows.where((language == "python") & ~spec.startswith(".")).select("path", "specifier").join(_python_modules(known), "specifier")
     left = rows.where(c_like).withColumn("key", F.replace(spec, F.lit("\\"), F.lit("/"))).join(found.select("path", "specifier"), ["path", "specifier"], "left_anti")

@@ -189,3 +189,12 @@ def test_parse_deals_files_out(spark):
     calls = call_rows(sources.parse(files, ("symbols", "calls")).withColumn("file_id", F.lit(1)))
     assert sorted((r.owner or "", r["count"]) for r in calls.groupBy("owner").count().collect()) == [("", 600), ("A", 600)]
     assert "Exchange" not in calls._jdf.queryExecution().optimizedPlan().toString() and calls.where("line > 5").count() == 0
+
+
+def test_script_paths_are_worked_out_once(spark):
+    """A script's candidates are many; each would go over the path's parts again."""
+    rows = spark.createDataFrame([("src/a/x.ts", "typescript", "../b/./y.js"), ("src/a/x.ts", "typescript", "./z"), ("src/a/x.ts", "typescript", "react")], "path string, language string, specifier string")
+    known = spark.createDataFrame([("src/a/x.ts",), ("src/b/y.ts",), ("src/a/z/index.ts",)], "path string")
+    found = resolve_imports(rows, known)
+    assert sorted((r.specifier, r.to_path) for r in found.collect()) == [("../b/./y.js", "src/b/y.ts"), ("./z", "src/a/z/index.ts")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") < 12
