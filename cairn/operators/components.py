@@ -103,6 +103,7 @@ def blast_counts(edges: DataFrame, max_depth: int | None = None, parts: DataFram
 
     Without a depth, the members of a component share one count: pairs are made of components, not of nodes, so a large cycle costs its size and not its square.
     The pairs of components of the acyclic rest are still as many as their closure holds. `parts` (id, component) are the components of all the edges, if they are known.
+    Walks go through components that something imports; those that nothing imports end them, so they take no part in the rounds and are counted once behind them.
     """
     edges = settle(clean_edges(edges.where("src is not null and dst is not null")))
     if max_depth is not None:
@@ -110,9 +111,24 @@ def blast_counts(edges: DataFrame, max_depth: int | None = None, parts: DataFram
         seen = reach(reverse(edges), nodes.select(F.col("node").alias("seed"), "node"), max_depth)
         return seen.groupBy(F.col("seed").alias("id")).agg((F.count("*") - 1).alias("importers"))
     parts = settle(strong_components(edges)) if parts is None else parts
-    sizes = parts.groupBy(F.col("component").alias("node")).agg(F.count("*").alias("n"))
-    between = edges.join(parts.withColumnsRenamed({"id": "src", "component": "a"}), "src").join(parts.withColumnsRenamed({"id": "dst", "component": "b"}), "dst")
-    between = between.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    seen = reach(reverse(between), sizes.select(F.col("node").alias("seed"), "node"))
-    counts = seen.join(sizes, "node").groupBy(F.col("seed").alias("component")).agg((F.sum("n") - 1).alias("importers"))
-    return parts.join(counts, "component").select("id", "importers")
+    sizes = settle(parts.groupBy(F.col("component").alias("node")).agg(F.count("*").alias("n")))
+    between = edges
+    if not sizes.where("n > 1").isEmpty():
+        between = edges.join(parts.withColumnsRenamed({"id": "src", "component": "a"}), "src").join(parts.withColumnsRenamed({"id": "dst", "component": "b"}), "dst")
+        between = settle(between.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+    inner = settle(between.select(F.col("dst").alias("node")).distinct())
+    through = between.join(inner.withColumnRenamed("node", "src"), "src", "left_semi")
+    ends = between.join(inner.withColumnRenamed("node", "src"), "src", "left_anti")
+    seen = settle(reach(reverse(through), inner.select(F.col("node").alias("seed"), "node")).select("seed", "node"))
+    own = seen.join(sizes, "node").select("seed", "n")
+    # A seed that only ends lead to has each of them once; of others' an end is met on several ways.
+    alone = seen.groupBy("seed").agg(F.count("*").alias("k")).where("k = 1").select("seed")
+    sized = ends if between is edges else ends.join(sizes.withColumnRenamed("node", "src"), "src")
+    single = sized.join(alone.withColumnRenamed("seed", "dst"), "dst", "left_semi").withColumnRenamed("dst", "seed")
+    many = seen.join(alone, "seed", "left_anti").join(sized.withColumnRenamed("dst", "node"), "node").drop("node").distinct()
+    n = F.lit(1) if between is edges else F.col("n")
+    met = [own.groupBy("seed").agg(F.sum("n").alias("n")), *(rows.groupBy("seed").agg(F.sum(n).cast("long").alias("n")) for rows in (single, many))]
+    counts = reduce(DataFrame.unionByName, met).groupBy(F.col("seed").alias("component")).agg((F.sum("n") - 1).alias("importers"))
+    # What nothing imports is reached by its own component only.
+    first = parts.join(sizes.withColumnRenamed("node", "component"), "component")
+    return first.join(counts, "component", "left").select("id", F.coalesce("importers", F.col("n") - 1).alias("importers"))

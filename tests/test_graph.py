@@ -226,3 +226,13 @@ def test_components_of_nulls_loops_and_nothing(spark):
     got = components.strong_components(edges(spark, [(1, 1), (None, 2), (3, None), (4, 5), (5, 4), (4, 5)])).collect()
     assert sorted(map(tuple, got)) == [(4, 4), (5, 4)]
     assert sorted(map(tuple, components.blast_counts(edges(spark, [(1, 2), (2, 3), (3, 4)]), 2).collect())) == [(1, 0), (2, 1), (3, 2), (4, 2)]
+
+
+def test_blast_walks_only_through_what_is_imported(spark, monkeypatch):
+    walked, reach = [], components.reach
+    monkeypatch.setattr(components, "reach", lambda e, seeds, *more: walked.append((e.count(), seeds.count())) or reach(e, seeds, *more))
+    tree = [(100 + k, 10 + k % 3) for k in range(50)] + [(100, 11), (100, 1), (10, 1), (11, 1), (12, 1)]
+    for pairs in (tree, [*tree, (200, 201), (201, 200), (201, 12), (1, 2), (2, 1)]):
+        ends = reached(pairs)
+        assert {r.id: r.importers for r in components.blast_counts(edges(spark, pairs)).collect()} == {v: sum(v in ends[u] for u in ends) - 1 for v in ends}
+    assert walked == [(3, 4), (3, 4)]
