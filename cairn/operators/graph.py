@@ -189,88 +189,199 @@ def _stretches(starts: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[int, i
         lo = hi
 
 
-def _louvain(starts: np.ndarray, others: np.ndarray, weights: np.ndarray, two_m: float, gamma: float, passes: int, epsilon: float, hub: int = 4096) -> tuple[np.ndarray, list[float]]:
+def _least(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least that pairs (u, v) join it with, by hooking to the lesser end and jumping."""
+    label, apart = np.arange(n), True
+    while apart:
+        apart = False
+        for k in range(0, len(u), 1 << 18):
+            a, b = label[u[k : k + (1 << 18)]], label[v[k : k + (1 << 18)]]
+            if (differ := a != b).any():
+                apart = True
+                np.minimum.at(label, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
+        while not ((further := label[label]) == label).all():
+            label = further
+    return label
+
+
+def _groups(at: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The communities next to a node with neighbours u, and the weight to each; some neighbours at a time."""
+    some, heavy = [], []
+    for k in range(0, len(u), 1 << 17):
+        c, where = np.unique(at[u[k : k + (1 << 17)]], return_inverse=True)
+        some.append(c)
+        heavy.append(np.bincount(where, w[k : k + (1 << 17)]))
+    if len(some) == 1:
+        return some[0], heavy[0]
+    c, where = np.unique(np.concatenate(some), return_inverse=True)
+    return c, np.bincount(where, np.concatenate(heavy))
+
+
+def _slack(lens: np.ndarray, own: np.ndarray, c: np.ndarray, w: np.ndarray | None, share: np.ndarray, degree: np.ndarray, mass: np.ndarray, two_m: float) -> tuple[np.ndarray, ...]:
+    """By how much staying beats the best move, for nodes side by side with `lens` neighbours each, in communities c; less what rounding may hide. Also pairs of a node and a community next to it."""
+    n, rows = len(mass), np.arange(len(lens))
+    key = np.repeat(rows, lens) * n + c
+    if w is None:
+        key.sort()
+    else:
+        order = np.argsort(key)
+        key, w = key[order], w[order]
+    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    x = np.diff(np.append(cut, len(key))) if w is None else np.add.reduceat(w.astype(np.int64), cut) if len(cut) else cut
+    r, c = np.divmod(key[cut], n)
+    mine = c == own[r]
+    gain = np.where(mine, -np.inf, x - share[r] * mass[c] / two_m)
+    most, inside = np.full(len(lens), -np.inf), np.zeros(len(lens))
+    np.maximum.at(most, r, gain)
+    inside[r[mine]] = x[mine]
+    return np.maximum(inside - share * (mass[own] - degree) / two_m, 0) - most - 1e-9 * (1 + degree), r, c
+
+
+def _waiting(open_: np.ndarray) -> Iterator[int]:
+    """Where `open_` is set, in order; it may be set further on in the meantime."""
+    v = 0
+    while v < len(open_):
+        v += int(open_[v:].argmax())
+        if not open_[v]:
+            return
+        yield v
+        v += 1
+
+
+def _louvain(starts: np.ndarray, others: np.ndarray, weights: np.ndarray, two_m: float, gamma: float, passes: int, epsilon: float, hub: int = 256) -> tuple[np.ndarray, list[float]]:
     """Single-level local moving in node order, by the whole graph's weight `two_m`: a node moves to the neighbouring community of the greatest gain,
     if that is positive and more than staying gives; ties go to the smallest community. Ends behind a pass that gains less than `epsilon`. Split communities
     come apart; ids run from 1 in node order. Also the modularity that each pass gained.
 
-    Node v's neighbours are others[starts[v] : starts[v + 1]]; they are read in order, a stretch at a time, and only the nodes' own state is held."""
+    Node v's neighbours are others[starts[v] : starts[v + 1]]; they are read in order, a stretch at a time, and only the nodes' own state is held. Once few nodes move,
+    a stretch is judged at once, and only those are looked at that would move, that have a neighbour which moved, or that may be swayed by what a community won or lost in the stretch so far."""
     n = len(starts) - 1
     degrees = np.zeros(n, np.int64)
     for lo, hi in _stretches(starts):
         upto = np.concatenate([[0], np.cumsum(weights[starts[lo] : starts[hi]], dtype=np.int64)])[starts[lo : hi + 1] - starts[lo]]
         degrees[lo:hi] = np.diff(upto)
-    at = np.arange(n, dtype=np.int32)
-    of, weight, degree = list(range(n)), degrees.tolist(), degrees.tolist()
+    at, mass = np.arange(n, dtype=np.int32), degrees.copy()
+    of, weight = list(range(n)), degrees.tolist()
     gained: list[float] = []
+    # Single edges to communities of different weights differ in gain by more than rounding takes away.
+    fine, calm = bool(two_m) and gamma / two_m > 1e-11 * max(1.0, gamma), False
     for _ in range(passes if two_m else 0):
-        moved, sum_ = False, 0.0
+        moves, sum_ = 0, 0.0
         for lo, hi in _stretches(starts):
             first, ends = int(starts[lo]), (starts[lo : hi + 1] - starts[lo]).tolist()
             large = ends[-1] > max(hub, 1 << 17)
             u, w = others[first : first + ends[-1]], weights[first : first + ends[-1]]
             ones = bool((w == 1).all())
+            order, degree, drift, before = range(hi - lo), degrees[lo:hi].tolist(), 0, moves
+            judged = calm and not large
+            if judged:
+                sway = 2 * gamma * degrees[lo:hi] / two_m
+                slack, beside, community = _slack(np.diff(starts[lo : hi + 1]), at[lo:hi], at[u], None if ones else w, gamma * degrees[lo:hi], degrees[lo:hi], mass, two_m)
+                open_ = slack <= 0
+                order = _waiting(open_)
             if not large:
-                nodes, heavy = u.tolist(), None if ones else w.tolist()
-            for v in range(lo, hi):
-                i, j = ends[v - lo], ends[v - lo + 1]
+                nodes, heavy = None, None if ones else w.tolist()
+            for k in order:
+                i, j = ends[k], ends[k + 1]
                 if i == j:
                     continue
+                v, own, share = lo + k, of[lo + k], gamma * degree[k]
+                left = weight[own] - degree[k]
+                best, most = own, 0.0
                 if large or j - i > hub:
-                    near = {}
-                    for k in range(i, j, 1 << 17):
-                        m = min(j, k + (1 << 17))
-                        some, where = np.unique(at[u[k:m]], return_inverse=True)
-                        for c, x in zip(some.tolist(), np.bincount(where, w[k:m]).tolist(), strict=True):
-                            near[c] = near.get(c, 0) + x
-                elif ones:
-                    near = Counter(map(of.__getitem__, nodes[i:j]))
+                    some, x = _groups(at, u[i:j], w[i:j])
+                    mine = some == own
+                    stay = float(x[mine][0] if mine.any() else 0) - share * left / two_m
+                    gain = np.where(mine, -np.inf, x - share * mass[some] / two_m)
+                    if (top := float(gain.max())) > 0:
+                        best, most = int(some[gain == top].min()), top
                 else:
-                    near = {}
-                    for c, x in zip(map(of.__getitem__, nodes[i:j]), heavy[i:j], strict=True):
-                        near[c] = near.get(c, 0) + x
-                own, share = of[v], gamma * degree[v]
-                weight[own] -= degree[v]
-                stay = near.get(own, 0) - share * weight[own] / two_m
-                best, most = own, 0.0
-                for c, x in near.items():
-                    gain = x - share * weight[c] / two_m
-                    if gain >= most and c != own and (gain > most or best != own and c < best):
-                        best, most = c, gain
-                if most <= stay:
-                    best = own
-                weight[best] += degree[v]
-                if best != own:
-                    of[v] = at[v] = best
-                    moved, sum_ = True, sum_ + 2 * (most - stay) / two_m
-        if not moved:
+                    if nodes is None:
+                        nodes = u.tolist()
+                    near = list(map(of.__getitem__, nodes[i:j]))
+                    if ones and fine and len(kinds := {*near, own}) > j - i:
+                        weighs = list(map(weight.__getitem__, near))
+                        light = min(weighs)
+                        stay, top = 0 - share * left / two_m, 1 - share * light / two_m
+                        if top > 0:
+                            best, most = near[weighs.index(light)] if weighs.count(light) == 1 else min(c for c, x in zip(near, weighs, strict=True) if x == light), top
+                    else:
+                        if ones:
+                            kinds = Counter(near)
+                        else:
+                            kinds = {}
+                            for c, x in zip(near, heavy[i:j], strict=True):
+                                kinds[c] = kinds.get(c, 0) + x
+                        stay = kinds.get(own, 0) - share * left / two_m
+                        for c, x in kinds.items():
+                            gain = x - share * weight[c] / two_m
+                            if gain >= most and c != own and (gain > most or best != own and c < best):
+                                best, most = c, gain
+                if best == own or most <= stay:
+                    continue
+                weight[own] = mass[own] = left
+                weight[best] = mass[best] = weight[best] + degree[k]
+                of[v] = at[v] = best
+                moves, sum_ = moves + 1, sum_ + 2 * (most - stay) / two_m
+                if judged:
+                    if not drift:
+                        by = np.argsort(community)
+                        beside, community = beside[by], community[by]
+                    drift += degree[k]
+                    for c in (own, best):
+                        swayed = beside[np.searchsorted(community, c) : np.searchsorted(community, c, "right")]
+                        swayed = np.append(swayed, np.flatnonzero(at[lo:hi] == c))
+                        open_[swayed[slack[swayed] <= sway[swayed] * drift]] = True
+                    open_[(near := u[i:j])[(near > v) & (near < hi)] - lo] = True
+            calm = (moves - before) * 8 < hi - lo
+        if not moves:
             break
         gained.append(sum_)
         if sum_ < epsilon:
             break
-    part, number = np.zeros(n, np.int32), 0
-    for v in range(n):
-        if part[v]:
+    ends = _Numbers(np.int32), _Numbers(np.int32)
+    for lo, hi in _stretches(starts):
+        for k in range(int(starts[lo]), int(starts[hi]), 1 << 17):
+            u = others[k : min(k + (1 << 17), int(starts[hi]))]
+            v = np.searchsorted(starts[lo : hi + 1], np.arange(k, k + len(u)), "right") + lo - 1
+            inside = (at[u] == at[v]) & (u < v)
+            ends[0].add(u[inside])
+            ends[1].add(v[inside])
+    least = _least(n, ends[0].array(), ends[1].array())
+    return np.unique(least, return_inverse=True)[1].astype(np.int32) + 1, gained
+
+
+def _packed(batches):
+    """From rows (component, id, b, w), ordered by component and id: rows (component, id, b, w) with lists, one or more a node, none of a hub longer than a batch."""
+    import pyarrow as pa
+
+    for batch in batches:
+        component, id_ = (batch.column(k).to_numpy() for k in (0, 1))
+        if not len(id_):
             continue
-        number += 1
-        part[v], todo = number, [v]
-        while todo:
-            u = others[starts[k := todo.pop()] : starts[k + 1]]
-            u = u[(at[u] == at[v]) & (part[u] == 0)]
-            part[u] = number
-            todo.extend(u.tolist())
-    return part, gained
+        cut = np.flatnonzero(np.append(True, (id_[1:] != id_[:-1]) | (component[1:] != component[:-1])))
+        upto = np.append(0, np.cumsum(batch.column(2).is_valid().to_numpy(zero_copy_only=False)))
+        starts = pa.array(upto[np.append(cut, len(id_))].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(starts, batch.column(k).drop_null()) for k in (2, 3)]
+        yield pa.RecordBatch.from_arrays([pa.array(component[cut]), pa.array(id_[cut]), *lists], ["component", "id", "b", "w"])
 
 
 def _moves(batches, two_m: float, gamma: float, passes: int, epsilon: float):
-    """From rows (component, id, b, w), ordered by component and id, with each edge at both ends and b null at a node without any: batches of
+    """From rows (component, id, b, w), ordered by component and id, with each edge at both ends and b null at a node without any, or with lists b and w: batches of
     (component, id, part, gained), with `gained` in a component's first row."""
     import pyarrow as pa
 
     def worked(component: int, ids: np.ndarray, starts: np.ndarray, b: np.ndarray, w: np.ndarray):
-        others = _Numbers(np.int32)
+        others, span = _Numbers(np.int32), int(ids[-1] - ids[0]) + 1
+        # Ids that lie close together are looked up in a table.
+        table = None
+        if span <= 16 * len(ids):
+            table = np.zeros(span, np.int32)
+            table[ids - ids[0]] = np.arange(len(ids))
         for k in range(0, len(b), 1 << 18):
-            others.add(np.searchsorted(ids, b[k : k + (1 << 18)]))
+            some = b[k : k + (1 << 18)]
+            others.add(np.searchsorted(ids, some) if table is None else table[some - ids[0]])
+        del table
         part, gained = _louvain(np.append(starts, len(b)), others.array(), w, two_m, gamma, passes, epsilon)
         for k in range(0, len(ids), 1 << 16):
             own = ids[k : k + (1 << 16)]
@@ -281,29 +392,59 @@ def _moves(batches, two_m: float, gamma: float, passes: int, epsilon: float):
     now, last = None, None
     for batch in batches:
         component, id_ = (batch.column(k).to_numpy() for k in (0, 1))
-        known = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-        b, w = (batch.column(k).fill_null(0).to_numpy() for k in (2, 3))
+        b, w = batch.column(2), batch.column(3)
+        if pa.types.is_list(b.type):
+            upto = np.append(0, np.cumsum(b.value_lengths().to_numpy()))
+            b, w = b.flatten().to_numpy(), w.flatten().to_numpy()
+        else:
+            upto = np.append(0, np.cumsum(b.is_valid().to_numpy(zero_copy_only=False)))
+            b, w = b.drop_null().to_numpy(), w.drop_null().to_numpy()
         cuts = [0, *(np.flatnonzero(component[1:] != component[:-1]) + 1).tolist(), len(component)] if len(component) else []
         for i, j in zip(cuts, cuts[1:], strict=False):
             if component[i] != now:
                 if now is not None:
                     yield from worked(now, *(x.array() for x in columns))
                 now, last, columns = int(component[i]), None, [_Numbers(np.int64), _Numbers(np.int64), _Numbers(np.int64), _Numbers(np.uint32)]
-            own, real = id_[i:j], known[i:j]
+            own = id_[i:j]
             new = np.concatenate([[last is None or own[0] != last], own[1:] != own[:-1]])
             columns[0].add(own[new])
-            columns[1].add((columns[2].n + np.cumsum(real) - real)[new])
-            columns[2].add(b[i:j][real])
-            columns[3].add(w[i:j][real])
+            columns[1].add((columns[2].n + upto[i:j] - upto[i])[new])
+            columns[2].add(b[upto[i] : upto[j]])
+            columns[3].add(w[upto[i] : upto[j]])
             last = own[-1]
     if now is not None:
         yield from worked(now, *(x.array() for x in columns))
 
 
-def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the least node that undirected edges reach, by hooking to the least neighbour and jumping."""
-    w = undirected(edges)
-    both = settle(w.select("a", "b").union(w.select("b", "a")))
+def _forest(batches, most: int = 1 << 20):
+    """From pairs (a, b): pairs of each node with the least one that the task's pairs join it with; so many pairs at a time, and at the end once more."""
+    import pyarrow as pa
+
+    def stars(pairs: list) -> list:
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        ids, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+        least = _least(len(ids), where[: len(a)], where[len(a) :])
+        far = least != np.arange(len(ids))
+        return [(ids[least[far]], ids[far])]
+
+    held, n, stars_n = [], 0, 0
+    for batch in batches:
+        held.append(tuple(x.to_numpy() for x in batch.columns))
+        n += batch.num_rows
+        if n - stars_n >= most:
+            held = stars(held)
+            n = stars_n = len(held[0][0])
+            if n >= most:
+                yield pa.RecordBatch.from_arrays([*map(pa.array, held[0])], ["a", "b"])
+                held, n, stars_n = [], 0, 0
+    for a, b in stars(held) if held else []:
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _joined(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`connected` over pairs (a, b) of these nodes: each task first shrinks its pairs to stars."""
+    w = pairs.where("a <> b").mapInArrow(_forest, "a long, b long").distinct()
+    both = settle(w.union(w.select("b", "a")))
     label = settle(nodes.select("id", F.col("id").alias("component")))
     while True:
         near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
@@ -315,16 +456,24 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return label
 
 
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the least node that undirected edges reach, by hooking to the least neighbour and jumping."""
+    return _joined(nodes, induced(edges, nodes).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
 def communities(nodes: DataFrame, edges: DataFrame, gamma: float = 1.0, passes: int = 50, epsilon: float = 1e-6, least: int = 3) -> DataFrame:
     """(id, cluster): local moving over the whole graph until a pass gains less than `epsilon` of modularity; clusters below `least` nodes are 0, the others
     are numbered from 1 by their least node. Moves never leave a connected component, so components are worked on side by side; the order of moves
     inside one is part of the result, so a component is one task. Edges count between nodes of `nodes` only. That task holds some numbers a node; the edges lie in a file beside it."""
     nodes = settle(nodes.select("id").distinct())
-    w = settle(undirected(induced(edges, nodes)))
-    component = connected(nodes, w.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    # A node's edges lie together, so that a task's stars are few.
+    w = settle(undirected(induced(edges, nodes)).repartition("a"))
+    component = _joined(nodes, w.select("a", "b"))
     two_m = 2 * (w.agg(F.sum("w")).first()[0] or 0.0)
     both = w.select(F.col("a").alias("id"), "b", "w").union(w.select("b", "a", "w"))
-    rows = component.join(both, "id", "left").select("component", "id", "b", F.col("w").cast("long").alias("w"))
+    rows = component.join(both, "id", "left").select("component", "id", "b", F.col("w").cast("int").alias("w"))
+    # Nodes with lists of their neighbours go to the component's task, so that it sorts nodes and not edges.
+    rows = rows.repartition("component", "id").sortWithinPartitions("component", "id").mapInArrow(_packed, "component long, id long, b array<long>, w array<int>")
     rows = rows.repartition("component").sortWithinPartitions("component", "id")
     # The only component with edges sees by itself when a pass gains too little.
     alone = component.groupBy("component").count().where("count > 1").limit(2).count() < 2

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from cairn.functions import scalar as X
 from cairn.operators import components, graph, history, resolve, rules, scores, search, tables as T, text_index
+from cairn.functions.session import settle
 from cairn.plans.adapters import SQL, Tables
 from cairn.sources import sinks
 from cairn.streaming import watch
@@ -518,8 +519,9 @@ def taint_path(t):
 
 @query()
 def communities(t):
-    nodes = t.layers.select(F.col("src").alias("id")).union(t.layers.select("dst")).distinct()
-    return graph.communities(nodes, t.layers)
+    layers = settle(t.layers)
+    nodes = layers.select(F.col("src").alias("id")).union(layers.select("dst")).distinct()
+    return graph.communities(nodes, layers)
 
 
 @query(", c AS (SELECT DISTINCT id, id % 10 AS cluster FROM (SELECT src AS id FROM layers UNION ALL SELECT dst FROM layers)), e AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*)::DOUBLE AS w FROM layers GROUP BY 1, 2), s AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e), k AS (SELECT a AS id, sum(w) AS k FROM s GROUP BY 1), m AS (SELECT sum(k) AS m FROM k) SELECT round(coalesce(sum((w - x.k * y.k / m) / m), 0), 9) AS modularity FROM s JOIN k x ON x.id = a JOIN k y ON y.id = b JOIN c ca ON ca.id = a JOIN c cb ON cb.id = b, m WHERE ca.cluster = cb.cluster")

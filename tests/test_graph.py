@@ -168,6 +168,47 @@ def test_large_hubs_move_as_others_do():
     assert len(set(got[0][0].tolist())) < n / 2
 
 
+def test_packed_nodes_move_as_single_edges_do():
+    rng = np.random.default_rng(4)
+    pairs = np.unique(np.sort(rng.integers(0, 300, (900, 2)), axis=1), axis=0)
+    pairs = np.concatenate([pairs[pairs[:, 0] != pairs[:, 1]], [(999, k) for k in range(40)]])
+    both = np.concatenate([pairs, pairs[:, ::-1]])
+    both = both[np.lexsort((both[:, 1], both[:, 0]))]
+    names, w = ["component", "id", "b", "w"], rng.integers(1, 4, 1000)
+    weights = pa.array([int(w[(a * b) % 1000]) for a, b in both] + [None], pa.int64())
+    columns = [pa.array(np.zeros(len(both) + 1, np.int64)), pa.array([*both[:, 0], 1234]), pa.array([*both[:, 1], None], pa.int64()), weights]
+    rows = [pa.RecordBatch.from_arrays([c.slice(k, 64) for c in columns], names) for k in range(0, len(both) + 1, 64)]
+    packed = list(graph._packed(iter(rows)))
+    known = len({*both[:, 0].tolist()}) + 1
+    assert known <= sum(x.num_rows for x in packed) <= known + len(rows)  # a node is one row, and one more where a batch ends inside it
+    got = [[r for x in graph._moves(iter(b), 2.0 * len(pairs), 1.0, 50, 0.0) for r in x.to_pylist()] for b in (rows, packed)]
+    assert got[0] == got[1] and len(got[0]) == known
+
+
+def test_passes_in_which_little_moves_look_at_few_nodes(monkeypatch):
+    n, seen = 60_000, []
+    starts, ids = np.arange(0, 5 * n + 1, 5), np.arange(n)
+    others = np.stack([ids // 6 * 6 + (ids + k) % 6 for k in range(1, 6)], axis=1).ravel().astype(np.int32)
+    monkeypatch.setattr(graph, "Counter", lambda x, count=graph.Counter: seen.append(1) or count(x))
+    part, gained = graph._louvain(starts, others, np.ones(5 * n, np.uint32), 5.0 * n, 1.0, 5, 0.0)
+    assert part.tolist() == (ids // 6 + 1).tolist() and len(gained) == 1
+    assert len(seen) < 1.5 * n  # two passes
+
+
+def test_stars_join_what_their_pairs_joined():
+    rng = np.random.default_rng(2)
+    pairs = rng.integers(0, 500, (5000, 2)) // 7 * 7 + rng.integers(0, 2, (5000, 1))
+    ids, where = np.unique(pairs, return_inverse=True)
+    where = where.reshape(pairs.shape)
+    for most in (1 << 20, 300, 10):
+        batches = (pa.RecordBatch.from_arrays([pa.array(x) for x in pairs[k : k + 100].T], ["a", "b"]) for k in range(0, 5000, 100))
+        stars = [r for x in graph._forest(batches, most) for r in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+        a, b = np.searchsorted(ids, np.array(stars).T)
+        assert graph._least(len(ids), a, b).tolist() == graph._least(len(ids), where[:, 0], where[:, 1]).tolist()
+        assert len(stars) < len(ids) or most < 1000
+    assert list(graph._forest(iter([]))) == []
+
+
 def test_pagerank_matches_a_loop(spark):
     rng = random.Random(6)
     for _ in range(3):
