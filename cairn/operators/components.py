@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from cairn.functions.session import settle
-from cairn.operators.graph import clean_edges, reach, reverse
+from cairn.operators.graph import _joined, clean_edges, reach, reverse
 
+#: Fixed value: pieces of a graph with no more edges than this are worked on whole, each by one task.
+WHOLE = 1 << 20
 
 #: A round of shedding is followed by another while it leaves no more than this share of the edges; the colours take whatever is left.
 PAYS = 0.9
@@ -44,19 +47,88 @@ def _coloured(edges: DataFrame) -> DataFrame:
     return colours
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def _roots(starts: list[int], to: list[int]) -> list[int]:
+    """For each node a node of its strong component, the same for all of them; node v's edges lead to to[starts[v] : starts[v + 1]]. Tarjan's walk, without recursion."""
+    n = len(starts) - 1
+    met, low, root, after, open_, count = [0] * n, [0] * n, [-1] * n, starts[:-1], [], 0
+    for first in range(n):
+        way = [] if met[first] else [first]
+        while way:
+            v = way[-1]
+            if not met[v]:
+                count += 1
+                met[v] = low[v] = count
+                open_.append(v)
+            if after[v] < starts[v + 1]:
+                u = to[after[v]]
+                after[v] += 1
+                if not met[u]:
+                    way.append(u)
+                elif root[u] < 0 and met[u] < low[v]:
+                    low[v] = met[u]
+                continue
+            way.pop()
+            if way and low[v] < low[way[-1]]:
+                low[way[-1]] = low[v]
+            while low[v] == met[v] and root[v] < 0:
+                root[open_.pop()] = v
+    return root
+
+
+def _whole(batches):
+    """From rows (piece, src, dst), ordered by piece: batches of (id, component), for one piece after the other."""
+    import pyarrow as pa
+
+    def worked(held: list):
+        src, dst = (np.concatenate(x) for x in zip(*held, strict=True))
+        ids, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        order = np.argsort(at[: len(src)], kind="stable")
+        starts = np.searchsorted(at[: len(src)][order], np.arange(len(ids) + 1))
+        root = _roots(starts.tolist(), at[len(src) :][order].tolist())
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], ["id", "component"])
+
+    now, held = None, []
+    for batch in batches:
+        piece, src, dst = (x.to_numpy() for x in batch.columns)
+        cuts = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist(), len(piece)] if len(piece) else []
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if held and piece[i] != now:
+                yield worked(held)
+                held = []
+            now = piece[i]
+            held.append((src[i:j], dst[i:j]))
+    if held:
+        yield worked(held)
+
+
+def _pieces(edges: DataFrame, n: int, whole: int) -> tuple[DataFrame | None, DataFrame]:
+    """(id, component) of those pieces of n edges that have `whole` edges or less, and the edges of the others. Nothing leads from one piece to another."""
+    schema = "id long, component long"
+    if n <= whole:
+        return settle(edges.select(F.lit(0).cast("long").alias("piece"), "src", "dst").coalesce(1).mapInArrow(_whole, schema)), edges.limit(0)
+    nodes = settle(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct())
+    piece = _joined(nodes, edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).select(F.col("id").alias("src"), F.col("component").alias("piece"))
+    edges = settle(edges.join(piece, "src").select("piece", "src", "dst"))
+    large = settle(edges.groupBy("piece").count().where(F.col("count") > whole).select("piece"))
+    small = edges.join(large, "piece", "left_anti").repartition("piece").sortWithinPartitions("piece")
+    return settle(small.mapInArrow(_whole, schema)), settle(edges.join(large, "piece", "left_semi").select("src", "dst"))
+
+
+def strong_components(edges: DataFrame, whole: int | None = None) -> DataFrame:
     """(id, component): the least node of those that each node of the edges (src, dst) reaches and is reached by, itself included.
 
     Nodes off all cycles are shed in rounds, and nodes with one edge in and one out are taken out of their chains (some half of a chain a round), so long chains and
-    rings shrink by halves. In the rest each node takes the least node that reaches it as its colour; what leads back to that node inside the colour is a component,
-    and goes. Rows that repeat, loops and nulls do not count; no edges give no rows. Each round reads edges that are left, nothing is held by a task or the driver.
+    rings shrink by halves. What is left falls into pieces that no edge joins; those of at most `whole` edges (WHOLE, if not given) are worked on side by side, each whole in
+    one task. In larger ones each node takes the least node that reaches it as its colour; what leads back to that node inside the colour is a component,
+    and goes. Rows that repeat, loops and nulls do not count; no edges give no rows. Each round reads edges that are left; a task holds at most `whole` of them, the driver none.
     """
+    whole = WHOLE if whole is None else whole
     edges = settle(clean_edges(edges.where("src is not null and dst is not null")))
     nodes = settle(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct())
     found, taken, rest, turn = [], [], edges, 0
     left = rest.count()
     while left:
-        while True:
+        while left > whole:
             before, turn, rest = left, turn + 1, settle(_shed(rest))
             links = settle(_links(rest, turn))
             if not links.isEmpty():
@@ -70,6 +142,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
                 break
         if not left:
             break
+        part, rest = _pieces(rest, left, whole)
+        found.append(part)
+        if left <= whole or rest.isEmpty():
+            break
         colours = _coloured(rest)
         inside = rest.join(colours.select(F.col("id").alias("src"), "colour"), "src").join(colours.select(F.col("id").alias("dst"), F.col("colour").alias("other")), "dst").where("colour = other").select("src", "dst", "colour")
         inside = settle(inside)

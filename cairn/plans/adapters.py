@@ -106,11 +106,16 @@ class Tables:
         c = nation.select((F.col("n_nationkey").cast("long") * 10 + 3).alias("src"), (F.col("n_regionkey").cast("long") * 10 + 4).alias("dst"))
         return a.union(b).union(c)
 
+    @cached_property
+    def steps(self) -> DataFrame:
+        """(src, dst): a part and the next one in its order, as often as orders have it."""
+        after = F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+        return self.raw("lineitem").select(F.col("l_partkey").alias("src"), after.alias("dst")).where("dst is not null and src <> dst")
+
     @cached_property
     def chain(self) -> DataFrame:
         """(src, dst): a part and the next one in its order; cyclic."""
-        after = F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
-        return self.raw("lineitem").select(F.col("l_partkey").alias("src"), after.alias("dst")).where("dst is not null and src <> dst").distinct()
+        return self.steps.distinct()
 
     @cached_property
     def points(self) -> DataFrame:

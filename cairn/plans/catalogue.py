@@ -187,7 +187,7 @@ NEXT = ", nx AS (SELECT src, min(dst) AS dst FROM chain GROUP BY 1 UNION SELECT
 
 def _next(t):
     """(src, dst): each part's least and greatest next part; one large component and what hangs on it."""
-    ends = t.chain.groupBy("src").agg(F.min("dst").alias("lo"), F.max("dst").alias("hi"))
+    ends = t.steps.groupBy("src").agg(F.min("dst").alias("lo"), F.max("dst").alias("hi"))
     return ends.select("src", F.explode(F.array("lo", "hi")).alias("dst"))
 
 

@@ -262,6 +262,33 @@ def test_components_and_blast_against_all_pairs(spark):
     assert got == {v: sum(v in ends[u] for u in ends) - 1 for v in ends}
 
 
+def test_components_by_pieces_and_by_colours(spark, monkeypatch):
+    rng = random.Random(3)
+    pairs = [(base + rng.randrange(20), base + rng.randrange(20)) for base in (0, 50, 100) for _ in range(45)] + [(200 + k, 200 + (k * 7 + s) % 40) for k in range(40) for s in (1, 2)]
+    ends = reached([(a, b) for a, b in pairs if a != b])
+    want = {v: min(u for u in ends[v] if v in ends[u]) for v in ends}
+    coloured, rounds = components._coloured, []
+    monkeypatch.setattr(components, "_coloured", lambda e: rounds.append(e.count()) or coloured(e))
+    for whole in (None, 70, 0):
+        rounds.clear()
+        assert {r.id: r.component for r in components.strong_components(edges(spark, pairs), whole).collect()} == want
+        # All at once; the pieces of up to 70 edges in tasks and only the last by colours; all by colours.
+        assert len(rounds) == 0 if whole is None else 70 < rounds[0] <= 80 if whole else rounds[0] > 80
+
+
+def test_walk_finds_components_of_long_ways():
+    n = 50_000
+    assert set(components._roots(list(range(n + 1)), [*range(1, n), 0])) == {0}
+    assert components._roots([*range(n), n - 1], list(range(1, n))) == list(range(n))
+    rng = random.Random(8)
+    for _ in range(40):
+        to = [sorted({rng.randrange(25) for _ in range(rng.randrange(3))}) for _ in range(25)]
+        ends = reached([(a, b) for a in range(25) for b in to[a]])
+        starts = [sum(map(len, to[:v])) for v in range(26)]
+        root = components._roots(starts, [u for x in to for u in x])
+        assert all((root[a] == root[b]) == (a == b or b in ends.get(a, ()) and a in ends[b]) for a in range(25) for b in range(25))
+
+
 def test_components_of_nulls_loops_and_nothing(spark):
     assert components.strong_components(edges(spark, [])).collect() == []
     got = components.strong_components(edges(spark, [(1, 1), (None, 2), (3, None), (4, 5), (5, 4), (4, 5)])).collect()
