@@ -122,8 +122,11 @@ def strong_components(edges: DataFrame, whole: int | None = None) -> DataFrame:
     one task. In larger ones each node takes the least node that reaches it as its colour; what leads back to that node inside the colour is a component,
     and goes. Rows that repeat, loops and nulls do not count; no edges give no rows. Each round reads edges that are left; a task holds at most `whole` of them, the driver none.
     """
-    whole = WHOLE if whole is None else whole
-    edges = settle(clean_edges(edges.where("src is not null and dst is not null")))
+    return _components(settle(clean_edges(edges.where("src is not null and dst is not null"))), WHOLE if whole is None else whole)
+
+
+def _components(edges: DataFrame, whole: int) -> DataFrame:
+    """`strong_components` of edges that are clean and settled."""
     nodes = settle(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct())
     found, taken, rest, turn = [], [], edges, 0
     left = rest.count()
@@ -186,7 +189,7 @@ def blast_counts(edges: DataFrame, max_depth: int | None = None, parts: DataFram
         nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
         seen = reach(reverse(edges), nodes.select(F.col("node").alias("seed"), "node"), max_depth)
         return seen.groupBy(F.col("seed").alias("id")).agg((F.count("*") - 1).alias("importers"))
-    parts = settle(strong_components(edges)) if parts is None else parts
+    parts = settle(_components(edges, WHOLE)) if parts is None else parts
     sizes = settle(parts.groupBy(F.col("component").alias("node")).agg(F.count("*").alias("n")))
     between = edges
     if not sizes.where("n > 1").isEmpty():

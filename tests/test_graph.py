@@ -276,6 +276,16 @@ def test_components_by_pieces_and_by_colours(spark, monkeypatch):
         assert len(rounds) == 0 if whole is None else 70 < rounds[0] <= 80 if whole else rounds[0] > 80
 
 
+def test_blast_of_cycles_takes_no_rounds_for_its_components(spark, monkeypatch):
+    rng = random.Random(6)
+    pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(60)] + [(100 + k, 100 + (k + 1) % 30) for k in range(30)] + [(3, 100)]
+    ends = reached([(a, b) for a, b in pairs if a != b])
+    calls, settled = [], components.settle
+    monkeypatch.setattr(components, "settle", lambda df: calls.append(1) or settled(df))
+    assert {r.id: r.importers for r in components.blast_counts(edges(spark, pairs)).collect()} == {v: sum(v in ends[u] for u in ends) - 1 for v in ends}
+    assert len(calls) < 12  # edges, nodes and components; the pairs' own rounds are those of reach
+
+
 def test_walk_finds_components_of_long_ways():
     n = 50_000
     assert set(components._roots(list(range(n + 1)), [*range(1, n), 0])) == {0}
