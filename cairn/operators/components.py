@@ -84,8 +84,10 @@ def _whole(batches):
         ids, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
         order = np.argsort(at[: len(src)], kind="stable")
         starts = np.searchsorted(at[: len(src)][order], np.arange(len(ids) + 1))
-        root = _roots(starts.tolist(), at[len(src) :][order].tolist())
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], ["id", "component"])
+        root = np.array(_roots(starts.tolist(), at[len(src) :][order].tolist()))
+        least = np.arange(len(ids))
+        np.minimum.at(least, root, np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[least[root]])], ["id", "component"])
 
     now, held = None, []
     for batch in batches:
@@ -165,6 +167,9 @@ def _components(edges: DataFrame, whole: int) -> DataFrame:
     out = nodes.withColumn("component", F.col("id"))
     if found:
         out = out.join(reduce(DataFrame.unionByName, found).withColumnRenamed("component", "part"), "id", "left").select("id", F.coalesce("part", "id").alias("component"))
+    # Components are named by their least node already, unless a lesser one was taken out of a chain.
+    if not taken:
+        return out
     out = settle(out)
     # What was taken out of a chain belongs to the component at both its ends, or to none; the last that went comes back first.
     for k, links in enumerate(reversed(taken), 1):
